@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, shards, token_counts
+from . import lang_id, packing, quality, secrets, shards, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = lang_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), train=~held_out)
+    out = lang_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.interleave(_read(spark, sf_dir, "documents"), shards=24)
     return out.select(
@@ -28,6 +40,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_token_counts)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), ~held_out, "quality")
+    out = quality.score(docs.select("doc_id", "text"), model, threshold=0.3)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op9_quality)
+}
 
 ORACLE_SQL: dict[str, str] = {}

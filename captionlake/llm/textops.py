@@ -20,30 +20,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte range of a buffer in constant time (prefix sums modulo 2**64)."""
+    """Hashes of any byte range of a buffer in constant time (prefix sums modulo 2**64). Equal bytes have
+    equal hashes wherever they stand."""
 
-    _powers = np.ones(1, np.uint64)
+    _powers = _inverse = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         if len(Rolling._powers) < n + 1:
             size = max(n + 1, 2 * len(Rolling._powers))
-            full = np.full(size, ODD, np.uint64)
-            full[0] = 1
-            Rolling._powers = np.cumprod(full, dtype=np.uint64)
-        self.n, self.p = n, Rolling._powers
+            for name, base in (("_powers", ODD), ("_inverse", np.uint64(pow(int(ODD), -1, 1 << 64)))):
+                full = np.full(size, base, np.uint64)
+                full[0] = 1
+                setattr(Rolling, name, np.cumprod(full, dtype=np.uint64))
+        self.n = n
         self.c = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.p[:n], out=self.c[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[:n], out=self.c[1:])
 
     def span(self, start, end) -> np.ndarray:
-        return mix((self.c[end] - self.c[start]) * self.p[self.n - start])
+        return mix((self.c[end] - self.c[start]) * self._inverse[start])
 
     def grams(self, k: int) -> np.ndarray:
         """Hashes of all k-byte strings, by start."""
         if self.n < k:
             return np.zeros(0, np.uint64)
-        d = self.c[k:] - self.c[:-k]
-        return mix(d * self.p[k : self.n + 1][::-1])
+        return mix((self.c[k:] - self.c[:-k]) * self._inverse[: self.n - k + 1])
 
 
 def chunks(texts: list, size: int = CHUNK) -> Iterator[tuple[int, int]]:

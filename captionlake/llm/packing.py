@@ -13,10 +13,11 @@ doc_id is carried. Repeated rows are packed as separate documents. An empty tabl
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,31 +95,61 @@ def plan(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int, int,
     return runs, opened
 
 
+#: Chunks of these characters alone are their own composed form, and their words can be found here: the
+#: tokenizer's pattern on lower-case text, restricted to them.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell the characters of PLAIN: printable bytes as themselves, the others as
+    the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelt = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class ChunkEncoder:
-    """Token ids of texts through a cache of what stands between spaces and line ends. The tokenizer's own
-    splitting never joins characters across white space, so the parts can be encoded alone."""
+    """Token ids of texts through two caches: of what stands between spaces and line ends, and of the words
+    within that. The tokenizer's own splitting never joins characters across either, so parts can be encoded
+    alone. Chunks with other characters or special tokens go to the tokenizer whole."""
 
-    MOST = 300_000
+    MOST, MOST_WORDS = 300_000, 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.chunks, self.words, self.spell = {"": b""}, {}, byte_letters()
+
+    def learn(self, new: list[str]) -> None:
+        special = self.special
+        easy = {c: WORDS.findall(c.lower()) for c in new if PLAIN.fullmatch(c) and not ("<" in c and any(x in c for x in special))}
+        if len(self.words) > self.MOST_WORDS:
+            self.words.clear()
+        merge, spell = self.tokenizer.model.tokenize, self.spell
+        for w in set().union(*easy.values()).difference(self.words):
+            self.words[w] = array("I", [t.id for t in merge(w if w.isascii() else w.translate(spell))]).tobytes()
+        get = self.words.__getitem__
+        self.chunks.update((c, b"".join(map(get, w))) for c, w in easy.items())
+        rest = [c for c in new if c not in easy]
+        for i in range(0, len(rest), 5000):
+            part = rest[i : i + 5000]
+            for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.chunks[text] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > self.MOST:
-            self.known = {"": b""}
-            new = list(set().union(*parts) - {""})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[text] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        new = set().union(*parts).difference(self.chunks)
+        if len(self.chunks) + len(new) > self.MOST:
+            self.chunks = {"": b""}
+            new = set().union(*parts) - {""}
+        self.learn(list(new))
+        get = self.chunks.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 

@@ -35,6 +35,10 @@ BINS, STEP = 400, 0.1  # of -log10 of a weighted p-value
 ALPHA, CHANGE_RATE, USUAL_LENGTH = 0.001, 0.12, 40
 REJECT = 0.001  # each battery test, by Bonferroni over three
 
+#: places where one class of characters ends
+CHANGE = "(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])|(?<=[^a-zA-Z0-9])(?=[a-zA-Z0-9])"
+MADE = ("__assign", "__value", "__access", "__hex", "__loose", "__verdict")
+
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: encoding -> (pattern of the whole string, alphabet)
 ENCODINGS = {
@@ -65,17 +69,16 @@ def _starts(text: Column, pattern: str, found: Column) -> Column:
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, keep=None, values: Column | None = None) -> Column:
-    """Spans of a pattern's matches that keep(match or value) holds for."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = found if values is None else values
+def _spans(text: Column, pattern: str, kind: int, found: Column, keep: Column | None = None) -> Column:
+    """Spans of the found matches; keep: an array of booleans beside them."""
+    judged = F.transform(found, lambda m: F.lit(True)) if keep is None else keep
     rows = F.zip_with(
-        _starts(text, pattern, found), F.arrays_zip(found.alias("m"), judged.alias("v")),
-        lambda s, x: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(x["m"])).alias("end"), x["v"].alias("v")),
+        _starts(text, pattern, found), F.arrays_zip(found.alias("m"), judged.alias("k")),
+        lambda s, x: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(x["m"])).alias("end"), x["k"].alias("k")),
     )
-    kept = F.filter(rows, lambda r: keep(r["v"])) if keep else rows
+    kept = F.filter(rows, lambda r: r["k"])
     spans = F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
 
 
 def _tail(z: Column) -> Column:
@@ -87,62 +90,87 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def _battery(s: Column) -> Column:
-    """struct(encoding, passed, bin) of a candidate, its padding cut off; null where no encoding is inferred."""
+def _inferred(s: Column) -> Column:
+    """struct(core, alphabet, n): a candidate without its padding, and its encoding's alphabet or null."""
     core = F.regexp_replace(s, "=+$", "")
-    n = F.length(core).cast("double")
     mixed = core.rlike("[0-9]") & core.rlike("[A-Za-z]")
-    cases = core.rlike("[0-9]") & core.rlike("[A-Z]") & core.rlike("[a-z]")
-    encoding = F.lit(None).cast("string")
+    cases = core.rlike("[A-Z]") & core.rlike("[a-z]")
     alphabet = F.lit(None).cast("string")
     for name, (pattern, letters) in reversed(ENCODINGS.items()):
-        fits = core.rlike(pattern) & (cases if name == "base64" else mixed)
-        encoding = F.when(fits, F.lit(name)).otherwise(encoding)
+        fits = core.rlike(pattern) & cases if name == "base64" else core.rlike(pattern)
         alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
-    plain = F.translate(core, "-_", "+/")
+    return F.struct(core.alias("core"), F.when(mixed, alphabet).alias("alphabet"), F.length(core).cast("double").alias("n"))
+
+
+def _symbols(x: Column) -> Column:
+    """struct(core, n, k, codes, squares, halves): symbols as numbers, the sum of squared symbol counts, and
+    which half of the alphabet each symbol is from."""
+    plain, alphabet = F.translate(x["core"], "-_", "+/"), x["alphabet"]
     k = F.length(alphabet).cast("double")
+    codes = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
+    counts = F.transform(F.split(alphabet, ""), lambda c: (x["n"] - F.length(F.replace(plain, c, F.lit("")))).cast("double"))
+    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
+    return F.struct(x["core"].alias("core"), x["n"].alias("n"), k.alias("k"), codes.alias("codes"), squares.alias("squares"))
+
+
+def _sums(x: Column) -> Column:
+    """struct of the figures that the tests need."""
+    codes, size = x["codes"], F.size(x["codes"])
+    halves = F.array_join(F.transform(codes, lambda c: F.when(c < x["k"] / 2, "0").otherwise("1")), "")
+    lagged = F.zip_with(F.slice(codes, F.lit(1), size - 1), F.slice(codes, F.lit(2), size - 1), lambda a, b: a * b)
+    add = lambda a, c: a + c
+    changes = F.regexp_count(x["core"], F.lit(CHANGE)) - 1  # the end counts as a change
+    return F.struct(
+        x["n"].alias("n"), x["k"].alias("k"), (x["squares"] * x["k"] / x["n"] - x["n"]).alias("chi"), halves.alias("halves"),
+        F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double").alias("ones"), changes.alias("changes"),
+        F.aggregate(codes, F.lit(0.0), add).alias("total"), F.aggregate(lagged, F.lit(0.0), add).alias("cross"),
+        F.aggregate(codes, F.lit(0.0), lambda a, c: a + c * c).alias("sumsq"),
+    )
+
 
-    # chi-squared against equal frequencies, made normal by its cube root
-    squares = F.aggregate(
-        F.transform(F.split(alphabet, ""), lambda c: (n - F.length(F.replace(plain, c, F.lit("")))).cast("double")),
-        F.lit(0.0), lambda a, x: a + x * x,
+def _scores(x: Column) -> Column:
+    """struct of the normal scores of the battery and of the class changes."""
+    n, df = x["n"], x["k"] - 1
+    chi = (F.pow(x["chi"] / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    mean = 2 * x["ones"] * (n - x["ones"]) / n  # expected runs, less one
+    runs = F.regexp_count(x["halves"], F.lit("01")) + F.regexp_count(x["halves"], F.lit("10"))
+    spread = x["sumsq"] - x["total"] * x["total"] / n
+    usual = (n - 1) * CHANGE_RATE
+    return F.struct(
+        n.alias("n"), chi.alias("chi"),
+        F.when(mean > 1, F.abs(runs - mean) / F.sqrt(mean * (mean - 1) / (n - 1))).otherwise(9.0).alias("runs"),
+        F.when(spread > 0, F.abs(x["cross"] - x["total"] * x["total"] / n) / spread * F.sqrt(n)).otherwise(9.0).alias("serial"),
+        ((x["changes"] - usual) / F.sqrt(usual * (1 - CHANGE_RATE))).alias("changes"),
     )
-    chi = squares * k / n - n
-    df = k - 1
-    z_chi = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
 
-    # runs over the alphabet's halves
-    codes = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    halves = F.array_join(F.transform(codes, lambda x: F.when(x < k / 2, "0").otherwise("1")), "")
-    ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-    runs = 1 + F.regexp_count(halves, F.lit("01")) + F.regexp_count(halves, F.lit("10"))
-    mean = 1 + 2 * ones * (n - ones) / n
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    z_runs = F.when(var > 0, (runs - mean) / F.sqrt(var)).otherwise(F.lit(9.0))
-
-    # serial correlation at lag 1
-    total = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x)
-    sumsq = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x * x)
-    lagged = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * b)
-    cross = F.aggregate(lagged, F.lit(0.0), lambda a, x: a + x)
-    spread = sumsq - total * total / n
-    z_serial = F.when(spread > 0, (cross - total * total / n) / spread * F.sqrt(n)).otherwise(F.lit(9.0))
-
-    least = F.least(_tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))
-    # ordinary text: the class changes at few of the n - 1 places
-    changes = F.regexp_count(core, F.lit("(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])|(?<=[^a-zA-Z0-9])(?=[a-zA-Z0-9])")) - 1
-    expected = (n - 1) * CHANGE_RATE
-    p = F.greatest(_tail((changes - expected) / F.sqrt(expected * (1 - CHANGE_RATE))), F.lit(1e-45))
-    weighted = p * USUAL_LENGTH / n
+
+def _verdict(x: Column) -> Column:
+    """struct(passed, bin): no test of the battery rejects, and the bin of the length-weighted p-value."""
+    least = F.least(_tail(x["chi"]), 2 * _tail(x["runs"]), 2 * _tail(x["serial"]))
+    weighted = F.greatest(_tail(x["changes"]), F.lit(1e-45)) * USUAL_LENGTH / x["n"]
     at = F.least(F.greatest(F.floor(-F.log10(weighted) / STEP), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    return F.when(encoding.isNotNull(), F.struct(encoding.alias("encoding"), (least > REJECT / 3).alias("passed"), at.alias("bin")))
+    return F.struct((least > REJECT / 3).alias("passed"), at.alias("bin"))
+
+
+def _judged(found: Column) -> Column:
+    """A verdict for each candidate, null where no encoding is inferred. Each step reads the one before, so
+    that no expression is written out twice."""
+    known = F.transform(found, _inferred)
+    steps = F.transform(known, lambda x: F.when(x["alphabet"].isNotNull(), _symbols(x)))
+    for f in (_sums, _scores, _verdict):
+        steps = F.transform(steps, _where_known(f))
+    return steps
+
+
+def _where_known(f):
+    return lambda x: F.when(x.isNotNull(), f(x))
 
 
 def discovery_bin(docs: DataFrame, text_col: str = "text") -> int:
     """The least bin that the Benjamini-Hochberg step over all candidates that pass the battery accepts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("s"))
-    judged = found.where(F.col("s").rlike("[0-9]") & F.col("s").rlike("[A-Za-z]")).select(_battery(F.col("s")).alias("b"))
+    found = docs.select(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("s")).where(F.size("s") > 0)
+    judged = found.select(F.explode(_judged(F.col("s"))).alias("b"))
     counts = judged.where("b.passed").groupBy("b.bin").count().collect()
     total, above, cut = sum(r["count"] for r in counts), 0, BINS
     for r in sorted(counts, key=lambda r: -r["bin"]):
@@ -155,20 +183,19 @@ def discovery_bin(docs: DataFrame, text_col: str = "text") -> int:
 def scan(docs: DataFrame, text_col: str = "text", cut: int | None = None) -> DataFrame:
     """docs with all_spans, an array of (start, kind, end) in order; kind indexes KINDS."""
     cut = discovery_bin(docs, text_col) if cut is None else cut
-    rows = without(docs, "all_spans")
+    rows = without(docs, "all_spans", *MADE)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    random = lambda s: F.coalesce(
-        F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]"), _battery(s)).getField("passed")
-        & (F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]"), _battery(s)).getField("bin") >= cut),
-        F.lit(False),
-    )
+    every = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    made = dict(zip(MADE, (every(ASSIGN), every(ASSIGN, 2), every(ACCESS), every(HEX), every(CANDIDATE))))
+    rows = rows.withColumns(made).withColumn(MADE[5], _judged(F.col(MADE[4])))
+    assign, value, access, hexes, loose, verdict = map(F.col, MADE)
     spans = F.concat(
-        _spans(text, ASSIGN, 0, lambda v: F.length(v) >= LEAST_ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))),
-        _spans(text, ACCESS, 1, lambda v: F.length(v) >= LEAST_ACCESS),
-        _spans(text, HEX, 2),
-        _spans(text, CANDIDATE, 3, random),
+        _spans(text, ASSIGN, 0, assign, F.transform(value, lambda v: F.length(v) >= LEAST_ASSIGN)),
+        _spans(text, ACCESS, 1, access, F.transform(access, lambda v: F.length(v) >= LEAST_ACCESS)),
+        _spans(text, HEX, 2, hexes),
+        _spans(text, CANDIDATE, 3, loose, F.transform(verdict, lambda v: F.coalesce(v["passed"] & (v["bin"] >= cut), F.lit(False)))),
     )
-    return rows.withColumn("all_spans", F.array_sort(spans))
+    return rows.withColumn("all_spans", F.array_sort(spans)).drop(*MADE)
 
 
 def joined(spans: Column) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lang_id, packing, quality, secrets, shards, token_counts
+from . import ann, decontaminate, lang_id, ngram_join, packing, quality, secrets, shards, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -59,7 +63,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op6_decontamination, op9_quality, op10_neighbours)
+    for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op6_decontamination, op7_ngram_join, op9_quality, op10_neighbours)
 }
 
 ORACLE_SQL: dict[str, str] = {}

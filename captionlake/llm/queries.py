@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lang_id, ngram_join, packing, quality, secrets, shards, token_counts
+from . import ann, decontaminate, lang_id, ngram_join, packing, quality, secrets, shards, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +50,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_repeats(_read(spark, sf_dir, "documents"), length=50)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -61,9 +66,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op6_decontamination, op7_ngram_join, op9_quality, op10_neighbours)
+    for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op6_decontamination, op7_ngram_join, op8_substring_dedup, op9_quality, op10_neighbours, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -75,13 +75,15 @@ def _per_chunk(batches, n: int, wanted: Bitmap | None = None):
     """(ids, tokens, starts) for chunks of rows (id, key, text) with an id; wanted: only rows whose key is in it."""
     import pyarrow as pa
 
-    for b in batches:
-        if wanted is not None:
-            b = b.filter(pa.array(wanted.test(b.column(1).to_numpy(zero_copy_only=False))))
-        ids = b.column(0).to_pylist()
-        texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
-        for lo, hi in chunks(texts):
-            yield ids[lo:hi], *shingle_sets(texts[lo:hi], n)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):  # bounds the Python copies of texts
+            b = whole.slice(at, 500)
+            if wanted is not None:
+                b = b.filter(pa.array(wanted.test(b.column(1).to_numpy(zero_copy_only=False))))
+            ids = b.column(0).to_pylist()
+            texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
+            for lo, hi in chunks(texts):
+                yield ids[lo:hi], *shingle_sets(texts[lo:hi], n)
 
 
 def _profiles(rows: DataFrame, n: int) -> DataFrame:
@@ -224,7 +226,7 @@ def _deal(buckets: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(at, 4000) for whole in batches for at in range(0, whole.num_rows, 4000)):
             ids, comps, subs, ns = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             sets = [np.frombuffer(x, np.uint64) for x in b.column(4).to_pylist()]
             if not sets:

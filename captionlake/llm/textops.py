@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-CHUNK = 2_000_000  # bytes of text turned into arrays at once
+CHUNK = 1_000_000  # bytes of text turned into arrays at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:

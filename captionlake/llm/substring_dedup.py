@@ -31,10 +31,10 @@ from .common import bitmap_of, stored
 from .textops import ODD, Rolling, mix
 
 GRAM = 18
-RUN = 400_000  # sampled suffixes in a run
+RUN = 250_000  # sampled suffixes in a run
 PART = 700_000  # bytes of text looked at together
 MARGIN = 160
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 8_000_000
 LAST = (1 << 63) - 1  # stands for a null doc_id
 BITS = 26
 FIVE = np.uint64((1 << 40) - 1)

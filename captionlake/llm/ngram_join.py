@@ -2,14 +2,17 @@
 
 1. Each text becomes its set of distinct word shingles (hashed). Equal sets become one set, named by its least id.
 2. Similar sets are partitioned into groups: for several seeds, sets that share a pair of minimum hashes are put
-   together (large ones split by a hash) and compared with the group's leaders; what links becomes one group, led
-   by its leader. Thousands of near copies so become one group in a few rounds, without their pairs.
+   together (large ones split by a hash that differs from seed to seed) and compared with leaders; what links
+   becomes one group. Thousands of near copies so become one group without their pairs, since the parts of one
+   seed mix those of another. Where sets are compared, counts of tokens by cell (about 5 tokens each) bound the
+   overlap first: two sets share at most the sum of the smaller counts. Only sets that pass send their tokens.
 3. The token-group matrix: a group is stored by the tokens of its members that can matter. With tokens ordered
    from rare to common, two sets of the wanted similarity share a token among the first few of each (the prefix),
    so only prefix tokens are stored, dealt by token. A set that meets a group of another component there, and
    whose sizes and places allow enough overlap, becomes a query of that group (in blocks of 32 members).
-4. A query opens a group only if its overlap with the union of all the group's tokens is large enough, and is
-   then compared exactly with the members. All links together give the components.
+4. A query opens a group only if the cells allow a link with some member and its overlap with the union of all
+   the group's tokens is large enough; it is then compared exactly with the members. All links together give the
+   components.
 
 The order of tokens uses counts in a sketch of fixed size; a wrong count changes the order, never the result.
 Texts aren't shuffled; sets that must meet are recomputed from the text where a bitmap of ids asks for them.
@@ -36,6 +39,7 @@ SKETCH = 19  # log2 of the sketch's counters
 SLICE = 15
 ROUNDS, GROUP, BLOCK = 3, 64, 32
 TOKENS_PER_BUCKET = 400_000
+ROWS_PER_BUCKET = 20_000  # sets compared by their cells in one task
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +90,38 @@ def _per_chunk(batches, n: int, wanted: Bitmap | None = None):
                 yield ids[lo:hi], *shingle_sets(texts[lo:hi], n)
 
 
+def _cells(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Each set's tokens counted by their low bits, in a power of two of cells: 4 to 8 tokens a cell, so a byte
+    holds any count that distinct hashes can give."""
+    size = np.diff(at)
+    n = 1 << np.floor(np.log2(np.maximum(size, 64) / 4)).astype(np.int64)
+    end = np.cumsum(n)
+    doc = np.repeat(np.arange(len(size)), size)
+    where = (end - n)[doc] + (tokens.astype(np.int64) & (n[doc] - 1))
+    counts = np.bincount(where, minlength=int(end[-1]) if len(end) else 0).astype(np.uint8).tobytes()
+    return [counts[e - k : e] for k, e in zip(n.tolist(), end.tolist())]
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Could sets with these cells link? The larger table of cells is folded to the smaller one's size."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = b.reshape(-1, len(a)).sum(axis=0)
+    x, y = int(a.sum()), int(b.sum())
+    most = int(np.minimum(a, b).sum())
+    return min(x, y) * den >= num * max(x, y) and den * most >= num * (x + y - most)
+
+
 def _profiles(rows: DataFrame, n: int) -> DataFrame:
-    """(id, n, s1, s2, k0..): set size, a 128-bit name of the set and its grouping keys; and, in rows with a
-    slice number, each partition's share of the token sketch."""
+    """(id, n, s1, s2, k0.., cells): set size, a 128-bit name of the set, its grouping keys and its counts by
+    cell; and, in rows with a slice number, each partition's share of the token sketch."""
 
     def run(batches):
         import pyarrow as pa
 
         sketch = np.zeros(1 << SKETCH, np.uint32)
-        names = ["id", "n", "s1", "s2", *(f"k{r}" for r in range(ROUNDS)), "slice", "counts"]
+        names = ["id", "n", "s1", "s2", *(f"k{r}" for r in range(ROUNDS)), "cells", "slice", "counts"]
         for ids, tokens, at in _per_chunk(batches, n):
             size = np.diff(at)
             full = np.flatnonzero(size)
@@ -108,15 +135,15 @@ def _profiles(rows: DataFrame, n: int) -> DataFrame:
                     cols[2 + r][full] = mix(two[0] * ODD + two[1])
                 np.add.at(sketch, (tokens >> np.uint64(52 - SKETCH)).astype(np.int64), 1)
             data = [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), *(pa.array(c.view(np.int64)) for c in cols)]
-            data += [pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())]
+            data += [pa.array(_cells(tokens, at), pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(data, names=names)
         m = (1 << SKETCH) >> SLICE
-        data = [pa.nulls(m, pa.int64())] * (4 + ROUNDS)
+        data = [pa.nulls(m, pa.int64())] * (4 + ROUNDS) + [pa.nulls(m, pa.binary())]
         data += [pa.array(range(m), pa.int32()), pa.array([sketch[i << SLICE : (i + 1) << SLICE].tobytes() for i in range(m)], pa.binary())]
         yield pa.RecordBatch.from_arrays(data, names=names)
 
     keys = ", ".join(f"k{r} long" for r in range(ROUNDS))
-    return stored(rows.mapInArrow(run, f"id long, n long, s1 long, s2 long, {keys}, slice int, counts binary"))
+    return stored(rows.mapInArrow(run, f"id long, n long, s1 long, s2 long, {keys}, cells binary, slice int, counts binary"))
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -136,7 +163,7 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
 
 
 def _token_sets(rows: DataFrame, n: int, ids: DataFrame) -> DataFrame:
-    """(id, tokens) of the rows whose id is in ids."""
+    """(id, tokens) of the rows whose id is in ids, and of few others (a bitmap decides): join it with ids."""
     bits = rows.sparkSession.sparkContext.broadcast(bitmap_of(ids, F.xxhash64("id"), 23))
 
     def run(batches):
@@ -146,7 +173,7 @@ def _token_sets(rows: DataFrame, n: int, ids: DataFrame) -> DataFrame:
             sets = [tokens[at[i] : at[i + 1]].tobytes() for i in range(len(own))]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    return stored(rows.mapInArrow(run, "id long, tokens binary").join(ids.select("id").distinct(), "id"))
+    return rows.mapInArrow(run, "id long, tokens binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -166,6 +193,58 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
+def _groups(table, keys: list[str]):
+    """Row numbers of each group of a table, by its key columns."""
+    cols = [table.column(k).to_numpy() for k in keys]
+    o = np.lexsort(cols[::-1])
+    new = np.zeros(len(o), bool)
+    for c in cols:
+        new[1:] |= c[o][1:] != c[o][:-1]
+    yield from np.split(o, np.flatnonzero(new))
+
+
+def _likely(keys: list[str], num: int, den: int):
+    """Of a bucket of groups, the rows whose cells allow a link with a leader of their group, and those leaders."""
+
+    def run(table):
+        cells = [np.frombuffer(x, np.uint8).astype(np.int32) for x in table.column("cells").to_pylist()]
+        ids = table.column("id").to_numpy()
+        keep = np.zeros(table.num_rows, bool)
+        for group in _groups(table, keys):
+            leaders: list[int] = []
+            for i in group[np.argsort(ids[group], kind="stable")]:
+                met = [j for j in leaders if _may_link(cells[i], cells[j], num, den)]
+                keep[[i, *met]] |= bool(met)
+                if not met:
+                    leaders.append(i)
+        return table.take(np.flatnonzero(keep)).select(["id", *keys])
+
+    return run
+
+
+def _qualify(block: list[str], num: int, den: int):
+    """Of a bucket of blocks, the queries whose cells allow a link with a member, and those members."""
+
+    def run(table):
+        cells = [np.frombuffer(x, np.uint8).astype(np.int32) for x in table.column("cells").to_pylist()]
+        role = table.column("role").to_numpy()
+        keep = np.zeros(table.num_rows, bool)
+        for group in _groups(table, block):
+            members = [j for j in group if role[j] == 0]
+            for i in (i for i in group if role[i] == 1):
+                met = [j for j in members if _may_link(cells[i], cells[j], num, den)]
+                keep[[i, *met]] |= bool(met)
+        return table.take(np.flatnonzero(keep)).select(["id", *block, "role"])
+
+    return run
+
+
+def _by_bucket(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """Apply run to buckets of whole groups."""
+    buckets = max(8, -(-rows.count() // ROWS_PER_BUCKET))
+    return rows.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets))).groupBy("bucket").applyInArrow(run, schema)
+
+
 def _merge(num: int, den: int):
     """Compare a group's sets with its leaders; edges from a set to every leader it links to."""
 
@@ -314,24 +393,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     every = _profiles(raw, words)
     known = every.where("slice is null")
     keys = [f"k{r}" for r in range(ROUNDS)]
-    sets = stored(known.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), *[F.min(k).alias(k) for k in keys]))
-
-    # groups of similar sets
-    merged = rows.sparkSession.createDataFrame([], "a long, b long")
-    alike = None
-    for k in keys:
-        shared = sets.groupBy(k).agg(F.count("*").alias("m")).where("m > 1").select(k)
-        part = sets.join(shared, k).select("id")
-        alike = part if alike is None else alike.unionByName(part)
-    alike = stored(alike.distinct())
-    tokens = _token_sets(rows, words, alike)
-    leaders = sets.join(alike, "id").select("id", *keys)
-    for k in keys:
-        sizes = leaders.groupBy(k).agg(F.count("*").alias("m")).where("m > 1")
-        dealt = leaders.select("id", k).join(sizes, k).withColumn("part", F.pmod(F.hash("id"), _dealt("m", GROUP)))
-        edges = stored(dealt.join(tokens, "id").select(k, "part", "id", "tokens").groupBy(k, "part").applyInArrow(_merge(num, den), "a long, b long"))
-        merged = merged.unionByName(edges)
-        leaders = leaders.join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    first = [F.first(c).alias(c) for c in (*keys, "cells")]  # the same in all rows of a set
+    named_cells = stored(known.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), *first))
+    sets, cells = named_cells.select("id", "n", "s1", "s2"), named_cells.select("id", "cells")
+
+    # groups of similar sets; a set is named once, so (id, round) names a row
+    pairs = [F.struct(F.lit(r).alias("round"), F.col(k).alias("k")) for r, k in enumerate(keys)]
+    alike = named_cells.select("id", F.explode(F.array(*pairs)).alias("x")).select("id", "x.round", "x.k")
+    sizes = alike.groupBy("round", "k").agg(F.count("*").alias("m")).where("m > 1")
+    alike = alike.join(sizes, ["round", "k"]).withColumn("part", F.pmod(F.hash("id", "round"), _dealt("m", GROUP))).drop("m")
+    part = ["round", "k", "part"]
+    alike = stored(alike)
+    likely = _by_bucket(alike.join(cells, "id"), part, _likely(part, num, den), "id long, round int, k long, part int")
+    likely = stored(likely)
+    met = likely.join(_token_sets(rows, words, likely.select("id").distinct()), "id")
+    merged = stored(met.groupBy(*part).applyInArrow(_merge(num, den), "a long, b long"))
     groups = components(merged)
     labels = sets.select("id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = labels.groupBy("component").agg(F.count("*").alias("m"))
@@ -352,8 +428,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     members = labels.join(salts, block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", *block, "part", F.lit(0).alias("role"))
     queries = asked.join(salts, block).select(F.col("query").alias("id"), *block, F.pmod(F.hash("query"), F.col("parts")).alias("part"), F.lit(1).alias("role"))
     both = stored(members.unionByName(queries))
+    block.append("part")
+    schema = "id long, component long, sub int, part int, role int"
+    both = stored(_by_bucket(both.join(cells, "id"), block, _qualify(block, num, den), schema))
     opened = both.join(_token_sets(rows, words, both.select("id").distinct()), "id")
-    links = stored(opened.groupBy(*block, "part").applyInArrow(_open(num, den), "a long, b long"))
+    links = stored(opened.groupBy(*block).applyInArrow(_open(num, den), "a long, b long"))
 
     # rows that share an id tie their sets together
     named = known.where("n > 0 and id is not null").select("id", "n", "s1", "s2").join(sets.select("n", "s1", "s2", F.col("id").alias("set")), ["n", "s1", "s2"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import cleaning, jobs, timeline
+from ..operators import cleaning, jobs, results, timeline
 from ..sources import fixtures as fx
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -174,3 +174,137 @@ def R2_latest_stage_timings(spark, d):
 @query(f"WITH {RUNS} SELECT job_id, run_id, event_id FROM u QUALIFY run_id = max(run_id) OVER (PARTITION BY job_id)")
 def R3_drop_stale_runs(spark, d):
     return jobs.active_runs(_updates(spark, d)).select("job_id", "run_id", "event_id")
+
+
+@query("WITH " + fx.SQL_SEGMENTS + """, p AS (SELECT media_id, seg_idx, text, start_ms, end_ms, lag(end_ms) OVER (PARTITION BY media_id ORDER BY seg_idx) AS b FROM segments)
+SELECT media_id, seg_idx FROM p WHERE start_ms < 0 OR end_ms <= start_ms OR coalesce(start_ms < b, false) OR trim(text, ' ') = ''""")
+def F8_assert_clean(spark, d):
+    return results.not_clean(fx.segments(spark, d)).select("media_id", "seg_idx")
+
+
+@query(JUDGED + "SELECT j.media_id, count(*) AS n_kept, count(*) FILTER (s.avg_logprob < -1) AS n_unsure FROM judged j JOIN segments s ON j.media_id = s.media_id AND j.seg_idx = s.seg_idx WHERE reason IS NULL GROUP BY j.media_id")
+def J1_A2_timeline_report(spark, d):
+    s = fx.segments(spark, d)
+    kept = cleaning.judge_segments(s).where("reason is null").select("media_id", "seg_idx")
+    both = kept.join(s.select("media_id", "seg_idx", "avg_logprob"), ["media_id", "seg_idx"])
+    return both.groupBy("media_id").agg(F.count("*").alias("n_kept"), F.count_if(F.col("avg_logprob") < -1).alias("n_unsure"))
+
+
+@query("WITH " + fx.SQL_TRANSLATIONS + """, x AS (SELECT media_id, text, row_number() OVER (PARTITION BY media_id ORDER BY unit_id, ord) AS place FROM tr WHERE media_id % 3 = 0 OR unit_id < 1000000),
+y AS (SELECT media_id, unit_id, row_number() OVER (PARTITION BY media_id ORDER BY unit_id) AS place FROM units),
+c AS (SELECT media_id, n IS NOT DISTINCT FROM m AS same FROM (SELECT media_id, count(*) AS n FROM y GROUP BY 1) FULL JOIN (SELECT media_id, count(*) AS m FROM x GROUP BY 1) USING (media_id))
+SELECT y.media_id, unit_id, text AS translated, NULL::VARCHAR AS issue FROM y JOIN x ON y.media_id = x.media_id AND y.place = x.place WHERE y.media_id IN (SELECT media_id FROM c WHERE same)
+UNION ALL SELECT media_id, NULL, NULL, 'translationCountMismatch' FROM c WHERE NOT same""")
+def J3_match_by_position(spark, d):
+    return results.match_by_position(fx.units(spark, d), fx.translations(spark, d).where("media_id % 3 = 0 OR unit_id < 1000000"))
+
+
+@query("WITH " + fx.SQL_UNITS + """, p(lang, w, c) AS (VALUES ('en', 42, 20.0::DOUBLE), ('ru', 42, 17), ('de', 42, 17), ('es', 42, 17), ('it', 42, 17), ('fr', 42, 17), ('ja', 13, 4), ('zh', 16, 9), ('ko', 16, 12), ('hi', 42, 22))
+SELECT media_id, unit_id, w AS chars_per_line, length(text) * 1000 > c * (end_ms - start_ms) AS too_fast FROM units JOIN p USING (lang)""")
+def J5_with_profile(spark, d):
+    fast = F.length("text") * 1000 > F.col("chars_per_s") * (F.col("end_ms") - F.col("start_ms"))
+    return results.with_profile(fx.units(spark, d)).select("media_id", "unit_id", "chars_per_line", fast.alias("too_fast"))
+
+
+@query("WITH " + fx.SQL_WORDS + """, r AS (SELECT media_id, word_idx // 12 AS unit_id, min(word_idx) AS ws, max(word_idx) + 1 AS we FROM words GROUP BY ALL)
+SELECT r.media_id, unit_id, word_idx, text FROM r JOIN words w ON r.media_id = w.media_id AND ws <= word_idx AND word_idx < we""")
+def J6_words_in_units(spark, d):
+    w = fx.words(spark, d)
+    ranges = w.groupBy("media_id", F.floor(F.col("word_idx") / 12).alias("unit_id")).agg(F.min("word_idx").alias("word_start"), (F.max("word_idx") + 1).alias("word_end"))
+    return results.words_in_units(ranges, w).select("media_id", "unit_id", "word_idx", "text")
+
+
+@query("WITH " + fx.SQL_SEGMENTS + """, m AS (SELECT doc_id AS media_id, 3000 * len(string_split(text, chr(10))) AS l FROM documents)
+SELECT media_id, seg_idx, end_ms - l AS over_ms FROM segments JOIN m USING (media_id) WHERE end_ms > l""")
+def J10_cues_past_media_end(spark, d):
+    media = fx.table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), (F.size(F.split("text", "\n")) * F.lit(3.0)).alias("duration_s"))
+    return results.past_media_end(fx.segments(spark, d), media).select("media_id", "seg_idx", "over_ms")
+
+
+@query("WITH " + fx.SQL_SEGMENTS + ", " + fx.SQL_UNITS.removeprefix(fx.SQL_LINES + ", ") + """SELECT media_id, greatest(max(end_ms), 0) AS duration_ms FROM (SELECT media_id, end_ms FROM segments UNION ALL SELECT media_id, end_ms FROM units) GROUP BY media_id""")
+def A3_transcript_duration(spark, d):
+    return results.duration_of(fx.segments(spark, d), fx.units(spark, d))
+
+
+STATES = "['runnable', 'waiting', 'running', 'completed', 'failed', 'inspecting', 'undecided']"
+
+
+def _state(key):
+    return F.get(F.array(*map(F.lit, ("runnable", "waiting", "running", "completed", "failed", "inspecting", "undecided"))), (key % 7).cast("int"))
+
+
+@query(f"""SELECT DISTINCT source, target FROM (SELECT lang AS source, unnest(['en', ['fr', 'ja', 'ko'][doc_id % 3 + 1]]) AS target, {STATES}[doc_id % 7 + 1] AS state FROM documents)
+WHERE state IN ('runnable', 'waiting', 'running') AND source <> target""")
+def A6_required_pairs(spark, d):
+    k = F.col("doc_id")
+    targets = F.array(F.lit("en"), F.get(F.array(*map(F.lit, ("fr", "ja", "ko"))), (k % 3).cast("int")))
+    return results.required_pairs(fx.table(spark, d, "documents").select(F.col("lang").alias("source"), targets.alias("targets"), _state(k).alias("state")))
+
+
+@query(JUDGED + """, r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) AS p, count(*) OVER (PARTITION BY media_id) AS n FROM judged WHERE reason IS NOT NULL)
+SELECT media_id, seg_idx, reason, substring(text, 1, 2000) AS text, greatest(n - 100, 0) AS n_omitted FROM r WHERE p <= 100""")
+def A7_discard_evidence(spark, d):
+    return results.discard_evidence(cleaning.judge_segments(fx.segments(spark, d)).where("reason is not null"))
+
+
+@query("""SELECT user_id AS job_id, count(*) FILTER (event_id % 3 <> 0) AS n_saved, count(*) AS n_total,
+  CASE WHEN count(*) FILTER (event_id % 3 <> 0) = 0 THEN 'failed' WHEN count(*) FILTER (event_id % 3 = 0) > 0 THEN 'completedWithWarnings' ELSE 'completed' END AS state FROM events GROUP BY user_id""")
+def A9_job_rollup(spark, d):
+    return results.job_rollup(fx.table(spark, d, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3 != 0).alias("saved")))
+
+
+@query("WITH " + fx.SQL_WORDS + """ SELECT media_id, word_idx // 12 AS group_id, arg_min(speaker, word_idx) FILTER ((media_id + word_idx) % 5 = 0 AND speaker IS NOT NULL) AS speaker FROM words GROUP BY ALL""")
+def A10_group_speaker(spark, d):
+    w = fx.words(spark, d).withColumn("speaker", F.when((F.col("media_id") + F.col("word_idx")) % 5 == 0, F.col("speaker")))
+    return results.first_speaker(w, F.floor(F.col("word_idx") / 12))
+
+
+@query(f"""SELECT queue, NOT bool_or(state IN ('running', 'inspecting', 'undecided')) AND bool_or(state = 'runnable') AS can_begin
+FROM (SELECT event_id // 2 AS queue, {STATES}[(event_id // 2 + event_id * event_id) % 7 + 1] AS state FROM events) GROUP BY queue""")
+def A11_queue_readiness(spark, d):
+    e, q = F.col("event_id"), F.floor(F.col("event_id") / 2)
+    return results.queue_readiness(fx.table(spark, d, "events").select(q.alias("queue"), _state(q + e * e).alias("state")))
+
+
+@query("""SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 3 = 0 AND doc_id % 7 = 0 THEN 'create' WHEN doc_id % 3 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'conflict' ELSE 'replace' END AS action FROM documents""")
+def S9_plan_publish(spark, d):
+    docs, k = fx.table(spark, d, "documents"), F.col("doc_id")
+    path, sha = F.concat(F.lit("p"), k.cast("string")).alias("path"), F.sha2(F.col("text").cast("binary"), 256)
+    current = docs.where(k % 7 != 0).select(path, F.when(k % 5 == 0, F.lit("other")).otherwise(sha).alias("sha"))
+    return results.plan_publish(docs.select(path, F.when(k % 3 != 0, sha).alias("sha")), current)
+
+
+@query("""SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 6 = 0 THEN n_chars + 2 WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS n_bytes FROM documents UNION ALL
+SELECT 'g' || doc_id, n_chars + 1 FROM documents WHERE doc_id % 4 = 0""")
+def S10_upsert_manifest(spark, d):
+    docs, k = fx.table(spark, d, "documents"), F.col("doc_id")
+    row = lambda p, add, seq: [F.concat(F.lit(p), k.cast("string")).alias("path"), (F.col("n_chars") + add).alias("n_bytes"), F.lit(seq).alias("seq")]
+    new = docs.where(k % 4 == 0).select(*row("f", 1, 0)).unionByName(docs.where(k % 6 == 0).select(*row("f", 2, 1))).unionByName(docs.where(k % 4 == 0).select(*row("g", 1, 0)))
+    return results.upsert(docs.select(*row("f", 0, 0)), new)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN n_chars * 2.5::DOUBLE ELSE n_chars * 3.5::DOUBLE END AS seconds,
+CASE WHEN doc_id % 11 = 0 THEN 'invalidDescription' WHEN doc_id % 7 = 0 THEN 'noAudioTrack' WHEN (CASE WHEN doc_id % 5 = 0 THEN n_chars * 2.5 ELSE n_chars * 3.5 END) <= 0 THEN 'durationUnavailable'
+  WHEN (CASE WHEN doc_id % 5 = 0 THEN n_chars * 2.5 ELSE n_chars * 3.5 END) > 43200 THEN 'overLimit' END AS problem FROM documents""")
+def S4_probe_media(spark, d):
+    k, n = F.col("doc_id"), F.col("n_chars")
+    kind = F.when(k % 7 == 0, F.lit("subtitle")).otherwise(F.lit("audio"))
+    whole = F.when(k % 5 == 0, F.lit('"unknown"')).otherwise((n * 3.5).cast("decimal(20,1)").cast("string"))
+    text = F.format_string('{"streams": [{"codec_type": "video", "duration": "%s"}, {"codec_type": "%s", "duration": 0}], "format": {"duration": %s}}', (n * 2.5).cast("decimal(20,1)").cast("string"), kind, whole)
+    return results.probe(fx.table(spark, d, "documents").select("doc_id", F.when(k % 11 == 0, F.lit("{")).otherwise(text).alias("description")))
+
+
+@query("SELECT doc_id, '/m/Clip.' || doc_id || '.' || lang || '.srt' AS output, '/m/clip.' || doc_id || '.' || lower(lang) || '.srt' AS reserved FROM documents")
+def X14_output_name(spark, d):
+    name = X.output_name(F.concat(F.lit("/m/Clip."), F.col("doc_id").cast("string"), F.lit(".mp4")), F.col("lang"))
+    return fx.table(spark, d, "documents").select("doc_id", name.alias("output"), F.lower(name).alias("reserved"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0::DOUBLE + 0.05::DOUBLE * f WHEN 1 THEN 0.05::DOUBLE + (0.15::DOUBLE - 0.05::DOUBLE) * f WHEN 2 THEN 0.15::DOUBLE + (0.78::DOUBLE - 0.15::DOUBLE) * f
+  WHEN 3 THEN 0.78::DOUBLE + (0.95::DOUBLE - 0.78::DOUBLE) * f ELSE 0.95::DOUBLE + (0.99::DOUBLE - 0.95::DOUBLE) * f END AS progress, CASE WHEN f > 0 THEN 64 * (1 - f) / f END AS eta_s
+FROM (SELECT event_id, (event_id % 8) / 8::DOUBLE AS f FROM events)""")
+def X16_progress(spark, d):
+    e = F.col("event_id")
+    stage = F.get(F.array(*map(F.lit, X.STAGE_SHARE)), (e % 5).cast("int"))
+    f = (e % 8) / F.lit(8.0)
+    return fx.table(spark, d, "events").select("event_id", X.overall_progress(stage, f).alias("progress"), X.remaining(F.lit(64), f).alias("eta_s"))

@@ -165,19 +165,22 @@ def _runs(buckets: int, length: int):
 
 RUN_COLUMNS = ("bucket", "ids", "hs", "rows", "grams", "names", "places")
 RUN_SCHEMA = "bucket int, ids binary, hs binary, rows binary, grams binary, names binary, places binary"
-FOUND = "id long, h long, ranges binary, grams binary"
+FOUND = "id long, h long, lo int, hi int, grams binary"
 
 
-def _by_row(ids, hs, lo, hi):
-    """Ranges of bytes by document, merged, as columns id, h, ranges."""
+def _rows(ids, hs, lo, hi, grams: list):
+    """A table of merged ranges in order of document and place, one a row, and after them one row for each of grams."""
     import pyarrow as pa
 
     o = np.lexsort((lo, hs, ids))
     ids, hs, lo, hi = ids[o], hs[o], lo[o], hi[o]
-    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1]), [True]])) if len(ids) else np.zeros(1, int)
-    ranges = np.stack([lo, hi], axis=1).astype(np.int32)
-    packed = [ranges[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])]
-    return pa.array(ids[cut[:-1]], pa.int64()), pa.array(hs[cut[:-1]], pa.int64()), pa.array(packed, pa.binary())
+    doc = np.cumsum(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])])) if len(ids) else np.zeros(0, int)
+    reach = np.maximum.accumulate(hi + (doc << 32)) - (doc << 32) if len(ids) else hi  # furthest end so far in the document
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] > reach[:-1])])) if len(ids) else doc
+    last = np.concatenate([new[1:], [len(ids)]])[: len(new)] - 1
+    cols = [pa.array(ids[new], pa.int64()), pa.array(hs[new], pa.int64()), pa.array(lo[new].astype(np.int32)), pa.array(reach[last].astype(np.int32)), pa.nulls(len(new), pa.binary())]
+    more = [pa.nulls(len(grams), c.type) for c in cols[:4]] + [pa.array(grams, pa.binary())]
+    return pa.table({n: pa.concat_arrays([c, m]) for n, c, m in zip(("id", "h", "lo", "hi", "grams"), cols, more)})
 
 
 def _merge(length: int):
@@ -185,8 +188,6 @@ def _merge(length: int):
     positions must be looked at."""
 
     def run(table):
-        import pyarrow as pa
-
         ids, hs = [], []
         for i, h, r in zip(*(table.column(c).to_pylist() for c in ("ids", "hs", "rows"))):
             row = np.frombuffer(r, np.uint16)
@@ -206,12 +207,7 @@ def _merge(length: int):
         g = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         differ = np.minimum.reduceat(least, g) != np.maximum.reduceat(least, g)
         lo, hi = np.maximum(place[later].astype(np.int64) - (length - GRAM), 0), place[later].astype(np.int64) + length
-        a, b, c = _by_row(ids[later], hs[later], lo, hi)
-        n = len(a)
-        return pa.table({
-            "id": pa.concat_arrays([a, pa.nulls(1, pa.int64())]), "h": pa.concat_arrays([b, pa.nulls(1, pa.int64())]),
-            "ranges": pa.concat_arrays([c, pa.nulls(1, pa.binary())]), "grams": pa.array([None] * n + [of[g][differ].tobytes()], pa.binary()),
-        })
+        return _rows(ids[later], hs[later], lo, hi, [of[g][differ].tobytes()])
 
     return run
 
@@ -260,8 +256,6 @@ def _induce(length: int):
     left, width = length - GRAM, 2 * length - GRAM
 
     def run(table):
-        import pyarrow as pa
-
         join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         gram, place = join("grams", np.uint64), join("places", np.int32).astype(np.int64)
         before, after = join("before", np.uint8).astype(np.int64), join("after", np.uint8).astype(np.int64)
@@ -272,36 +266,42 @@ def _induce(length: int):
         cuts = np.flatnonzero(np.concatenate([[True], gram[o][1:] != gram[o][:-1], [True]]))
         found = []
         s = 0
+        top = np.uint64(pow(int(ODD), length - 1, 1 << 64))
         while s < len(cuts) - 1:  # whole gram groups, some tens of thousands of positions at once
             e = max(s + 1, int(np.searchsorted(cuts, cuts[s] + 20_000)))
             e = min(e, len(cuts) - 1)
             rows = o[cuts[s] : cuts[e]]
             s = e
-            sums = np.zeros((len(rows), width + 1), np.uint64)
-            powers = np.cumprod(np.full(width, ODD, np.uint64), dtype=np.uint64)
-            np.cumsum((around[rows].astype(np.uint64) + np.uint64(1)) * powers[None, :], axis=1, out=sums[:, 1:])
+            at = np.ascontiguousarray(around[rows].T)  # byte by byte, so that one hash a row rolls over the offsets
+            salt, hit = mix(gram[rows]), np.zeros((len(rows), left + 3), np.int8)
+            value = np.zeros(len(rows), np.uint64)
+            for c in at[:length]:
+                value = value * ODD + c + np.uint64(1)
             for off in range(left + 1):
-                ok = (off >= left - before[rows]) & (off - left + length <= after[rows])
-                use = rows[ok]
+                if off:
+                    value = (value - (at[off - 1].astype(np.uint64) + np.uint64(1)) * top) * ODD + at[off + length - 1] + np.uint64(1)
+                use = np.flatnonzero((off >= left - before[rows]) & (off - left + length <= after[rows]))
                 if len(use) < 2:
                     continue
-                key = mix((sums[ok, off + length] - sums[ok, off]) ^ mix(gram[use]))
-                order = np.lexsort((ids[use], key))
-                k, d = key[order], ids[use][order]
+                key, doc = mix(value[use] ^ salt[use]), ids[rows[use]]
+                order = np.lexsort((doc, key))
+                k, d = key[order], doc[order]
                 new = np.concatenate([[True], k[1:] != k[:-1]])
                 later = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
-                hit = use[order[later]]
-                if len(hit):
-                    found.append(np.stack([hit, place[hit] - left + off], axis=1))
-        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        a, b, c = _by_row(ids[got[:, 0]], hs[got[:, 0]], got[:, 1], got[:, 1] + length)
-        return pa.table({"id": a, "h": b, "ranges": c, "grams": pa.nulls(len(a), pa.binary())})
+                hit[use[order[later]], off + 1] = 1
+            turn = np.diff(hit, axis=1)
+            who, first = np.nonzero(turn == 1)
+            last = np.nonzero(turn == -1)[1]
+            who = rows[who]
+            found.append(np.stack([who, place[who] - left + first, place[who] - left + last - 1 + length], axis=1))
+        got = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        return _rows(ids[got[:, 0]], hs[got[:, 0]], got[:, 1], got[:, 2], [])
 
     return run
 
 
 def repeated_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, ranges): byte ranges, as packed pairs of 32-bit integers, that an earlier document has."""
+    """(id, h, lo, hi): byte ranges that an earlier document has; a document has one row or many."""
     rows = _keyed(docs, id_col, text_col)
     spark = docs.sparkSession
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -320,7 +320,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     bits = spark.sparkContext.broadcast(bitmap_of(asked, "g", BITS))  # 8 MB
     looked = rows.mapInArrow(_look(buckets, length, bits), LOOK)
     second = stored(looked.groupBy("bucket").applyInArrow(_induce(length), FOUND))
-    return first.where("id is not null").unionByName(second).select("id", "h", "ranges")
+    return first.where("id is not null").unionByName(second).select("id", "h", "lo", "hi")
 
 
 def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -332,9 +332,9 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
-    def cut(text: bytes, packed: list[bytes]):
-        """Union of the ranges, and what is left."""
-        r = np.frombuffer(b"".join(packed), np.int32).reshape(-1, 2).astype(np.int64)
+    def cut(text: bytes, packed: np.ndarray):
+        """Union of the ranges (lo * 2**32 + hi), and what is left."""
+        r = np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
         edge = np.zeros(len(text) + 1, np.int64)
         np.add.at(edge, r[:, 0], 1)
         np.add.at(edge, np.minimum(r[:, 1], len(text)), -1)
@@ -347,7 +347,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         import pyarrow as pa
 
         for b in batches:
-            out = [cut(t, r or []) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            out = [cut(t.as_py(), np.asarray(r.values if r.is_valid else [], np.int64)) for t, r in zip(b.column(1), b.column(2))]
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols[: 4 + with_text]], names=names)
 
@@ -369,7 +369,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
             yield b.filter(pa.array(bits.value.test(b.column(3).to_numpy(zero_copy_only=False))))
 
     keyed = rows.withColumn("key", key)
-    gathered = ranges.groupBy("id", "h").agg(F.collect_list("ranges").alias("ranges"))
+    gathered = ranges.groupBy("id", "h").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("ranges"))
     touched = keyed.mapInArrow(flagged, keyed.schema).join(gathered, ["id", "h"], "left").select("id", "t", "ranges")
     out = keyed.mapInArrow(whole, schema).unionByName(touched.mapInArrow(finish, schema))
     back = F.when(F.col("id") != LAST, F.col("id")).alias(id_col)

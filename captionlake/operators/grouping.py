@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import duplicate_key
+from ..functions.scalars import duplicate_key, ends_sentence
 from ..functions.texts import graphemes, strip
 from .cleaning import clamp_overlaps
 
@@ -108,3 +108,33 @@ def cue_limits(cues: DataFrame) -> DataFrame:
         F.when((took > 0) & (width * 1000 > F.col("chars_per_s") * (took + 1)), "readingSpeedExceeded"),
     ))
     return cues.select("media_id", "ordinal", F.explode(issues).alias("issue"))
+
+
+def split_units(words: DataFrame, gap_ms: int = 800, longest_ms: int = 15_000) -> DataFrame:
+    """(media_id, word_idx, unit_id): units end at a sentence end, before a pause, and after the word with which
+    they last longest_ms. Sentence ends and pauses make islands; only the length is folded, inside an island."""
+    order = Window.partitionBy("media_id").orderBy("word_idx")
+    pause = F.col("start_ms") - F.lag("end_ms").over(order) >= gap_ms
+    parts = F.coalesce(pause | ends_sentence(F.lag("text").over(order)), F.lit(False)).cast("int")
+    islands = words.withColumn("parts", parts).withColumn("island", F.sum("parts").over(order)).groupBy("media_id", "island").agg(
+        F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms"))).alias("ws")
+    )
+    state = F.expr(f"""aggregate(ws, named_struct('s', 0L, 'e', {longest_ms}L, 'first', cast(array() AS array<boolean>)), (a, w) -> named_struct(
+      's', IF(a.e - a.s >= {longest_ms}, w.start_ms, a.s), 'e', w.end_ms, 'first', concat(a.first, array(a.e - a.s >= {longest_ms})))).first""")
+    flat = islands.select("media_id", F.explode(F.arrays_zip("ws.word_idx", state.alias("first"))).alias("x")).select("media_id", F.col("x.word_idx").alias("word_idx"), F.col("x.first").alias("first"))
+    return flat.select("media_id", "word_idx", (F.sum(F.col("first").cast("long")).over(order) - 1).alias("unit_id"))
+
+
+def throttled(updates: DataFrame, least: float = 0.002) -> DataFrame:
+    """Updates of each run to show: the first, the last, and each that is `least` further than the last shown."""
+
+    def fold(part):
+        part, shown, last = part.sort_values("event_id"), [], None
+        for f in part.fraction:
+            shown.append(last is None or f - last >= least)
+            last = f if shown[-1] else last
+        shown[-1] = True
+        return part[shown]
+
+    rows = updates.select("job_id", "run_id", "event_id", "fraction")
+    return rows.groupBy("job_id", "run_id").applyInPandas(fold, rows.schema)

@@ -98,3 +98,14 @@ def framed(chunks: DataFrame, longest: int = 65_536) -> DataFrame:
     lines = whole.select("media_id", F.split(F.regexp_replace("all", r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n").alias("ls"))
     failed = F.exists("ls", lambda x: F.octet_length(x) > longest)
     return lines.select("media_id", failed.alias("failed"), F.posexplode(F.when(failed, F.array(F.lit(None).cast("string"))).otherwise(F.col("ls"))).alias("p", "line"))
+
+
+def three_way(lock: DataFrame, listed: DataFrame, bill: DataFrame) -> DataFrame:
+    """(name, issue) of names that not all three inventories have once and in the same version. One grouping of
+    the union takes the place of two full joins."""
+    sides = {"lock": lock, "listed": listed, "bill": bill}
+    tagged = [rows.select("name", "version", F.lit(s).alias("side")) for s, rows in sides.items()]
+    n = {s: F.count_if(F.col("side") == s).alias(s) for s in sides}
+    counted = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("name").agg(*n.values(), F.min("version").alias("low"), F.max("version").alias("high"))
+    issues = [F.when(F.col(s) == 0, f"missing:{s}") for s in sides] + [F.when(F.col(s) > 1, f"duplicate:{s}") for s in sides] + [F.when(F.col("low") != F.col("high"), "versionMismatch")]
+    return counted.select("name", F.explode(F.array_compact(F.array(*issues))).alias("issue"))

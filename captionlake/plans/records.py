@@ -9,7 +9,7 @@ from ..functions import texts as T
 from ..operators import cleaning, grouping, policy, timeline
 from ..sources import fixtures as fx
 from ..sources import timelines
-from .catalogue import JUDGED, QUERIES, query
+from .catalogue import CUES, JUDGED, query
 
 
 def _docs(spark, d):
@@ -248,4 +248,40 @@ def X15_redact_paths(spark, d):
     return _docs(spark, d).select("doc_id", T.redact_paths(line).alias("shown"))
 
 
-__all__ = ["QUERIES"]
+@query("WITH RECURSIVE " + fx.SQL_WORDS + r""", m AS MATERIALIZED (SELECT media_id, word_idx, start_ms, end_ms, coalesce(start_ms - lag(end_ms) OVER w >= 800 OR regexp_matches(lag(text) OVER w, '[.!?。！？।॥]["''”’»)\]}]*\s*$'), false) AS new
+  FROM words WINDOW w AS (PARTITION BY media_id ORDER BY word_idx)), f AS (SELECT media_id, word_idx, 0::BIGINT AS unit_id, start_ms AS s, end_ms AS e FROM m WHERE word_idx = 0
+  UNION ALL SELECT m.media_id, m.word_idx, f.unit_id + CASE WHEN new OR f.e - f.s >= 15000 THEN 1 ELSE 0 END, CASE WHEN new OR f.e - f.s >= 15000 THEN m.start_ms ELSE f.s END, m.end_ms FROM f JOIN m ON m.media_id = f.media_id AND m.word_idx = f.word_idx + 1)
+SELECT media_id, word_idx, unit_id FROM f""")
+def W5_split_units(spark, d):
+    return grouping.split_units(fx.words(spark, d))
+
+
+@query("""WITH RECURSIVE u AS MATERIALIZED (SELECT user_id AS job_id, event_id // 2500 AS run_id, event_id, (event_id % 500) / 500::DOUBLE AS fraction, row_number() OVER w AS rn, lead(event_id) OVER w IS NULL AS final
+  FROM events WINDOW w AS (PARTITION BY user_id, event_id // 2500 ORDER BY event_id)), f AS (SELECT job_id, run_id, rn, event_id, fraction, fraction AS last, true AS shown FROM u WHERE rn = 1
+  UNION ALL SELECT u.job_id, u.run_id, u.rn, u.event_id, u.fraction, CASE WHEN u.fraction - f.last >= 0.1::DOUBLE THEN u.fraction ELSE f.last END, u.final OR u.fraction - f.last >= 0.1::DOUBLE
+  FROM f JOIN u ON u.job_id = f.job_id AND u.run_id = f.run_id AND u.rn = f.rn + 1)
+SELECT job_id, run_id, event_id, fraction FROM f WHERE shown""")
+def R5_throttle_progress(spark, d):
+    e = F.col("event_id")
+    updates = fx.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.floor(e / 2500).alias("run_id"), e, ((e % 500) / F.lit(500.0)).alias("fraction"))
+    return grouping.throttled(updates, least=0.1)
+
+
+@query("""WITH i AS (SELECT 'n' || doc_id AS name, doc_id % 61 <> 0 AS a, doc_id % 67 <> 0 AS b, doc_id % 71 <> 0 AS c, doc_id % 73 = 0 AS twice, doc_id % 79 = 0 AS other FROM documents)
+SELECT name, 'missing:lock' AS issue FROM i WHERE NOT a AND (b OR c) UNION ALL SELECT name, 'missing:listed' FROM i WHERE NOT b AND (a OR c) UNION ALL SELECT name, 'missing:bill' FROM i WHERE NOT c AND (a OR b)
+UNION ALL SELECT name, 'duplicate:listed' FROM i WHERE b AND twice UNION ALL SELECT name, 'versionMismatch' FROM i WHERE c AND other AND (a OR b)""")
+def J9_reconcile_three_way(spark, d):
+    docs, k = _docs(spark, d), F.col("doc_id")
+    item = lambda rows, version="1": rows.select(F.concat(F.lit("n"), k.cast("string")).alias("name"), F.lit(version).alias("version") if isinstance(version, str) else version.alias("version"))
+    listed = docs.where(k % 67 != 0)
+    bill = item(docs.where(k % 71 != 0), F.when(k % 79 == 0, "2").otherwise("1"))
+    return policy.three_way(item(docs.where(k % 61 != 0)), item(listed.unionByName(listed.where(k % 73 == 0))), bill)
+
+
+@query(CUES + r""", g AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ordinal) AS n FROM cues WHERE trim(text) <> '' AND text = trim(text) AND text NOT LIKE '%' || chr(10) || chr(10) || '%'),
+p AS (SELECT *, lag(CASE WHEN NOT bad THEN e END) OVER (PARTITION BY media_id ORDER BY ordinal) AS le FROM g), q AS (SELECT media_id, n AS ordinal, CASE WHEN cue_index <> n THEN 'number' WHEN bad THEN 'timing' WHEN e <= s THEN 'range' WHEN s < le THEN 'order' END AS fault FROM p)
+SELECT media_id, ordinal, fault FROM q WHERE fault IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY ordinal) = 1""")
+def F5_validate_srt(spark, d):
+    text = F.col("text")
+    c = timeline.cues(fx.segments(spark, d)).where(text.rlike(r"^\S") & text.rlike(r"\S$") & ~text.contains("\n\n"))
+    return timeline.first_fault(timeline.srt_documents(c))

@@ -53,14 +53,12 @@ def match_translations(units: DataFrame, translations: DataFrame) -> DataFrame:
 
 
 def cues(segments: DataFrame) -> DataFrame:
-    """Cues as subtitle files have them: (media_id, cue_index, timing, text)."""
-    lines = F.array(*[F.substring("text", 1 + 40 * k, 40) for k in range(3)])
+    """Cues as subtitle files have them: (media_id, ordinal, cue_index, timing, text). The whole text, in as many
+    lines of 40 characters as it needs."""
+    lines = F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))
     timing = F.concat(srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")))
-    d, i = F.col("media_id"), F.col("seg_idx")
-    return segments.select(
-        "media_id", (i + 1).alias("ordinal"), (i + 1 + F.when((d + i) % 71 == 0, 1).otherwise(0)).alias("cue_index"),
-        F.when((d + i) % 73 == 0, "bad").otherwise(timing).alias("timing"), F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("text"),
-    )
+    n = F.col("seg_idx") + 1
+    return segments.select("media_id", n.alias("ordinal"), n.alias("cue_index"), timing.alias("timing"), F.array_join(lines, "\n").alias("text"))
 
 
 def check_cues(cues: DataFrame) -> DataFrame:

@@ -97,17 +97,17 @@ CUES = "WITH " + fx.SQL_SEGMENTS + f""", cues AS (SELECT media_id, seg_idx + 1 A
 SELECT media_id, ordinal, 'invalidCueNumbering' AS issue FROM p WHERE cue_index <> rn UNION ALL SELECT media_id, ordinal, 'invalidCueTiming' FROM p WHERE NOT good
 UNION ALL SELECT media_id, ordinal, 'overlappingCues' FROM p WHERE good AND s < le UNION ALL SELECT media_id, ordinal, 'emptyCueText' FROM p WHERE trim(text) = ''""")
 def W13_cue_sequence_checks(spark, d):
-    return timeline.check_cues(timeline.cues(fx.segments(spark, d)))
+    return timeline.check_cues(fx.flawed(timeline.cues(fx.segments(spark, d))))
 
 
 @query(CUES + "SELECT media_id, string_agg(cue_index::VARCHAR || chr(10) || timing || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS document FROM cues GROUP BY media_id")
 def S7_write_srt(spark, d):
-    return timeline.srt_documents(timeline.cues(fx.segments(spark, d)))
+    return timeline.srt_documents(fx.flawed(timeline.cues(fx.segments(spark, d))))
 
 
 @query(CUES + "SELECT media_id, cue_index, timing, length(text) AS n_chars FROM cues WHERE trim(text) <> '' AND text = trim(text) AND text NOT LIKE '%' || chr(10) || chr(10) || '%'")
 def S3_read_srt(spark, d):
-    c = timeline.cues(fx.segments(spark, d)).where(F.col("text").rlike(r"^\S") & F.col("text").rlike(r"\S$") & ~F.col("text").contains("\n\n"))
+    c = fx.flawed(timeline.cues(fx.segments(spark, d))).where(F.col("text").rlike(r"^\S") & F.col("text").rlike(r"\S$") & ~F.col("text").contains("\n\n"))
     return timeline.parse_srt(timeline.srt_documents(c)).select("media_id", "cue_index", "timing", F.length("text").cast("long").alias("n_chars"))
 
 

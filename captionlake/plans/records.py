@@ -283,5 +283,5 @@ p AS (SELECT *, lag(CASE WHEN NOT bad THEN e END) OVER (PARTITION BY media_id OR
 SELECT media_id, ordinal, fault FROM q WHERE fault IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY ordinal) = 1""")
 def F5_validate_srt(spark, d):
     text = F.col("text")
-    c = timeline.cues(fx.segments(spark, d)).where(text.rlike(r"^\S") & text.rlike(r"\S$") & ~text.contains("\n\n"))
+    c = fx.flawed(timeline.cues(fx.segments(spark, d))).where(text.rlike(r"^\S") & text.rlike(r"\S$") & ~text.contains("\n\n"))
     return timeline.first_fault(timeline.srt_documents(c))

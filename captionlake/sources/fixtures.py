@@ -33,6 +33,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flawed(cues: DataFrame) -> DataFrame:
+    """Cues with some wrong numbers and timings that don't parse."""
+    k = F.col("media_id") + F.col("ordinal") - 1
+    return cues.withColumns({"cue_index": F.col("cue_index") + F.when(k % 71 == 0, 1).otherwise(0), "timing": F.when(k % 73 == 0, "bad").otherwise(F.col("timing"))})
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units to caption: (media_id, lang, unit_id, text, start_ms, end_ms)."""
     d, i = F.col("media_id"), F.col("i")

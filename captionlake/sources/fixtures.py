@@ -44,7 +44,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = F.col("media_id"), F.col("i")
     start = 3000 * i + (7 * d) % 700
     rows = lines(spark, sf_dir)
-    return rows.select("media_id", "lang", i.alias("unit_id"), F.substring("t", 1, 600).alias("text"), start.alias("start_ms"), (start + 800 + (3 * d + 29 * i) % 2600).alias("end_ms"))
+    return rows.select("media_id", "lang", i.alias("unit_id"), F.col("t").alias("text"), start.alias("start_ms"), (start + 800 + (3 * d + 29 * i) % 2600).alias("end_ms"))
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:

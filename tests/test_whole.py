@@ -11,6 +11,7 @@ PIECES = "list_filter([substring(text, 1, 40), substring(text, 41, 40), substrin
 LINES = (PIECES, "list_transform(range(0, length(text), 40), lambda k: substring(text, k + 1, 40))")
 #: What is replaced in a query's statement, so that it states the whole job.
 CUTS = {"Q1_assess_cues": [LINES], "A4_qa_summary": [LINES], "W13_cue_sequence_checks": [LINES], "S7_write_srt": [LINES]}
+CUTS |= {f.__name__: [("substring(t, 1, 600) AS text", "t AS text")] for f in catalogue.QUERIES.values() if "substring(t, 1, 600)" in catalogue.ORACLE_SQL[f.__name__]}
 
 
 def whole(name):
@@ -41,3 +42,9 @@ def test_long_lines_are_issues(spark):
     cue = [(1, 1, "x" * 43, 0, 5000, 42, 20.0, 0.833), (1, 2, "x" * 42, 0, 5000, 42, 20.0, 0.833)]
     got = grouping.cue_limits(spark.createDataFrame(cue, "media_id long, ordinal long, text string, start_ms long, end_ms long, chars_per_line int, chars_per_s double, least_s double"))
     assert [tuple(r) for r in got.where(F.col("issue") == "lineTooLong").collect()] == [(1, 1, "lineTooLong")]
+
+
+def test_units_over_the_limit_stand_alone(spark):
+    units = [(1, "en", i, "x" * n, 3000 * i, 3000 * i + 2500, "s") for i, n in enumerate((100, 601, 700, 100, 499, 1))]
+    got = grouping.group_units(spark.createDataFrame(units, "media_id long, lang string, unit_id long, text string, start_ms long, end_ms long, speaker string"))
+    assert [r.group_id for r in got.orderBy("unit_id").collect()] == [0, 1, 2, 3, 3, 4]

@@ -185,7 +185,7 @@ def R6_frame_lines(spark, d):
     docs = _docs(spark, d).where("text <> ''").select(F.col("doc_id").alias("media_id"), text.alias("text"))
     starts = F.sequence(F.lit(0), F.ceil(F.length("text") / 500).cast("int") - 1)
     chunks = docs.select("media_id", "text", F.explode(starts).alias("p")).select("media_id", "p", F.substring("text", F.col("p") * 500 + 1, F.lit(500)).alias("chunk"))
-    return policy.framed(chunks, longest=2000)
+    return policy.framed(chunks)
 
 
 EVENTS = """WITH e AS (SELECT event_id, user_id AS job_id, ['check', 'audio', 'speech', 'translate', 'save'][event_id % 5 + 1] AS stage, (event_id % 8) / 8::DOUBLE AS f FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) """
@@ -264,7 +264,7 @@ SELECT job_id, run_id, event_id, fraction FROM f WHERE shown""")
 def R5_throttle_progress(spark, d):
     e = F.col("event_id")
     updates = fx.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.floor(e / 2500).alias("run_id"), e, ((e % 500) / F.lit(500.0)).alias("fraction"))
-    return grouping.throttled(updates, least=0.1)
+    return grouping.throttled(updates)
 
 
 @query("""WITH i AS (SELECT 'n' || doc_id AS name, doc_id % 61 <> 0 AS a, doc_id % 67 <> 0 AS b, doc_id % 71 <> 0 AS c, doc_id % 73 = 0 AS twice, doc_id % 79 = 0 AS other FROM documents)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from captionlake.operators import grouping, timeline
+from captionlake.operators import grouping, policy, timeline
 from captionlake.plans import catalogue
 from test_queries import DATA, duck, rows  # noqa: F401
 
@@ -12,6 +12,7 @@ LINES = (PIECES, "list_transform(range(0, length(text), 40), lambda k: substring
 #: What is replaced in a query's statement, so that it states the whole job.
 CUTS = {"Q1_assess_cues": [LINES], "A4_qa_summary": [LINES], "W13_cue_sequence_checks": [LINES], "S7_write_srt": [LINES]}
 CUTS |= {f.__name__: [("substring(t, 1, 600) AS text", "t AS text")] for f in catalogue.QUERIES.values() if "substring(t, 1, 600)" in catalogue.ORACLE_SQL[f.__name__]}
+CUTS |= {"R6_frame_lines": [("> 2000", "> 65536")], "R5_throttle_progress": [(">= 0.1::DOUBLE", ">= 0.002::DOUBLE")]}
 
 
 def whole(name):
@@ -48,3 +49,16 @@ def test_units_over_the_limit_stand_alone(spark):
     units = [(1, "en", i, "x" * n, 3000 * i, 3000 * i + 2500, "s") for i, n in enumerate((100, 601, 700, 100, 499, 1))]
     got = grouping.group_units(spark.createDataFrame(units, "media_id long, lang string, unit_id long, text string, start_ms long, end_ms long, speaker string"))
     assert [r.group_id for r in got.orderBy("unit_id").collect()] == [0, 1, 2, 3, 3, 4]
+
+
+def test_a_line_over_64_kib_fails_its_source(spark):
+    texts = {1: "a\r\n" + "x" * 65_536 + "\n", 2: "a\n" + "x" * 65_537 + "\nb", 3: "\u00e9" * 32_769}
+    chunks = [(m, p, t[p * 500 : p * 500 + 500]) for m, t in texts.items() for p in range(-(-len(t) // 500))]
+    got = policy.framed(spark.createDataFrame(chunks, "media_id long, p int, chunk string")).orderBy("media_id", "p").collect()
+    assert [(r.media_id, r.failed, r.p, r.line) for r in got] == [(1, False, 0, "a"), (1, False, 1, "x" * 65_536), (2, True, 0, None), (3, True, 0, None)]
+
+
+def test_updates_closer_than_the_limit_are_held_back(spark):
+    updates = [(1, 0, i, f) for i, f in enumerate((0.0, 0.001, 0.0025, 0.004, 0.0055, 0.006))]
+    got = grouping.throttled(spark.createDataFrame(updates, "job_id long, run_id long, event_id long, fraction double"))
+    assert sorted(r.event_id for r in got.collect()) == [0, 2, 4, 5]

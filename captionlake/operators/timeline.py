@@ -95,20 +95,20 @@ def parse_srt(documents: DataFrame) -> DataFrame:
     out = documents.select("media_id", F.posexplode(blocks).alias("p", "b"))
     parts = F.split("b", "\n")
     return out.select(
-        "media_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.get(parts, F.lit(0)).cast("long").alias("cue_index"), F.get(parts, F.lit(1)).alias("timing"),
+        "media_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.get(parts, F.lit(0)).try_cast("long").alias("cue_index"), F.get(parts, F.lit(1)).alias("timing"),
         F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "\n").alias("text"),
     )
 
 
 def first_fault(documents: DataFrame) -> DataFrame:
     """(media_id, ordinal, fault) of the first block of each subtitle document that breaks a rule, by the rules'
-    order: number, timing, range, order (adjacent cues may touch), text."""
+    order: text (none after the timing), number, timing, range, order (adjacent cues may touch)."""
     order = Window.partitionBy("media_id").orderBy("ordinal")
     ends = F.split("timing", " --> ")
     rows = parse_srt(documents).withColumns({"s": srt_ms(F.get(ends, F.lit(0))), "e": srt_ms(F.get(ends, F.lit(1)))}).withColumn("last", F.lag("e").over(order))
     fault = (
-        F.when(F.col("cue_index").isNull() | (F.col("cue_index") != F.col("ordinal")), "number").when(F.col("s").isNull() | F.col("e").isNull(), "timing")
-        .when(F.col("e") <= F.col("s"), "range").when(F.col("s") < F.col("last"), "order").when(F.trim("text") == "", "text")
+        F.when(F.trim("text") == "", "text").when(F.col("cue_index").isNull() | (F.col("cue_index") != F.col("ordinal")), "number").when(F.col("s").isNull() | F.col("e").isNull(), "timing")
+        .when(F.col("e") <= F.col("s"), "range").when(F.col("s") < F.col("last"), "order")
     )
     faults = rows.withColumn("fault", fault).where("fault is not null")
     return faults.groupBy("media_id").agg(F.min(F.struct("ordinal", "fault")).alias("x")).select("media_id", "x.*")

@@ -107,7 +107,7 @@ def S7_write_srt(spark, d):
 
 @query(CUES + "SELECT media_id, cue_index, timing, length(text) AS n_chars FROM cues WHERE trim(text) <> '' AND text = trim(text) AND text NOT LIKE '%' || chr(10) || chr(10) || '%'")
 def S3_read_srt(spark, d):
-    c = fx.flawed(timeline.cues(fx.segments(spark, d))).where(F.col("text").rlike(r"^\S") & F.col("text").rlike(r"\S$") & ~F.col("text").contains("\n\n"))
+    c = fx.flawed(timeline.cues(fx.segments(spark, d)))
     return timeline.parse_srt(timeline.srt_documents(c)).select("media_id", "cue_index", "timing", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -196,7 +196,7 @@ c AS (SELECT media_id, n IS NOT DISTINCT FROM m AS same FROM (SELECT media_id, c
 SELECT y.media_id, unit_id, text AS translated, NULL::VARCHAR AS issue FROM y JOIN x ON y.media_id = x.media_id AND y.place = x.place WHERE y.media_id IN (SELECT media_id FROM c WHERE same)
 UNION ALL SELECT media_id, NULL, NULL, 'translationCountMismatch' FROM c WHERE NOT same""")
 def J3_match_by_position(spark, d):
-    return results.match_by_position(fx.units(spark, d), fx.translations(spark, d).where("media_id % 3 = 0 OR unit_id < 1000000"))
+    return results.match_by_position(fx.units(spark, d), fx.translations(spark, d))
 
 
 @query("WITH " + fx.SQL_UNITS + """, p(lang, w, c) AS (VALUES ('en', 42, 20.0::DOUBLE), ('ru', 42, 17), ('de', 42, 17), ('es', 42, 17), ('it', 42, 17), ('fr', 42, 17), ('ja', 13, 4), ('zh', 16, 9), ('ko', 16, 12), ('hi', 42, 22))

@@ -9,9 +9,10 @@ LONGEST_S, BASE_BYTES, BYTES_PER_S = 12 * 3600, 1 << 30, 32_100
 
 
 def check_language(jobs: DataFrame, selected: str = "lang") -> DataFrame:
-    """jobs with decision: is the detected language sure enough, and is it the selected one?"""
+    """jobs with decision: is the detected language sure enough, and is it the selected one? Without a code or a
+    confidence the detection failed; without a runner-up it isn't sure."""
     sure = (F.col("confidence") >= 80) & (F.col("confidence") - F.col("runner_up") >= 20)
-    return jobs.withColumn("decision", F.when(~sure, "lowConfidence").when(F.col("code") == F.col(selected), "matched").otherwise("mismatch"))
+    return jobs.withColumn("decision", F.when(F.col("code").isNull() | F.col("confidence").isNull(), "failed").when(~F.coalesce(sure, F.lit(False)), "lowConfidence").when(F.col("code") == F.col(selected), "matched").otherwise("mismatch"))
 
 
 def admit_media(media: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ FORBIDDEN_NAMES = (
 KEY_MARKERS = ("-----BEGIN " + "PRIVATE KEY-----", "-----BEGIN OPENSSH " + "PRIVATE KEY-----")
 SECRET_PATTERNS = (("cloudKey", "AK" + "IA[0-9A-Z]{16}"), ("token", "gh" + "[ps]_[A-Za-z0-9]{30,}"), ("fineToken", "github_pat" + "_[A-Za-z0-9_]{30,}"))
 PRIVATE_FOLDERS = ("/Users/", "/home/", "/private/var/folders/")
+PRIVATE_NAMES = ("PROJECT_MEMORY", "_PROJECT_AUDIT", "_PROJECT_RESEARCH", "_PRIVATE_CHATS")
 SCANNED_BYTES = 8 << 20
 
 
@@ -26,7 +27,10 @@ def scan_files(files: DataFrame) -> DataFrame:
 
 
 def scan_private_folders(files: DataFrame) -> DataFrame:
-    found = F.filter(F.array(*[F.when(F.col("text").contains(m), F.lit(m)) for m in PRIVATE_FOLDERS]), lambda x: x.isNotNull())
+    """(path, marker): private folders that a text names, and parts that a file's own name must not have."""
+    name = F.substring_index("path", "/", -1)
+    places = [(F.col("text"), m) for m in PRIVATE_FOLDERS] + [(name, m) for m in PRIVATE_NAMES]
+    found = F.array_compact(F.array(*[F.when(where.contains(m), F.lit(m)) for where, m in places]))
     return files.select("path", F.explode(found).alias("marker"))
 
 

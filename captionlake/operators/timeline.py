@@ -41,13 +41,15 @@ def next_valid_start(units: DataFrame, media_end: str = "media_end_ms") -> DataF
 
 
 def match_translations(units: DataFrame, translations: DataFrame) -> DataFrame:
-    """Issues of each unit's translation: missing, empty, orphan, duplicate; of several the last counts."""
+    """Issues of each unit's translation: missing, empty, orphan, duplicate; of several the last counts. A unit's
+    identifier that others have too, or that is null, is an issue as well."""
     key = ["media_id", "unit_id"]
     last = translations.groupBy(key).agg(F.max_by("text", "ord").alias("translated"), F.count("*").alias("n"))
-    both = units.select(*key, F.lit(True).alias("known")).join(last, key, "full_outer")
+    both = units.groupBy(key).agg(F.count("*").alias("known")).join(last, key, "full_outer")
     issues = F.array_compact(F.array(
-        F.when(F.col("n").isNull(), "missingTranslation"), F.when(F.trim("translated") == "", "emptyTranslation"),
+        F.when(F.col("n").isNull(), "missingTranslation"), F.when(F.col("translated").rlike(r"\A[\s\p{Z}]*\z"), "emptyTranslation"),
         F.when(F.col("known").isNull(), "orphanTranslation"), F.when(F.col("n") > 1, "duplicateTranslation"),
+        F.when((F.col("known") > 1) | (F.col("unit_id").isNull() & F.col("known").isNotNull()), "duplicateUnitIdentifier"),
     ))
     return both.select(*key, F.explode(issues).alias("issue"))
 

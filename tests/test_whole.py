@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from captionlake.operators import grouping, policy, timeline
+from captionlake.operators import grouping, jobs, policy, timeline
 from captionlake.plans import catalogue
 from test_queries import DATA, duck, rows  # noqa: F401
 
@@ -87,3 +87,22 @@ def test_bad_blocks_are_reported(spark):
 def test_every_page_is_checked_for_its_destination(spark, tmp_path):
     spark.range(120).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
     assert catalogue.QUERIES["U2_duplicate_destinations"](spark, str(tmp_path)).count() == 120
+
+
+def test_detections_without_values_never_match(spark):
+    found = [("en", 90, 10), ("fr", 90, 10), ("en", 79, 10), (None, 90, 10), ("en", None, 10), ("en", 90, None), (None, None, None)]
+    got = jobs.check_language(spark.createDataFrame([(i, "en", *f) for i, f in enumerate(found)], "i int, lang string, code string, confidence int, runner_up int"))
+    assert [r.decision for r in got.orderBy("i").collect()] == ["matched", "mismatch", "lowConfidence", "failed", "failed", "lowConfidence", "failed"]
+
+
+def test_repeated_units_and_blank_translations(spark):
+    units = spark.createDataFrame([(1, 0), (1, 0), (1, 0), (1, 1), (1, 2), (1, None)], "media_id long, unit_id long")
+    told = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "\t\r\n\u00a0 "), (1, 2, 0, "a\n")], "media_id long, unit_id long, ord long, text string")
+    got = timeline.match_translations(units, told).collect()
+    assert sorted((str(r.unit_id), r.issue) for r in got) == [("0", "duplicateUnitIdentifier"), ("1", "emptyTranslation"), ("None", "duplicateUnitIdentifier"), ("None", "missingTranslation")]
+
+
+def test_private_names_are_found(spark):
+    files = [("a/PROJECT_MEMORY.md", "x"), ("b_PRIVATE_CHATS/c", "see /home/u"), ("d_PROJECT_AUDIT", "in /Users/u")]
+    got = policy.scan_private_folders(spark.createDataFrame(files, "path string, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [("a/PROJECT_MEMORY.md", "PROJECT_MEMORY"), ("b_PRIVATE_CHATS/c", "/home/"), ("d_PROJECT_AUDIT", "/Users/"), ("d_PROJECT_AUDIT", "_PROJECT_AUDIT")]

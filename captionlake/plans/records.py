@@ -213,8 +213,9 @@ def R1_progress_stream(spark, d):
 
 @query("WITH " + fx.SQL_SEGMENTS + " SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1 AS place, seg_idx::VARCHAR AS id, start_ms, end_ms, text FROM segments")
 def S1_S8_timelines(spark, d):
-    documents = timelines.build_timelines(fx.segments(spark, d), fx.units(spark, d))
-    return timelines.read_timelines(documents.where("not too_large"), "segments")
+    documents = timelines.build_timelines(fx.segments(spark, d), fx.units(spark, d)).where("not too_large")
+    kinds = [timelines.read_timelines(documents, kind).withColumn("kind", F.lit(kind)) for kind in ("segments", "semantic_units")]
+    return kinds[0].unionByName(kinds[1])
 
 
 @query("WITH " + fx.SQL_TRANSLATIONS + " SELECT media_id, unit_id, text FROM tr")
@@ -244,8 +245,10 @@ def X8_normalize_caption(spark, d):
 @query(r"""WITH c AS (SELECT doc_id, 'read "/m/a b.wav" and /tmp/x' || doc_id || ' then (/home/u) or a/b' AS t FROM documents)
 SELECT doc_id, 'read <private-path> and <private-path> then (<private-path>) or a/b' AS shown FROM c""")
 def X15_redact_paths(spark, d):
-    line = F.concat(F.lit('read "/m/a b.wav" and /tmp/x'), F.col("doc_id").cast("string"), F.lit(" then (/home/u) or a/b"))
-    return _docs(spark, d).select("doc_id", T.redact_paths(line).alias("shown"))
+    k = F.col("doc_id")
+    home = F.when(k % 89 == 0, F.concat(F.lit(" /home/u"), k.cast("string"), F.lit("/a.wav"))).otherwise("")
+    quoted = F.when(k % 83 == 0, F.concat(F.lit(' "/m/a b'), k.cast("string"), F.lit('.wav"'))).otherwise("")
+    return _docs(spark, d).select("doc_id", T.redact_paths(F.concat("text", home, quoted)).alias("shown"))
 
 
 @query("WITH RECURSIVE " + fx.SQL_WORDS + r""", m AS MATERIALIZED (SELECT media_id, word_idx, start_ms, end_ms, coalesce(start_ms - lag(end_ms) OVER w >= 800 OR regexp_matches(lag(text) OVER w, '[.!?。！？।॥]["''”’»)\]}]*\s*$'), false) AS new

@@ -3,34 +3,42 @@
 Every language has a probability for each piece of a fixed public vocabulary. The probability of a word is the
 sum, over all ways to cut it into pieces, of the product of the pieces' probabilities; a forward pass over the
 word's characters gives that sum without listing the cuts. A text's score for a language is the sum of its
-words' log probabilities, and the languages' scores become a posterior.
+words' log probabilities and the language's log share of the training rows; the score of the answer is its
+posterior.
 
-Fitting: at most `per_language` documents of each language (the smallest hashes of their ids, each of at most
-`max_bytes`) are read as whole texts; piece probabilities are re-estimated from expected counts (forward and
-backward) for a few rounds. This bounded sample is a documented parameter; scoring reads every row whole.
+Words of one length go through the forward pass together, as numpy arrays over words and languages: the
+vocabulary is a trie whose steps are looked up for all of them at once. Each distinct word is scored once a task,
+as long as the cache's bound allows, and a text gathers the figures of its words.
 
-Nulls: a null text, or one without a letter, gives `und` and score 0. Rows with a null language or id don't
-train. Without any training row every text is `und`. A word is a run of letters; a run over 40 letters is cut
-every 40. Extra columns are carried by `identify`; columns it adds replace ones of the same name.
+Fitting: at most `per_language` documents of each language, whole texts in the order of a hash, until they have
+`max_bytes` of a language's text; piece probabilities are re-estimated from expected counts (forward and backward)
+for a few rounds. This bounded sample is a documented parameter; scoring reads every row whole.
+
+Nulls: a null text, or one without a letter, gives `und` and score 0. Rows with a null language or text don't
+train. Without any training row every text is `und`. A word is a run of letters of any length. Repeated rows give
+the same answer; of languages with equal scores the last in order is taken. Extra columns are carried by
+`identify`; columns it adds replace ones of the same name.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import without
+from .textops import chunks, mix, values
 
-WORD = re.compile(r"[^\W\d_]{1,40}")
 MARK = "▁"
 UNSEEN = 1e-7  # probability of a character outside the vocabulary
-EVIDENCE = 24  # words whose evidence is taken as independent
+FLOOR = 2e-8  # and of a piece that a language was not seen with, besides its own
+LONG = 64  # words over this length are passed alone, one character after another
+TINY = 1e-120
+CHUNK = 2_000_000  # bytes of text turned into arrays at once
 
 
 def vocabulary(path: str) -> list[str]:
@@ -42,146 +50,274 @@ def vocabulary(path: str) -> list[str]:
     return [m.id_to_piece(i) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
 
 
+def points(text: str) -> np.ndarray:
+    """The characters of a text as numbers."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Trie:
+    """The vocabulary as a trie in an open hash table, so that steps are taken for whole arrays of words."""
+
+    def __init__(self, pieces: list[str]):
+        nodes: dict[str, int] = {"": 0}
+        steps: dict[tuple[int, int], int] = {}
+        piece = [-1]
+        for i, p in enumerate(pieces):
+            at = 0
+            for k, c in enumerate(p):
+                to = nodes.get(p[: k + 1])
+                if to is None:
+                    to = nodes[p[: k + 1]] = len(nodes)
+                    piece.append(-1)
+                    steps[at, ord(c)] = to
+                at = to
+            if p:
+                piece[at] = i
+        self.piece = np.array(piece, np.int32)
+        self.longest = max(map(len, pieces), default=1)
+        size = 1 << max(8, (4 * len(steps)).bit_length())
+        self.mask = np.int64(size - 1)
+        self.keys, self.to = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+        keys = np.array([(a << 21) | c for a, c in steps], np.int64)
+        for key, to, h in zip(keys.tolist(), steps.values(), self._home(keys).tolist()):
+            while self.keys[h] >= 0:
+                h = (h + 1) & int(self.mask)
+            self.keys[h], self.to[h] = key, to
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return mix(keys.view(np.uint64)).view(np.int64) & self.mask
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The node reached from each node by a character, or -1."""
+        keys = (nodes.astype(np.int64) << np.int64(21)) | chars
+        h = self._home(keys)
+        got = self.keys[h]
+        out = np.where(got == keys, self.to[h], -1)
+        rest = np.flatnonzero((got != keys) & (got >= 0))
+        while len(rest):
+            h[rest] = (h[rest] + 1) & self.mask
+            got = self.keys[h[rest]]
+            hit = got == keys[rest]
+            out[rest[hit]] = self.to[h[rest[hit]]]
+            rest = rest[~hit & (got >= 0)]
+        return out
+
+    def edges(self, words: np.ndarray):
+        """(from, to, rows, pieces) of every piece in words of one length, in the order of from; piece -1 is a
+        character that is no piece."""
+        n_words, n = words.shape
+        every = np.arange(n_words)
+        for i in range(n):
+            rows, nodes = every, np.zeros(n_words, np.int64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                nodes = self.step(nodes, words[rows, j - 1])
+                live = nodes >= 0
+                if j == i + 1:
+                    single = np.full(n_words, -1, np.int32)
+                    single[live] = self.piece[nodes[live]]
+                    yield i, j, every, single
+                rows, nodes = rows[live], nodes[live]
+                if not len(rows):
+                    break
+                if j > i + 1:
+                    pieces = self.piece[nodes]
+                    full = pieces >= 0
+                    if full.any():
+                        yield i, j, rows[full], pieces[full]
+
+
+def forward(edges, n: int, n_words: int, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums (place, word, language) and the log of what each word's row was scaled by. probs has a row for each
+    piece, and a last one for characters that are none."""
+    alpha = np.zeros((n + 1, n_words, probs.shape[1]))
+    alpha[0] = 1
+    shift = np.zeros(n_words)
+    at = 0
+    for i, j, rows, pieces in edges:
+        if i != at and i % 8 == 0:  # keep long words inside the range of doubles
+            small = np.flatnonzero(alpha[i].max(axis=1) < TINY)
+            if len(small):
+                alpha[i:, small] /= TINY
+                shift[small] += math.log(TINY)
+        at = i
+        if len(rows) == n_words:
+            alpha[j] += alpha[i] * probs[pieces]
+        else:
+            alpha[j, rows] += alpha[i, rows] * probs[pieces]
+    return alpha, shift
+
+
 class Model:
-    """langs, and for each piece a tuple of probabilities by language."""
+    """Languages, pieces, their probabilities by language (a row a piece) and the languages' log shares."""
 
-    MOST = 300_000
+    MOST = 300_000  # words in the cache, some 60 MB
 
-    def __init__(self, langs: list[str], table: dict[str, tuple[float, ...]], priors: list[float]):
-        self.langs, self.table, self.priors = langs, table, priors
-        self.starts = {p[:i] for p in table for i in range(1, len(p) + 1)}
-        self.memo: dict[str, tuple[float, ...]] = {}
+    def __init__(self, langs: list[str], pieces: list[str], probs: np.ndarray, priors: list[float]):
+        self.langs, self.pieces, self.priors = langs, pieces, priors
+        self.probs = np.vstack([probs, np.full((1, len(langs)), UNSEEN)])
+        self.trie = Trie(pieces)
+        self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.forget()
 
     def __getstate__(self):
-        return self.langs, self.table, self.priors
+        return self.langs, self.pieces, self.probs[:-1], self.priors
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def word(self, word: str) -> tuple[float, ...]:
-        """Log probability of a word by language: the forward algorithm over its characters."""
-        s = MARK + word
-        n, k = len(s), len(self.langs)
-        alpha = [[0.0] * k for _ in range(n + 1)]
-        alpha[0] = [1.0] * k
+    def forget(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.known = np.zeros((0, len(self.langs)))
+
+    def words(self, words: np.ndarray) -> np.ndarray:
+        """Log probability, by language, of words of one length (characters as numbers, a row a word)."""
+        s = np.concatenate([np.full((len(words), 1), ord(MARK), words.dtype), words], axis=1)
+        alpha, shift = forward(self.trie.edges(s), s.shape[1], len(s), self.probs)
+        return np.log(np.maximum(alpha[-1], 1e-300)) + shift[:, None]
+
+    def long_word(self, word: str) -> np.ndarray:
+        """The same of one word, keeping only the sums that later characters need."""
+        s, longest = MARK + word, self.trie.longest
+        number = {p: i for i, p in enumerate(self.pieces)}
+        starts = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
+        ahead = [np.zeros(len(self.langs)) for _ in range(longest + 1)]
+        ahead[0] += 1
         shift = 0.0
-        table, starts = self.table, self.starts
-        for i in range(n):
-            here = alpha[i]
-            j = i + 1
-            first = s[i:j]
-            while first in starts:
-                p = table.get(first)
-                if p is not None:
-                    to = alpha[j]
-                    for x in range(k):
-                        to[x] += here[x] * p[x]
-                j += 1
-                if j > n:
+        for i in range(len(s)):
+            here = ahead[0]
+            for k in range(1, min(longest, len(s) - i) + 1):
+                part = s[i : i + k]
+                if k == 1 or part in number:
+                    ahead[k] = ahead[k] + here * self.probs[number.get(part, -1)]
+                if part not in starts:
                     break
-                first = s[i:j]
-            if s[i] not in table:
-                to = alpha[i + 1]
-                for x in range(k):
-                    to[x] += here[x] * UNSEEN
-            if max(alpha[i + 1]) < 1e-150:  # keep long words inside the range of doubles
-                for row in alpha[i + 1 :]:
-                    for x in range(k):
-                        row[x] *= 1e150
-                shift -= 150 * math.log(10)
-        return tuple(math.log(max(v, 1e-300)) + shift for v in alpha[n])
-
-    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out = []
-        memo = self.memo
-        for t in texts:
-            words = WORD.findall(t.lower()) if t else []
-            if not words or not self.langs:
-                out.append(("und", 0.0))
+            ahead = [*ahead[1:], np.zeros(len(self.langs))]
+            if ahead[0].max() < TINY:
+                ahead = [a / TINY for a in ahead]
+                shift += math.log(TINY)
+        return np.log(np.maximum(ahead[0], 1e-300)) + shift
+
+    def learn(self, new: list[bytes]) -> None:
+        """Score words that the cache lacks, those of one length together."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) // 4
+        order = np.argsort(sizes, kind="stable")
+        got = np.zeros((len(new), len(self.langs)))
+        for size in np.unique(sizes).tolist():
+            rows = order[np.searchsorted(sizes[order], size) : np.searchsorted(sizes[order], size, side="right")]
+            if size > LONG:
+                for r in rows:
+                    got[r] = self.long_word(new[r].decode("utf-32-le", "surrogatepass"))
                 continue
-            if len(memo) > self.MOST:
-                memo.clear()
-            total = [0.0] * len(self.langs)
-            for w, n in Counter(words).items():
-                lp = memo.get(w)
-                if lp is None:
-                    lp = memo[w] = self.word(w)
-                for x, v in enumerate(lp):
-                    total[x] += n * v
-            scale = min(1.0, EVIDENCE / len(words))
-            z = [v * scale + p for v, p in zip(total, self.priors)]
-            top = max(z)
-            share = [math.exp(v - top) for v in z]
-            best = max(range(len(z)), key=lambda x: (z[x], self.langs[x]))
-            out.append((self.langs[best], share[best] / sum(share)))
-        return out
+            flat = np.frombuffer(b"".join([new[r] for r in rows]), np.uint32).reshape(-1, size)
+            for at in range(0, len(rows), 4000):
+                got[rows[at : at + 4000]] = self.words(flat[at : at + 4000])
+        self.slot.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.known = np.concatenate([self.known, got])
 
+    def scores(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its posterior."""
+        import pyarrow as pa
 
-def _expected(words: Counter, probs: dict[str, float]) -> Counter:
-    """Expected piece counts of a language's words under probs (forward and backward passes)."""
-    out: Counter = Counter()
-    longest = max(map(len, probs), default=1)
-    for w, count in words.items():
-        s = MARK + w
-        n = len(s)
-        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        edges = []
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = probs.get(s[i:j])
-                if p:
-                    edges.append((i, j, p))
-                    alpha[j] += alpha[i] * p
-            if s[i] not in probs:
-                edges.append((i, i + 1, UNSEEN))
-                alpha[i + 1] += alpha[i] * UNSEEN
-        for i, j, p in reversed(edges):
-            beta[i] += p * beta[j]
-        if alpha[n] > 1e-280:
-            for i, j, p in edges:
-                out[s[i:j]] += count * alpha[i] * p * beta[j] / alpha[n]
+        if not self.langs or not texts:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        low = [t.lower() for t in texts]
+        codes = points("\n".join(low) + "\n")
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in low), np.int64, len(low)))
+        inside = self.letter[codes]
+        edge = np.diff(inside.astype(np.int8), prepend=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        offsets = np.zeros(len(first) + 1, np.int64)
+        np.cumsum((last - first) * 4, out=offsets[1:])
+        words = pa.Array.from_buffers(
+            pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(codes[inside])]
+        ).dictionary_encode()
+        names = values(words.dictionary)
+        new = [w for w in names if w not in self.slot]
+        if len(self.slot) + len(new) > self.MOST:
+            self.forget()
+            new = names
+        self.learn(new)
+        rows = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+        per = self.known[rows][words.indices.to_numpy()]
+        cut = np.searchsorted(first, ends)
+        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(per, axis=0)])[np.concatenate([[0], cut])]
+        z = np.diff(total, axis=0) + np.array(self.priors)
+        best = len(self.langs) - 1 - np.argmax(z[:, ::-1], axis=1)
+        share = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
+        empty = np.diff(cut, prepend=0) == 0
+        return [("und" if e else self.langs[b]) for e, b in zip(empty, best)], np.where(empty, 0.0, share)
+
+
+def split(text: str) -> list[str]:
+    """Words of a text as scoring finds them."""
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split(" ")
+
+
+def _expected(words: Counter, trie: Trie, probs: np.ndarray) -> np.ndarray:
+    """Expected piece counts of a language's words under probs (forward and backward passes). Words over LONG letters
+    are left out of the estimate."""
+    out = np.zeros(len(probs))
+    by_size: dict[int, list[str]] = {}
+    for w in words:
+        if 0 < len(w) <= LONG:
+            by_size.setdefault(len(w), []).append(w)
+    for size, group in sorted(by_size.items()):
+        for at in range(0, len(group), 4000):
+            part = group[at : at + 4000]
+            s = np.concatenate([np.full((len(part), 1), ord(MARK), np.uint32), points("".join(part)).reshape(-1, size)], axis=1)
+            count = np.array([words[w] for w in part], float)
+            edges = list(trie.edges(s))
+            alpha, _ = forward(edges, size + 1, len(s), probs[:, None])
+            alpha = alpha[:, :, 0]
+            beta = np.zeros_like(alpha)
+            beta[-1] = 1
+            sure = alpha[-1] > 1e-280
+            weight = np.where(sure, count / np.where(sure, alpha[-1], 1), 0)
+            for i, j, rows, pieces in reversed(edges):
+                beta[i, rows] += probs[pieces] * beta[j, rows]
+            for i, j, rows, pieces in edges:
+                out += np.bincount(pieces % len(probs), weight[rows] * alpha[i, rows] * probs[pieces] * beta[j, rows], len(probs))
     return out
 
 
 def fit(
     docs: DataFrame, vocab: str, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 300, max_bytes: int = 20_000, rounds: int = 3,
+    per_language: int = 300, max_bytes: int = 3_000_000, rounds: int = 3,
 ) -> Model:
-    """Fit on rows where train holds. The driver gets at most per_language texts of max_bytes a language."""
-    fit_rows = docs.where(
-        train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-        & (F.octet_length(text_col) <= max_bytes)
-    )
-    counts = {r[0]: r[1] for r in fit_rows.groupBy(lang_col).count().collect()}
+    """Fit on rows where train holds. The driver gets at most per_language texts and max_bytes of text a language."""
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("g"), F.col(text_col).alias("t"), F.col(id_col).cast("string").alias("i"))
+    counts = {r[0]: r[1] for r in rows.groupBy("g").count().collect()}
     langs = sorted(counts)
-    table = {p: i for i, p in enumerate(vocabulary(vocab))}
     if not langs:
-        return Model([], {}, [])
-    share = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 20)) / F.lit(1 << 20)
+        return Model([], [], np.zeros((0, 0)), [])
+    key = F.xxhash64(F.lit(11), F.coalesce("i", F.lit("")), "t")
+    share = F.pmod(key, F.lit(1 << 20)) / F.lit(1 << 20)
     keep = F.lit(False)
-    for g in langs:
-        keep = keep | ((F.col(lang_col) == F.lit(g)) & (share < min(1.0, 1.3 * per_language / counts[g])))
-    sample = fit_rows.where(keep).select(lang_col, text_col, share.alias("h")).limit(2 * per_language * len(langs)).collect()
+    for g in langs:  # some more than wanted, so that only few rows are ranked
+        keep = keep | ((F.col("g") == F.lit(g)) & (share < min(1.0, (3 * per_language + 100) / counts[g])))
+    by_hash = Window.partitionBy("g").orderBy("h", "i", "n")
+    sizes = rows.where(keep).select("g", key.alias("h"), "i", F.octet_length("t").alias("n"), "t")
+    sizes = sizes.where(F.col("n") <= max_bytes).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language)
+    sizes = sizes.withColumn("sum", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    sample = sizes.where(F.col("sum") <= max_bytes).select("g", "t").collect()
     words: dict[str, Counter] = {g: Counter() for g in langs}
-    used: Counter = Counter()
-    for lang, text, _ in sorted(sample, key=lambda r: (r[2], r[0], r[1])):
-        if used[lang] < per_language:
-            used[lang] += 1
-            words[lang].update(WORD.findall(text.lower()))
+    for lang, text in sample:
+        words[lang].update(split(text))
+    pieces = vocabulary(vocab)
+    trie = Trie(pieces)
     columns = []
     for g in langs:
-        probs = {p: 1.0 / (1 + 4 ** len(p)) for p in table}
+        probs = np.array([*(1.0 / (1 + 4 ** len(p)) for p in pieces), UNSEEN])
         for _ in range(rounds):
-            counted = _expected(words[g], probs)
-            total = sum(counted.values()) or 1.0
-            probs = {p: c / total for p, c in counted.items() if p in table and c / total > 1e-9}
-        columns.append(probs)
-    seen = set().union(*columns)
-    floor = 2e-8
-    pieces = {p: tuple(c.get(p, 0.0) + floor for c in columns) for p in seen}
-    pieces |= {p: (floor,) * len(langs) for p in table if len(p) == 1 and p not in seen}
+            counted = _expected(words[g], trie, probs)
+            total = counted.sum() or 1.0
+            probs = np.append(np.where(counted[:-1] / total > 1e-9, counted[:-1] / total, 0), UNSEEN)
+        columns.append(probs[:-1])
+    table = np.stack(columns, axis=1) + FLOOR
+    seen = [i for i, p in enumerate(pieces) if len(p) == 1 or table[i].max() > FLOOR]
     n = sum(counts.values())
-    return Model(langs, pieces, [math.log((counts[g] + 1) / (n + len(langs))) for g in langs])
+    return Model(langs, [pieces[i] for i in seen], table[seen], [math.log((counts[g] + 1) / (n + len(langs))) for g in langs])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -195,12 +331,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
-            got = []
-            for i in range(0, b.num_rows, 200):
-                got += m.scores(b.column(at).slice(i, 200).to_pylist())
-            lang, score = pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, lang, score], names=[*b.schema.names, "lang_pred", "score"])
+        for b in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            langs, scores = [], [np.zeros(0)]
+            for lo, hi in chunks(texts, CHUNK):
+                names, got = m.scores(texts[lo:hi])
+                langs += names
+                scores.append(got)
+            cols = [*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "lang_pred", "score"])
+        m.forget()
 
     schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)

@@ -59,6 +59,15 @@ def chunks(texts: list, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def values(strings) -> list[bytes]:
+    """The items of an Arrow binary array without nulls, cut from one copy of its bytes."""
+    _, offsets, data = strings.buffers()
+    kind = np.int64 if str(strings.type).startswith("large") else np.int32
+    at = np.frombuffer(offsets, kind)[strings.offset : strings.offset + len(strings) + 1].tolist() if len(strings) else [0]
+    raw = data.slice(at[0], at[-1] - at[0]).to_pybytes() if data is not None else b""
+    return [raw[a - at[0] : b - at[0]] for a, b in zip(at, at[1:])]
+
+
 def word_spans(is_word: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text index of maximal runs of word bytes. is_word must be False at the byte
     before each text after the first, so texts are joined by a separator."""

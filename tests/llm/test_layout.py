@@ -1,5 +1,6 @@
 """Operators 1, 4 and 5 against the libraries and their own laws."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -40,6 +41,19 @@ def test_packing_holds_every_token_once(spark, docs):
         assert seq.offset.tolist() == [0, *ends[:-1]] and ends[-1] <= 64
 
 
+@pytest.mark.parametrize("name,splits", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_equals_the_library(name, splits):
+    enc, rng = packing.Encoder(P.path(name)), random.Random(1)
+    assert enc.splits == splits
+    odd = ["it's don't we're they've i'm i'll he'd 'twas 's's x''s .'s 1's '", "x×y ×÷ ÀÉÎ", "<|endoftext|>'s <|ENDOFTEXT|>", "''re", "'R'E'LL 'Ll", "é É ́", "² ½ ª"]
+    odd += [t or "" for t in ODD] + ["".join(rng.choices("'srtvelmd A1,.É é×’́<|\u00a0", k=rng.randint(0, 30))) for _ in range(2000)]
+    for _ in range(2):
+        ids, ends = enc.encode([t.encode() for t in odd])
+        for t, s, e in zip(odd, [0, *ends[:-1]], ends):
+            assert ids[s:e].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert [len(x) for x in enc.encode([])] == [0, 0] and enc.encode([b"", b""])[1].tolist() == [0, 0]
+
+
 def test_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(3)
     for _ in range(60):

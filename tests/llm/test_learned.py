@@ -29,14 +29,50 @@ def test_language_held_out(spark, odd):
     got = lang_id.identify(odd, model).collect()
     assert len(got) == len(ODD) + 2
     assert all((r.lang_pred == "und") == (not r.text or not re.search(r"[^\W\d_]", r.text)) for r in got)
+    assert lang_id.identify(odd.limit(0), model).count() == 0
     none = lang_id.fit(docs.limit(0), P.path("piece_bpe_32k.model"), F.lit(True))
     assert {r.lang_pred for r in lang_id.identify(odd, none).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
-    table = {"▁": (0.1,), "▁a": (0.2,), "a": (0.3,), "b": (0.1,), "ab": (0.05,), "▁ab": (0.02,)}
-    want = 0.02 + 0.1 * 0.05 + 0.2 * 0.1 + 0.1 * 0.3 * 0.1
-    assert np.isclose(np.exp(lang_id.Model(["x"], table, [0.0]).word("ab")[0]), want)
+def cuts(s, table):
+    """Sum over all segmentations of s, by trying each."""
+    if not s:
+        return 1.0
+    total = 0.0 if s[0] in table else lang_id.UNSEEN * cuts(s[1:], table)
+    return total + sum(table[s[:k]] * cuts(s[k:], table) for k in range(1, len(s) + 1) if s[:k] in table)
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    rng = np.random.default_rng(2)
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "aba", "bb", "é", "日本"]
+    probs = rng.random((len(pieces), 2)) / 9
+    model = lang_id.Model(["x", "y"], pieces, probs, [0.0, -1.0])
+    tables = [dict(zip(pieces, probs[:, k])) for k in (0, 1)]
+    words = ["".join(rng.choice(list("abé日本q"), int(rng.integers(1, 9)))) for _ in range(200)]
+    want = {w: np.log([cuts("▁" + w, t) for t in tables]) for w in words}
+    for w in words:
+        assert np.allclose(model.words(lang_id.points(w).reshape(1, -1))[0], want[w]) and np.allclose(model.long_word(w), want[w])
+    long = "".join(words)
+    assert np.allclose(model.words(lang_id.points(long).reshape(1, -1))[0], model.long_word(long))
+    # texts: sums over words, posterior of the best; words over LONG letters by the other way
+    for limit in (64, 3):
+        monkeypatch.setattr(lang_id, "LONG", limit)
+        model.forget()
+        for text in (words[0], " ".join(words[:9]) + "1" + words[0], words[1].upper() + "-" + words[2] + "_" + words[3]):
+            z = np.sum([want[w] for w in lang_id.split(text) if w], axis=0) + [0.0, -1.0]
+            (lang,), (score,) = model.scores([text])
+            assert lang == "xy"[int(z[1] >= z[0])] and np.isclose(score, 1 / np.exp(z - z.max()).sum())
+
+
+def test_expected_counts_equal_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab"]
+    probs = np.array([0.1, 0.2, 0.3, 0.1, 0.05, 0.02, lang_id.UNSEEN])
+    p = dict(zip(pieces, probs))
+    ways = [("▁ab",), ("▁a", "b"), ("▁", "ab"), ("▁", "a", "b")]
+    share = np.array([np.prod([p[x] for x in w]) for w in ways])
+    share /= share.sum()
+    want = [3 * sum(s * w.count(x) for w, s in zip(ways, share)) for x in pieces]
+    assert np.allclose(lang_id._expected({"ab": 3}, lang_id.Trie(pieces), probs)[:-1], want)
 
 
 def test_quality_held_out(spark, odd):

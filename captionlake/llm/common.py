@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import inspect
 import uuid
 
 import numpy as np
@@ -11,14 +13,44 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors must share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="captionlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f):
+    """A task function (of batches, or of a group's table) that hands memory back when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            yield from f(batches)
+            _give_back()
+    else:
+
+        @functools.wraps(f)
+        def run(table):
+            out = f(table)
+            if table.nbytes > 4_000_000:
+                _give_back()
+            return out
+
+    return run
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared scratch folder and read it back."""
     path = scratch_dir(df.sparkSession)
@@ -26,6 +58,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have 1000 rows, where the session leaves that setting alone: texts can be long, and a batch is
+    held by the executor and by its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many underscores after it as keep it apart from all columns, whatever their case."""
+    low = {c.lower() for c in columns}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns that clash, whatever their case, with columns about to be added."""
     low = {n.lower() for n in names}
@@ -47,6 +95,15 @@ class Bitmap:
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+MOST_BITS = 28  # log2: 32 MB
+
+
+def bits_for(n: int) -> int:
+    """log2 of the bits that a Bitmap of n keys should have: 16 a key, as far as MOST_BITS allows. Past that bound false
+    positives grow, and with them what the exact join after the bitmap has to move; results stay the same."""
+    return min(MOST_BITS, max(16, (16 * n).bit_length()))
+
+
 def bitmap_of(df: DataFrame, key, log2: int = 23) -> Bitmap:
     """Build a Bitmap from a long column (use a hash: only the low log2 bits count). What reaches the
     driver is 2**log2 / 8 bytes at most."""
@@ -64,24 +121,31 @@ def bitmap_of(df: DataFrame, key, log2: int = 23) -> Bitmap:
     return Bitmap(bits, log2)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ids. Texts of rows outside a bitmap of ids aren't shuffled."""
-    key = F.xxhash64(F.col(id_col))
+def drop_rows(docs: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
+    """docs without the rows whose keys are in gone. keys: columns of docs by the name that gone has for them; nulls
+    equal nulls. Texts of rows outside a bitmap of the keys aren't shuffled."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bitmap_of(ids, key))
+    gone = gone.select(*keys).distinct()
+    hashed = F.xxhash64(*[F.coalesce(F.hash(k), F.lit(0)) for k in keys], *keys)
+    bits = spark.sparkContext.broadcast(bitmap_of(gone, hashed, bits_for(gone.count())))
     schema = docs.schema
+    names = {k: fresh(f"key_{k}", docs.columns) for k in keys}
+    keyed = docs.withColumns({names[k]: c for k, c in keys.items()})
+    last = fresh("key_hash", keyed.columns)
+    keyed = keyed.withColumn(last, F.xxhash64(*[F.coalesce(F.hash(names[k]), F.lit(0)) for k in keys], *names.values()))
 
     def mark(hit: bool):
+        @lean
         def f(batches):
             import pyarrow as pa
 
             for b in batches:
                 m = bits.value.test(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)) == hit
-                yield b.filter(pa.array(m)).select(range(b.num_columns - 1))
+                yield b.filter(pa.array(m)).select(range(b.num_columns - (1 + len(names)) * (not hit)))
 
         return f
 
-    keyed = docs.withColumn("__key", key)
     sure = keyed.mapInArrow(mark(False), schema)
-    unsure = keyed.mapInArrow(mark(True), schema).join(ids.select(id_col).distinct(), id_col, "left_anti")
-    return sure.unionByName(unsure.select(*docs.columns))
+    unsure = keyed.mapInArrow(mark(True), keyed.schema)
+    same = [unsure[names[k]].eqNullSafe(gone[k]) for k in keys]
+    return sure.unionByName(unsure.join(gone, same, "left_anti").select(*docs.columns))

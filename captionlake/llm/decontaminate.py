@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, small_batches, stored
 from .textops import chunks
 
 FOLD = bytes(
@@ -87,6 +87,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col:
     """Segments of the index of docs over the given terms, one row each."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -127,6 +128,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col:
 def _frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
     """Documents by term, over all segments; one row of counts per partition reaches the next step."""
 
+    @lean
     def add(batches):
         import pyarrow as pa
 
@@ -146,6 +148,7 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
     """(id, h, n_words, items, spans) for every document row; spans are merged word ranges."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -203,6 +206,7 @@ def matches(
     item_col: str = "item_id", item_text: str = "text", block_bytes: int = 16_000_000,
 ) -> DataFrame:
     """(id, h, n_words, items, spans) of each document row; h hashes its text."""
+    small_batches(docs.sparkSession)
     if not 0 <= slop < GAP:
         raise ValueError(f"slop must be from 0 to {GAP - 1}")
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import without
+from .common import lean, small_batches, without
 from .textops import chunks, mix, values
 
 MARK = "▁"
@@ -320,13 +320,15 @@ def fit(
     return Model(langs, [pieces[i] for i in seen], table[seen], [math.log((counts[g] + 1) / (n + len(langs))) for g in langs])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with lang_col and score_col."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most the vocabulary's size
-    rows = without(docs, "lang_pred", "score")
+    rows = without(docs, lang_col, score_col)
     at = rows.columns.index(text_col)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -339,8 +341,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 langs += names
                 scores.append(got)
             cols = [*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, lang_col, score_col])
         m.forget()
 
-    schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(rows.schema.fields)).add(lang_col, "string").add(score_col, "double")
     return rows.mapInArrow(run, schema)

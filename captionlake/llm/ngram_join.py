@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, bitmap_of, stored
+from .common import Bitmap, bitmap_of, lean, small_batches, stored
 from .components import components
 from .textops import ODD, Rolling, chunks, mix, word_spans
 
@@ -117,6 +117,7 @@ def _profiles(rows: DataFrame, n: int) -> DataFrame:
     """(id, n, s1, s2, k0.., cells): set size, a 128-bit name of the set, its grouping keys and its counts by
     cell; and, in rows with a slice number, each partition's share of the token sketch."""
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -147,6 +148,7 @@ def _profiles(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
+    @lean
     def add(table):
         import pyarrow as pa
 
@@ -166,6 +168,7 @@ def _token_sets(rows: DataFrame, n: int, ids: DataFrame) -> DataFrame:
     """(id, tokens) of the rows whose id is in ids, and of few others (a bitmap decides): join it with ids."""
     bits = rows.sparkSession.sparkContext.broadcast(bitmap_of(ids, F.xxhash64("id"), 23))
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -206,6 +209,7 @@ def _groups(table, keys: list[str]):
 def _likely(keys: list[str], num: int, den: int):
     """Of a bucket of groups, the rows whose cells allow a link with a leader of their group, and those leaders."""
 
+    @lean
     def run(table):
         cells = [np.frombuffer(x, np.uint8).astype(np.int32) for x in table.column("cells").to_pylist()]
         ids = table.column("id").to_numpy()
@@ -225,6 +229,7 @@ def _likely(keys: list[str], num: int, den: int):
 def _qualify(block: list[str], num: int, den: int):
     """Of a bucket of blocks, the queries whose cells allow a link with a member, and those members."""
 
+    @lean
     def run(table):
         cells = [np.frombuffer(x, np.uint8).astype(np.int32) for x in table.column("cells").to_pylist()]
         role = table.column("role").to_numpy()
@@ -248,6 +253,7 @@ def _by_bucket(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
 def _merge(num: int, den: int):
     """Compare a group's sets with its leaders; edges from a set to every leader it links to."""
 
+    @lean
     def run(table):
         import pyarrow as pa
 
@@ -276,6 +282,7 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -
     """(id, prefix) of every row: the first tokens from rare to common, as far as a linked set must share one."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -302,6 +309,7 @@ COLUMNS = {"docs": np.int64, "apart": np.int64, "subs": np.int32, "sizes": np.in
 def _deal(buckets: int):
     """Rows (id, component, sub, n, prefix) to packed columns of the matrix by token bucket."""
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -330,6 +338,7 @@ def _deal(buckets: int):
 def _meet(num: int, den: int):
     """Queries of groups from one token bucket: sets of different components that share a prefix token there."""
 
+    @lean
     def run(table):
         import pyarrow as pa
 
@@ -367,6 +376,7 @@ def _meet(num: int, den: int):
 def _open(num: int, den: int):
     """Bound each query's overlap with the group's union; compare with the members where it is large enough."""
 
+    @lean
     def run(table):
         import pyarrow as pa
 
@@ -388,6 +398,7 @@ def _open(num: int, den: int):
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: texts link when den * shared >= num * union."""
+    small_batches(docs.sparkSession)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("key"), F.col(text_col).alias("t"))
     rows = raw.where("id is not null")
     every = _profiles(raw, words)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, small_batches, stored
 from .textops import chunks, values
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -251,6 +251,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
     """One row per piece of at most window tokens; each document's tokens end with end_id."""
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "ids"]
 
+    @lean
     def cut(batches):
         import os
 
@@ -290,6 +291,7 @@ def pack(
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) per piece: every token in exactly
     one piece, sequences gapless from offset 0 and at most window long."""
     spark = docs.sparkSession
+    small_batches(spark)
     cut = stored(pieces(docs, tokenizer, window, end_id, id_col, text_col, with_ids))
     by_length = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
     runs, _ = plan(by_length, window)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import without
+from .common import lean, without
 from .textops import Rolling, chunks
 
 GRAMS = (3, 4, 5)
@@ -129,6 +129,7 @@ def score(docs: DataFrame, model: Classifier, threshold: float = 0.3, text_col:
     rows = without(docs, "score", "predicted")
     at = rows.columns.index(text_col)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import fresh, without
 
 # The three patterns, in the order of their kinds, and the least length of what counts.
 KINDS = ("assign", "access", "hex", "random")
@@ -37,7 +37,7 @@ REJECT = 0.001  # each battery test, by Bonferroni over three
 
 #: places where one class of characters ends
 CHANGE = "(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])|(?<=[^a-zA-Z0-9])(?=[a-zA-Z0-9])"
-MADE = ("__assign", "__value", "__access", "__hex", "__loose", "__verdict")
+MADE = ("assign", "value", "access", "hex", "loose", "verdict")  # helper columns
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: encoding -> (pattern of the whole string, alphabet)
@@ -180,22 +180,23 @@ def discovery_bin(docs: DataFrame, text_col: str = "text") -> int:
     return cut
 
 
-def scan(docs: DataFrame, text_col: str = "text", cut: int | None = None) -> DataFrame:
-    """docs with all_spans, an array of (start, kind, end) in order; kind indexes KINDS."""
+def scan(docs: DataFrame, text_col: str = "text", cut: int | None = None, spans_col: str = "all_spans") -> DataFrame:
+    """docs with spans_col, an array of (start, kind, end) in order; kind indexes KINDS."""
     cut = discovery_bin(docs, text_col) if cut is None else cut
-    rows = without(docs, "all_spans", *MADE)
+    rows = without(docs, spans_col)
+    names = [fresh(f"secret_{m}", rows.columns) for m in MADE]
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    made = dict(zip(MADE, (every(ASSIGN), every(ASSIGN, 2), every(ACCESS), every(HEX), every(CANDIDATE))))
-    rows = rows.withColumns(made).withColumn(MADE[5], _judged(F.col(MADE[4])))
-    assign, value, access, hexes, loose, verdict = map(F.col, MADE)
+    made = dict(zip(names, (every(ASSIGN), every(ASSIGN, 2), every(ACCESS), every(HEX), every(CANDIDATE))))
+    rows = rows.withColumns(made).withColumn(names[5], _judged(F.col(names[4])))
+    assign, value, access, hexes, loose, verdict = map(F.col, names)
     spans = F.concat(
         _spans(text, ASSIGN, 0, assign, F.transform(value, lambda v: F.length(v) >= LEAST_ASSIGN)),
         _spans(text, ACCESS, 1, access, F.transform(access, lambda v: F.length(v) >= LEAST_ACCESS)),
         _spans(text, HEX, 2, hexes),
         _spans(text, CANDIDATE, 3, loose, F.transform(verdict, lambda v: F.coalesce(v["passed"] & (v["bin"] >= cut), F.lit(False)))),
     )
-    return rows.withColumn("all_spans", F.array_sort(spans)).drop(*MADE)
+    return rows.withColumn(spans_col, F.array_sort(spans)).drop(*names)
 
 
 def joined(spans: Column) -> Column:
@@ -215,8 +216,8 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(scanned: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """Texts with every span (overlapping ones as one) replaced by a mark; all_spans is dropped."""
+def redact(scanned: DataFrame, text_col: str = "text", mark: str = "<secret>", spans_col: str = "all_spans") -> DataFrame:
+    """Texts with every span (overlapping ones as one) replaced by a mark; spans_col is dropped."""
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<lo:int,hi:int>>").alias("kept"))
 
     def step(acc, x):
@@ -229,6 +230,6 @@ def redact(scanned: DataFrame, text_col: str = "text", mark: str = "<secret>") -
 
     text = F.col(text_col)
     last = lambda acc: F.concat(acc["kept"], F.array(F.struct(acc["end"].alias("lo"), F.length(text).alias("hi"))))
-    parts = F.aggregate(F.col("all_spans"), zero, step, last)
+    parts = F.aggregate(F.col(spans_col), zero, step, last)
     clean = F.array_join(F.transform(parts, lambda p: F.substring(text, p["lo"] + 1, p["hi"] - p["lo"])), mark)
-    return scanned.withColumn(text_col, F.when(F.size("all_spans") > 0, clean).otherwise(text)).drop("all_spans")
+    return scanned.withColumn(text_col, F.when(F.size(spans_col) > 0, clean).otherwise(text)).drop(spans_col)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, stored
+from .common import bitmap_of, lean, small_batches, stored
 from .textops import ODD, Rolling, mix
 
 GRAM = 18
@@ -122,6 +122,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _runs(buckets: int, length: int):
     """Rows (id, h, text) to runs of sampled suffixes by bucket."""
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -187,6 +188,7 @@ def _merge(length: int):
     """Merge a bucket's runs: ranges of positions whose name an earlier document has, and the grams whose
     positions must be looked at."""
 
+    @lean
     def run(table):
         ids, hs = [], []
         for i, h, r in zip(*(table.column(c).to_pylist() for c in ("ids", "hs", "rows"))):
@@ -219,6 +221,7 @@ def _look(buckets: int, length: int, bits):
     """The sampled positions whose gram is asked for, with the bytes around them."""
     left, width = length - GRAM, 2 * length - GRAM
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -255,6 +258,7 @@ def _induce(length: int):
     """Windows of the given length around positions with equal grams: ranges that an earlier document has."""
     left, width = length - GRAM, 2 * length - GRAM
 
+    @lean
     def run(table):
         join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         gram, place = join("grams", np.uint64), join("places", np.int32).astype(np.int64)
@@ -309,6 +313,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     runs = rows.mapInArrow(_runs(buckets, length), RUN_SCHEMA)
     first = stored(runs.groupBy("bucket").applyInArrow(_merge(length), FOUND))
 
+    @lean
     def each(batches):
         import pyarrow as pa
 
@@ -325,6 +330,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
 
 def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     ranges = repeated_ranges(docs, length, id_col, text_col)
     key = F.xxhash64("id", "h")
@@ -343,6 +349,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         return len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept
 
+    @lean
     def finish(batches):
         import pyarrow as pa
 
@@ -351,6 +358,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols[: 4 + with_text]], names=names)
 
+    @lean
     def whole(batches):
         import pyarrow as pa
 
@@ -362,6 +370,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
             sha = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), n, zero, zero, sha, *[b.column(2)] * with_text], names=names)
 
+    @lean
     def flagged(batches):
         import pyarrow as pa
 

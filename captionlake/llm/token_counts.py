@@ -17,6 +17,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"  # the model's sign for a space
 UNIT = re.compile(" +[^ ]*")
 
@@ -71,6 +73,7 @@ def counter(path: str) -> PieceCounter:
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row."""
 
+    @lean
     def run(batches):
         import pyarrow as pa
 

@@ -6,10 +6,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from captionlake.llm import components, decontaminate, ngram_join, substring_dedup
-from captionlake.llm.common import bitmap_of, drop_ids
+from captionlake.llm.common import bitmap_of, drop_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string"
 
@@ -122,13 +123,58 @@ def test_components_and_drops(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and got[150] == got[200] == got[100] == 100
     assert components.components(edges.limit(0)).count() == 0
     assert bitmap_of(spark.range(0, 50), "id", 16).test(np.arange(60)).sum() == 50
-    left = drop_ids(spark.range(0, 20).withColumnRenamed("id", "doc_id"), spark.range(0, 5).withColumnRenamed("id", "doc_id"))
-    assert sorted(r[0] for r in left.collect()) == list(range(5, 20))
+    rows = spark.createDataFrame([(i % 7 or None, f"t{i}", i, 0, 0) for i in range(28)], "doc_id long, text string, `__key` long, KEY_id long, key_hash long")
+    gone = spark.createDataFrame([(None, "t7"), (3, "t3"), (4, None), (5, "t6")], "id long, text string")
+    left = drop_rows(rows, gone, {"id": F.col("doc_id"), "text": F.col("text")})
+    assert left.columns == rows.columns and sorted(r[2] for r in left.collect()) == [i for i in range(28) if i not in (3, 7)]
+    assert drop_rows(rows, gone.limit(0), {"id": F.col("doc_id")}).count() == 28
 
 
-def test_empty_tables(docs):
+def test_empty_tables(spark, docs):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
     assert substring_dedup.cut_repeats(docs.limit(0)).count() == 0
+    bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0
+    got = decontaminate.digest(decontaminate.matches(docs, bench.limit(0))).collect()
+    assert len(got) == docs.count() and not any(r.contaminated or r.n_items for r in got)
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """Odd documents under names that the stages use themselves, and a benchmark."""
+    words = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en' and length(text) > 400").limit(12).collect()]
+    item = " ".join(f"quux{i} zorb{i}" for i in range(8))
+    rows = [(i, w) for i, w in enumerate(words)] + [
+        (20, words[0]), (21, words[1] + " end"), (None, words[2] + " " + item), (None, words[3].upper() + " own words here"), (22, words[4][:200] + " " + item + " " + words[5][:200]),
+        (23, None), (24, ""), (25, "12 34 !"), (26, "the secret: abcdefGHIJKL012345 of " + words[6][100:300]), (26, "the other text with that id, " + words[7][50:250]),
+    ]
+    columns = "doc_id long, text string, lang string, source string, n_chars int, score double, all_spans string, `__key` string, lang_pred string, h long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.25, "mine", "k", "zz", 7) for i, t in rows], columns)
+    path = tmp_path_factory.mktemp("planted")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs.write.parquet(f"{path}/documents.parquet")
+    return docs, str(path), words
+
+
+def test_pipeline_stages_do_what_they_say(spark, planted):
+    docs, path, words = planted
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in df.collect())
+    now = stages["language"](spark, docs, path)
+    assert now.columns == docs.columns and texts(now) == texts(docs.where("doc_id is null or doc_id not in (23, 24, 25)"))
+    assert {(r.score, r.lang_pred) for r in now.collect()} == {(0.25, "zz")}
+    after = stages["near_duplicates"](spark, now, path)
+    assert after.columns == docs.columns and texts(after) == texts(now.where("doc_id is null or doc_id not in (20, 21)"))
+    last = stages["decontamination"](spark, after, path)
+    assert last.columns == docs.columns and texts(last) == texts(after.where("not text like '%quux3 zorb3%'"))
+    clean = stages["secret_scan"](spark, last, path)
+    assert clean.columns == docs.columns and clean.count() == last.count()
+    assert not clean.where("text like '%GHIJKL%'").count() and all(r.n_chars == len(r.text) and r.all_spans == "mine" for r in clean.collect())
+    pieces = stages["packing"](spark, clean, path).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0) and sum(r.start == 0 for r in pieces) == clean.count()
+    assert [r.length for r in pieces] and len(corpus_pipeline.run(spark, path).collect()) == len(pieces)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0, name
 
 
 def test_pipeline_stages(spark):

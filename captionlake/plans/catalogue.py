@@ -89,7 +89,7 @@ TIME = "lpad(({v} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({v} // 60000 % 6
 CUES = "WITH " + fx.SQL_SEGMENTS + f""", cues AS (SELECT media_id, seg_idx + 1 AS ordinal, seg_idx + 1 + CASE WHEN (media_id + seg_idx) % 71 = 0 THEN 1 ELSE 0 END AS cue_index,
   greatest(start_ms, 0) AS s, greatest(end_ms, 0) AS e, (media_id + seg_idx) % 73 = 0 AS bad,
   CASE WHEN (media_id + seg_idx) % 73 = 0 THEN 'bad' ELSE {TIME.format(v='greatest(start_ms, 0)')} || ' --> ' || {TIME.format(v='greatest(end_ms, 0)')} END AS timing,
-  array_to_string(list_filter([substring(text, 1, 40), substring(text, 41, 40), substring(text, 81, 40)], lambda x: x <> ''), chr(10)) AS text FROM segments) """
+  array_to_string(list_transform(range(0, length(text), 40), lambda k: substring(text, k + 1, 40)), chr(10)) AS text FROM segments) """
 
 
 @query(CUES + """, g AS (SELECT *, NOT bad AND e > s AS good FROM cues), p AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ordinal) AS rn,
@@ -105,7 +105,7 @@ def S7_write_srt(spark, d):
     return timeline.srt_documents(fx.flawed(timeline.cues(fx.segments(spark, d))))
 
 
-@query(CUES + "SELECT media_id, cue_index, timing, length(text) AS n_chars FROM cues WHERE trim(text) <> '' AND text = trim(text) AND text NOT LIKE '%' || chr(10) || chr(10) || '%'")
+@query(CUES + "SELECT media_id, cue_index, timing, length(text) AS n_chars FROM cues")
 def S3_read_srt(spark, d):
     c = fx.flawed(timeline.cues(fx.segments(spark, d)))
     return timeline.parse_srt(timeline.srt_documents(c)).select("media_id", "cue_index", "timing", F.length("text").cast("long").alias("n_chars"))
@@ -190,7 +190,7 @@ def J1_A2_timeline_report(spark, d):
     return both.groupBy("media_id").agg(F.count("*").alias("n_kept"), F.count_if(F.col("avg_logprob") < -1).alias("n_unsure"))
 
 
-@query("WITH " + fx.SQL_TRANSLATIONS + """, x AS (SELECT media_id, text, row_number() OVER (PARTITION BY media_id ORDER BY unit_id, ord) AS place FROM tr WHERE media_id % 3 = 0 OR unit_id < 1000000),
+@query("WITH " + fx.SQL_TRANSLATIONS + """, x AS (SELECT media_id, text, row_number() OVER (PARTITION BY media_id ORDER BY unit_id, ord) AS place FROM tr),
 y AS (SELECT media_id, unit_id, row_number() OVER (PARTITION BY media_id ORDER BY unit_id) AS place FROM units),
 c AS (SELECT media_id, n IS NOT DISTINCT FROM m AS same FROM (SELECT media_id, count(*) AS n FROM y GROUP BY 1) FULL JOIN (SELECT media_id, count(*) AS m FROM x GROUP BY 1) USING (media_id))
 SELECT y.media_id, unit_id, text AS translated, NULL::VARCHAR AS issue FROM y JOIN x ON y.media_id = x.media_id AND y.place = x.place WHERE y.media_id IN (SELECT media_id FROM c WHERE same)

@@ -58,7 +58,7 @@ def E1_apply_translator(spark, d):
 
 
 ISSUES = "WITH " + fx.SQL_SEGMENTS + """, p(lang, w, c, m) AS (VALUES ('en', 42, 20::DOUBLE, 833), ('de', 42, 17, 833), ('es', 42, 17, 833), ('fr', 42, 17, 833), ('it', 42, 17, 833), ('ru', 42, 17, 833)),
-c AS (SELECT media_id, seg_idx + 1 AS ordinal, w, c, m, greatest(end_ms, 0) - greatest(start_ms, 0) AS took, text, list_filter([substring(text, 1, 40), substring(text, 41, 40), substring(text, 81, 40)], lambda x: x <> '') AS ls FROM segments JOIN p USING (lang)),
+c AS (SELECT media_id, seg_idx + 1 AS ordinal, w, c, m, greatest(end_ms, 0) - greatest(start_ms, 0) AS took, text, list_transform(range(0, length(text), 40), lambda k: substring(text, k + 1, 40)) AS ls FROM segments JOIN p USING (lang)),
 i AS (SELECT media_id, ordinal, 'tooManyLines' AS issue FROM c WHERE len(ls) > 2 UNION ALL SELECT media_id, ordinal, 'emptyLine' FROM c WHERE len(list_filter(ls, lambda x: trim(x) = '')) > 0 AND trim(array_to_string(ls, '')) <> ''
   UNION ALL SELECT media_id, ordinal, 'lineTooLong' FROM c WHERE len(list_filter(ls, lambda x: length_grapheme(x) > w)) > 0 UNION ALL SELECT media_id, ordinal, 'cueTooShort' FROM c WHERE took > 0 AND took + 0.5::DOUBLE < m
   UNION ALL SELECT media_id, ordinal, 'cueTooLong' FROM c WHERE took > 7000 UNION ALL SELECT media_id, ordinal, 'readingSpeedExceeded' FROM c WHERE took > 0 AND length_grapheme(array_to_string(ls, '')) * 1000 > c * (took + 1)) """
@@ -129,7 +129,7 @@ def T1_top2_languages(spark, d):
     return policy.two_best(rows.withColumn("score", (F.col("doc_id") * (3 + F.col("p")) % 10) / F.lit(10.0)), ["doc_id"], "p", "score", "code")
 
 
-@query("""WITH n AS (SELECT page_id, lower('/m/Clip' || page_id % 40 || '.en.srt') AS reserved FROM pages WHERE page_id % 40 < 30 OR page_id < 40)
+@query("""WITH n AS (SELECT page_id, lower('/m/Clip' || page_id % 40 || '.en.srt') AS reserved FROM pages)
 SELECT page_id, reserved FROM n QUALIFY count(*) OVER (PARTITION BY reserved) > 1""")
 def U2_duplicate_destinations(spark, d):
     p = F.col("page_id")
@@ -178,7 +178,7 @@ def W15_bounded_log(spark, d):
 
 
 @query(r"""WITH l AS (SELECT doc_id AS media_id, regexp_split_to_array(regexp_replace(replace(text, 'a ', 'a' || chr(13) || chr(10)), '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS ls FROM documents WHERE text <> ''),
-f AS (SELECT *, len(list_filter(ls, lambda x: octet_length(encode(x)) > 2000)) > 0 AS failed FROM l)
+f AS (SELECT *, len(list_filter(ls, lambda x: octet_length(encode(x)) > 65536)) > 0 AS failed FROM l)
 SELECT media_id, failed, p, CASE WHEN NOT failed THEN ls[p + 1] END AS line FROM (SELECT *, unnest(CASE WHEN failed THEN [0] ELSE range(len(ls)) END)::INTEGER AS p FROM f)""")
 def R6_frame_lines(spark, d):
     text = F.replace("text", F.lit("a "), F.lit("a\r\n"))
@@ -211,7 +211,8 @@ def R1_progress_stream(spark, d):
     return timelines.through_stream(spark, _event_lines(spark, d), progress)
 
 
-@query("WITH " + fx.SQL_SEGMENTS + " SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1 AS place, seg_idx::VARCHAR AS id, start_ms, end_ms, text FROM segments")
+@query("WITH " + fx.SQL_SEGMENTS + ", " + fx.SQL_UNITS.removeprefix(fx.SQL_LINES + ", ") + """SELECT 'segments' AS kind, media_id, seg_idx AS place, seg_idx::VARCHAR AS id, start_ms, end_ms, text FROM segments
+UNION ALL SELECT 'semantic_units', media_id, unit_id, unit_id::VARCHAR, start_ms, end_ms, text FROM units""")
 def S1_S8_timelines(spark, d):
     documents = timelines.build_timelines(fx.segments(spark, d), fx.units(spark, d)).where("not too_large")
     kinds = [timelines.read_timelines(documents, kind).withColumn("kind", F.lit(kind)) for kind in ("segments", "semantic_units")]
@@ -242,8 +243,8 @@ def X8_normalize_caption(spark, d):
     return _docs(spark, d).select("doc_id", T.caption(F.replace("text", F.lit("e s"), F.lit("e ' s"))).alias("caption"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, 'read "/m/a b.wav" and /tmp/x' || doc_id || ' then (/home/u) or a/b' AS t FROM documents)
-SELECT doc_id, 'read <private-path> and <private-path> then (<private-path>) or a/b' AS shown FROM c""")
+@query(r"""WITH p AS (SELECT doc_id, text || CASE WHEN doc_id % 89 = 0 THEN ' /home/u' || doc_id || '/a.wav' ELSE '' END || CASE WHEN doc_id % 83 = 0 THEN ' "/m/a b' || doc_id || '.wav"' ELSE '' END AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(t, '(["''])/[^"''\n]*["'']', '<private-path>', 'g'), '(^|[\s(=:])/[^\s"'')]+', '\1<private-path>', 'g') AS shown FROM p""")
 def X15_redact_paths(spark, d):
     k = F.col("doc_id")
     home = F.when(k % 89 == 0, F.concat(F.lit(" /home/u"), k.cast("string"), F.lit("/a.wav"))).otherwise("")
@@ -261,7 +262,7 @@ def W5_split_units(spark, d):
 
 @query("""WITH RECURSIVE u AS MATERIALIZED (SELECT user_id AS job_id, event_id // 2500 AS run_id, event_id, (event_id % 500) / 500::DOUBLE AS fraction, row_number() OVER w AS rn, lead(event_id) OVER w IS NULL AS final
   FROM events WINDOW w AS (PARTITION BY user_id, event_id // 2500 ORDER BY event_id)), f AS (SELECT job_id, run_id, rn, event_id, fraction, fraction AS last, true AS shown FROM u WHERE rn = 1
-  UNION ALL SELECT u.job_id, u.run_id, u.rn, u.event_id, u.fraction, CASE WHEN u.fraction - f.last >= 0.1::DOUBLE THEN u.fraction ELSE f.last END, u.final OR u.fraction - f.last >= 0.1::DOUBLE
+  UNION ALL SELECT u.job_id, u.run_id, u.rn, u.event_id, u.fraction, CASE WHEN u.fraction - f.last >= 0.002::DOUBLE THEN u.fraction ELSE f.last END, u.final OR u.fraction - f.last >= 0.002::DOUBLE
   FROM f JOIN u ON u.job_id = f.job_id AND u.run_id = f.run_id AND u.rn = f.rn + 1)
 SELECT job_id, run_id, event_id, fraction FROM f WHERE shown""")
 def R5_throttle_progress(spark, d):
@@ -281,8 +282,8 @@ def J9_reconcile_three_way(spark, d):
     return policy.three_way(item(docs.where(k % 61 != 0)), item(listed.unionByName(listed.where(k % 73 == 0))), bill)
 
 
-@query(CUES + r""", g AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ordinal) AS n FROM cues WHERE trim(text) <> '' AND text = trim(text) AND text NOT LIKE '%' || chr(10) || chr(10) || '%'),
-p AS (SELECT *, lag(CASE WHEN NOT bad THEN e END) OVER (PARTITION BY media_id ORDER BY ordinal) AS le FROM g), q AS (SELECT media_id, n AS ordinal, CASE WHEN cue_index <> n THEN 'number' WHEN bad THEN 'timing' WHEN e <= s THEN 'range' WHEN s < le THEN 'order' END AS fault FROM p)
+@query(CUES + r""", g AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ordinal) AS n FROM cues),
+p AS (SELECT *, lag(CASE WHEN NOT bad THEN e END) OVER (PARTITION BY media_id ORDER BY ordinal) AS le FROM g), q AS (SELECT media_id, n AS ordinal, CASE WHEN trim(text) = '' THEN 'text' WHEN cue_index <> n THEN 'number' WHEN bad THEN 'timing' WHEN e <= s THEN 'range' WHEN s < le THEN 'order' END AS fault FROM p)
 SELECT media_id, ordinal, fault FROM q WHERE fault IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY ordinal) = 1""")
 def F5_validate_srt(spark, d):
     return timeline.first_fault(timeline.srt_documents(fx.flawed(timeline.cues(fx.segments(spark, d)))))

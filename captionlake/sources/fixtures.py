@@ -84,7 +84,7 @@ SQL_SEGMENTS = SQL_LINES + """, seg0 AS (SELECT media_id, i AS seg_idx, lang,
 segments AS (SELECT media_id, seg_idx, lang, text, start_ms, start_ms + len AS end_ms,
   -((5 * media_id + 7 * seg_idx) % 15) / 10::DOUBLE AS avg_logprob, (10 + (11 * media_id + 3 * seg_idx) % 20) / 10::DOUBLE AS compression_ratio,
   ((13 * media_id + 17 * seg_idx) % 11) / 10::DOUBLE AS no_speech_prob FROM seg0)"""
-SQL_UNITS = SQL_LINES + """, units AS (SELECT media_id, lang, i AS unit_id, substring(t, 1, 600) AS text, 3000 * i + (7 * media_id) % 700 AS start_ms,
+SQL_UNITS = SQL_LINES + """, units AS (SELECT media_id, lang, i AS unit_id, t AS text, 3000 * i + (7 * media_id) % 700 AS start_ms,
   3000 * i + (7 * media_id) % 700 + 800 + (3 * media_id + 29 * i) % 2600 AS end_ms FROM lines)"""
 SQL_TRANSLATIONS = SQL_UNITS + """, tr AS (
   SELECT media_id, unit_id, 0::BIGINT AS ord, CASE WHEN (media_id + unit_id) % 43 = 0 THEN '  ' WHEN (media_id + unit_id) % 41 = 0 THEN text || chr(65533) ELSE text END AS text

@@ -1,52 +1,9 @@
-"""Queries over whole inputs, against the catalogue's statements with their cuts taken out, and the branches that the given tables lack."""
+"""Branches that the given tables lack, in small tables."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from captionlake.operators import grouping, jobs, policy, timeline
 from captionlake.plans import catalogue
-from captionlake.sources import fixtures as fx
-from test_queries import DATA, duck, rows  # noqa: F401
-
-PIECES = "list_filter([substring(text, 1, 40), substring(text, 41, 40), substring(text, 81, 40)], lambda x: x <> '')"
-LINES = (PIECES, "list_transform(range(0, length(text), 40), lambda k: substring(text, k + 1, 40))")
-#: What is replaced in a query's statement, so that it states the whole job.
-CUTS = {"Q1_assess_cues": [LINES], "A4_qa_summary": [LINES], "W13_cue_sequence_checks": [LINES], "S7_write_srt": [LINES]}
-CUTS |= {f.__name__: [("substring(t, 1, 600) AS text", "t AS text")] for f in catalogue.QUERIES.values() if "substring(t, 1, 600)" in catalogue.ORACLE_SQL[f.__name__]}
-CUTS |= {"R6_frame_lines": [("> 2000", "> 65536")], "R5_throttle_progress": [(">= 0.1::DOUBLE", ">= 0.002::DOUBLE")]}
-SOUND = " WHERE trim(text) <> '' AND text = trim(text) AND text NOT LIKE '%' || chr(10) || chr(10) || '%'"
-CUTS |= {
-    "S3_read_srt": [LINES, (SOUND, "")],
-    "F5_validate_srt": [LINES, (SOUND, ""), ("q AS (SELECT media_id, n AS ordinal, CASE WHEN", "q AS (SELECT media_id, n AS ordinal, CASE WHEN trim(text) = '' THEN 'text' WHEN")],
-    "U2_duplicate_destinations": [(" WHERE page_id % 40 < 30 OR page_id < 40", "")],
-    "J3_match_by_position": [*CUTS["J3_match_by_position"], (" WHERE media_id % 3 = 0 OR unit_id < 1000000", "")],
-}
-#: Statements that are no cut of the catalogue's, as those answer another question.
-ANEW = {
-    "X15_redact_paths": r"""WITH p AS (SELECT doc_id, text || CASE WHEN doc_id % 89 = 0 THEN ' /home/u' || doc_id || '/a.wav' ELSE '' END || CASE WHEN doc_id % 83 = 0 THEN ' "/m/a b' || doc_id || '.wav"' ELSE '' END AS t FROM documents)
-      SELECT doc_id, regexp_replace(regexp_replace(t, '(["''])/[^"''\n]*["'']', '<private-path>', 'g'), '(^|[\s(=:])/[^\s"'')]+', '\1<private-path>', 'g') AS shown FROM p""",
-    "S1_S8_timelines": "WITH " + fx.SQL_SEGMENTS + ", " + fx.SQL_UNITS.removeprefix(fx.SQL_LINES + ", ").replace("substring(t, 1, 600) AS text", "t AS text") + """
-      SELECT 'segments' AS kind, media_id, seg_idx AS place, seg_idx::VARCHAR AS id, start_ms, end_ms, text FROM segments
-      UNION ALL SELECT 'semantic_units', media_id, unit_id, unit_id::VARCHAR, start_ms, end_ms, text FROM units""",
-}
-
-
-def whole(name):
-    if name in ANEW:
-        return ANEW[name]
-    sql = catalogue.ORACLE_SQL[name]
-    for old, new in CUTS[name]:
-        assert old in sql
-        sql = sql.replace(old, new)
-    return sql
-
-
-@pytest.mark.parametrize("name", [*CUTS, *ANEW])
-def test_query_equals_whole_statement(spark, duck, name):  # noqa: F811
-    got, want = catalogue.QUERIES[name](spark, DATA), duck.sql(whole(name))
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
-
 
 def test_cues_keep_text_number_and_timing(spark):
     text = "".join(chr(97 + k % 26) for k in range(333)) + "\U0001f600"

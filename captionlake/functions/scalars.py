@@ -23,6 +23,14 @@ def srt_time(ms: Column) -> Column:
     return F.concat(long_hours, F.lit(":"), part(60000, 60), F.lit(":"), part(1000, 60), F.lit(","), F.lpad((v % 1000).cast("string"), 3, "0"))
 
 
+def rounded_ms(seconds: Column, half_even: bool) -> Column:
+    """Seconds to whole milliseconds, at least 0: halves to the even neighbour, as the writer of transcripts does, or away
+    from 0, as the writer of subtitles does. Null, NaN and infinite seconds give null."""
+    ms = (F.bround if half_even else F.round)(seconds * 1000)
+    plain = seconds.cast("double")
+    return F.when(~F.isnan(plain) & (F.abs(plain) < float("inf")), F.greatest(ms.cast("long"), F.lit(0)))
+
+
 def srt_ms(text: Column) -> Column:
     """Milliseconds of HH:MM:SS,mmm, or null where it doesn't parse."""
     ok = text.rlike(r"^[0-9]+:[0-5]?[0-9]:[0-5]?[0-9],[0-9]{3}$")
@@ -40,15 +48,13 @@ def duration(seconds: Column) -> Column:
     return F.when(good, F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), F.lpad(mm, 2, "0"), F.lit(":"), ss)).otherwise(F.concat(mm, F.lit(":"), ss))).otherwise("-")
 
 
-def ends_sentence(text: Column) -> Column:
-    """Ends with a sentence mark, closing quotes and brackets aside."""
-    return text.rlike("[.!?。！？।॥][\"'”’»)\\]}]*\\s*$")
+# Quotes and brackets that may follow a sentence mark.
+CLOSERS = "\"'”’»)\\]}）］｝」』】"
 
 
-def duplicate_key(text: Column) -> Column:
-    """Letters, marks, digits and apostrophes of each word, in lower case; words without a letter or digit go."""
-    kept = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}']", ""))
-    return F.array_join(F.filter(kept, lambda w: w.rlike(r"[\p{L}\p{N}]")), " ")
+def ends_sentence(text: Column) -> Column:
+    """Ends with a sentence mark, closing quotes and brackets aside."""
+    return text.rlike(f"(?U)[.!?。！？।॥][{CLOSERS}]*\\s*$")
 
 
 def output_name(path: Column, lang: Column) -> Column:

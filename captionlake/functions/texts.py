@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Language tags and their codes.
 LANGUAGE_TAGS = {
@@ -21,8 +25,84 @@ CJK = (
 )
 
 
+# Apostrophes that count as one, and marks that stand against the word before them.
+APOSTROPHES = "\u2018\u2019\u201b\u02bc\uff07"
+GLUED = ".,!?;:%)]}。！？，、；：％）］｝」』】।॥"
+HALF_JA = r"^[\x00-\x7F\x{FF61}-\x{FF9F}]+$"
+HALF_KO = r"^[\x00-\x7F\p{P}\p{S}]+$"
+SPACE = r"(?U)\s"  # white space of all of Unicode, as NBSP and U+3000
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    """Nothing but white space; null for null."""
+    return strip(text) == ""
+
+
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series, fold: pd.Series) -> pd.Series:
+    """Lower or folded case in composed form; only rows with characters outside ASCII come here, the others as null."""
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    low = lambda t, f: nfc(nfc(t).casefold() if f else nfc(t).lower())
+    return pd.Series([None if t is None else low(t, f) for t, f in zip(text, fold)], dtype=object)
+
+
+def _cased(text: Column, fold: bool) -> Column:
+    wide = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(_composed(wide, F.lit(fold)), F.lower(text))
+
+
+def case_folded(text: Column) -> Column:
+    """The text in composed form and folded case."""
+    return _cased(text, True)
+
+
+def token_key(word: Column) -> Column:
+    """What counts of a word in one case: letters, marks, digits and apostrophes; empty without a letter or digit."""
+    kept = F.regexp_replace(F.translate(word, APOSTROPHES, "'" * len(APOSTROPHES)), r"[^\p{L}\p{M}\p{N}']", "")
+    return F.when(kept.rlike(r"[\p{L}\p{N}]"), kept).otherwise("")
+
+
+def _key(text: Column, fold: bool) -> Column:
+    return F.array_join(F.filter(F.transform(F.split(_cased(text, fold), r"(?U)\s+"), token_key), lambda w: w != ""), " ")
+
+
+def compare_key(text: Column) -> Column:
+    """Letters, marks, digits and apostrophes of each word, in composed form and folded case; words without a letter or
+    digit go. Null for null."""
+    return _key(text, True)
+
+
+def duplicate_key(text: Column) -> Column:
+    """The same in lower case, so that Maße and Masse differ."""
+    return _key(text, False)
+
+
+def char_units(text: Column, lang: Column) -> Column:
+    """Readable width: a grapheme counts one and line ends nothing; in Japanese, ASCII and half-width forms count a half,
+    in Korean, ASCII, punctuation and symbols."""
+    clusters = F.filter(F.regexp_extract_all(text, F.lit(r"(?s)\X"), F.lit(0)), lambda c: ~c.isin("\n", "\r"))
+    half = lambda p: F.size(F.filter(clusters, lambda c: c.rlike(p))) / F.lit(2.0)
+    less = F.when(lang == "ja", half(HALF_JA)).when(lang == "ko", half(HALF_KO)).otherwise(F.lit(0.0))
+    return F.size(clusters) - less
+
+
+def join_words(words: Column, lang: Column) -> Column:
+    """Text of an array of words in order: a word's own leading space stays, closing punctuation is joined, and other
+    words get a space, but for Japanese and Chinese. Null and empty words are passed over."""
+    close = lang.isin("ja", "zh")
+
+    def step(acc, w):
+        bare = F.regexp_replace(w, r"(?U)^\s+", "")
+        return (
+            F.when(w.isNull() | (w == ""), acc).when(acc == "", bare).when((bare == "") | w.rlike(r"(?U)^\s") | close, F.concat(acc, w))
+            .when(F.instr(F.lit(GLUED), F.substring(bare, 1, 1)) > 0, F.concat(acc, bare)).otherwise(F.concat(acc, F.lit(" "), w))
+        )
+
+    return strip(F.aggregate(words, F.lit(""), step))
 
 
 def graphemes(text: Column) -> Column:
@@ -59,7 +139,7 @@ def damage(text: Column) -> Column:
 
 def caption(text: Column) -> Column:
     """One line: white space collapsed, none around an apostrophe between letters."""
-    plain = strip(F.regexp_replace(text, r"\s+", " "))
+    plain = strip(F.regexp_replace(text, r"(?U)\s+", " "))
     for mark in ("'", "’"):
         plain = F.regexp_replace(plain, rf"(?<=\p{{L}}) ?{mark} ?(?=\p{{L}})", mark)
     return plain

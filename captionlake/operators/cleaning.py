@@ -9,14 +9,19 @@ NO_SPEECH, LOW_LOGPROB, HIGH_RATIO = 0.6, -1.0, 2.4
 
 
 def judge_segments(segments: DataFrame) -> DataFrame:
-    """segments with reason: why a segment goes, or null. Times are clamped to 0 first; a metric that isn't
-    known never rejects."""
-    start, end = F.greatest("start_ms", F.lit(0)), F.greatest("end_ms", F.lit(0))
-    unsure = F.col("avg_logprob") < LOW_LOGPROB
+    """segments with reason: why a segment goes, or null. Times are clamped to 0 first, NaN with them; times that are null
+    or infinite reject. A metric that is null, NaN or infinite isn't known and never rejects."""
+    time = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(0)).otherwise(F.greatest(c, F.lit(0)))
+    endless = lambda c: F.col(c).cast("double") == float("inf")
+    known = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    start, end = time("start_ms"), time("end_ms")
+    unsure = known("avg_logprob") < LOW_LOGPROB
+    # a null start would be clamped away by greatest
+    nothing = F.col("start_ms").isNull() | F.col("end_ms").isNull()
     reason = (
-        F.when(start.isNull() | end.isNull() | (end <= start), "invalid_timestamp")
-        .when(F.coalesce((F.col("no_speech_prob") > NO_SPEECH) & unsure, F.lit(False)), "no_speech")
-        .when(F.coalesce((F.col("compression_ratio") > HIGH_RATIO) & unsure, F.lit(False)), "low_confidence_repetition")
+        F.when(nothing | endless("start_ms") | endless("end_ms") | (end <= start), "invalid_timestamp")
+        .when(F.coalesce((known("no_speech_prob") > NO_SPEECH) & unsure, F.lit(False)), "no_speech")
+        .when(F.coalesce((known("compression_ratio") > HIGH_RATIO) & unsure, F.lit(False)), "low_confidence_repetition")
     )
     return segments.withColumns({"start_ms": start, "end_ms": end, "reason": reason})
 
@@ -44,7 +49,7 @@ def report(judged: DataFrame) -> DataFrame:
     )
 
 
-def number_words(words: DataFrame, per: DataFrame) -> DataFrame:
+def number_words(per: DataFrame) -> DataFrame:
     """Word ranges [word_start, word_end) of segments, words numbered over the media. per: (media_id, seg_idx, n)."""
     w = Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("n").over(w)

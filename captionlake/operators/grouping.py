@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import duplicate_key, ends_sentence
-from ..functions.texts import graphemes, strip
+from ..functions.scalars import ends_sentence
+from ..functions.texts import duplicate_key, graphemes, strip
 from .cleaning import clamp_overlaps
 
 MOST_UNITS, LONGEST_MS, GAP_MS, MOST_CHARS = 6, 20_000, 1000, 600

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONGEST_S, BASE_BYTES, BYTES_PER_S = 12 * 3600, 1 << 30, 32_100
@@ -30,9 +30,10 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str = "path") -> Data
 
 
 def first_of(rows: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The first row of each key, in the given order."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key, in the given order; of rows with equal order any one. A partial minimum by key, so that a
+    common key isn't one task's window."""
+    first = rows.groupBy(key.alias("first_key")).agg(F.min_by(F.struct(*rows.columns), order).alias("x"))
+    return first.select("x.*")
 
 
 def latest(updates: DataFrame, keys: list[str], time: str, id_col: str) -> DataFrame:

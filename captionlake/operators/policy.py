@@ -19,7 +19,7 @@ SCANNED_BYTES = 8 << 20
 def scan_files(files: DataFrame) -> DataFrame:
     """(path, problem) of files with a forbidden name or a secret; contents over 8 MiB are judged by name only."""
     small = F.octet_length("text") <= SCANNED_BYTES
-    problem = F.when(F.substring_index("path", "/", -1).isin(*FORBIDDEN_NAMES), "forbiddenName")
+    problem = F.when(F.lower(F.substring_index("path", "/", -1)).isin(*FORBIDDEN_NAMES), "forbiddenName")
     problem = problem.when(small & (F.col("text").contains(KEY_MARKERS[0]) | F.col("text").contains(KEY_MARKERS[1])), "privateKey")
     for name, pattern in SECRET_PATTERNS:
         problem = problem.when(small & F.col("text").rlike(pattern), name)

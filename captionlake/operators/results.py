@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PROFILES
+from ..functions.texts import is_blank
 
 EVIDENCE_ROWS, EVIDENCE_CHARS = 100, 2000
 
@@ -13,7 +14,7 @@ EVIDENCE_ROWS, EVIDENCE_CHARS = 100, 2000
 def not_clean(segments: DataFrame) -> DataFrame:
     """Segments that break what cleaning promises: times from 0 on, end after start, no overlap, some text."""
     before = F.lag("end_ms").over(Window.partitionBy("media_id").orderBy("seg_idx"))
-    bad = (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")) | F.coalesce(F.col("start_ms") < F.col("before"), F.lit(False)) | (F.trim("text") == "")
+    bad = (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")) | F.coalesce(F.col("start_ms") < F.col("before"), F.lit(False)) | is_blank(F.col("text"))
     return segments.withColumn("before", before).where(bad).drop("before")
 
 

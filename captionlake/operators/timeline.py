@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ends_sentence, srt_ms, srt_time
+from ..functions.texts import caption, is_blank
 
 GAP_MS, LONGEST_MS = 800, 15_000
 
@@ -47,7 +48,7 @@ def match_translations(units: DataFrame, translations: DataFrame) -> DataFrame:
     last = translations.groupBy(key).agg(F.max_by("text", "ord").alias("translated"), F.count("*").alias("n"))
     both = units.groupBy(key).agg(F.count("*").alias("known")).join(last, key, "full_outer")
     issues = F.array_compact(F.array(
-        F.when(F.col("n").isNull(), "missingTranslation"), F.when(F.col("translated").rlike(r"\A[\s\p{Z}]*\z"), "emptyTranslation"),
+        F.when(F.col("n").isNull(), "missingTranslation"), F.when(caption(F.col("translated")) == "", "emptyTranslation"),
         F.when(F.col("known").isNull(), "orphanTranslation"), F.when(F.col("n") > 1, "duplicateTranslation"),
         F.when((F.col("known") > 1) | (F.col("unit_id").isNull() & F.col("known").isNotNull()), "duplicateUnitIdentifier"),
     ))
@@ -74,15 +75,11 @@ def check_cues(cues: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("place", F.row_number().over(order))
     issues = F.array_compact(F.array(
         F.when(F.col("cue_index") != F.col("place"), "invalidCueNumbering"), F.when(~F.col("good"), "invalidCueTiming"),
-        F.when(F.col("good") & (F.col("s") < F.col("last_end")), "overlappingCues"), F.when(F.trim("text") == "", "emptyCueText"),
+        F.when(F.col("good") & (F.col("s") < F.col("last_end")), "overlappingCues"), F.when(is_blank(F.col("text")), "emptyCueText"),
     ))
     return parsed.select("media_id", "ordinal", F.explode(issues).alias("issue"))
 
 
-def summary(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("media_id").agg(F.count("*").alias("n_issues"), F.count_if(F.col("issue") == "overlappingCues").alias("n_overlaps"))
-
-
 def srt_documents(cues: DataFrame) -> DataFrame:
     """One subtitle document for each media, cues in order."""
     block = F.concat_ws("\n", F.col("cue_index").cast("string"), "timing", "text")
@@ -109,7 +106,7 @@ def first_fault(documents: DataFrame) -> DataFrame:
     ends = F.split("timing", " --> ")
     rows = parse_srt(documents).withColumns({"s": srt_ms(F.get(ends, F.lit(0))), "e": srt_ms(F.get(ends, F.lit(1)))}).withColumn("last", F.lag("e").over(order))
     fault = (
-        F.when(F.trim("text") == "", "text").when(F.col("cue_index").isNull() | (F.col("cue_index") != F.col("ordinal")), "number").when(F.col("s").isNull() | F.col("e").isNull(), "timing")
+        F.when(is_blank(F.col("text")), "text").when(F.col("cue_index").isNull() | (F.col("cue_index") != F.col("ordinal")), "number").when(F.col("s").isNull() | F.col("e").isNull(), "timing")
         .when(F.col("e") <= F.col("s"), "range").when(F.col("s") < F.col("last"), "order")
     )
     faults = rows.withColumn("fault", fault).where("fault is not null")

@@ -1,3 +1,3 @@
 """The catalogue of queries; importing the package fills it."""
 
-from . import catalogue, records  # noqa: F401
+from . import captions, catalogue, records  # noqa: F401

@@ -46,7 +46,7 @@ def A1_sanitize_report(spark, d):
 SELECT media_id, seg_idx, (sum(n) OVER w - n)::BIGINT AS word_start, (sum(n) OVER w)::BIGINT AS word_end FROM n WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING)""")
 def W4_number_words(spark, d):
     n = F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long")
-    return cleaning.number_words(None, fx.segments(spark, d).select("media_id", "seg_idx", n.alias("n")))
+    return cleaning.number_words(fx.segments(spark, d).select("media_id", "seg_idx", n.alias("n")))
 
 
 @query("WITH " + fx.SQL_WORDS + r""", m AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w >= 800 OR regexp_matches(lag(text) OVER w, '[.!?。！？।॥]["''”’»)\]}]*\s*$') THEN 1 ELSE 0 END AS new

@@ -219,7 +219,7 @@ def S1_S8_timelines(spark, d):
     return kinds[0].unionByName(kinds[1])
 
 
-@query("WITH " + fx.SQL_TRANSLATIONS + " SELECT media_id, unit_id, text FROM tr")
+@query("WITH " + fx.SQL_TRANSLATIONS + " SELECT media_id, unit_id::VARCHAR AS unit_id, text FROM tr")
 def S5_read_translations(spark, d):
     u = F.col("unit_id")
     as_line = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()], "text"))

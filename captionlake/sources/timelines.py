@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +32,10 @@ def read_timelines(documents: DataFrame, kind: str) -> DataFrame:
 
 
 def read_translations(lines: DataFrame) -> DataFrame:
-    """(media_id, unit_id, text) of JSON lines; the id stands under unit_id, unitID or id, a missing text is empty."""
+    """(media_id, unit_id, text) of JSON lines; the id is a string and stands under unit_id, unitID or id, a
+    missing text is empty; a line that is no JSON has neither."""
     j = F.from_json("line", "unit_id string, unitID string, id string, text string", {"caseSensitive": "true"})
-    return lines.select("media_id", F.coalesce(j["unit_id"], j["unitID"], j["id"]).cast("long").alias("unit_id"), F.coalesce(j["text"], F.lit("")).alias("text"))
+    return lines.select("media_id", F.coalesce(j["unit_id"], j["unitID"], j["id"]).alias("unit_id"), F.coalesce(j["text"], F.lit("")).alias("text"))
 
 
 def event_lines(lines: DataFrame) -> DataFrame:
@@ -49,7 +49,9 @@ def through_stream(spark: SparkSession, lines: DataFrame, transform) -> DataFram
     """transform(lines) as a stream: lines are written as text files, read as a stream until all are taken, and
     the results written in append mode, all below
     spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="captionlake-")  # unset in tests only
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     lines.select("value").write.text(f"{root}/lines")
     out = transform(spark.readStream.schema("value string").text(f"{root}/lines"))

@@ -1,0 +1,201 @@
+"""Rules over texts, layout and timing: loops over each rule as it is told, and scripts and values that the tables lack."""
+
+import random
+import re
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from captionlake.functions import scalars as X
+from captionlake.functions import texts as T
+from captionlake.operators import cleaning, layout, policy, speech, status, timeline
+from captionlake.sources import timelines
+
+
+def values(spark, rows, schema, *columns):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
+
+
+def test_keys_of_words(spark):
+    texts = ["Don\u2019t  STOP -- '' 42!", "Ma\u00dfe", "cafe\u0301 \u0130", "\u65e5\u672c\u8a9e \u3000\u201b\u0928\u093f", None, ""]
+    got = values(spark, [(t,) for t in texts], "t string", T.compare_key(F.col("t")), T.duplicate_key(F.col("t")))
+    assert got[0] == ("don't stop 42",) * 2 and got[1] == ("masse", "ma\u00dfe") and got[2][1] == unicodedata.normalize("NFC", "caf\u00e9 i\u0307")
+    assert got[3] == ("\u65e5\u672c\u8a9e '\u0928\u093f",) * 2 and got[4] == (None, None) and got[5] == ("", "")
+
+
+def test_widths(spark):
+    rows = [("a\uff76\u65e5\n", "ja"), ("a.\ud55c\u3001", "ko"), ("\U0001f468\u200d\U0001f469 e\u0301", "en"), ("", "ja")]
+    assert [r[0] for r in values(spark, rows, "t string, l string", T.char_units(F.col("t"), F.col("l")))] == [2.0, 2.5, 3.0, 0.0]
+
+
+def test_words_are_joined(spark):
+    rows = [([" Hello", " there", ",", " you", "\uff09", "", None, "x"], "en"), (["\u65e5", "\u672c", "\u3002"], "ja"), ([], "en")]
+    assert [r[0] for r in values(spark, rows, "w array<string>, l string", T.join_words(F.col("w"), F.col("l")))] == ["Hello there, you\uff09 x", "\u65e5\u672c\u3002", ""]
+
+
+def test_sentences_end_behind_closers(spark):
+    rows = ["\u7d42\u3002\u300d", "ok.\u201d)", "\uff01\uff09\u3011 ", "no\u300d", "\u0964"]
+    assert [r[0] for r in values(spark, [(t,) for t in rows], "t string", X.ends_sentence(F.col("t")))] == [True, True, True, False, True]
+
+
+def test_blank_in_any_script(spark):
+    rows = [("\u00a0\u3000\u2028",), ("a\u00a0\u00a0b ",), (None,)]
+    assert values(spark, rows, "t string", T.damage(F.col("t")), T.caption(F.col("t"))) == [("empty", ""), (None, "a b"), ("empty", None)]
+
+
+def test_times_and_metrics_that_are_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(nan, 5.0, -2.0, 0.1, 3.0), (0.0, inf, 0.0, 0.1, 1.0), (-inf, 5.0, 0.0, 0.1, 1.0), (inf, inf, 0.0, 0.0, 0.0), (0.0, 5.0, -2.0, nan, nan), (0.0, 5.0, nan, 0.9, 9.0), (None, 5.0, 0.0, 0.0, 0.0), (0.0, 5.0, -2.0, 0.9, None), (0.0, nan, 0.0, 0.0, 0.0)]
+    got = cleaning.judge_segments(spark.createDataFrame(rows, "start_ms double, end_ms double, avg_logprob double, no_speech_prob double, compression_ratio double")).collect()
+    bad = "invalid_timestamp"
+    assert [r.reason for r in got] == ["low_confidence_repetition", bad, None, bad, None, None, bad, "no_speech", bad] and got[0].start_ms == 0
+
+
+def test_string_ids_and_odd_lines(spark):
+    rows = [(1, '{"unit_id": "u-7", "text": "x"}'), (1, '{"unitID": 3}'), (1, "nonsense"), (1, '{"id": null, "text": "y"}')]
+    got = timelines.read_translations(spark.createDataFrame(rows, "media_id long, line string")).collect()
+    assert [(r.unit_id, r.text) for r in got] == [("u-7", "x"), ("3", ""), (None, ""), (None, "y")]
+    got = policy.scan_files(spark.createDataFrame([("a/ID_RSA", "x"), ("b/c", None)], "path string, text string")).collect()
+    assert [tuple(r) for r in got] == [("a/ID_RSA", "forbiddenName")]
+    rows = [(1, 0, "[1]"), (1, 1, '{"start": "1.5", "end": "NaN", "words": [{"word": "a", "start": true}, null]}'), (1, 2, "{broken"), (1, 3, None)]
+    got = speech.read_segments(spark.createDataFrame(rows, "media_id long, seg_idx long, line string")).orderBy("seg_idx").collect()
+    assert [(r.is_object, r.start, r.end) for r in got] == [(False, None, None), (True, 1.5, None), (False, None, None), (False, None, None)] and len(got[1].words) == 1
+
+
+def test_usable_words(spark):
+    word = lambda t, s, e: (t, s, e, 0.5)
+    good = [word(" a", 1.0, 2.0), word(" b", 2.0, 3.0)]
+    cases = [("a b", good), ("a c", good), ("a b", [good[1], good[0]]), ("a b", [word(" a", 0.5, 2.0), good[1]]), ("a b", [good[0], word(" b", 2.0, 3.5)]), ("a b", [good[0], word(" b", 1.5, 3.0)]), ("a b", [word(" a", None, 2.0), good[1]]), ("a b", []), ("a b", None)]
+    got = values(spark, cases, "t string, w array<struct<text:string,start:double,end:double,probability:double>>", speech.usable_words(F.col("t"), F.lit(1.0), F.lit(3.0), F.col("w")).alias("x"))
+    assert [len(r[0]) for r in got] == [2] + [1] * 8 and tuple(got[1][0][0]) == ("a c", 1.0, 3.0, None)
+
+
+def key(w):
+    w = unicodedata.normalize("NFC", unicodedata.normalize("NFC", w).casefold())
+    kept = "".join(c for c in w.translate(str.maketrans({c: "'" for c in T.APOSTROPHES})) if unicodedata.category(c)[0] in "LMN" or c == "'")
+    return kept if any(unicodedata.category(c)[0] in "LN" for c in kept) else ""
+
+
+def trimmed(text, logprob):
+    """Every start and phrase length is tried."""
+    text = text.strip()
+    tokens = [m.span() for m in re.finditer(r"\S+", text)]
+    spans = [(i, i + 1) for i in range(len(text))] if len(tokens) < 4 and re.search("[\u3040-\u30ff\u4e00-\u9fff]", text) else tokens
+    keys, best = [key(text[a:b]) for a, b in spans], None
+    for s in range(len(keys)):
+        for p in range(1, (16 if len(tokens) < 4 else 8) + 1):
+            n = 1
+            while keys[s + n * p : s + (n + 1) * p] == keys[s : s + p] and len(keys[s : s + p]) == p:
+                n += 1
+            if n >= 4 and n * p >= 8 and any(keys[s : s + p]) and (best is None or (n, n * p) > best[:2]):
+                best = (n, n * p, spans[s][0], spans[s + n * p - 1][1])
+    if best is None or logprob is None or not logprob < -1:
+        return text, False
+    head, tail = text[: best[2]], text[best[3] :]
+    left = (head + (tail.lstrip() if head[-1:].isspace() and tail[:1].isspace() else tail)).strip()
+    return (left if key(left) else ""), True
+
+
+def test_decoder_loops_equal_every_phrase_tried(spark):
+    rng = random.Random(5)
+    texts = ["so " + "no, No " * 6 + "that is it", "ha " * 9, "a b c d " * 2, "\u3042\u3044" * 6 + "\u7d42", "- - - - - - - - - x", "uh " * 7, "", "x " * 8 + "y " * 8 + "z", "\u3042" * 8]
+    texts += [" ".join(rng.choice(["a", "b", "A,", "--"]) for _ in range(rng.randint(4, 30))) for _ in range(150)]
+    rows = [(1, i, t, p) for i, t in enumerate(texts) for p in (-1.5,)] + [(2, 0, texts[0], -0.5), (2, 1, texts[0], None), (2, 2, texts[0], float("nan"))]
+    got = speech.trim_decoder_loops(spark.createDataFrame(rows, "media_id long, seg_idx long, text string, avg_logprob double")).collect()
+    assert len(got) == len(rows)
+    found = {(r.media_id, r.seg_idx): (r.text, r.trimmed) for r in got}
+    for m, i, t, p in rows:
+        assert found[m, i] == trimmed(t, p), t
+
+
+def allocated(total, weights, least, most):
+    n = len(weights)
+    if not n * least - 1e-6 <= total <= n * most + 1e-6:
+        return [total * w / sum(weights) for w in weights]
+    out, left = {}, total
+    while True:
+        open_ = [i for i in range(n) if i not in out]
+        weight = sum(weights[i] for i in open_)
+        share = {i: left * weights[i] / weight for i in open_}
+        bad = next((i for i in open_ if not least <= share[i] <= most), None)
+        if bad is None:
+            return [out.get(i, share.get(i)) for i in range(n)]
+        out[bad] = least if share[bad] < least else most
+        left -= out[bad]
+
+
+def test_durations(spark):
+    rng = random.Random(6)
+    cases = [(float(rng.randint(1, 30)), [float(rng.choice([0.5, 1, 3, 9, 20])) for _ in range(rng.randint(1, 7))]) for _ in range(200)]
+    got = values(spark, cases, "t double, w array<double>", layout.allocate_durations(F.col("t"), F.col("w"), F.lit(1.0), F.lit(7.0)))
+    for (t, w), (have,) in zip(cases, got):
+        assert have == pytest.approx(allocated(t, w, 1.0, 7.0))
+
+
+CAPTION = "media_id long, unit_id long, lang string, text string, chars_per_line int, start_ms long, end_ms long"
+
+
+def test_breaks_in_scripts_without_spaces(spark):
+    rows = [(1, 0, "zh", "\u4f60\u597d\uff0c\u4e16\u754c\u300a\u4e66", 16, 0, 1), (1, 1, "ja", "\u65e5\u672c\u3001\u304b\u306a", 13, 0, 1), (1, 2, "en", "don't 12 a-b", 42, 0, 1), (1, 3, "ko", "\uac00\ub098 \ub2e4", 16, 0, 1), (1, 4, "en", "", 42, 0, 1), (1, 5, "en", None, 42, 0, 1)]
+    got = layout.break_table(spark.createDataFrame(rows, CAPTION)).collect()
+    safe = {u: sorted((r.end, r.rating) for r in got if r.unit_id == u and r.safe) for u in range(6)}
+    assert safe[0] == [(1, 1), (3, 2), (4, 1), (5, 1)] and safe[1] == [(3, 2)] and safe[3] == [(2, 4), (3, 4)] and safe[4] == safe[5] == []
+    assert safe[2] == [(5, 4), (6, 4), (8, 4), (9, 4), (10, 0), (11, 2)]
+
+
+def test_lines_and_counts(spark):
+    rows = [(1, 0, "en", "one two three four", 10, 0, 20_000), (1, 1, "en", "short", 10, 0, 1000), (1, 2, "en", "x" * 25, 10, 0, 1000), (1, 3, "en", None, 10, 0, 1000), (1, 4, "zh", "\u4f60" * 14, 8, 0, 1000)]
+    c = spark.createDataFrame(rows, CAPTION)
+    b = layout.break_table(c)
+    lines = {r.unit_id: r.lines for r in layout.layout_lines(c, b).collect()}
+    assert lines[0] == ["one two", "three four"] and lines[1] == ["short"] and lines[2] == ["x" * 25] and lines[4] == ["\u4f60" * 7] * 2
+    counts = {r.unit_id: (r.n_cues, r.capped) for r in layout.cue_counts(c, b).collect()}
+    assert counts[0] == (3, 0) and counts[1] == (1, 0) and counts[2] == (1, 1) and counts[4] == (1, 0)
+
+
+def test_units_without_a_time(spark):
+    nan = float("nan")
+    rows = [(1, 0, 0.0, 1000.0), (1, 1, nan, 2000.0), (1, 2, 3000.0, 2000.0), (1, 3, 4000.0, 5000.0), (1, 4, 4000.0, 6000.0), (1, 5, 9000.0, 9500.0)]
+    got = layout.plan_timing(spark.createDataFrame([(*r, 1, 2000.0, 8000) for r in rows], "media_id long, unit_id long, start_ms double, end_ms double, n_cues long, readable_ms double, media_end_ms long"))
+    got = {r.unit_id: r for r in got.collect()}
+    assert (got[0].start_ms, got[0].end_ms) == (0, 2000) and sorted(u for u in got if "invalidSourceTiming" in got[u].issues) == [1, 2, 3, 5]
+    assert (got[4].start_ms, got[4].end_ms, got[4].issues) == (4000, 6000, []) and got[3].issues == ["overlappingSourceUnits", "invalidSourceTiming"]
+
+
+def test_transcripts(spark):
+    word = lambda m, p, s, e, i=None, t="a", c=0.5: (m, p, i or str(p), s, e, t, c)
+    heads = [(m, "1", "en") for m in range(1, 9)] + [(9, " ", "en"), (10, "2", "en"), (11, "1", "tlh"), (12, "1", "en")]
+    words = [w for m in range(1, 12) for w in (word(m, 0, 0.0, 1.0), word(m, 1, 1.0, 2.0))] + [word(2, 2, 1.5, 3.0), word(3, 2, 2.0, 3.0, "1"), word(4, 2, 2.0, 3.0, c=float("nan")), word(8, 2, 2.0, 3.0, t="\u00a0")]
+    span = lambda m, p, a, b, i=None: (m, p, i or str(p), 0.0 + p, 1.0 + p, "a", a, b)
+    segments = [span(m, 0, 0, 1) for m in range(1, 12)] + [span(5, 1, 1, 9)]
+    units = [span(m, 0, 0, 1) for m in range(1, 12)] + [span(6, 1, 1, 2, "0"), span(7, 1, 1, 1)]
+    ranged = "media_id long, place long, id string, start double, end double, text string, word_start long, word_end long"
+    got = status.validate_transcripts(
+        spark.createDataFrame(heads, "media_id long, version string, language string"), spark.createDataFrame(words, "media_id long, place long, id string, start double, end double, text string, confidence double"),
+        spark.createDataFrame(segments, ranged), spark.createDataFrame(units, ranged),
+    )
+    assert {r.media_id: r.fault for r in got.collect()} == {
+        2: "invalidWord", 3: "invalidWord", 4: "invalidWord", 5: "invalidSegment", 6: "duplicateSemanticUnitID", 7: "invalidSemanticUnitWordRange", 8: "invalidWord",
+        9: "missingVersion", 10: "unsupportedVersion", 11: "unsupportedLanguage", 12: "missingWords",
+    }
+
+
+def test_output_names_equal_the_queue(spark):
+    rng = random.Random(7)
+    paths = [f"/m/{rng.choice(['a', 'A', 'a.mp4', 'b', 'a.en', 'a-2'])}{rng.choice(['.mp4', '.MP4', '.mov', ''])}" for _ in range(120)]
+    taken, want = set(), []
+    for p in paths:
+        m = re.fullmatch(r"(.*/)([^/]*?)(?:\.([^./]+))?", p)
+        stem, ext = m[1] + m[2], (m[3] or "").lower()
+        names = [f"{stem}.en.srt"] + [f"{stem}.{ext}.en.srt"] * bool(ext) + [f"{stem}.en-{k}.srt" for k in range(2, 200)]
+        want.append(next(n for n in names if n.lower() not in taken))
+        taken.add(want[-1].lower())
+    jobs = spark.createDataFrame([(i, p, "en") for i, p in enumerate(paths)], "job_id long, path string, lang string")
+    assert [r.output for r in status.assign_output_names(jobs).orderBy("job_id").collect()] == want
+
+
+def test_broken_subtitle_files(spark):
+    rows = [(1, "x\n00:00:00,000 --> 00:00:01,000\na\n"), (2, "1\nbad\na"), (3, "1\n00:00:02,000 --> 00:00:01,000\n\u00a0")]
+    got = timeline.first_fault(spark.createDataFrame(rows, "media_id long, document string")).collect()
+    assert sorted((r.media_id, r.fault) for r in got) == [(1, "number"), (2, "timing"), (3, "text")]

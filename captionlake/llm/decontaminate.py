@@ -1,19 +1,20 @@
 """Benchmark decontamination on a distributed positional inverted index (operator 6).
 
-Documents are indexed where they lie: each task writes segments of a few MB of text, and a segment stores, for
-every benchmark term, its sorted positions in the segment (documents follow each other with a gap, so one number
-is document and position). Terms that no benchmark text has can't be asked for and get no postings. Document
-frequencies are summed over all segments. A phrase is then looked up in each segment from its rarest terms: the
-list of the rarest one, shifted by the term's place in the phrase, is intersected with the next ones' shifted lists
-until it is empty or all terms agree. `slop` > 0 asks for proximity: each term within that many words of its place.
-No posting leaves its segment, so no key gathers rows, and the work grows with documents times benchmark terms.
-
-The benchmark is read in blocks of at most `block_bytes` of text (checked), each broadcast; with more than one
-block, the blocks' hits are merged per document row.
+Documents are indexed where they lie, once for the whole benchmark: each task writes segments of a few MB of text, and
+a segment stores, for every term that it and the benchmark may share, its sorted positions in the segment (documents
+follow each other with a gap, so one number is document and position). Which terms those are is told by a bitmap of
+the benchmark's terms; others can't be asked for. Document frequencies are summed over all segments. A phrase is then
+looked up in each segment from its rarest terms: the list of the rarest one, shifted by the term's place in the
+phrase, is intersected with the next ones' shifted lists until it is empty or all terms agree. `slop` > 0 asks for
+proximity: each term within that many words of its place. No posting leaves its segment, so no key gathers rows.
+
+The benchmark is read in blocks of at most `block_bytes` of text (checked), each broadcast as numbers of terms (about
+seven times its text) and looked up in the one index; with more than one block, the blocks' hits are merged per
+document row. Terms are 64-bit hashes of words; a phrase needs all of its terms in place.
 
 Words: A-Z lower-cased, runs of 0-9, a-z and all characters from U+0080. A null or empty text has no words and no
 hits; items that are null, without words, or without an id have no windows. Repeated documents and items count one
-by one. An empty benchmark contaminates nothing. Extra columns are ignored.
+by one. An empty benchmark contaminates nothing. Extra columns are ignored. A long text is one segment of its own.
 """
 
 from __future__ import annotations
@@ -22,124 +23,157 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches, stored
-from .textops import chunks
+from .common import Bitmap, bitmap_of, bits_for, lean, small_batches, stored
+from .textops import Rolling, chunks, word_spans
 
 FOLD = bytes(
     (c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256)
 )
 GAP = 64  # positions between documents; slop must stay below
-SEGMENT_BYTES = 8_000_000
+SEGMENT_BYTES = 2_000_000
+LAST = np.int32(2**31 - 1)
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words in order, and how many each text has."""
+    data = np.frombuffer(b" ".join(t.translate(FOLD) for t in texts) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    s, e, doc = word_spans(data != 32, np.cumsum(sizes) - sizes)
+    return Rolling(data).span(s, e), np.bincount(doc, minlength=len(texts))[: len(texts)]
 
 
 class Phrases:
-    """Windows of the items as term numbers; item numbers by window."""
+    """Windows of the items, by their length: rows of term numbers, and the items of each."""
 
     def __init__(self, items: list[tuple[int, bytes]], size: int):
-        self.size, self.terms, seen = size, {}, {}
-        for item, text in items:
-            w = [self.terms.setdefault(t, len(self.terms)) for t in words(text)]
-            for s in range(max(1, len(w) - size + 1) if w else 0):
-                seen.setdefault(tuple(w[s : s + size]), set()).add(item)
-        self.windows = list(seen)
-        self.items = [sorted(x) for x in seen.values()]
+        names = np.array([i for i, _ in items], np.int64)
+        flat, n = word_hashes([t for _, t in items]) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.terms, number = np.unique(flat, return_inverse=True)
+        ends = np.cumsum(n)
+        rows: dict[int, list] = {}
+        for item, start, end in zip(names.tolist(), (ends - n).tolist(), ends.tolist()):
+            long = min(size, end - start)
+            if long:
+                seen = np.lib.stride_tricks.sliding_window_view(number[start:end], long).astype(np.int32)
+                rows.setdefault(long, []).append((seen, np.full(len(seen), item, np.int64)))
+        self.groups = []
+        for parts in rows.values():
+            windows, of = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([of.ravel(), np.concatenate([i for _, i in parts])], axis=1), axis=0)
+            self.groups.append((windows, np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1]))
 
     def order(self, frequency: np.ndarray) -> None:
-        """Rank each window's terms from the rarest; drop windows with a term that no document has."""
-        keep = [i for i, w in enumerate(self.windows) if min(frequency[list(w)]) > 0]
-        self.windows, self.items = [self.windows[i] for i in keep], [self.items[i] for i in keep]
-        self.plans = [sorted(range(len(w)), key=lambda k: (frequency[w[k]], k)) for w in self.windows]
-        longest = max(map(len, self.windows), default=1)
-        self.table = np.array([[*w, *[w[0]] * (longest - len(w))] for w in self.windows], np.int32).reshape(-1, longest)
+        """Rank each window's terms from the rarest; windows with a term that no document has are never looked up."""
+        self.plans = [np.argsort(frequency[w], axis=1, kind="stable").astype(np.int8) for w, _, _ in self.groups]
+        self.known = frequency > 0
 
 
 class Segment:
-    """Postings of one segment: positions of term t are at[ends[t-1]:ends[t]], ascending."""
-
-    def __init__(self, ends: bytes, at: bytes):
-        self.ends = np.concatenate([[0], np.frombuffer(ends, np.int64)])
+    """Postings of one segment for the terms of a block: positions of term t are at[lo[t]:hi[t]], ascending."""
+
+    def __init__(self, terms: bytes, ends: bytes, at: bytes, wanted: np.ndarray):
+        own, ends = np.frombuffer(terms, np.uint64), np.concatenate([[0], np.frombuffer(ends, np.int32)])
+        i = np.searchsorted(own, wanted)
+        self.has = np.append(own, np.uint64(0))[i] == wanted if len(own) else np.zeros(len(wanted), bool)
+        self.has &= i < len(own)
+        i = np.where(self.has, i, 0)
+        self.lo, self.hi = ends[i], np.where(self.has, np.append(ends, ends[-1])[i + 1], ends[i])
         self.at = np.frombuffer(at, np.int32)
 
     def __getitem__(self, term: int) -> np.ndarray:
-        return self.at[self.ends[term] : self.ends[term + 1]]
+        return self.at[self.lo[term] : self.hi[term]]
 
     def find(self, window, plan, slop: int = 0) -> np.ndarray:
         """Starts where the window occurs, from the rarest term on."""
-        starts = self[window[plan[0]]] - plan[0]
-        for k in plan[1:]:
+        starts = self[window[plan[0]]] - np.int32(plan[0])
+        for k in plan[1:].tolist():
             if not len(starts):
                 break
             other = self[window[k]]
             i = np.searchsorted(other, starts + (k - slop))
-            near = np.append(other, np.int32(2**31 - 1))[i]
+            near = np.append(other, LAST)[i]
             starts = starts[near <= starts + (k + slop)]
         return starts
 
 
-SEGMENT_SCHEMA = "ids array<long>, hashes array<long>, bases binary, ends binary, at binary, docs binary"
+SEGMENT_SCHEMA = "ids array<long>, hashes array<long>, bases binary, terms binary, ends binary, at binary, docs binary"
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
-    """Segments of the index of docs over the given terms, one row each."""
+def build_index(docs: DataFrame, terms: Bitmap, id_col: str, text_col: str) -> DataFrame:
+    """Segments of the index of docs over the terms in a bitmap, one row each."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     @lean
     def run(batches):
         import pyarrow as pa
 
-        known = shared.value
-        n_terms, none = len(known), len(known)
         for b in batches:
             ids, hashes = b.column(0), b.column(1)
-            texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in b.column(2).to_pylist()]
             for lo, hi in chunks(texts, SEGMENT_BYTES):
-                numbers, sizes = [], np.zeros(hi - lo, np.int64)
-                for i in range(lo, hi):
-                    w = words(texts[i] or b"")
-                    sizes[i - lo] = len(w)
-                    numbers.append(np.fromiter((known.get(x, none) for x in w), np.int32, len(w)))
+                term, sizes = word_hashes(texts[lo:hi])
                 bases = np.concatenate([[0], np.cumsum(sizes + GAP)])
-                flat = np.concatenate(numbers)
-                doc = np.repeat(np.arange(hi - lo), sizes)
-                place = np.arange(len(flat)) + GAP * doc
-                use = flat < none
-                flat, place, doc = flat[use], place[use], doc[use]
-                o = np.argsort(flat, kind="stable")
-                flat, place, doc = flat[o], place[o].astype(np.int32), doc[o]
-                ends = np.cumsum(np.bincount(flat, minlength=n_terms)).astype(np.int64)
-                first = np.ones(len(flat), bool)
-                first[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-                per_doc = np.bincount(flat[first], minlength=n_terms).astype(np.int64)
+                use = np.flatnonzero(shared.value.test(term.view(np.int64)))
+                doc = np.repeat(np.arange(hi - lo), sizes)[use]
+                term, place = term[use], (use + GAP * doc).astype(np.int32)
+                o = np.argsort(term, kind="stable")
+                term, place, doc = term[o], place[o], doc[o]
+                new = np.ones(len(term), bool)
+                new[1:] = term[1:] != term[:-1]
+                own = np.flatnonzero(new)
+                first = new.copy()
+                first[1:] |= doc[1:] != doc[:-1]
+                per_doc = np.add.reduceat(first.astype(np.int32), own) if len(own) else np.zeros(0, np.int32)
+                ends = np.append(own[1:], len(term)).astype(np.int32)[: len(own)]
                 row = [
                     pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                     pa.array([hashes.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (bases.astype(np.int64), ends, place, per_doc)),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (bases.astype(np.int64), term[own], ends, place, per_doc.astype(np.int32))),
                 ]
-                yield pa.RecordBatch.from_arrays(row, names=["ids", "hashes", "bases", "ends", "at", "docs"])
+                yield pa.RecordBatch.from_arrays(row, names=["ids", "hashes", "bases", "terms", "ends", "at", "docs"])
 
-    rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
     return stored(rows.mapInArrow(run, SEGMENT_SCHEMA))
 
 
-def _frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Documents by term, over all segments; one row of counts per partition reaches the next step."""
+def benchmark_terms(items: DataFrame) -> Bitmap:
+    """A bitmap of the hashes of all words of the items' texts."""
 
     @lean
-    def add(batches):
+    def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(n_terms, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int64()), pa.array(total[total > 0], pa.int64())], names=["t", "n"])
+            texts = b.column(0).to_pylist()
+            for lo, hi in chunks(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(word_hashes(texts[lo:hi])[0]).view(np.int64))], names=["w"])
+
+    known = stored(items.select(F.col("t").cast("binary")).mapInArrow(run, "w long").distinct())
+    return bitmap_of(known, "w", bits_for(known.count()))
+
+
+def _frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Documents by term of a block, over all segments; each partition sums its own first."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
-    out = np.zeros(n_terms, np.int64)
-    for t, n in index.select("docs").mapInArrow(add, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+    @lean
+    def add(batches):
+        import pyarrow as pa
+
+        wanted = shared.value
+        total = np.zeros(len(wanted) + 1, np.int64)
+        for b in batches:
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = np.frombuffer(t, np.uint64)
+                i = np.searchsorted(wanted, own)
+                good = np.append(wanted, np.uint64(0))[i] == own if len(own) else np.zeros(0, bool)
+                good &= i < len(wanted)
+                np.add.at(total, i[good], np.frombuffer(n, np.int32)[good])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["t", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for t, n in index.select("terms", "docs").mapInArrow(add, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
         out[t] = n
     return out
 
@@ -153,37 +187,38 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
         import pyarrow as pa
 
         p = shared.value
-        for b in batches:
-            for r in b.to_pylist():
-                seg, bases = Segment(r["ends"], r["at"]), np.frombuffer(r["bases"], np.int64)
-                n = len(r["ids"])
-                here = np.diff(seg.ends) > 0
-                cover = np.zeros(bases[-1] + 1, np.int32)
-                items: list[set] = [set() for _ in range(n)]
-                for w in np.flatnonzero(here[p.table].all(axis=1)) if len(p.table) else ():
-                    starts = seg.find(p.windows[w], p.plans[w], slop)
+        for b in (whole.slice(at, 1) for whole in batches for at in range(whole.num_rows)):
+            (r,) = b.to_pylist()
+            seg, bases = Segment(r["terms"], r["ends"], r["at"], p.terms), np.frombuffer(r["bases"], np.int64)
+            n = len(r["ids"])
+            cover = np.zeros(bases[-1] + 1, np.int32)
+            items: list[set] = [set() for _ in range(n)]
+            here = seg.has & p.known
+            for (windows, of, names), plans in zip(p.groups, p.plans):
+                for w in np.flatnonzero(here[windows].all(axis=1)):
+                    starts = seg.find(windows[w], plans[w], slop)
                     if len(starts):
                         np.add.at(cover, starts, 1)
-                        np.add.at(cover, starts + len(p.windows[w]), -1)
+                        np.add.at(cover, starts + windows.shape[1], -1)
                         for d in np.unique(np.searchsorted(bases, starts, side="right") - 1):
-                            items[d].update(p.items[w])
-                hit = np.cumsum(cover) > 0
-                edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
-                lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                of = np.searchsorted(bases, lo, side="right") - 1
-                spans: list[list] = [[] for _ in range(n)]
-                for s, e, d in zip(lo.tolist(), hi.tolist(), of.tolist()):
-                    spans[d].append({"start": s - int(bases[d]), "end": e - int(bases[d])})
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r["ids"], pa.int64()), pa.array(r["hashes"], pa.int64()), pa.array(np.diff(bases) - GAP, pa.int64()),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    ],
-                    names=["id", "h", "n_words", "items", "spans"],
-                )
-
-    return index.select("ids", "hashes", "bases", "ends", "at").mapInArrow(
+                            items[d].update(names[of[w] : of[w + 1]].tolist())
+            hit = np.cumsum(cover) > 0
+            edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
+            lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            of = np.searchsorted(bases, lo, side="right") - 1
+            spans: list[list] = [[] for _ in range(n)]
+            for s, e, d in zip(lo.tolist(), hi.tolist(), of.tolist()):
+                spans[d].append({"start": s - int(bases[d]), "end": e - int(bases[d])})
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(r["ids"], pa.int64()), pa.array(r["hashes"], pa.int64()), pa.array(np.diff(bases) - GAP, pa.int64()),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                ],
+                names=["id", "h", "n_words", "items", "spans"],
+            )
+
+    return index.select("ids", "hashes", "bases", "terms", "ends", "at").mapInArrow(
         run, "id long, h long, n_words long, items array<long>, spans array<struct<start:long,end:long>>"
     )
 
@@ -203,7 +238,7 @@ def _merged(spans) -> "F.Column":
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", block_bytes: int = 16_000_000,
+    item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8_000_000,
 ) -> DataFrame:
     """(id, h, n_words, items, spans) of each document row; h hashes its text."""
     small_batches(docs.sparkSession)
@@ -212,12 +247,12 @@ def matches(
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total * 2 // block_bytes))
+    index = build_index(docs, benchmark_terms(items), id_col, text_col)
     found = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()  # about half of block_bytes
         phrases = Phrases([(r.i, r.t.encode()) for r in part], size)
-        index = build_index(docs, phrases.terms, id_col, text_col)
-        phrases.order(_frequencies(index, len(phrases.terms)))
+        phrases.order(_frequencies(index, phrases.terms))
         hits = _search(index, phrases, slop)
         found = hits if found is None else found.unionByName(hits)
     if blocks > 1:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import lean, small_batches, without
-from .textops import chunks, mix, values
+from .textops import chunks, mix, points, values
 
 MARK = "▁"
 UNSEEN = 1e-7  # probability of a character outside the vocabulary
@@ -50,11 +50,6 @@ def vocabulary(path: str) -> list[str]:
     return [m.id_to_piece(i) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
 
 
-def points(text: str) -> np.ndarray:
-    """The characters of a text as numbers."""
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
 class Trie:
     """The vocabulary as a trie in an open hash table, so that steps are taken for whole arrays of words."""
 

@@ -1,15 +1,15 @@
 """Quality classifier on supervised subword embeddings (operator 9).
 
-A document's features are its words and their character n-grams (3 to 5 bytes, with the white space at a word's
-edge as boundary), hashed into a fixed number of buckets. Each bucket has a learned vector; a document is the
+A document's features are its words and their character n-grams (3 to 5 characters, with the white space at a
+word's edge as boundary), hashed into a fixed number of buckets. Each bucket has a learned vector; a document is the
 average of its features' vectors, and a softmax layer over that average gives the class probabilities. Vectors
 and layer are trained by stochastic gradient descent in numpy.
 
 Averaging is linear, so for scoring the layer is folded into the buckets: each bucket becomes one number (the
 difference of the two classes' logits) and a document's logit is the average of its features' numbers plus a
-bias. That is the same function, read in one pass over the bytes.
+bias. That is the same function, read in one pass over the characters.
 
-Fitting: at most `max_rows` labelled documents (smallest hashes of their ids, each of at most `max_bytes`), a
+Fitting: at most `max_rows` labelled rows, whole texts in the order of a hash, until they have `max_bytes` of text: a
 documented bound; scoring reads every row whole.
 
 Nulls: a null text is empty; a text without features gets the bias alone. Labels or ids that are null don't
@@ -20,22 +20,20 @@ columns it adds replace ones of the same name. Repeated rows are scored alike.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import lean, without
-from .textops import Rolling, chunks
+from .textops import Rolling, chunks, points
 
 GRAMS = (3, 4, 5)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def features(texts: list[bytes], log2: int) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str], log2: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Buckets of all features of the texts, and how many belong to each text, in order."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8).copy()
-    blank = SPACE[data]
+    data = points(" " + " ".join(texts) + " ").copy()
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
     data[blank] = 32
     roll = Rolling(data)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -60,7 +58,7 @@ class Classifier:
     def __init__(self, log2: int, values: np.ndarray, bias: float):
         self.log2, self.values, self.bias = log2, values, bias
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for lo, hi in chunks(texts):
             found, where = features(texts[lo:hi], self.log2)
@@ -72,7 +70,7 @@ class Classifier:
         return 1 / (1 + np.exp(-(self.bias + total / np.maximum(n, 1))))
 
 
-def train(texts: list[bytes], labels: list[int], log2: int = 17, dim: int = 8, epochs: int = 5, rate: float = 1.0, seed: int = 5) -> Classifier:
+def train(texts: list[str], labels: list[int], log2: int = 17, dim: int = 8, epochs: int = 5, rate: float = 1.0, seed: int = 5) -> Classifier:
     """Stochastic gradient descent, one document at a time, in a seeded order."""
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
@@ -109,18 +107,22 @@ def train(texts: list[bytes], labels: list[int], log2: int = 17, dim: int = 8, e
 
 def fit(
     docs: DataFrame, labels: DataFrame, train_rows: Column, label_col: str, id_col: str = "doc_id", text_col: str = "text",
-    max_rows: int = 4000, max_bytes: int = 20_000,
+    max_rows: int = 4000, max_bytes: int = 20_000_000,
 ) -> Classifier:
     """Fit on labelled rows where train_rows (over labels) holds."""
     rows = labels.where(train_rows & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")
     )
-    share = F.pmod(F.xxhash64(F.lit(29), F.col("__id")), F.lit(1 << 20)) / F.lit(1 << 20)
+    key = F.xxhash64(F.lit(29), F.col("__id"))
     n = rows.count()
-    chosen = rows.where(share < min(1.0, 1.2 * max_rows / max(n, 1))).orderBy(share, "__id").limit(max_rows)
-    texts = docs.where(F.octet_length(text_col) <= max_bytes).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    got = texts.join(F.broadcast(chosen), "__id").orderBy("__id").limit(2 * max_rows).collect()  # max_rows ids at most
-    return train([r["__t"].encode() for r in got], [r["__label"] for r in got])
+    some = rows.where(F.pmod(key, F.lit(1 << 20)) / F.lit(1 << 20) < min(1.0, (1.2 * max_rows + 100) / max(n, 1)))  # more than wanted, so that few rows are ranked
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    by_hash = Window.orderBy("__h", "__id", "__label", "__n", F.xxhash64("__t"))
+    got = texts.join(some.withColumn("__h", key), "__id").withColumn("__n", F.octet_length("__t"))
+    got = got.withColumn("__r", F.row_number().over(by_hash)).where(F.col("__r") <= max_rows)
+    got = got.withColumn("__sum", F.sum("__n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__sum") <= max_bytes)
+    got = got.orderBy("__r").collect()
+    return train([r["__t"] for r in got], [r["__label"] for r in got])
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -135,8 +137,7 @@ def score(docs: DataFrame, model: Classifier, threshold: float = 0.3, text_col:
 
         m = shared.value
         for b in batches:
-            texts = b.column(at).cast(pa.binary()).to_pylist()
-            s = m.scores([t or b"" for t in texts])
+            s = m.scores([t or "" for t in b.column(at).to_pylist()])
             cols = [*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "score", "predicted"])
 

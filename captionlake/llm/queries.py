@@ -75,4 +75,31 @@ QUERIES = {
     for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op6_decontamination, op7_ngram_join, op8_substring_dedup, op9_quality, op10_neighbours, pipeline)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z in lower case, and nothing else changed.
+LOW = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOW.format(t="coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOW.format(t='text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[s + 1 : s + least(len(ws), 10)], ' ') AS x FROM (SELECT item_id, ws, unnest(range(greatest(len(ws) - 9, 1))) AS s FROM b WHERE len(ws) > 0)),
+g AS (SELECT r, s, n, array_to_string(ws[s + 1 : s + n], ' ') AS x FROM (SELECT d.r, d.ws, k.n, unnest(range(len(d.ws) - k.n + 1)) AS s FROM d, (SELECT DISTINCT n FROM w) k WHERE len(d.ws) >= k.n)),
+f AS (SELECT g.r, g.s, g.n, w.item_id FROM g JOIN w ON g.n = w.n AND g.x = w.x),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM f) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT r, item_id FROM f) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
+    "op7_ngram_join": rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOW.format(t="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[s + 1 : s + 4], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 3, 1))) AS s FROM d WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT u.doc_id AS a, v.doc_id AS b, count(*) AS k FROM g u JOIN g v ON u.x = v.x AND u.doc_id < v.doc_id GROUP BY ALL) p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.doc_id WHERE c.root < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.root, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS root FROM c GROUP BY doc_id) r USING (doc_id)""",
+    "op8_substring_dedup": """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, substring(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 49)) AS p FROM d WHERE length(x) >= 100)),
+f AS (SELECT w.doc_id, w.p FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)) m USING (s) WHERE w.doc_id > m.least),
+o AS (SELECT doc_id, p, max(p + 50) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+r AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM (SELECT doc_id, p, sum(CASE WHEN reach IS NULL OR p > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o) GROUP BY doc_id, k),
+k AS (SELECT r.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substring(x, 2 * coalesce(last, 0) + 1, 2 * (lo - coalesce(last, 0))), '' ORDER BY lo) || substring(any_value(x), 2 * max(hi) + 1) AS kept
+  FROM (SELECT *, lag(hi) OVER (PARTITION BY doc_id ORDER BY lo) AS last FROM r) r JOIN d USING (doc_id) GROUP BY r.doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+}

@@ -3,11 +3,13 @@
 Three fixed patterns find assigned values, access keys and long hex strings. The method adds `random` spans: runs
 of token characters whose encoding is inferred (hex, base 32, base 36, base 64) and that behave like uniform draws
 from that alphabet. Three tests can reject that: chi-squared uniformity of the symbols (Wilson-Hilferty normal
-form), the runs test over the alphabet's halves, and lag-1 serial correlation. A string that passes all three is
-still compared with ordinary text, in which the character class seldom changes: the p-value of its number of
-class changes is weighted by length (longer strings may spend more of the error budget) and the
-Benjamini-Hochberg step over all candidates of the corpus sets the cut. That step needs only counts of p-values
-in fixed bins, so at most BINS rows reach the driver.
+form), the runs test over the alphabet's halves, and lag-1 serial correlation. Their p-values are combined by the
+Cauchy rule, which holds for tests that hang together, and the Benjamini-Hochberg step over all candidates of the
+corpus says which strings are not random. What is left is compared with ordinary text, in which the character class
+seldom changes: the p-value of the number of class changes goes through a second such step, and only what it
+rejects as ordinary is a `random` span. Both steps are aware of length: a string's weight is its length over the mean
+length of all candidates, so weights have a mean of one and longer strings, which tell more, may spend more of the
+error budget. The steps need only counts of p-values in fixed bins, so at most BINS * BINS rows reach the driver.
 
 Nulls: a null text is empty. Spans are code points, end exclusive; a pattern's matches are leftmost and don't
 overlap within a kind. Extra columns are carried; columns that are added replace ones of the same name. Repeated
@@ -31,9 +33,9 @@ HEX = r"[0-9a-f]{16,}+"  # what is shorter fails anyway
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
-BINS, STEP = 400, 0.1  # of -log10 of a weighted p-value
-ALPHA, CHANGE_RATE, USUAL_LENGTH = 0.001, 0.12, 40
-REJECT = 0.001  # each battery test, by Bonferroni over three
+BINS, STEP = 200, 0.2  # of -log10 of a weighted p-value
+NOT_RANDOM, NOT_TEXT = 0.01, 0.001  # false-discovery rates of the two steps
+CHANGE_RATE = 0.12  # of character classes in ordinary text
 
 #: places where one class of characters ends
 CHANGE = "(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])|(?<=[^a-zA-Z0-9])(?=[a-zA-Z0-9])"
@@ -145,11 +147,16 @@ def _scores(x: Column) -> Column:
 
 
 def _verdict(x: Column) -> Column:
-    """struct(passed, bin): no test of the battery rejects, and the bin of the length-weighted p-value."""
-    least = F.least(_tail(x["chi"]), 2 * _tail(x["runs"]), 2 * _tail(x["serial"]))
-    weighted = F.greatest(_tail(x["changes"]), F.lit(1e-45)) * USUAL_LENGTH / x["n"]
-    at = F.least(F.greatest(F.floor(-F.log10(weighted) / STEP), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    return F.struct((least > REJECT / 3).alias("passed"), at.alias("bin"))
+    """struct(n, battery, text): the length, the battery's combined p-value and that of the class changes."""
+    cauchy = lambda p: F.tan((0.5 - F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))) * math.pi)
+    mean = (cauchy(_tail(x["chi"])) + cauchy(2 * _tail(x["runs"])) + cauchy(2 * _tail(x["serial"]))) / 3
+    battery = F.when(mean > 1e4, 1 / (mean * math.pi)).otherwise(0.5 - F.atan(mean) / math.pi)
+    return F.struct(x["n"].alias("n"), battery.alias("battery"), F.greatest(_tail(x["changes"]), F.lit(1e-45)).alias("text"))
+
+
+def _bin(p: Column, n: Column, mean_length: float) -> Column:
+    """The bin of a p-value over its weight."""
+    return F.least(F.greatest(F.floor(-F.log10(p * mean_length / n) / STEP), F.lit(0)), F.lit(BINS - 1)).cast("int")
 
 
 def _judged(found: Column) -> Column:
@@ -166,23 +173,34 @@ def _where_known(f):
     return lambda x: F.when(x.isNotNull(), f(x))
 
 
-def discovery_bin(docs: DataFrame, text_col: str = "text") -> int:
-    """The least bin that the Benjamini-Hochberg step over all candidates that pass the battery accepts."""
+def _least_rejected(counts: dict[int, int], rate: float) -> int:
+    """The least bin that the Benjamini-Hochberg step rejects, of counts of hypotheses by bin; BINS if none."""
+    total, above, cut = sum(counts.values()), 0, BINS
+    for b in sorted(counts, reverse=True):
+        above += counts[b]
+        if 10 ** (-b * STEP) <= rate * above / total:
+            cut = b
+    return cut
+
+
+def discovery(docs: DataFrame, text_col: str = "text") -> tuple[float, int, int]:
+    """Mean length of the candidates, the battery's bin from which a string isn't random, and the bin of class changes
+    from which it isn't text, over all of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("s")).where(F.size("s") > 0)
-    judged = found.select(F.explode(_judged(F.col("s"))).alias("b"))
-    counts = judged.where("b.passed").groupBy("b.bin").count().collect()
-    total, above, cut = sum(r["count"] for r in counts), 0, BINS
-    for r in sorted(counts, key=lambda r: -r["bin"]):
-        above += r["count"]
-        if 10 ** (-r["bin"] * STEP) <= ALPHA * above / total:
-            cut = r["bin"]
-    return cut
+    known = found.select(F.explode(F.transform("s", _inferred)).alias("x")).where("x.alphabet is not null")
+    mean = known.agg(F.avg("x.n")).first()[0] or 1.0
+    judged = found.select(F.explode(_judged(F.col("s"))).alias("v")).where("v is not null")
+    bins = judged.select(_bin(F.col("v.battery"), F.col("v.n"), mean).alias("battery"), _bin(F.col("v.text"), F.col("v.n"), mean).alias("text"))
+    counts = bins.groupBy("battery", "text").count().collect()
+    by = lambda name, rows: {b: sum(r["count"] for r in rows if r[name] == b) for b in {r[name] for r in rows}}
+    not_random = _least_rejected(by("battery", counts), NOT_RANDOM)
+    return mean, not_random, _least_rejected(by("text", [r for r in counts if r["battery"] < not_random]), NOT_TEXT)
 
 
-def scan(docs: DataFrame, text_col: str = "text", cut: int | None = None, spans_col: str = "all_spans") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", cuts: tuple[float, int, int] | None = None, spans_col: str = "all_spans") -> DataFrame:
     """docs with spans_col, an array of (start, kind, end) in order; kind indexes KINDS."""
-    cut = discovery_bin(docs, text_col) if cut is None else cut
+    mean, not_random, not_text = discovery(docs, text_col) if cuts is None else cuts
     rows = without(docs, spans_col)
     names = [fresh(f"secret_{m}", rows.columns) for m in MADE]
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -194,7 +212,7 @@ def scan(docs: DataFrame, text_col: str = "text", cut: int | None = None, spans_
         _spans(text, ASSIGN, 0, assign, F.transform(value, lambda v: F.length(v) >= LEAST_ASSIGN)),
         _spans(text, ACCESS, 1, access, F.transform(access, lambda v: F.length(v) >= LEAST_ACCESS)),
         _spans(text, HEX, 2, hexes),
-        _spans(text, CANDIDATE, 3, loose, F.transform(verdict, lambda v: F.coalesce(v["passed"] & (v["bin"] >= cut), F.lit(False)))),
+        _spans(text, CANDIDATE, 3, loose, F.transform(verdict, lambda v: F.coalesce((_bin(v["battery"], v["n"], mean) < not_random) & (_bin(v["text"], v["n"], mean) >= not_text), F.lit(False)))),
     )
     return rows.withColumn(spans_col, F.array_sort(spans)).drop(*names)
 

@@ -2,14 +2,14 @@
 
 Rows of a source are ranked in a seeded pseudo-random order; rank r of n becomes the fraction (r - 0.5) / n;
 all rows are put in the order of their fractions and that order is cut into equal runs. Each run then holds
-every source in its share of the whole, to within one row.
+every source in its share of the whole, to within two rows.
 
 No window is taken over a whole source or over all rows. The random keys are spread evenly, so rows are first
 dealt into ranges of the key; the ranges' counts (a small table) give the rank at which each range starts, and
 only rows inside a range are ranked with each other. The same is done for the fractions. Texts aren't shuffled.
 
 Nulls: a null source is a source of its own; a null text has 0 bytes and the CRC of the empty text; a null
-doc_id is ranked by an own key. Repeated rows are separate rows. An empty table gives an empty result.
+doc_id is ranked by the key of its text. Repeated rows are separate rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ def interleave(
     """(id, size, text_crc32, stratum, shard, slot): shard counts are at most one apart and every shard has
     each stratum in proportion."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10)
+    # the text is part of the key, so that rows with one id, or none, are spread as well
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text).cast("string"))
+    unit = F.conv(F.substring(F.md5(name), 1, 12), 16, 10)
     rows = docs.select(
         F.col(id_col),
         (F.octet_length(text) + 8).cast("long").alias("size"),
@@ -56,7 +58,7 @@ def interleave(
     ranked = rows.withColumn("i", F.row_number().over(inside)).join(
         starts, F.col("stratum").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2"))
     )
-    # (2 rank - 1) / (2 of), compared exactly as the integer part of a scaled quotient and then by rank
+    # (2 rank - 1) / (2 of) as a double; equal ones are ordered by key
     fraction = F.expr("cast((2 * (start + i) - 1) as double) / (2 * of)")
     placed = ranked.select(id_col, "size", "text_crc32", "stratum", "key", fraction.alias("f"))
     placed = placed.withColumn("slice", F.least(F.floor(F.col("f") * ranges), F.lit(ranges - 1)))

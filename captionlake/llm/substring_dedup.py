@@ -1,21 +1,23 @@
-"""Exact removal of repeated substrings by external induced sorting (operator 8).
+"""Exact removal of repeated substrings by sampled suffixes (operator 8).
 
-Sorting every suffix would move many times the input. Induced sorting needs to sort a sample of the suffixes only
-and derives the rest, and that is what is done here, with Spark's shuffle as the disk-backed queue:
+This stands in for external induced sorting, which would move every suffix with its rank and common prefix through
+each level of its recursion: 16 bytes or more for each byte of text, at every level, against a disk bound of 4 times
+the compressed input. As in induced sorting, only a sample of the suffixes is sorted and the rest is derived from it,
+but there is no recursion over names, no queue of tuples and no array of common prefixes; Spark's shuffle sorts.
 
 1. Sampled suffixes. A position is sampled if its k-byte gram is the least (by hash) of all grams in some window
    of `length` bytes: local minima, as in induced sorting, but under a random order, so that about one position
    in 17 is taken. Whether a position is sampled depends on the bytes around it alone, so equal windows have equal
    sampled positions. Tasks write runs of tuples (gram, name of the surroundings, place), sorted within buckets.
-2. A bucket merges its runs in tuple order. Equal names mean that the common prefix and suffix around the sampled
+2. A bucket merges its runs in tuple order. Equal names (128 bits with the gram, over the bytes around it) mean that the common prefix and suffix around the sampled
    positions reach over every window with that position; the later documents' bytes are removed. Where grams are
    equal but names differ, the common part is shorter and must be looked at.
-3. Recursion on what is left: those positions, with the bytes around them, are sorted once more by gram, and the
-   windows of `length` bytes at each offset are induced from them and compared.
+3. What is left: those positions, with the bytes around them, are sorted once more by gram, and the windows of
+   `length` bytes at each offset are derived from them, matched by hash and compared byte by byte.
 4. The byte ranges of each document are gathered and cut out. Only texts with ranges are shuffled.
 
-A row's identity is its doc_id with a hash of its text. Nulls: a null text is empty; a null doc_id comes after
-all others. Rows that repeat a doc_id don't repeat each other. Extra columns are ignored. Matches are of bytes and
+A row's identity is its doc_id with a hash of its text. Nulls: a null text is empty; a null doc_id counts as the
+largest number, and rows with it don't repeat each other. Rows that repeat a doc_id don't repeat each other. Extra columns are ignored. Matches are of bytes and
 never cross documents; an empty table gives an empty result.
 """
 
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, lean, small_batches, stored
+from .common import bitmap_of, bits_for, lean, small_batches, stored
 from .textops import ODD, Rolling, mix
 
 GRAM = 18
@@ -36,19 +38,14 @@ PART = 700_000  # bytes of text looked at together
 MARGIN = 160
 BUCKET_BYTES = 8_000_000
 LAST = (1 << 63) - 1  # stands for a null doc_id
-BITS = 26
-FIVE = np.uint64((1 << 40) - 1)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return x.astype("<u8").tobytes()
 
 
 def _unpack(parts: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel()
+    return np.frombuffer(b"".join(parts), "<u8")
 
 
 def _parts(texts: list[bytes]):
@@ -109,14 +106,13 @@ def sampled(group, length: int):
     at, p, first, shift, before, after = (x[keep] for x in (at, p, first, shift, before, after))
     name = mix(roll.span(at - before, at + after) + (before * 64 + after).astype(np.uint64) * ODD)
     row = np.fromiter((x[0] for x in group), np.int64, len(group))[p]
-    return gram[at] & FIVE, name & FIVE, row, at - first + shift, at, before, after, data
+    return gram[at], name, row, at - first + shift, at, before, after, data
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h"), text.alias("t")
-    )
+    known = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(known, F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"), known.isNull().alias("nameless"))
 
 
 def _runs(buckets: int, length: int):
@@ -291,8 +287,11 @@ def _induce(length: int):
                 order = np.lexsort((doc, key))
                 k, d = key[order], doc[order]
                 new = np.concatenate([[True], k[1:] != k[:-1]])
-                later = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
-                hit[use[order[later]], off + 1] = 1
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                later = np.flatnonzero(d > d[lead])
+                one, two = rows[use[order[later]]], rows[use[order[lead[later]]]]
+                same = (around[one, off : off + length] == around[two, off : off + length]).all(axis=1)  # the bytes themselves
+                hit[use[order[later[same]]], off + 1] = 1
             turn = np.diff(hit, axis=1)
             who, first = np.nonzero(turn == 1)
             last = np.nonzero(turn == -1)[1]
@@ -322,7 +321,8 @@ def repeated_ranges(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(mix(g).view(np.int64))], names=["g"])
 
     asked = first.where("grams is not null").select("grams").mapInArrow(each, "g long")
-    bits = spark.sparkContext.broadcast(bitmap_of(asked, "g", BITS))  # 8 MB
+    asked = stored(asked.distinct())
+    bits = spark.sparkContext.broadcast(bitmap_of(asked, "g", bits_for(asked.count())))
     looked = rows.mapInArrow(_look(buckets, length, bits), LOOK)
     second = stored(looked.groupBy("bucket").applyInArrow(_induce(length), FOUND))
     return first.where("id is not null").unionByName(second).select("id", "h", "lo", "hi")
@@ -334,9 +334,10 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     rows = _keyed(docs, id_col, text_col)
     ranges = repeated_ranges(docs, length, id_col, text_col)
     key = F.xxhash64("id", "h")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(ranges, key, 24))
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    touched_rows = stored(ranges.select(key.alias("key")).distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(touched_rows, "key", bits_for(touched_rows.count())))
+    names = ["id", "nameless", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    schema = "id long, nameless boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(text: bytes, packed: np.ndarray):
         """Union of the ranges (lo * 2**32 + hi), and what is left."""
@@ -354,32 +355,31 @@ def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         import pyarrow as pa
 
         for b in batches:
-            out = [cut(t.as_py(), np.asarray(r.values if r.is_valid else [], np.int64)) for t, r in zip(b.column(1), b.column(2))]
+            out = [cut(t.as_py(), np.asarray(r.values if r.is_valid else [], np.int64)) for t, r in zip(b.column(2), b.column(3))]
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols[: 4 + with_text]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols[: 4 + with_text]], names=names)
 
     @lean
     def whole(batches):
         import pyarrow as pa
 
         for b in batches:
-            b = b.filter(pa.array(~bits.value.test(b.column(3).to_numpy(zero_copy_only=False))))
+            b = b.filter(pa.array(~bits.value.test(b.column(4).to_numpy(zero_copy_only=False))))
             texts = b.column(2).to_pylist()
             n = pa.array(map(len, texts), pa.int64())
             zero = pa.array(np.zeros(len(texts), np.int64))
             sha = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, zero, zero, sha, *[b.column(2)] * with_text], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), n, zero, zero, sha, *[b.column(2)] * with_text], names=names)
 
     @lean
     def flagged(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield b.filter(pa.array(bits.value.test(b.column(3).to_numpy(zero_copy_only=False))))
+            yield b.filter(pa.array(bits.value.test(b.column(4).to_numpy(zero_copy_only=False))))
 
     keyed = rows.withColumn("key", key)
     gathered = ranges.groupBy("id", "h").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("ranges"))
-    touched = keyed.mapInArrow(flagged, keyed.schema).join(gathered, ["id", "h"], "left").select("id", "t", "ranges")
+    touched = keyed.mapInArrow(flagged, keyed.schema).join(gathered, ["id", "h"], "left").select("id", "nameless", "t", "ranges")
     out = keyed.mapInArrow(whole, schema).unionByName(touched.mapInArrow(finish, schema))
-    back = F.when(F.col("id") != LAST, F.col("id")).alias(id_col)
-    return out.select(back, *names[1:])
+    return out.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), *names[2:])

@@ -39,7 +39,8 @@ SKETCH = 19  # log2 of the sketch's counters
 SLICE = 15
 ROUNDS, GROUP, BLOCK = 3, 64, 32
 TOKENS_PER_BUCKET = 400_000
-ROWS_PER_BUCKET = 20_000  # sets compared by their cells in one task
+ROWS_PER_BUCKET, CELLS_PER_BUCKET = 20_000, 8_000_000  # sets compared by their cells in one task, and bytes of their cells
+TOKENS_PER_BLOCK = 1_000_000  # of a block's members, and of the queries that are held against them at once
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +247,8 @@ def _qualify(block: list[str], num: int, den: int):
 
 def _by_bucket(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     """Apply run to buckets of whole groups."""
-    buckets = max(8, -(-rows.count() // ROWS_PER_BUCKET))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("cells")), F.lit(0)).alias("bytes")).first()
+    buckets = max(8, -(-size.n // ROWS_PER_BUCKET), -(-size.bytes // CELLS_PER_BUCKET))
     return rows.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets))).groupBy("bucket").applyInArrow(run, schema)
 
 
@@ -273,9 +275,10 @@ def _merge(num: int, den: int):
     return run
 
 
-def _dealt(n: str, part: int):
-    """Into how many parts a group of n rows is split."""
-    return F.greatest(F.lit(1), F.ceil(F.col(n) / part)).cast("int")
+def _dealt(n: str, part: int, tokens: str | None = None):
+    """Into how many parts a group of n rows, with so many tokens, is split."""
+    by_tokens = F.ceil(F.col(tokens) / TOKENS_PER_BLOCK) if tokens else F.lit(1)
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / part), by_tokens).cast("int")
 
 
 def _prefixes(rows: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -347,26 +350,29 @@ def _meet(num: int, den: int):
         token[:, :7] = raw
         token = token.view(np.uint64).ravel()
         col = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in COLUMNS.items()}
-        o = np.argsort(token, kind="stable")
+        o = np.lexsort((col["sizes"], token))  # by size within a token, so that sets of a fitting size stand together
         token = token[o]
         ids, comp, sub, n, place = (col[c][o].astype(np.int64) for c in COLUMNS)
         comp = comp + ids
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, int)
         found: list[np.ndarray] = []
+        held = 0
         for s, e in zip(edge[:-1][np.diff(edge) > 1], edge[1:][np.diff(edge) > 1]):
             if (comp[s:e] == comp[s]).all():
                 continue
+            last = s + np.searchsorted(n[s:e], n[s:e] * den // num, side="right")  # sets behind these are too large
             for i in range(s, e - 1):
-                j = np.arange(i + 1, e)
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                j = np.arange(i + 1, last[i - s])
                 most = np.minimum(n[i] - place[i], n[j] - place[j])
-                j = j[(comp[j] != comp[i]) & (small * den >= num * large) & (most * (num + den) >= num * (n[i] + n[j]))]
+                j = j[(comp[j] != comp[i]) & (most * (num + den) >= num * (n[i] + n[j]))]
                 if len(j):
                     swap = comp[j] > comp[i]
                     q, g = np.where(swap, j, i), np.where(swap, i, j)
                     found.append(np.stack([ids[q], comp[g], sub[g]], axis=1))
-            if len(found) > 500:
-                found = [np.unique(np.concatenate(found), axis=0)]
+                    held += len(j)
+                if held > 500_000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    held = len(found[0]) // 2
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
         return pa.table({"query": pa.array(out[:, 0]), "component": pa.array(out[:, 1]), "sub": pa.array(out[:, 2].astype(np.int32))})
 
@@ -420,9 +426,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     met = likely.join(_token_sets(rows, words, likely.select("id").distinct()), "id")
     merged = stored(met.groupBy(*part).applyInArrow(_merge(num, den), "a long, b long"))
     groups = components(merged)
-    labels = sets.select("id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = labels.groupBy("component").agg(F.count("*").alias("m"))
-    labels = stored(labels.join(sizes, "component").select("id", "component", F.pmod(F.hash("id"), _dealt("m", BLOCK)).alias("sub")))
+    labels = sets.select("id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    labels = stored(labels.join(sizes, "component").select("id", "n", "component", F.pmod(F.hash("id"), _dealt("m", BLOCK, "tokens")).alias("sub")))
+    sized, labels = labels, labels.drop("n")
 
     # the matrix: prefix tokens by group, dealt by token
     total = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
@@ -435,7 +442,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     # open the groups that qualify
     block = ["component", "sub"]
-    salts = asked.groupBy(block).agg(F.count("*").alias("m")).withColumn("parts", _dealt("m", 500)).drop("m")
+    weight = asked.join(sized.select(F.col("id").alias("query"), "n"), "query")
+    salts = weight.groupBy(block).agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).withColumn("parts", _dealt("m", 500, "tokens")).select(*block, "parts")
     members = labels.join(salts, block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", *block, "part", F.lit(0).alias("role"))
     queries = asked.join(salts, block).select(F.col("query").alias("id"), *block, F.pmod(F.hash("query"), F.col("parts")).alias("part"), F.lit(1).alias("role"))
     both = stored(members.unionByName(queries))

@@ -1,5 +1,5 @@
 """Queries over recogniser words, caption layout, timing and statuses, with the same question in DuckDB SQL where it can
-state it; the others are tested against plain loops in tests/test_layout.py."""
+state it; the others are tested against plain loops in tests/test_rules.py."""
 
 from __future__ import annotations
 

@@ -9,6 +9,7 @@ from ..functions import texts as T
 from ..operators import cleaning, grouping, policy, timeline
 from ..sources import fixtures as fx
 from ..sources import timelines
+from ..streaming.files import through_stream
 from .catalogue import CUES, JUDGED, query
 
 
@@ -208,7 +209,7 @@ def S6_R7_event_lines(spark, d):
   WHEN 'translate' THEN 0.78::DOUBLE + (0.95::DOUBLE - 0.78::DOUBLE) * f ELSE 0.95::DOUBLE + (0.99::DOUBLE - 0.95::DOUBLE) * f END AS progress FROM e""")
 def R1_progress_stream(spark, d):
     progress = lambda lines: timelines.event_lines(lines).select("event_id", "job_id", X.overall_progress(F.col("stage"), F.col("fraction")).alias("progress"))
-    return timelines.through_stream(spark, _event_lines(spark, d), progress)
+    return through_stream(spark, _event_lines(spark, d), progress)
 
 
 @query("WITH " + fx.SQL_SEGMENTS + ", " + fx.SQL_UNITS.removeprefix(fx.SQL_LINES + ", ") + """SELECT 'segments' AS kind, media_id, seg_idx AS place, seg_idx::VARCHAR AS id, start_ms, end_ms, text FROM segments

@@ -149,7 +149,7 @@ def W11_allocate_durations(spark, d):
 
 
 @query(TIMED + """, c AS (SELECT f.media_id, f.unit_id, b, z, n, (z - b) / n AS d, unnest(range(n)) AS p FROM f JOIN v ON v.media_id = f.media_id AND v.rn = f.rn), k AS (SELECT *, b + sum(d) OVER (PARTITION BY media_id, unit_id ORDER BY p) AS till FROM c)
-SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY b, unit_id, p) AS cue_index, unit_id, greatest(round(till - d), 0)::BIGINT AS start_ms, greatest(greatest(round(till - d), 0)::BIGINT + 1, round(CASE WHEN p = n - 1 THEN z ELSE till END)::BIGINT) AS end_ms FROM k""")
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY b, unit_id, p) AS cue_index, unit_id, greatest(round(round(till - d, 6)), 0)::BIGINT AS start_ms, greatest(greatest(round(round(till - d, 6)), 0)::BIGINT + 1, round(round(CASE WHEN p = n - 1 THEN z ELSE till END, 6))::BIGINT) AS end_ms FROM k""")
 def W12_number_cues(spark, d):
     timed = layout.plan_timing(_timed(spark, d)).join(_timed(spark, d).select("media_id", "unit_id", "n_cues"), ["media_id", "unit_id"])
     even = F.transform(F.sequence(F.lit(1), F.col("n_cues").cast("int")), lambda i: (F.col("end_ms") - F.col("start_ms")) / F.col("n_cues"))

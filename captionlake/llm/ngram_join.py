@@ -40,6 +40,7 @@ SLICE = 15
 ROUNDS, GROUP, BLOCK = 3, 64, 32
 TOKENS_PER_BUCKET = 400_000
 ROWS_PER_BUCKET, CELLS_PER_BUCKET = 20_000, 8_000_000  # sets compared by their cells in one task, and bytes of their cells
+POSTINGS = 2_000  # sets of one token that are compared in one piece
 TOKENS_PER_BLOCK = 1_000_000  # of a block's members, and of the queries that are held against them at once
 
 
@@ -338,8 +339,36 @@ def _deal(buckets: int):
     return run
 
 
-def _meet(num: int, den: int):
-    """Queries of groups from one token bucket: sets of different components that share a prefix token there."""
+ASKED = "query long, component long, sub int"
+PARTS = ASKED + ", token long, k int, first int, last int, " + ", ".join(f"{c} binary" for c in COLUMNS)
+
+
+def _asks(p: list[np.ndarray], stop: int, first: int, num: int, den: int) -> np.ndarray:
+    """Queries (id, component, sub) among one token's postings p, the columns of the matrix in order of size: each of
+    the first `stop` sets against those behind it, from `first` on, of other components and fitting sizes and places."""
+    ids, comp, sub, n, place = p
+    last = np.searchsorted(n, n[:stop] * den // num, side="right")  # sets behind these are too large
+    found: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+    held = 0
+    for i in range(stop):
+        j = np.arange(max(i + 1, first), last[i])
+        most = np.minimum(n[i] - place[i], n[j] - place[j])
+        j = j[(comp[j] != comp[i]) & (most * (num + den) >= num * (n[i] + n[j]))]
+        if len(j):
+            swap = comp[j] > comp[i]
+            q, g = np.where(swap, j, i), np.where(swap, i, j)
+            found.append(np.stack([ids[q], comp[g], sub[g]], axis=1))
+            held += len(j)
+        if held > 500_000:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = len(found[0]) // 2
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _meet(num: int, den: int, part: int):
+    """Queries of groups from one token bucket: sets of different components that share a prefix token there. A token
+    with more than `part` postings isn't compared here: its postings are handed on in parts, in order of size, each
+    with the first and the last part that it has to be compared with."""
 
     @lean
     def run(table):
@@ -352,33 +381,68 @@ def _meet(num: int, den: int):
         col = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in COLUMNS.items()}
         o = np.lexsort((col["sizes"], token))  # by size within a token, so that sets of a fitting size stand together
         token = token[o]
-        ids, comp, sub, n, place = (col[c][o].astype(np.int64) for c in COLUMNS)
+        packed = {c: col[c][o] for c in COLUMNS}
+        ids, comp, sub, n, place = (packed[c].astype(np.int64) for c in COLUMNS)
         comp = comp + ids
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, int)
-        found: list[np.ndarray] = []
-        held = 0
+        found: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+        held, parts = 0, []
         for s, e in zip(edge[:-1][np.diff(edge) > 1], edge[1:][np.diff(edge) > 1]):
             if (comp[s:e] == comp[s]).all():
                 continue
-            last = s + np.searchsorted(n[s:e], n[s:e] * den // num, side="right")  # sets behind these are too large
-            for i in range(s, e - 1):
-                j = np.arange(i + 1, last[i - s])
-                most = np.minimum(n[i] - place[i], n[j] - place[j])
-                j = j[(comp[j] != comp[i]) & (most * (num + den) >= num * (n[i] + n[j]))]
-                if len(j):
-                    swap = comp[j] > comp[i]
-                    q, g = np.where(swap, j, i), np.where(swap, i, j)
-                    found.append(np.stack([ids[q], comp[g], sub[g]], axis=1))
-                    held += len(j)
-                if held > 500_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    held = len(found[0]) // 2
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            if e - s > part:
+                at = np.append(np.arange(s, e, part), e)
+                largest = n[at[1:] - 1]
+                last = (np.searchsorted(n[s:e], largest * den // num, side="right") - 1) // part
+                first = np.searchsorted(last, np.arange(len(last)))
+                for k, (x, y) in enumerate(zip(at[:-1], at[1:])):
+                    parts.append((int(token[s]), k, int(first[k]), int(last[k]), *(packed[c][x:y].tobytes() for c in COLUMNS)))
+                continue
+            found.append(_asks([v[s:e] for v in (ids, comp, sub, n, place)], e - s, 0, num, den))
+            held += len(found[-1])
+            if held > 500_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = len(found[0]) // 2
+        out = np.unique(np.concatenate(found), axis=0)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * len(COLUMNS)]
+        names = ["query", "component", "sub", "token", "k", "first", "last", *COLUMNS]
+        asked = [out[:, 0], out[:, 1], out[:, 2].astype(np.int32)]
+        made = list(zip(*parts)) or [()] * 9
+        cols = [pa.concat_arrays([pa.array(v, t), pa.nulls(len(parts), t)]) for v, t in zip(asked, types)]
+        cols += [pa.concat_arrays([pa.nulls(len(out), t), pa.array(v, t)]) for v, t in zip(made, types[3:])]
+        return pa.Table.from_arrays(cols, names=names)
+
+    return run
+
+
+def _meet_parts(num: int, den: int):
+    """Queries from two parts of one token's postings, or from one part on its own."""
+
+    @lean
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by("k")
+        sizes = [len(x) // 4 for x in table.column("sizes").to_pylist()]
+        p = [np.frombuffer(b"".join(table.column(c).to_pylist()), t).astype(np.int64) for c, t in COLUMNS.items()]
+        p[1] = p[1] + p[0]
+        out = _asks(p, sizes[0], sizes[0] if len(sizes) > 1 else 0, num, den)
         return pa.table({"query": pa.array(out[:, 0]), "component": pa.array(out[:, 1]), "sub": pa.array(out[:, 2].astype(np.int32))})
 
     return run
 
 
+def _asked(packed: DataFrame, num: int, den: int) -> DataFrame:
+    """(query, component, sub) of all token buckets. The parts of a common token are paired and each pair is a group of
+    its own, so the work on one token is spread over the cluster."""
+    met = stored(packed.groupBy("bucket").applyInArrow(_meet(num, den, POSTINGS), PARTS))
+    parts = met.where("token is not null").drop("query", "component", "sub")
+    ahead = parts.select("*", F.col("k").alias("i"), F.explode(F.sequence("k", "last")).alias("j"))
+    behind = parts.where("first < k").select("*", F.explode(F.sequence(F.col("first"), F.col("k") - 1)).alias("i"), F.col("k").alias("j"))
+    pairs = ahead.unionByName(behind).drop("first", "last").groupBy("token", "i", "j").applyInArrow(_meet_parts(num, den), ASKED)
+    return met.where("token is null").select("query", "component", "sub").unionByName(pairs).distinct()
+
+
 def _open(num: int, den: int):
     """Bound each query's overlap with the group's union; compare with the members where it is large enough."""
 
@@ -437,8 +501,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     prefixes = _prefixes(rows, words, num, den, _sketch(every)).join(labels, "id").select("id", "component", "sub", "n", "prefix")
     schema = "bucket int, tokens binary, " + ", ".join(f"{c} binary" for c in COLUMNS)
     packed = prefixes.mapInArrow(_deal(buckets), schema)
-    asked = packed.groupBy("bucket").applyInArrow(_meet(num, den), "query long, component long, sub int")
-    asked = stored(asked.distinct())
+    asked = stored(_asked(packed, num, den))
 
     # open the groups that qualify
     block = ["component", "sub"]

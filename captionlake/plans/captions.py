@@ -118,6 +118,13 @@ def L7_T2_layout_lines(spark, d):
     return layout.layout_lines(c, layout.break_table(c)).select("media_id", "unit_id", F.array_join("lines", "\n").alias("text"))
 
 
+@unstated
+def L5_partition_captions(spark, d):
+    c = _captions(spark, d)
+    b = layout.break_table(c)
+    return layout.partition_captions(c, b, layout.cue_counts(c, b)).select("media_id", "unit_id", F.array_join("cues", "\n").alias("cues"), "short")
+
+
 def _timed(spark, d):
     u = fx.units(spark, d)
     end = F.max("end_ms").over(Window.partitionBy("media_id"))

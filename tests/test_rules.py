@@ -154,6 +154,49 @@ def test_lines_and_counts(spark):
     assert counts[0] == (3, 0) and counts[1] == (1, 0) and counts[2] == (1, 1) and counts[4] == (1, 0)
 
 
+def even_pieces(text, n, room, breaks, width):
+    """Each break is tried on its own: pieces are cut out and measured as texts."""
+    fine = {e for e, (rating, safe) in breaks.items() if safe and rating > 0}
+    start, out = 0, []
+    for left in range(n - 1, 0, -1):
+        best = None
+        for e in range(start + 1, len(text)):
+            rating, safe = breaks[e]
+            piece, rest = text[start:e].rstrip(), text[e:].lstrip()
+            nxt = len(text) - len(rest)
+            whole = not any(start < f < start + len(piece) for f in fine)
+            if safe and piece and len(rest.replace(" ", "")) >= left and 1 + sum(f > nxt for f in fine) >= left and (width(piece) <= room + 1e-6 or whole):
+                best = max(best or (-1,), (rating, -round(abs(width(piece) - width(text[start:]) / (left + 1)), 6), e, piece, nxt))
+        if best is None:
+            break
+        out.append(best[3])
+        start = best[4]
+    return out + [text[start:]]
+
+
+def test_pieces_equal_every_break_tried(spark):
+    rng = random.Random(8)
+    rows = [(1, 0, "en", None, 10, 0, 1), (1, 1, "en", "", 10, 0, 1), (1, 2, "en", "x" * 90, 10, 0, 9), (1, 3, "en", "a" * 30 + " b c", 10, 0, 90_000)]
+    for u in range(4, 60):
+        lang = rng.choice(["en", "ko", "zh", "ja"])
+        letters = {"en": "ab'", "ko": "\uac00\ub098a", "zh": "\u4f60\u597d\u300a", "ja": "\u65e5\u672c\u304b"}[lang]
+        words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(1, 14))]
+        rows.append((1, u, lang, " ".join(words), rng.choice([6, 10]), 0, rng.choice([1, 20_000, 60_000])))
+    c = spark.createDataFrame(rows, CAPTION)
+    b = layout.break_table(c)
+    counts = layout.cue_counts(c, b)
+    n = {r.unit_id: r.n_cues for r in counts.collect()}
+    table = {}
+    for r in b.collect():
+        table.setdefault(r.unit_id, {})[r.end] = (r.rating, r.safe)
+    got = {r.unit_id: (r.cues, r.short) for r in layout.partition_captions(c, b, counts).collect()}
+    narrow = {"en": "", "zh": "", "ja": " a,.'", "ko": " a,.'"}
+    for _, u, lang, text, line, _, _ in rows:
+        want = even_pieces(text, n[u], 2 * line, table.get(u, {}), lambda t, lang=lang: len(t) - sum(x in narrow[lang] for x in t) / 2) if text else [text]
+        assert got[u][0] == want and (not text or got[u][1] == (len(want) < n[u])), (text, n[u])
+    assert sum(len(x) > 2 for x, _ in got.values()) > 10
+
+
 def test_units_without_a_time(spark):
     nan = float("nan")
     rows = [(1, 0, 0.0, 1000.0), (1, 1, nan, 2000.0), (1, 2, 3000.0, 2000.0), (1, 3, 4000.0, 5000.0), (1, 4, 4000.0, 6000.0), (1, 5, 9000.0, 9500.0)]

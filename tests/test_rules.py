@@ -145,11 +145,12 @@ def test_breaks_in_scripts_without_spaces(spark):
 
 
 def test_lines_and_counts(spark):
-    rows = [(1, 0, "en", "one two three four", 10, 0, 20_000), (1, 1, "en", "short", 10, 0, 1000), (1, 2, "en", "x" * 25, 10, 0, 1000), (1, 3, "en", None, 10, 0, 1000), (1, 4, "zh", "\u4f60" * 14, 8, 0, 1000)]
+    rows = [(1, 0, "en", "one two three four", 10, 0, 20_000), (1, 1, "en", "short", 10, 0, 1000), (1, 2, "en", "x" * 25, 10, 0, 1000), (1, 3, "en", None, 10, 0, 1000), (1, 4, "zh", "\u4f60" * 14, 8, 0, 1000), (1, 5, "ko", "\uac00" * 6 + " a " + "\uac00" * 6, 7, 0, 1000)]
     c = spark.createDataFrame(rows, CAPTION)
     b = layout.break_table(c)
     lines = {r.unit_id: r.lines for r in layout.layout_lines(c, b).collect()}
     assert lines[0] == ["one two", "three four"] and lines[1] == ["short"] and lines[2] == ["x" * 25] and lines[4] == ["\u4f60" * 7] * 2
+    assert lines[5] == ["\uac00" * 6 + " a", "\uac00" * 6]  # the blank that goes with the break is half a unit wide
     counts = {r.unit_id: (r.n_cues, r.capped) for r in layout.cue_counts(c, b).collect()}
     assert counts[0] == (3, 0) and counts[1] == (1, 0) and counts[2] == (1, 1) and counts[4] == (1, 0)
 

@@ -63,7 +63,7 @@ def trim_decoder_loops(segments: DataFrame) -> DataFrame:
     lengths = keyed.select(*key, "keys", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("p"))
     same = F.transform("keys", lambda k, i: k.eqNullSafe(F.get(F.col("keys"), i + F.col("p"))))
     at = lengths.select(*key, "p", F.posexplode(F.arrays_zip(same.alias("same"), F.col("keys").alias("k"))).alias("i", "x")).select(*key, "p", "i", F.col("x.same").alias("same"), F.col("x.k").alias("k"))
-    onward = Window.partitionBy(*key, "p").orderBy("i").rowsBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy(*key, "p").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     run = at.withColumns({"till": F.min(F.when(~F.col("same"), F.col("i"))).over(onward), "spoken": F.min(F.when(F.col("k") != "", F.col("i"))).over(onward)})
     run = run.withColumn("times", F.floor((F.col("till") - F.col("i")) / F.col("p")) + 1)
     loops = run.where((F.col("times") >= LEAST_TIMES) & (F.col("times") * F.col("p") >= LEAST_UNITS) & (F.col("spoken") < F.col("i") + F.col("p")))

@@ -36,8 +36,9 @@ def order_units(units: DataFrame) -> DataFrame:
 
 def next_valid_start(units: DataFrame, media_end: str = "media_end_ms") -> DataFrame:
     """Start of the next unit whose start isn't negative, at most the media's end."""
-    after = Window.partitionBy("media_id").orderBy("unit_id").rowsBetween(1, Window.unboundedFollowing)
-    start = F.first(F.when(F.col("start_ms") >= 0, F.col("start_ms")), ignorenulls=True).over(after)
+    # from the end on, since a frame that runs to the end is made anew for each row
+    after = Window.partitionBy("media_id").orderBy(F.desc("unit_id")).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.last(F.when(F.col("start_ms") >= 0, F.col("start_ms")), ignorenulls=True).over(after)
     return units.select("media_id", "unit_id", F.least(F.coalesce(start, F.col(media_end)), F.col(media_end)).alias("next_start_ms"))
 
 

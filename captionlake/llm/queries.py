@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lang_id, ngram_join, packing, quality, secrets, shards, substring_dedup, token_counts
+from . import ann, decontaminate, lang_id, ngram_join, packing, periodic, quality, secrets, shards, substring_dedup, token_counts, variants, warc
+from .common import scratch_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,13 +67,31 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    warc.write_archives(_read(spark, sf_dir, "pages"), path, least=100)
+    found = warc.resolved(warc.reassembled(warc.read_records(spark, path)))
+    return found.select(
+        warc.page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number(F.col("refers_to")).alias("refers_to"), "problem"
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(_read(spark, sf_dir, "documents"), least_length=6, least_count=5, slips=199)
+    return variants.group_variants(words, times=5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.detect(_read(spark, sf_dir, "documents"), loops=True))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op6_decontamination, op7_ngram_join, op8_substring_dedup, op9_quality, op10_neighbours, pipeline)
+    for f in (op1_packing, op2_language_id, op3_secret_scan, op4_sharding, op5_token_counts, op6_decontamination, op7_ngram_join, op8_substring_dedup, op9_quality, op10_neighbours, op11_warc, op12_spelling_variants, op13_periodic_runs, pipeline)
 }
 
 #: A-Z in lower case, and nothing else changed.
@@ -102,4 +121,7 @@ r AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM (SELECT doc_id, p, sum
 k AS (SELECT r.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substring(x, 2 * coalesce(last, 0) + 1, 2 * (lo - coalesce(last, 0))), '' ORDER BY lo) || substring(any_value(x), 2 * max(hi) + 1) AS kept
   FROM (SELECT *, lag(hi) OVER (PARTITION BY doc_id ORDER BY lo) AS last FROM r) r JOIN d USING (doc_id) GROUP BY r.doc_id)
 SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op11_warc": """SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to, NULL::VARCHAR AS problem
+FROM (SELECT page_id, t, octet_length(encode(t)) AS n, min(page_id) OVER (PARTITION BY t) AS least FROM (SELECT page_id, coalesce(html, '') AS t FROM pages))""",
 }

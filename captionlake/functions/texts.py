@@ -90,12 +90,6 @@ def char_units(text: Column, lang: Column) -> Column:
     return F.size(clusters) - less
 
 
-def grapheme_width(c: Column, lang: Column) -> Column:
-    """char_units of a single grapheme, without taking it apart."""
-    half = ((lang == "ja") & c.rlike(HALF_JA)) | ((lang == "ko") & c.rlike(HALF_KO))
-    return F.when(c.isin("\n", "\r"), 0.0).when(half, 0.5).otherwise(1.0)
-
-
 def join_words(words: Column, lang: Column) -> Column:
     """Text of an array of words in order: a word's own leading space stays, closing punctuation is joined, and other
     words get a space, but for Japanese and Chinese. Null and empty words are passed over."""

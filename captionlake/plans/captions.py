@@ -84,9 +84,9 @@ def L1_trim_decoder_loops(spark, d):
 
 
 CAPTIONS = "WITH " + fx.SQL_UNITS + r""", p(lang, w) AS (VALUES ('en', 42), ('de', 42), ('es', 42), ('fr', 42), ('it', 42), ('ru', 42), ('ja', 13), ('zh', 16), ('ko', 16), ('hi', 42)), c0 AS (SELECT media_id, unit_id, lang, w, start_ms, end_ms, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM units JOIN p USING (lang)),
-caps AS (SELECT media_id, unit_id, w, start_ms, end_ms, """ + SPACED.format(x=SPACED.format(x="t")) + r""" AS t FROM c0),
-ch AS (SELECT media_id, unit_id, w, length(t) AS total, e, substring(t, e, 1) AS l, substring(t, e + 1, 1) AS r FROM (SELECT *, unnest(range(1, length(t))) AS e FROM caps)),
-b AS (SELECT media_id, unit_id, w, total, e, l = ' ' AS lb, r = ' ' AS rb, CASE WHEN l = ' ' OR r = ' ' THEN 4 WHEN instr('.!?。！？…', l) > 0 THEN 3 WHEN regexp_matches(l, '\p{P}') THEN 2 ELSE 0 END AS rating,
+caps AS (SELECT media_id, lang, unit_id, w, start_ms, end_ms, """ + SPACED.format(x=SPACED.format(x="t")) + r""" AS t FROM c0),
+ch AS (SELECT media_id, lang, unit_id, w, length(t) AS total, e, substring(t, e, 1) AS l, substring(t, e + 1, 1) AS r FROM (SELECT *, unnest(range(1, length(t))) AS e FROM caps)),
+b AS (SELECT media_id, lang, unit_id, w, total, e, l = ' ' AS lb, r = ' ' AS rb, CASE WHEN l = ' ' OR r = ' ' THEN 4 WHEN instr('.!?。！？…', l) > 0 THEN 3 WHEN regexp_matches(l, '\p{P}') THEN 2 ELSE 0 END AS rating,
   instr('([{（［｛〈《「『【〔〖〘〚‘“', l) = 0 AND instr(')]},.!?;:%）］｝〉》」』】〕〗〙〛’”、。，．！？：；％‰℃…', r) = 0 AND (l = ' ' OR r = ' ' OR ((regexp_matches(l, '\p{P}') OR regexp_matches(r, '\p{P}')) AND l NOT IN ('''', '’') AND r NOT IN ('''', '’') AND NOT regexp_matches(l || r, '^([\p{Nd}]{2}|[A-Za-z0-9_]{2})$'))) AS safe FROM ch) """
 
 
@@ -95,18 +95,17 @@ def _captions(spark, d):
     return u.withColumn("text", T.caption(F.col("text")))
 
 
-@query(CAPTIONS + "SELECT media_id, unit_id, rating, safe, count(*) AS n, sum(e)::BIGINT AS places FROM b GROUP BY ALL")
+@query(CAPTIONS + "SELECT media_id, lang, unit_id, rating, safe, count(*) AS n, sum(e)::BIGINT AS places FROM b GROUP BY ALL")
 def L2_L3_break_table(spark, d):
     b = layout.break_table(_captions(spark, d))
-    return b.groupBy("media_id", "unit_id", "rating", "safe").agg(F.count("*").alias("n"), F.sum("end").alias("places"))
+    return b.groupBy("media_id", "lang", "unit_id", "rating", "safe").agg(F.count("*").alias("n"), F.sum("end").alias("places"))
 
 
 @query(CAPTIONS + r""", n AS (SELECT media_id, unit_id, count(*) FILTER (safe AND rating > 0) AS k FROM b GROUP BY ALL), m AS (SELECT media_id, unit_id, greatest(1, ceil((length(t) - 0.000001::DOUBLE) / (2 * w)))::BIGINT AS bw, greatest(1, ceil((end_ms - start_ms - 0.001::DOUBLE) / 7000))::BIGINT AS bt, length(replace(t, ' ', '')) AS vis FROM caps),
 f AS (SELECT media_id, unit_id, greatest(bw, bt) > vis AS few, CASE WHEN greatest(bw, bt) > vis THEN greatest(bw, vis) ELSE greatest(bw, bt) END AS want, coalesce(k, 0) + 1 AS most FROM m LEFT JOIN n USING (media_id, unit_id))
 SELECT media_id, unit_id, least(want, most) AS n_cues, few::INTEGER + (want > most)::INTEGER AS capped FROM f""")
 def L4_plan_cue_count(spark, d):
-    c = _captions(spark, d)
-    return layout.cue_counts(c, layout.break_table(c))
+    return layout.cue_counts(layout.measure(_captions(spark, d))).select("media_id", "unit_id", "n_cues", "capped")
 
 
 @query(CAPTIONS + """, s AS (SELECT *, CASE WHEN safe AND rating > 0 THEN 1 ELSE 0 END AS fine FROM b), q AS (SELECT *, coalesce(sum(fine) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - CASE WHEN lb THEN coalesce(lag(fine) OVER o, 0) ELSE 0 END AS il,
@@ -114,15 +113,35 @@ def L4_plan_cue_count(spark, d):
 best AS (SELECT media_id, unit_id, e FROM q WHERE total > w AND safe AND lw > 0 AND rw > 0 AND (lw <= w OR il = 0) AND (rw <= w OR ir = 0) QUALIFY row_number() OVER (PARTITION BY media_id, unit_id ORDER BY rating DESC, abs(lw - rw), e DESC) = 1)
 SELECT media_id, unit_id, CASE WHEN e IS NULL THEN t ELSE trim(substring(t, 1, e)) || chr(10) || trim(substring(t, e + 1)) END AS text FROM caps LEFT JOIN best USING (media_id, unit_id)""")
 def L7_T2_layout_lines(spark, d):
-    c = _captions(spark, d)
-    return layout.layout_lines(c, layout.break_table(c)).select("media_id", "unit_id", F.array_join("lines", "\n").alias("text"))
+    return layout.layout_lines(_captions(spark, d)).select("media_id", "unit_id", F.array_join("lines", "\n").alias("text"))
 
 
 @unstated
 def L5_partition_captions(spark, d):
-    c = _captions(spark, d)
-    b = layout.break_table(c)
-    return layout.partition_captions(c, b, layout.cue_counts(c, b)).select("media_id", "unit_id", F.array_join("cues", "\n").alias("cues"), "short")
+    c = layout.cue_counts(layout.measure(_captions(spark, d)))
+    return layout.partition_captions(c).select("media_id", "unit_id", F.array_join("cues", "\n").alias("cues"), "short")
+
+
+#: From each place (the text's start is one) the places at which a line can end; then jumps to the furthest end of one or
+#: two lines within the width of two.
+REACH = CAPTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT *, CASE WHEN safe AND rating > 0 THEN 1 ELSE 0 END AS fine FROM b),
+q AS (SELECT media_id, unit_id, w, total, e, safe, e - lb::INTEGER AS till, e + rb::INTEGER AS nx, sum(fine) OVER o - fine - CASE WHEN lb THEN coalesce(lag(fine) OVER o, 0) ELSE 0 END AS ci, sum(fine) OVER o + CASE WHEN rb THEN coalesce(lead(fine) OVER o, 0) ELSE 0 END AS cp
+  FROM s WINDOW o AS (PARTITION BY media_id, unit_id ORDER BY e)),
+n AS (SELECT media_id, unit_id, w, length(t) AS total, coalesce(k, 0) AS k FROM caps LEFT JOIN (SELECT media_id, unit_id, sum(fine) AS k FROM s GROUP BY ALL) USING (media_id, unit_id)),
+pl AS MATERIALIZED (SELECT media_id, unit_id, w, e, till, nx, ci, cp FROM q WHERE safe UNION ALL SELECT media_id, unit_id, w, total, total, total, k, k FROM n WHERE total > 0 UNION ALL SELECT media_id, unit_id, w, 0, 0, 0, 0, 0 FROM n),
+ln AS MATERIALIZED (SELECT a.media_id, a.unit_id, a.e AS a, t.e AS t, t.till, t.ci FROM pl a JOIN pl t ON a.media_id = t.media_id AND a.unit_id = t.unit_id AND t.till > a.nx AND (t.till - a.nx <= a.w OR t.ci <= a.cp)),
+ne AS MATERIALIZED (SELECT a.media_id, a.unit_id, a.e, a.nx, a.cp, a.w, min(t.e) AS first_e FROM pl a JOIN pl t ON a.media_id = t.media_id AND a.unit_id = t.unit_id AND t.e > a.nx GROUP BY ALL),
+f AS (SELECT media_id, unit_id, 0 AS e FROM n
+  UNION ALL SELECT media_id, unit_id, coalesce(max(t), min(first_e)) FROM (SELECT ne.media_id, ne.unit_id, ne.first_e, c.t FROM f JOIN ne ON ne.media_id = f.media_id AND ne.unit_id = f.unit_id AND ne.e = f.e
+    LEFT JOIN (SELECT media_id, unit_id, a, t, till, ci FROM ln UNION ALL SELECT x.media_id, x.unit_id, x.a, y.t, y.till, y.ci FROM ln x JOIN ln y ON y.media_id = x.media_id AND y.unit_id = x.unit_id AND y.a = x.t) c
+      ON c.media_id = f.media_id AND c.unit_id = f.unit_id AND c.a = f.e AND (c.till - ne.nx <= 2 * ne.w OR c.ci <= ne.cp)) GROUP BY media_id, unit_id),
+g AS (SELECT f.media_id, f.unit_id, f.e, pl.till, lag(pl.nx) OVER (PARTITION BY f.media_id, f.unit_id ORDER BY f.e) AS nx FROM f JOIN pl USING (media_id, unit_id, e))
+SELECT media_id, unit_id, CASE WHEN max(g.e) = 0 THEN any_value(t) ELSE string_agg(substring(t, nx + 1, till - nx), chr(10) ORDER BY g.e) FILTER (g.e > 0) END AS cues FROM g JOIN caps USING (media_id, unit_id) GROUP BY media_id, unit_id"""
+
+
+@query(REACH)
+def L6_capacity_fallback(spark, d):
+    return layout.capacity_fallback(layout.measure(_captions(spark, d))).select("media_id", "unit_id", F.array_join("cues", "\n").alias("cues"))
 
 
 def _timed(spark, d):

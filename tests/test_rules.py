@@ -147,11 +147,10 @@ def test_breaks_in_scripts_without_spaces(spark):
 def test_lines_and_counts(spark):
     rows = [(1, 0, "en", "one two three four", 10, 0, 20_000), (1, 1, "en", "short", 10, 0, 1000), (1, 2, "en", "x" * 25, 10, 0, 1000), (1, 3, "en", None, 10, 0, 1000), (1, 4, "zh", "\u4f60" * 14, 8, 0, 1000), (1, 5, "ko", "\uac00" * 6 + " a " + "\uac00" * 6, 7, 0, 1000)]
     c = spark.createDataFrame(rows, CAPTION)
-    b = layout.break_table(c)
-    lines = {r.unit_id: r.lines for r in layout.layout_lines(c, b).collect()}
+    lines = {r.unit_id: r.lines for r in layout.layout_lines(c).collect()}
     assert lines[0] == ["one two", "three four"] and lines[1] == ["short"] and lines[2] == ["x" * 25] and lines[4] == ["\u4f60" * 7] * 2
     assert lines[5] == ["\uac00" * 6 + " a", "\uac00" * 6]  # the blank that goes with the break is half a unit wide
-    counts = {r.unit_id: (r.n_cues, r.capped) for r in layout.cue_counts(c, b).collect()}
+    counts = {r.unit_id: (r.n_cues, r.capped) for r in layout.cue_counts(layout.measure(c)).collect()}
     assert counts[0] == (3, 0) and counts[1] == (1, 0) and counts[2] == (1, 1) and counts[4] == (1, 0)
 
 
@@ -175,27 +174,89 @@ def even_pieces(text, n, room, breaks, width):
     return out + [text[start:]]
 
 
-def test_pieces_equal_every_break_tried(spark):
-    rng = random.Random(8)
-    rows = [(1, 0, "en", None, 10, 0, 1), (1, 1, "en", "", 10, 0, 1), (1, 2, "en", "x" * 90, 10, 0, 9), (1, 3, "en", "a" * 30 + " b c", 10, 0, 90_000)]
-    for u in range(4, 60):
+def lines_of(text, line, breaks, width, fine):
+    """Every break of a piece (start, end) is tried; (start, end) of its lines."""
+
+    def fits(a, z):
+        return width(text[a:z]) <= line or not any(a < f < z for f in fine)
+
+    def trim(a, z):
+        while a < z and text[a].isspace():
+            a += 1
+        while a < z and text[z - 1].isspace():
+            z -= 1
+        return a, z
+
+    def split(a, z):
+        if width(text[a:z]) <= line:
+            return [(a, z)]
+        best = None
+        for e in range(a + 1, z):
+            (al, zl), (ar, zr) = trim(a, e), trim(e, z)
+            if breaks[e][1] and al < zl and ar < zr and fits(al, zl) and fits(ar, zr):
+                best = max(best or (-1,), (breaks[e][0], -round(abs(width(text[al:zl]) - width(text[ar:zr])), 6), e, (al, zl), (ar, zr)))
+        return [best[3], best[4]] if best else [(a, z)]
+
+    return fits, trim, split
+
+
+def longest_pieces(text, line, breaks, width):
+    """Every prefix of what is left is tried."""
+    fine = {e for e, (rating, safe) in breaks.items() if safe and rating > 0}
+    fits, trim, split = lines_of(text, line, breaks, width, fine)
+    start, out = 0, []
+    while start < len(text):
+        first = last = None
+        for e in range(start + 1, len(text) + 1):
+            if e < len(text) and not breaks[e][1]:
+                continue
+            first = first or e
+            a, z = trim(start, e)
+            if (width(text[a:z]) <= 2 * line or not any(a < f < z for f in fine)) and all(fits(*x) for x in split(a, z)):
+                last = e
+        a, z = trim(start, last or first)
+        out.append((a, z))
+        start = trim(last or first, len(text))[0]
+    return out
+
+
+NARROW = {"en": "", "zh": "", "ja": " a,.'", "ko": " a,.'"}
+
+
+def some_captions(rng, n):
+    rows = [(1, 0, "en", None, 10, 0, 1), (1, 1, "en", "", 10, 0, 1), (1, 2, "en", "x" * 90, 10, 0, 9), (1, 3, "en", "a" * 30 + " b c", 10, 0, 90_000), (1, 4, "en", "x" * 50 + " " + "ab " * 300 + "y" * 33, 10, 0, 9), (1, 5, "en", "a(" * 120 + "b", 10, 0, 9)]
+    for u in range(6, n):
         lang = rng.choice(["en", "ko", "zh", "ja"])
         letters = {"en": "ab'", "ko": "\uac00\ub098a", "zh": "\u4f60\u597d\u300a", "ja": "\u65e5\u672c\u304b"}[lang]
         words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(1, 14))]
         rows.append((1, u, lang, " ".join(words), rng.choice([6, 10]), 0, rng.choice([1, 20_000, 60_000])))
-    c = spark.createDataFrame(rows, CAPTION)
-    b = layout.break_table(c)
-    counts = layout.cue_counts(c, b)
-    n = {r.unit_id: r.n_cues for r in counts.collect()}
+    return rows
+
+
+def breaks_of(c):
     table = {}
-    for r in b.collect():
+    for r in layout.break_table(c).collect():
         table.setdefault(r.unit_id, {})[r.end] = (r.rating, r.safe)
-    got = {r.unit_id: (r.cues, r.short) for r in layout.partition_captions(c, b, counts).collect()}
-    narrow = {"en": "", "zh": "", "ja": " a,.'", "ko": " a,.'"}
+    return table
+
+
+def test_pieces_equal_every_break_tried(spark):
+    rows = some_captions(random.Random(8), 90)
+    c = layout.cue_counts(layout.measure(spark.createDataFrame(rows, CAPTION)))
+    n = {r.unit_id: r.n_cues for r in c.collect()}
+    table = breaks_of(c)
+    got = {r.unit_id: (r.cues, r.short) for r in layout.partition_captions(c).collect()}
+    far = {r.unit_id: r.cues for r in layout.capacity_fallback(c).collect()}
+    whole = {r.unit_id: r.lines for r in layout.layout_lines(c).collect()}
     for _, u, lang, text, line, _, _ in rows:
-        want = even_pieces(text, n[u], 2 * line, table.get(u, {}), lambda t, lang=lang: len(t) - sum(x in narrow[lang] for x in t) / 2) if text else [text]
+        width = lambda t, lang=lang: len(t) - sum(x in NARROW[lang] for x in t) / 2
+        breaks = table.get(u, {})
+        want = even_pieces(text, n[u], 2 * line, breaks, width) if text else [text]
         assert got[u][0] == want and (not text or got[u][1] == (len(want) < n[u])), (text, n[u])
-    assert sum(len(x) > 2 for x, _ in got.values()) > 10
+        assert far[u] == ([text[a:z] for a, z in longest_pieces(text, line, breaks, width)] if text else [text]), text
+        fine = {e for e, (rating, safe) in breaks.items() if safe and rating > 0}
+        assert whole[u] == ([text[a:z] for a, z in lines_of(text, line, breaks, width, fine)[2](0, len(text))] if text else [text])
+    assert sum(len(x) > 2 for x, _ in got.values()) > 10 and sum(far[u] != got[u][0] for u in far) > 10
 
 
 def test_units_without_a_time(spark):

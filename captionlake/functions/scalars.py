@@ -32,11 +32,22 @@ def rounded_ms(seconds: Column, half_even: bool) -> Column:
 
 
 def srt_ms(text: Column) -> Column:
-    """Milliseconds of HH:MM:SS,mmm, or null where it doesn't parse."""
-    ok = text.rlike(r"^[0-9]+:[0-5]?[0-9]:[0-5]?[0-9],[0-9]{3}$")
-    p = F.split(text, "[:,]")
-    n = lambda i: F.get(p, F.lit(i)).cast("long")
-    return F.when(ok, n(0) * 3600000 + n(1) * 60000 + n(2) * 1000 + n(3))
+    """Milliseconds of hours:minutes:seconds,milliseconds, blanks around them aside; null where it doesn't parse: minutes and
+    seconds under 60, three characters of milliseconds, hours that a long of milliseconds can hold."""
+    whole = r"([+-]?[0-9]+)"
+    plain = F.regexp_replace(text, r"^[\p{Zs}\t]+|[\p{Zs}\t]+$", "")
+    parts = F.split(F.when(plain.rlike(rf"^{whole}:{whole}:{whole},[+-]?[0-9]{{2,3}}$"), plain), "[:,]")
+    n = lambda i: F.get(parts, F.lit(i)).try_cast("long")
+    small = lambda i: n(i).between(0, 59)
+    good = n(0).between(-2_000_000_000, 2_000_000_000) & small(1) & small(2) & n(3).between(0, 999) & (F.length(F.get(parts, F.lit(3))) == 3)
+    return F.when(good, n(0) * 3600000 + n(1) * 60000 + n(2) * 1000 + n(3))
+
+
+def cue_times(timing: Column) -> Column:
+    """(start, end) in milliseconds of `start --> end`; both null where there are more or fewer parts."""
+    ends = F.split(timing, " --> ")
+    two = F.size(ends) == 2
+    return F.struct(F.when(two, srt_ms(F.get(ends, F.lit(0)))).alias("start"), F.when(two, srt_ms(F.get(ends, F.lit(1)))).alias("end"))
 
 
 def duration(seconds: Column) -> Column:

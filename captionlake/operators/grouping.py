@@ -96,20 +96,6 @@ def _tried(translate, texts: list[str]):
     return (got, None) if len(got) == len(texts) else (None, "countMismatch")
 
 
-def cue_limits(cues: DataFrame) -> DataFrame:
-    """(media_id, ordinal, issue) of cues with lines, text, times and the limits of their language."""
-    lines = F.split("text", "\n")
-    width = graphemes(F.regexp_replace("text", "\n", ""))
-    took = F.col("end_ms") - F.col("start_ms")
-    issues = F.array_compact(F.array(
-        F.when(F.size(lines) > 2, "tooManyLines"), F.when(F.exists(lines, lambda x: F.trim(x) == "") & (F.trim("text") != ""), "emptyLine"),
-        F.when(F.exists(lines, lambda x: graphemes(x) > F.col("chars_per_line")), "lineTooLong"),
-        F.when((took > 0) & (took + 0.5 < F.col("least_s") * 1000), "cueTooShort"), F.when(took > 7000, "cueTooLong"),
-        F.when((took > 0) & (width * 1000 > F.col("chars_per_s") * (took + 1)), "readingSpeedExceeded"),
-    ))
-    return cues.select("media_id", "ordinal", F.explode(issues).alias("issue"))
-
-
 def split_units(words: DataFrame, gap_ms: int = 800, longest_ms: int = 15_000) -> DataFrame:
     """(media_id, word_idx, unit_id): units end at a sentence end, before a pause, and after the word with which
     they last longest_ms. Sentence ends and pauses make islands; only the length is folded, inside an island."""

@@ -19,9 +19,10 @@ def not_clean(segments: DataFrame) -> DataFrame:
 
 
 def with_profile(rows: DataFrame) -> DataFrame:
-    """Reading limits of each row's language. The profiles are ten fixed rows, so they are broadcast."""
+    """rows with the reading limits of their language, null where it has none. The profiles are ten fixed rows, so they are
+    broadcast."""
     limits = rows.sparkSession.createDataFrame(PROFILES, "lang string, chars_per_line int, chars_per_s double, least_s double")
-    return rows.join(F.broadcast(limits), "lang")
+    return rows.join(F.broadcast(limits), "lang", "left")
 
 
 def words_in_units(units: DataFrame, words: DataFrame) -> DataFrame:

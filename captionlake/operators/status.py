@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import output_name
 from ..functions.texts import is_blank, language_code
+from .issues import keys_of
 from .tables import stored
 
 PLANNING = ("timingCapacityExceeded", "timingWindowInsufficient")
@@ -14,14 +15,15 @@ FINAL_TIMING = ("cueTooShort", "cueTooLong", "readingSpeedExceeded")
 
 
 def review_warnings(issues: DataFrame) -> DataFrame:
-    """(media_id, n_review) of issues with severity, code and unit_id: warnings of the outputs, plus units with a planning
-    warning that no final timing warning tells of, plus planning warnings without a unit. Media without issues have no
-    row."""
+    """(keys, n_review) of issues with severity, code and unit_id: warnings of the outputs, plus units with a planning
+    warning that no final timing warning of the same output tells of, plus planning warnings without a unit. Outputs without
+    issues have no row."""
+    keys = keys_of(issues)
     warns = issues.where("severity = 'warning'").withColumn("planned", F.col("code").isin(*PLANNING))
     final = F.col("code").isin(*FINAL_TIMING)
-    by_unit = warns.groupBy("media_id", "unit_id").agg(F.count_if(~F.col("planned")).alias("outputs"), F.count_if("planned").alias("plans"), F.bool_or(final).alias("told"))
+    by_unit = warns.groupBy(*keys, "unit_id").agg(F.count_if(~F.col("planned")).alias("outputs"), F.count_if("planned").alias("plans"), F.bool_or(final).alias("told"))
     planned = F.when(F.col("unit_id").isNull(), F.col("plans")).when((F.col("plans") > 0) & ~F.col("told"), 1).otherwise(0)
-    return by_unit.groupBy("media_id").agg(F.sum(F.col("outputs") + planned).alias("n_review"))
+    return by_unit.groupBy(*keys).agg(F.sum(F.col("outputs") + planned).alias("n_review"))
 
 
 def target_status(targets: DataFrame, faults: DataFrame, issues: DataFrame, saves: DataFrame) -> DataFrame:

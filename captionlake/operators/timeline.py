@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ends_sentence, srt_ms, srt_time
-from ..functions.texts import caption, is_blank
+from ..functions.scalars import cue_times, ends_sentence, srt_time
+from ..functions.texts import caption, is_blank, strip
+from .issues import keys_of
 
-GAP_MS, LONGEST_MS = 800, 15_000
+GAP_MS, LONGEST_MS, MOST_BYTES = 800, 15_000, 50 << 20
 
 
 def hard_breaks(words: DataFrame) -> DataFrame:
@@ -57,58 +58,55 @@ def match_translations(units: DataFrame, translations: DataFrame) -> DataFrame:
 
 
 def cues(segments: DataFrame) -> DataFrame:
-    """Cues as subtitle files have them: (media_id, ordinal, cue_index, timing, text). The whole text, in as many
+    """Cues as subtitle files have them: (keys, ordinal, cue_index, timing, text). The whole text, in as many
     lines of 40 characters as it needs."""
     lines = F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))
     timing = F.concat(srt_time(F.col("start_ms")), F.lit(" --> "), srt_time(F.col("end_ms")))
     n = F.col("seg_idx") + 1
-    return segments.select("media_id", n.alias("ordinal"), n.alias("cue_index"), timing.alias("timing"), F.array_join(lines, "\n").alias("text"))
-
-
-def check_cues(cues: DataFrame) -> DataFrame:
-    """(media_id, cue_index, issue): numbering, timing, overlap with the last cue that parses, empty text."""
-    order = Window.partitionBy("media_id").orderBy("ordinal")
-    ends = F.split("timing", " --> ")
-    parsed = cues.withColumns({"s": srt_ms(F.get(ends, F.lit(0))), "e": srt_ms(F.get(ends, F.lit(1)))})
-    parsed = parsed.withColumn("good", F.coalesce(F.col("e") > F.col("s"), F.lit(False)))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    parsed = parsed.withColumn("last_end", F.last(F.when(F.col("good"), F.col("e")), ignorenulls=True).over(before))
-    parsed = parsed.withColumn("place", F.row_number().over(order))
-    issues = F.array_compact(F.array(
-        F.when(F.col("cue_index") != F.col("place"), "invalidCueNumbering"), F.when(~F.col("good"), "invalidCueTiming"),
-        F.when(F.col("good") & (F.col("s") < F.col("last_end")), "overlappingCues"), F.when(is_blank(F.col("text")), "emptyCueText"),
-    ))
-    return parsed.select("media_id", "ordinal", F.explode(issues).alias("issue"))
+    return segments.select(*keys_of(segments), n.alias("ordinal"), n.alias("cue_index"), timing.alias("timing"), F.array_join(lines, "\n").alias("text"))
 
 
 def srt_documents(cues: DataFrame) -> DataFrame:
-    """One subtitle document for each media, cues in order."""
+    """One subtitle document for each output (a media, or a media and a language), cues in order."""
     block = F.concat_ws("\n", F.col("cue_index").cast("string"), "timing", "text")
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", block.alias("block"))))
-    return cues.groupBy("media_id").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("document"))
+    return cues.groupBy(*keys_of(cues)).agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("document"))
+
+
+def _blocks(document: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(document, "\r\n", "\n"), "\r", "\n")
+    return F.filter(F.transform(F.split(plain, "\n\n"), strip), lambda b: b != "")
 
 
 def parse_srt(documents: DataFrame) -> DataFrame:
-    """Cues of subtitle documents: line 1 is the index, line 2 the timing, the rest text."""
-    plain = F.regexp_replace(F.regexp_replace("document", "\r\n", "\n"), "\r", "\n")
-    blocks = F.filter(F.transform(F.split(plain, "\n\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
-    out = documents.select("media_id", F.posexplode(blocks).alias("p", "b"))
+    """(keys, ordinal, cue_index, timing, text, n_lines) of subtitle documents: line 1 is the index (null where it is no
+    number), line 2 the timing, the rest text."""
+    out = documents.select(*keys_of(documents), F.posexplode(_blocks(F.col("document").cast("string"))).alias("p", "b"))
     parts = F.split("b", "\n")
+    number = F.when(F.get(parts, F.lit(0)).rlike(r"^[\p{Zs}\t]*[+-]?[0-9]+[\p{Zs}\t]*$"), F.trim(F.get(parts, F.lit(0))).try_cast("long"))
     return out.select(
-        "media_id", (F.col("p") + 1).cast("long").alias("ordinal"), F.get(parts, F.lit(0)).try_cast("long").alias("cue_index"), F.get(parts, F.lit(1)).alias("timing"),
-        F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "\n").alias("text"),
+        *keys_of(documents), (F.col("p") + 1).cast("long").alias("ordinal"), number.alias("cue_index"), F.get(parts, F.lit(1)).alias("timing"),
+        F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "\n").alias("text"), F.size(parts).alias("n_lines"),
     )
 
 
 def first_fault(documents: DataFrame) -> DataFrame:
-    """(media_id, ordinal, fault) of the first block of each subtitle document that breaks a rule, by the rules'
-    order: text (none after the timing), number, timing, range, order (adjacent cues may touch)."""
-    order = Window.partitionBy("media_id").orderBy("ordinal")
-    ends = F.split("timing", " --> ")
-    rows = parse_srt(documents).withColumns({"s": srt_ms(F.get(ends, F.lit(0))), "e": srt_ms(F.get(ends, F.lit(1)))}).withColumn("last", F.lag("e").over(order))
+    """(keys, ordinal, fault): why a subtitle document, text or bytes, isn't valid. Of the document (ordinal is null):
+    emptyFile, unexpectedlyLarge (over 50 MiB), invalidUTF8, noCues. Else of the first block that breaks a rule, by the
+    rules' order: cueMissingText (fewer than three lines), invalidNumbering, invalidTimestamps (not two times that run
+    forward, or a start before the last end; adjacent cues may touch). A null document is empty."""
+    keys = keys_of(documents)
+    raw = F.col("document").cast("binary")
+    size = F.coalesce(F.octet_length(raw), F.lit(0))
+    whole = F.when(size == 0, "emptyFile").when(size > MOST_BYTES, "unexpectedlyLarge").when(~F.is_valid_utf8(raw.cast("string")), "invalidUTF8")
+    whole = whole.when(F.size(_blocks(F.make_valid_utf8(raw.cast("string")))) == 0, "noCues")
+    judged = documents.withColumn("whole", whole)
+    order = Window.partitionBy(*keys).orderBy("ordinal")
+    rows = parse_srt(judged.where("whole is null")).withColumn("at", cue_times(F.col("timing"))).withColumn("last", F.lag("at.end").over(order))
+    s, e = F.col("at.start"), F.col("at.end")
     fault = (
-        F.when(is_blank(F.col("text")), "text").when(F.col("cue_index").isNull() | (F.col("cue_index") != F.col("ordinal")), "number").when(F.col("s").isNull() | F.col("e").isNull(), "timing")
-        .when(F.col("e") <= F.col("s"), "range").when(F.col("s") < F.col("last"), "order")
+        F.when(F.col("n_lines") < 3, "cueMissingText").when(~F.col("cue_index").eqNullSafe(F.col("ordinal")), "invalidNumbering")
+        .when(~F.coalesce((e > s) & (s >= F.coalesce("last", F.lit(0))), F.lit(False)), "invalidTimestamps").when(is_blank(F.col("text")), "emptyCueText")
     )
-    faults = rows.withColumn("fault", fault).where("fault is not null")
-    return faults.groupBy("media_id").agg(F.min(F.struct("ordinal", "fault")).alias("x")).select("media_id", "x.*")
+    faults = rows.withColumn("fault", fault).where("fault is not null").groupBy(*keys).agg(F.min(F.struct("ordinal", "fault")).alias("x")).select(*keys, "x.*")
+    return faults.unionByName(judged.where("whole is not null").select(*keys, F.lit(None).cast("long").alias("ordinal"), F.col("whole").alias("fault")))

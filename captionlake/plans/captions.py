@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import texts as T
-from ..operators import layout, results, speech, status
+from ..operators import layout, results, speech, status, timeline
 from ..sources import fixtures as fx
 from .catalogue import JUDGED, QUERIES, query
 from .records import ISSUES, SPACED, _issues
@@ -182,34 +182,34 @@ def W12_number_cues(spark, d):
     return layout.number_cues(timed.select("media_id", "unit_id", "start_ms", "end_ms", even.alias("durations_ms")))
 
 
-REVIEWED = ISSUES + """, w AS (SELECT media_id, ordinal AS unit, issue AS code, CASE WHEN issue IN ('cueTooShort', 'cueTooLong', 'readingSpeedExceeded') THEN 'warning' ELSE 'error' END AS severity FROM i
-  UNION ALL SELECT media_id, CASE WHEN ordinal % 11 <> 0 THEN ordinal END, 'timingCapacityExceeded', 'warning' FROM c WHERE took > 2500) """
+#: The issues of cues, and planning warnings of some units, which a cue's own may tell of.
+REVIEWED = ISSUES + """, w AS (SELECT media_id, lang, ordinal AS unit, code, severity FROM i
+  UNION ALL SELECT media_id, lang, CASE WHEN ordinal % 11 <> 0 THEN ordinal END, 'timingCapacityExceeded', 'warning' FROM cues WHERE e - s > 2500) """
 
 
 def _reviewed(spark, d):
-    limits = fx.segments(spark, d).select("media_id", (F.col("seg_idx") + 1).alias("ordinal"), (F.greatest("end_ms", F.lit(0)) - F.greatest("start_ms", F.lit(0))).alias("took"), "lang")
-    planned = results.with_profile(limits).where("took > 2500").select("media_id", F.when(F.col("ordinal") % 11 != 0, F.col("ordinal")).alias("unit_id"), F.lit("timingCapacityExceeded").alias("code"))
-    warns = F.col("code").isin("timingCapacityExceeded", *status.FINAL_TIMING)
-    rows = _issues(spark, d).select("media_id", F.col("ordinal").alias("unit_id"), F.col("issue").alias("code")).unionByName(planned)
-    return rows.withColumn("severity", F.when(warns, "warning").otherwise("error"))
+    segments = fx.segments(spark, d).withColumns({"start_ms": F.greatest("start_ms", F.lit(0)), "end_ms": F.greatest("end_ms", F.lit(0))})
+    cues = timeline.cues(segments.where("end_ms - start_ms > 2500"))
+    planned = fx.flawed(cues).select("media_id", "lang", F.when(F.col("ordinal") % 11 != 0, F.col("ordinal")).alias("unit_id"), F.lit("timingCapacityExceeded").alias("code"), F.lit("warning").alias("severity"))
+    return _issues(spark, d).select("media_id", "lang", F.col("ordinal").alias("unit_id"), "code", "severity").unionByName(planned)
 
 
-@query(REVIEWED + """, a AS (SELECT media_id, unit, count(*) FILTER (code <> 'timingCapacityExceeded') AS o, count(*) FILTER (code = 'timingCapacityExceeded') AS p, coalesce(bool_or(code <> 'timingCapacityExceeded'), false) AS told FROM w WHERE severity = 'warning' GROUP BY ALL)
-SELECT media_id, sum(o + CASE WHEN unit IS NULL THEN p WHEN p > 0 AND NOT told THEN 1 ELSE 0 END)::BIGINT AS n_review FROM a GROUP BY media_id""")
+@query(REVIEWED + """, a AS (SELECT media_id, lang, unit, count(*) FILTER (code <> 'timingCapacityExceeded') AS o, count(*) FILTER (code = 'timingCapacityExceeded') AS p, coalesce(bool_or(code IN ('cueTooShort', 'cueTooLong', 'readingSpeedExceeded')), false) AS told FROM w WHERE severity = 'warning' GROUP BY ALL)
+SELECT media_id, lang, sum(o + CASE WHEN unit IS NULL THEN p WHEN p > 0 AND NOT told THEN 1 ELSE 0 END)::BIGINT AS n_review FROM a GROUP BY media_id, lang""")
 def A5_review_warning_count(spark, d):
     return status.review_warnings(_reviewed(spark, d))
 
 
-@query(REVIEWED + """, e AS (SELECT media_id, count(*) FILTER (severity = 'error') AS bad, count(*) FILTER (severity = 'warning') AS warn FROM w GROUP BY media_id),
-x AS (SELECT DISTINCT doc_id AS media_id FROM documents WHERE contains(text, 'zz'))
-SELECT d.doc_id AS media_id, d.lang, CASE WHEN x.media_id IS NOT NULL THEN 'invalidTranslation' WHEN coalesce(bad, 0) > 0 THEN 'invalidLayout' WHEN octet_length(encode(d.text)) % 7 < 2 THEN 'saveFailed' WHEN coalesce(warn, 0) > 0 THEN 'savedWithWarnings' ELSE 'saved' END AS status
-FROM documents d LEFT JOIN x ON x.media_id = d.doc_id LEFT JOIN e ON e.media_id = d.doc_id""")
+@query(REVIEWED + """, e AS (SELECT media_id, lang, count(*) FILTER (severity = 'error') AS bad, count(*) FILTER (severity = 'warning') AS warn FROM w GROUP BY media_id, lang),
+t AS (SELECT doc_id AS media_id, lang, text FROM documents UNION ALL SELECT doc_id, CASE lang WHEN 'en' THEN 'de' WHEN 'de' THEN 'es' WHEN 'es' THEN 'fr' WHEN 'fr' THEN 'en' END, 'bis ' || text FROM documents)
+SELECT t.media_id, t.lang, CASE WHEN contains(text, 'zz') THEN 'invalidTranslation' WHEN coalesce(bad, 0) > 0 THEN 'invalidLayout' WHEN octet_length(encode(text)) % 7 < 2 THEN 'saveFailed' WHEN coalesce(warn, 0) > 0 THEN 'savedWithWarnings' ELSE 'saved' END AS status
+FROM t LEFT JOIN e ON e.media_id = t.media_id AND e.lang = t.lang""")
 def A8_target_status(spark, d):
-    docs = fx.table(spark, d, "documents").withColumnRenamed("doc_id", "media_id")
+    docs = fx.flawed(fx.table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), "lang", "text", F.lit(1).cast("long").alias("ordinal"), F.lit(1).cast("long").alias("cue_index"), F.lit("").alias("timing")))
     key = ["media_id", "lang"]
     n = F.octet_length("text") % 7
     saves = docs.where(n != 0).select(*key, F.when(n == 1, "conflict").otherwise("create").alias("action"))
-    return status.target_status(docs.select(*key), docs.where(F.col("text").contains("zz")).select(*key), _reviewed(spark, d).join(docs.select(*key), "media_id"), saves)
+    return status.target_status(docs.select(*key), docs.where(F.col("text").contains("zz")).select(*key), _reviewed(spark, d), saves)
 
 
 @unstated

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import cleaning, jobs, results, timeline
+from ..operators import cleaning, jobs, quality, results, timeline
 from ..sources import fixtures as fx
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -86,29 +86,35 @@ def J2_match_translations(spark, d):
 
 
 TIME = "lpad(({v} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({v} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({v} // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad(({v} % 1000)::VARCHAR, 3, '0')"
-CUES = "WITH " + fx.SQL_SEGMENTS + f""", cues AS (SELECT media_id, seg_idx + 1 AS ordinal, seg_idx + 1 + CASE WHEN (media_id + seg_idx) % 71 = 0 THEN 1 ELSE 0 END AS cue_index,
-  greatest(start_ms, 0) AS s, greatest(end_ms, 0) AS e, (media_id + seg_idx) % 73 = 0 AS bad,
-  CASE WHEN (media_id + seg_idx) % 73 = 0 THEN 'bad' ELSE {TIME.format(v='greatest(start_ms, 0)')} || ' --> ' || {TIME.format(v='greatest(end_ms, 0)')} END AS timing,
-  array_to_string(list_transform(range(0, length(text), 40), lambda k: substring(text, k + 1, 40)), chr(10)) AS text FROM segments) """
+#: Two languages of each media; a timing that isn't good stands as it is written.
+CUES = "WITH " + fx.SQL_SEGMENTS + f""", c0 AS (SELECT media_id, seg_idx + 1 AS ordinal, lang, text, 0 AS more, greatest(start_ms, 0) AS s, greatest(end_ms, 0) AS e FROM segments
+  UNION ALL SELECT media_id, seg_idx + 1, CASE lang WHEN 'en' THEN 'de' WHEN 'de' THEN 'es' WHEN 'es' THEN 'fr' WHEN 'fr' THEN 'en' END, text, 7, greatest(start_ms, 0), greatest(end_ms, 0) FROM segments),
+c1 AS (SELECT *, media_id + ordinal - 1 + more AS k, {TIME.format(v='s')} || ' --> ' || {TIME.format(v='e')} AS plain, CASE WHEN more = 7 THEN 'bis ' ELSE '' END || array_to_string(list_transform(range(0, length(text), 40), lambda k: substring(text, k + 1, 40)), chr(10)) AS shown FROM c0),
+cues AS (SELECT media_id, lang, ordinal, ordinal + CASE WHEN k % 71 = 0 THEN 1 ELSE 0 END AS cue_index, s, e, k % 73 = 0 OR k % 79 = 0 OR k % 83 = 0 AS bad,
+  CASE WHEN k % 73 = 0 THEN 'bad' WHEN k % 79 = 0 THEN '99999999999999' || plain WHEN k % 83 = 0 THEN plain || ' --> ' || substring(plain, 1, 12) WHEN k % 89 = 0 THEN ' ' || replace(plain, ' --> ', '  --> ') || chr(9) || ' ' ELSE plain END AS timing, shown AS text FROM c1) """
 
 
-@query(CUES + """, g AS (SELECT *, NOT bad AND e > s AS good FROM cues), p AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ordinal) AS rn,
-  last_value(CASE WHEN good THEN e END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le FROM g)
-SELECT media_id, ordinal, 'invalidCueNumbering' AS issue FROM p WHERE cue_index <> rn UNION ALL SELECT media_id, ordinal, 'invalidCueTiming' FROM p WHERE NOT good
-UNION ALL SELECT media_id, ordinal, 'overlappingCues' FROM p WHERE good AND s < le UNION ALL SELECT media_id, ordinal, 'emptyCueText' FROM p WHERE trim(text) = ''""")
+#: What is wrong with the sequence of cues, and (of a good one) with its text.
+SEQUENCE = CUES + r""", g AS (SELECT *, NOT bad AND e > s AS good FROM cues), p AS (SELECT *, row_number() OVER w AS rn, coalesce(regexp_matches(text, '^\s*$'), true) AS blank,
+  last_value(CASE WHEN good THEN e END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le FROM g WINDOW w AS (PARTITION BY media_id, lang ORDER BY ordinal)),
+si AS (SELECT media_id, lang, ordinal, cue_index, 'invalidCueNumbering' AS code FROM p WHERE cue_index <> rn UNION ALL SELECT media_id, lang, ordinal, cue_index, 'invalidCueTiming' FROM p WHERE NOT good
+  UNION ALL SELECT media_id, lang, ordinal, cue_index, 'overlappingCues' FROM p WHERE good AND s < le UNION ALL SELECT media_id, lang, ordinal, cue_index, 'emptyCueText' FROM p WHERE good AND blank) """
+
+
+@query(SEQUENCE + "SELECT media_id, lang, ordinal, code AS issue FROM si")
 def W13_cue_sequence_checks(spark, d):
-    return timeline.check_cues(fx.flawed(timeline.cues(fx.segments(spark, d))))
+    return quality.check_cues(fx.flawed(timeline.cues(fx.segments(spark, d))))
 
 
-@query(CUES + "SELECT media_id, string_agg(cue_index::VARCHAR || chr(10) || timing || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS document FROM cues GROUP BY media_id")
+@query(CUES + "SELECT media_id, lang, string_agg(cue_index::VARCHAR || chr(10) || timing || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS document FROM cues GROUP BY media_id, lang")
 def S7_write_srt(spark, d):
     return timeline.srt_documents(fx.flawed(timeline.cues(fx.segments(spark, d))))
 
 
-@query(CUES + "SELECT media_id, cue_index, timing, length(text) AS n_chars FROM cues")
+@query(CUES + "SELECT media_id, lang, cue_index, timing, length(text) AS n_chars FROM cues")
 def S3_read_srt(spark, d):
     c = fx.flawed(timeline.cues(fx.segments(spark, d)))
-    return timeline.parse_srt(timeline.srt_documents(c)).select("media_id", "cue_index", "timing", F.length("text").cast("long").alias("n_chars"))
+    return timeline.parse_srt(timeline.srt_documents(c)).select("media_id", "lang", "cue_index", "timing", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("WITH " + fx.SQL_UNITS + f" SELECT media_id, unit_id, {TIME.format(v='start_ms')} AS start_text, start_ms AS start_back FROM units")

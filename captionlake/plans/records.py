@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import texts as T
-from ..operators import cleaning, grouping, policy, timeline
+from ..operators import cleaning, grouping, policy, quality, results, timeline
 from ..sources import fixtures as fx
 from ..sources import timelines
 from ..streaming.files import through_stream
-from .catalogue import CUES, JUDGED, query
+from .catalogue import CUES, JUDGED, SEQUENCE, query
 
 
 def _docs(spark, d):
@@ -58,30 +58,34 @@ def E1_apply_translator(spark, d):
     return grouping.apply_translator(fx.units(spark, d), translate)
 
 
-ISSUES = "WITH " + fx.SQL_SEGMENTS + """, p(lang, w, c, m) AS (VALUES ('en', 42, 20::DOUBLE, 833), ('de', 42, 17, 833), ('es', 42, 17, 833), ('fr', 42, 17, 833), ('it', 42, 17, 833), ('ru', 42, 17, 833)),
-c AS (SELECT media_id, seg_idx + 1 AS ordinal, w, c, m, greatest(end_ms, 0) - greatest(start_ms, 0) AS took, text, list_transform(range(0, length(text), 40), lambda k: substring(text, k + 1, 40)) AS ls FROM segments JOIN p USING (lang)),
-i AS (SELECT media_id, ordinal, 'tooManyLines' AS issue FROM c WHERE len(ls) > 2 UNION ALL SELECT media_id, ordinal, 'emptyLine' FROM c WHERE len(list_filter(ls, lambda x: trim(x) = '')) > 0 AND trim(array_to_string(ls, '')) <> ''
-  UNION ALL SELECT media_id, ordinal, 'lineTooLong' FROM c WHERE len(list_filter(ls, lambda x: length_grapheme(x) > w)) > 0 UNION ALL SELECT media_id, ordinal, 'cueTooShort' FROM c WHERE took > 0 AND took + 0.5::DOUBLE < m
-  UNION ALL SELECT media_id, ordinal, 'cueTooLong' FROM c WHERE took > 7000 UNION ALL SELECT media_id, ordinal, 'readingSpeedExceeded' FROM c WHERE took > 0 AND length_grapheme(array_to_string(ls, '')) * 1000 > c * (took + 1)) """
+#: A line is indivisible if no place in it has white space or follows punctuation (and may be parted at).
+ISSUES = SEQUENCE + r""", pr(lang, w, c, m) AS (VALUES ('en', 42, 20::DOUBLE, 833), ('de', 42, 17, 833), ('es', 42, 17, 833), ('fr', 42, 17, 833)),
+q AS (SELECT p.*, w, c, m, e - s AS took, string_split(text, chr(10)) AS ls, length_grapheme(replace(text, chr(10), '')) AS units, ordinal * 3000 + (media_id % 5) * 100 AS media_end FROM p LEFT JOIN pr USING (lang)),
+ok AS (SELECT * FROM q WHERE good AND NOT blank), li AS (SELECT media_id, lang, ordinal, cue_index, w, unnest(ls) AS x FROM ok), lw AS (SELECT *, row_number() OVER () AS r, length_grapheme(x)::DOUBLE AS wide, regexp_matches(x, '^\s*$') AS blank FROM li),
+lb AS (SELECT r, bool_or(coalesce(instr('([{（［｛〈《「『【〔〖〘〚‘“', l) = 0 AND instr(')]},.!?;:%）］｝〉》」』】〕〗〙〛’”、。，．！？：；％‰℃…', r_) = 0 AND (l = ' ' OR r_ = ' ' OR (regexp_matches(l, '\p{P}') AND l NOT IN ('''', '’') AND r_ NOT IN ('''', '’') AND NOT regexp_matches(l || r_, '^_[A-Za-z0-9_]$'))), false)) AS parts
+  FROM (SELECT r, substring(x, j, 1) AS l, substring(x, j + 1, 1) AS r_ FROM (SELECT *, unnest(range(1, greatest(length(x), 2))) AS j FROM lw WHERE NOT blank AND wide > w)) GROUP BY r),
+i AS (SELECT media_id, lang, ordinal, cue_index, 'error' AS severity, code, NULL::DOUBLE AS actual, NULL::DOUBLE AS "limit" FROM si
+  UNION ALL SELECT media_id, lang, ordinal, cue_index, 'error', 'tooManyLines', len(ls), 2 FROM ok WHERE len(ls) > 2 UNION ALL SELECT media_id, lang, ordinal, cue_index, 'error', 'emptyLine', NULL, NULL FROM lw WHERE blank
+  UNION ALL SELECT media_id, lang, ordinal, cue_index, CASE WHEN parts THEN 'error' ELSE 'warning' END, 'lineTooLong', wide, w FROM lw JOIN lb USING (r)
+  UNION ALL SELECT media_id, lang, ordinal, cue_index, 'warning', 'cueTooShort', took / 1000, m / 1000::DOUBLE FROM ok WHERE took < m UNION ALL SELECT media_id, lang, ordinal, cue_index, 'warning', 'cueTooLong', took / 1000, 7 FROM ok WHERE took > 7000
+  UNION ALL SELECT media_id, lang, ordinal, cue_index, 'warning', 'readingSpeedExceeded', units * 1000::DOUBLE / took, c FROM ok WHERE took + 1.001::DOUBLE < units::DOUBLE * 1000 / c
+  UNION ALL SELECT media_id, lang, ordinal, cue_index, 'error', 'cuePastMediaEnd', e / 1000, media_end / 1000 FROM q WHERE good AND e > media_end) """
 
 
 def _issues(spark, d):
-    from ..operators import results
+    """Some cues end after their media: each cue's media is taken to end somewhere behind its place."""
+    cues = fx.flawed(timeline.cues(fx.segments(spark, d)))
+    return quality.assess_cues(results.with_profile(cues).withColumn("media_end_ms", F.col("ordinal") * 3000 + F.col("media_id") % 5 * 100))
 
-    s = fx.segments(spark, d)
-    limits = results.with_profile(s.select("media_id", (F.col("seg_idx") + 1).alias("ordinal"), "lang", F.greatest("start_ms", F.lit(0)).alias("start_ms"), F.greatest("end_ms", F.lit(0)).alias("end_ms")))
-    return grouping.cue_limits(timeline.cues(s).select("media_id", "ordinal", "text").join(limits, ["media_id", "ordinal"]))
 
-
-@query(ISSUES + "SELECT media_id, ordinal, issue FROM i")
+@query(ISSUES + 'SELECT media_id, lang, ordinal, cue_index, severity, code, actual, "limit" FROM i')
 def Q1_assess_cues(spark, d):
     return _issues(spark, d)
 
 
-@query(ISSUES + "SELECT media_id, count(*) FILTER (issue NOT IN ('cueTooShort')) AS n_errors, count(*) FILTER (issue = 'cueTooShort') AS n_warnings FROM i GROUP BY media_id")
+@query(ISSUES + "SELECT media_id, lang, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings FROM i GROUP BY media_id, lang")
 def A4_qa_summary(spark, d):
-    warns = F.col("issue") == "cueTooShort"
-    return _issues(spark, d).groupBy("media_id").agg(F.count_if(~warns).alias("n_errors"), F.count_if(warns).alias("n_warnings"))
+    return quality.summary(_issues(spark, d))
 
 
 NAMES = "CASE WHEN doc_id % 59 = 0 THEN 'x/.npmrc' WHEN doc_id % 19 = 0 THEN '/abs' || doc_id WHEN doc_id % 23 = 0 THEN 'a/../b' || doc_id ELSE 'f' || doc_id END"
@@ -283,8 +287,15 @@ def J9_reconcile_three_way(spark, d):
     return policy.three_way(item(docs.where(k % 61 != 0)), item(listed.unionByName(listed.where(k % 73 == 0))), bill)
 
 
-@query(CUES + r""", g AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ordinal) AS n FROM cues),
-p AS (SELECT *, lag(CASE WHEN NOT bad THEN e END) OVER (PARTITION BY media_id ORDER BY ordinal) AS le FROM g), q AS (SELECT media_id, n AS ordinal, CASE WHEN trim(text) = '' THEN 'text' WHEN cue_index <> n THEN 'number' WHEN bad THEN 'timing' WHEN e <= s THEN 'range' WHEN s < le THEN 'order' END AS fault FROM p)
-SELECT media_id, ordinal, fault FROM q WHERE fault IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY ordinal) = 1""")
+@query(CUES + r""", g AS (SELECT *, row_number() OVER (PARTITION BY media_id, lang ORDER BY ordinal) AS n FROM cues),
+p AS (SELECT *, lag(CASE WHEN NOT bad THEN e END) OVER (PARTITION BY media_id, lang ORDER BY ordinal) AS le FROM g),
+q AS (SELECT media_id, lang, n AS ordinal, CASE WHEN coalesce(regexp_matches(text, '^\s*$'), true) THEN 'cueMissingText' WHEN cue_index <> n THEN 'invalidNumbering' WHEN bad OR e <= s OR s < coalesce(le, 0) THEN 'invalidTimestamps' END AS fault FROM p),
+f AS (SELECT media_id, lang, ordinal, fault FROM q WHERE fault IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id, lang ORDER BY ordinal) = 1),
+l AS (SELECT DISTINCT media_id, lang FROM cues)
+SELECT media_id, lang, CASE WHEN media_id % 7 > 3 THEN ordinal END AS ordinal, CASE media_id % 7 WHEN 0 THEN 'emptyFile' WHEN 1 THEN 'invalidUTF8' WHEN 2 THEN 'noCues' WHEN 3 THEN 'emptyFile' ELSE fault END AS fault FROM l LEFT JOIN f USING (media_id, lang) WHERE media_id % 7 <= 3 OR fault IS NOT NULL""")
 def F5_validate_srt(spark, d):
-    return timeline.first_fault(timeline.srt_documents(fx.flawed(timeline.cues(fx.segments(spark, d)))))
+    """Documents as bytes; some are null, empty, blank or no UTF-8."""
+    docs, k = timeline.srt_documents(fx.flawed(timeline.cues(fx.segments(spark, d)))), F.col("media_id") % 7
+    raw = F.col("document").cast("binary")
+    broken = F.when(k == 0, F.lit(b"")).when(k == 1, F.concat(raw, F.lit(b"\xff"))).when(k == 2, F.lit(b" \r\n\r\n\t")).when(k == 3, F.lit(None)).otherwise(raw)
+    return timeline.first_fault(docs.withColumn("document", broken))

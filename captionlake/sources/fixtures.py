@@ -34,9 +34,17 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flawed(cues: DataFrame) -> DataFrame:
-    """Cues with some wrong numbers and timings that don't parse."""
-    k = F.col("media_id") + F.col("ordinal") - 1
-    return cues.withColumns({"cue_index": F.col("cue_index") + F.when(k % 71 == 0, 1).otherwise(0), "timing": F.when(k % 73 == 0, "bad").otherwise(F.col("timing"))})
+    """Cues in two languages, the second with a word in front and 7 ms later, with some wrong numbers and timings: none, an
+    hour beyond all numbers, a third part, blanks around the times (which are allowed)."""
+    after = F.create_map(*[F.lit(x) for pair in zip(("en", "de", "es", "fr"), ("de", "es", "fr", "en")) for x in pair])
+    second = cues.withColumns({"lang": F.try_element_at(after, F.col("lang")), "text": F.concat(F.lit("bis "), F.col("text"))})
+    both = cues.withColumn("more", F.lit(0)).unionByName(second.withColumn("more", F.lit(7)))
+    k = F.col("media_id") + F.col("ordinal") - 1 + F.col("more")
+    timing = (
+        F.when(k % 73 == 0, "bad").when(k % 79 == 0, F.concat(F.lit("99999999999999"), F.col("timing"))).when(k % 83 == 0, F.concat("timing", F.lit(" --> "), F.substring("timing", 1, 12)))
+        .when(k % 89 == 0, F.concat(F.lit(" "), F.replace("timing", F.lit(" --> "), F.lit("  --> ")), F.lit("\t "))).otherwise(F.col("timing"))
+    )
+    return both.withColumns({"cue_index": F.col("cue_index") + F.when(k % 71 == 0, 1).otherwise(0), "timing": timing}).drop("more")
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from captionlake.functions import scalars as X
 from captionlake.functions import texts as T
-from captionlake.operators import cleaning, layout, policy, speech, status, timeline
+from captionlake.operators import cleaning, layout, policy, quality, results, speech, status, timeline
 from captionlake.sources import timelines
 
 
@@ -301,6 +301,52 @@ def test_output_names_equal_the_queue(spark):
 
 
 def test_broken_subtitle_files(spark):
-    rows = [(1, "x\n00:00:00,000 --> 00:00:01,000\na\n"), (2, "1\nbad\na"), (3, "1\n00:00:02,000 --> 00:00:01,000\n\u00a0")]
-    got = timeline.first_fault(spark.createDataFrame(rows, "media_id long, document string")).collect()
-    assert sorted((r.media_id, r.fault) for r in got) == [(1, "number"), (2, "timing"), (3, "text")]
+    t = "00:00:00,000 --> 00:00:01,000"
+    late = lambda a, b: f"1\n{t}\na\n\n2\n{a} --> {b}\nb".encode()
+    cases = {
+        "emptyFile": [None, b""], "noCues": [b"\r\n\n \t\xc2\xa0", b"\n"], "invalidUTF8": [f"1\n{t}\na".encode() + b"\xff", b"\xc3"], "cueMissingText": [f"1\n{t}\n\xa0".encode(), f"1\n{t}".encode()],
+        "invalidNumbering": [f"x\n{t}\na".encode(), f"2\n{t}\na".encode(), f"99999999999999999999\n{t}\na".encode()],
+        "invalidTimestamps": [b"1\nbad\na", f"1\n{t} --> {t[:12]}\na".encode(), b"1\n00:00:02,000 --> 00:00:01,000\na", late("00:00:00,999", "00:00:02,000"), late("00:00:01,000", "00:00:01,00"), late("00:60:01,000", "00:61:01,000"), late("99999999999999:00:00,000", "99999999999999:00:01,000")],
+        None: [f"\ufeff1\n{t}\na".encode()[3:], f" 1 \r\n {t.replace(' ', '  ')}\t\r\na\r\n\r\n\r\n\r\n+2\r\n0:0:1,000 --> 100:00:00,000\r\nb".encode(), late("00:00:01,000", "00:00:02,000")],
+    }
+    rows = [(i, fault, d) for i, (fault, d) in enumerate((f, d) for f, ds in cases.items() for d in ds)]
+    got = {r.media_id: r.fault for r in timeline.first_fault(spark.createDataFrame([(i, d) for i, _, d in rows], "media_id long, document binary")).collect()}
+    assert got == {i: f for i, f, _ in rows if f}
+    big = spark.range(1).select(F.col("id").alias("media_id"), F.repeat(F.lit("x"), (50 << 20) + 1).alias("document"))
+    assert [r.fault for r in timeline.first_fault(big).collect()] == ["unexpectedlyLarge"]
+
+
+def test_languages_of_a_media_stay_apart(spark):
+    t = "00:00:00,000 --> 00:00:01,000"
+    cues = spark.createDataFrame([(1, "de", 1, 1, t, "a"), (1, "en", 1, 1, t, "b"), (1, "en", 2, 2, "00:00:00,500 --> 00:00:01,000", "c")], "media_id long, lang string, ordinal long, cue_index long, timing string, text string")
+    documents = timeline.srt_documents(cues)
+    assert {r.lang: r.document for r in documents.collect()} == {"de": f"1\n{t}\na\n", "en": f"1\n{t}\nb\n\n2\n00:00:00,500 --> 00:00:01,000\nc\n"}
+    assert {(r.lang, r.text) for r in timeline.parse_srt(documents).collect()} == {("de", "a"), ("en", "b"), ("en", "c")}
+    assert [(r.lang, r.ordinal, r.issue) for r in quality.check_cues(cues).collect()] == [("en", 2, "overlappingCues")]
+    assert [(r.lang, r.fault) for r in timeline.first_fault(documents).collect()] == [("en", "invalidTimestamps")]
+
+
+ASSESSED = "media_id long, lang string, ordinal long, cue_index long, timing string, text string, unit_id string, media_end_ms double, chars_per_line int, chars_per_s double, least_s double"
+
+
+def test_assessment(spark):
+    cue = lambda m, timing, text, lang="en", end=None, line=42, speed=20.0, index=1: (m, lang, 1, index, timing, text, "u", end, line, speed, 0.833)
+    rows = [
+        cue(1, "00:00:00,000 --> 00:00:00,500", "a" * 43 + "\nsecond\nthird"), cue(2, "00:00:04,000 --> 00:00:05,001", "End", end=5000.0), cue(3, "bad", "x\n" * 9, index=2), cue(4, "00:00:00,000 --> 00:00:05,000", "\u00a0\n "),
+        cue(5, "00:00:00,000 --> 00:00:08,000", "a b" * 20 + "\n \n", end=float("nan")), cue(6, "00:00:10,001 --> 00:00:11,706", "a" * 29, "fr", speed=17.0), cue(7, "00:00:10,001 --> 00:00:11,705", "a" * 29, "fr", speed=17.0),
+        cue(8, "00:00:00,000 --> 00:00:07,000", "\uac00" * 16 + ".", "ko", line=16, speed=12.0), cue(9, "00:00:00,000 --> 00:00:07,000", "\u30a2" * 14, "ja", line=13, speed=4.0), cue(10, "00:00:00,000 --> 00:00:07,000", "x" * 99, "tlh", line=None, speed=None), cue(11, "00:00:00,000 --> 00:00:01,000", None),
+    ]
+    got = {}
+    for r in quality.assess_cues(spark.createDataFrame(rows, ASSESSED)).collect():
+        assert r.unit_id == "u"
+        got.setdefault(r.media_id, []).append((r.severity, r.code, r.actual, r.limit))
+    assert got[1] == [("error", "tooManyLines", 3, 2), ("warning", "lineTooLong", 43, 42), ("warning", "cueTooShort", 0.5, 0.833), ("warning", "readingSpeedExceeded", 108, 20)]
+    assert got[2] == [("error", "cuePastMediaEnd", 5.001, 5)] and got[3] == [("error", "invalidCueNumbering", None, None), ("error", "invalidCueTiming", None, None)] and got[4] == [("error", "emptyCueText", None, None)]
+    assert got[5] == [("error", "tooManyLines", 3, 2), ("error", "lineTooLong", 60, 42), ("error", "emptyLine", None, None), ("error", "emptyLine", None, None), ("warning", "cueTooLong", 8, 7)]
+    assert 6 not in got and [x[1] for x in got[7]] == ["readingSpeedExceeded"] and got[8] == [("warning", "lineTooLong", 16.5, 16)] and [x[:2] for x in got[9]] == [("warning", "lineTooLong")] and 10 not in got
+    assert got[11] == [("error", "emptyCueText", None, None)]
+    assert {(r.media_id, r.n_errors, r.n_warnings) for r in quality.summary(quality.assess_cues(spark.createDataFrame(rows, ASSESSED))).collect()} >= {(1, 1, 3), (7, 0, 1)}
+
+
+def test_a_language_without_limits_keeps_its_rows(spark):
+    assert [tuple(r) for r in results.with_profile(spark.createDataFrame([("tlh", 1), (None, 2), ("ja", 3)], "lang string, n int")).orderBy("n").collect()] == [("tlh", 1, None, None, None), (None, 2, None, None, None), ("ja", 3, 13, 4.0, 0.5)]

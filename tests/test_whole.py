@@ -15,12 +15,6 @@ def test_cues_keep_text_number_and_timing(spark):
         assert c.cue_index == c.ordinal and c.timing != "bad"
 
 
-def test_long_lines_are_issues(spark):
-    cue = [(1, 1, "x" * 43, 0, 5000, 42, 20.0, 0.833), (1, 2, "x" * 42, 0, 5000, 42, 20.0, 0.833)]
-    got = grouping.cue_limits(spark.createDataFrame(cue, "media_id long, ordinal long, text string, start_ms long, end_ms long, chars_per_line int, chars_per_s double, least_s double"))
-    assert [tuple(r) for r in got.where(F.col("issue") == "lineTooLong").collect()] == [(1, 1, "lineTooLong")]
-
-
 def test_units_over_the_limit_stand_alone(spark):
     units = [(1, "en", i, "x" * n, 3000 * i, 3000 * i + 2500, "s") for i, n in enumerate((100, 601, 700, 100, 499, 1))]
     got = grouping.group_units(spark.createDataFrame(units, "media_id long, lang string, unit_id long, text string, start_ms long, end_ms long, speaker string"))
@@ -49,7 +43,7 @@ def test_bad_blocks_are_reported(spark):
     }
     rows_ = [(m, "\n\n".join(b) + "\n") for m, b in docs.items()]
     got = timeline.first_fault(spark.createDataFrame(rows_, "media_id long, document string")).collect()
-    assert sorted(tuple(r) for r in got) == [(2, 2, "text"), (3, 2, "text"), (4, 2, "text"), (5, 2, "number"), (6, 2, "number")]
+    assert sorted(tuple(r) for r in got) == [(2, 2, "cueMissingText"), (3, 2, "cueMissingText"), (4, 2, "cueMissingText"), (5, 2, "invalidNumbering"), (6, 2, "invalidNumbering")]
 
 
 def test_every_page_is_checked_for_its_destination(spark, tmp_path):

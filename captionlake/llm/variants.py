@@ -6,9 +6,10 @@ by dynamic programming over their places. One edit spoils at most one of two dis
 apart a pivot of the one whose prefix ends first stands in the other's prefix, moved by at most the edit.
 
 Pivots are looked up among prefixes by place and length: an edit behind a gram leaves what is before it alone, and its
-place; one in front of it leaves what is behind it. So a probe carries the text on the side that the edit spared, and a
-gram that very many words have is dealt by these texts: no group holds more than the words that share one such half.
-Matches are verified by their edit distance.
+place; one in front of it leaves what is behind it. So a probe carries the text on the side that the edit spared; where
+that is less than half of the word, also one half of the rest, of which the edit spares one. A gram that very many words
+have is dealt by these texts: a group is words that share half of their characters. Only hashes of the texts are joined;
+matches are verified by their edit distance.
 
 The vocabulary is counted with partial sums; after that all work is on distinct words. Counts of grams (at most
 MOST_GRAMS, the square of the alphabet) are broadcast.
@@ -64,19 +65,34 @@ def pivots(places: list[tuple[int, int]]) -> tuple[int, int]:
     return best[1:]
 
 
-def signatures(word: str, counts: dict[str, int]) -> Iterator[tuple[bool, str, int, str]]:
-    """(probe, side, length, text): the places in the index where the word stands, and where it looks others up. Side l
-    holds the text up to the end of a gram, side r the text from its start on."""
-    grams = [(counts[word[p : p + 2]], word[p : p + 2], p) for p in range(len(word) - 1)]
+def _spared(name: str, own: int, other: int, part: str, rest: str, least: int) -> list[str]:
+    """Keys of words that share `part`, of which one edit parts what else they have. A part of less than half a word is
+    shared by many, so the rest is cut in two as well: the edit spares its first `least // 2` characters or its last ones."""
+    if 2 * len(part) >= own:
+        return [f"{name}{own}{part}"]
+    half = least // 2
+    return [f"{name}{own},{other}<{part},{rest[:half]}", f"{name}{own},{other}>{part},{rest[len(rest) - least + half :]}"]
+
+
+def signatures(word: str, counts: dict[str, int]) -> Iterator[tuple[bool, str]]:
+    """(probe, key): where the word stands in the index, and where it looks others up. Side l shares the text up to the end
+    of a gram, side r the text from its start on; a key names the length of the word that stands there."""
+    n = len(word)
+    grams = [(counts[word[p : p + 2]], word[p : p + 2], p) for p in range(n - 1)]
     third = sorted(grams)[PREFIX - 1][:2]
-    prefix = [(p, n) for n, g, p in grams if (n, g) <= third]
+    prefix = [(p, k) for k, g, p in grams if (k, g) <= third]
+    sides = lambda p: (("l", word[: p + 2], word[p + 2 :]), ("r", word[p:], word[:p]))
     for p, _ in prefix:
-        yield False, "l", len(word), word[: p + 2]
-        yield False, "r", len(word), word[p:]
+        for name, part, rest in sides(p):
+            keys = [_spared(name, n, m, part, rest, min(n, m) - len(part)) for m in (n - 1, n, n + 1) if m >= len(part)]
+            for key in dict.fromkeys(x for ks in keys for x in ks):
+                yield False, key
     for p in pivots(prefix):
-        for n in (len(word) - 1, len(word), len(word) + 1):
-            yield True, "l", n, word[: p + 2]
-            yield True, "r", n, word[p:]
+        for name, part, rest in sides(p):
+            for m in (n - 1, n, n + 1):
+                if m >= len(part):
+                    for key in _spared(name, m, n, part, rest, min(n, m) - len(part)):
+                        yield True, key
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -92,17 +108,16 @@ def near_words(words: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        names = ["probe", "side", "length", "part", "word", "n"]
-        kinds = [pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()]
         for b in batches:
-            out = [(*s, w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in signatures(w, counts.value)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
-
-    signed = words.select("word", "n").mapInArrow(run, "probe boolean, side string, length int, part string, word string, n long")
-    key = ["side", "length", "part"]
-    asked = signed.where("probe").select(*key, "word", "n")
-    index = signed.where("not probe").select(*key, F.col("word").alias("other"), F.col("n").alias("m"))
-    near = asked.join(index, key).where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
+            out = [list(signatures(w, counts.value)) for w in b.column(0).to_pylist()]
+            of = pa.array([i for i, ks in enumerate(out) for _ in ks], pa.int32())
+            probe, key = pa.array([k[0] for ks in out for k in ks], pa.bool_()), pa.array([k[1] for ks in out for k in ks], pa.string())
+            yield pa.RecordBatch.from_arrays([probe, key, b.column(0).take(of), b.column(1).take(of)], names=["probe", "key", "word", "n"])
+
+    signed = words.select("word", "n").mapInArrow(run, "probe boolean, key string, word string, n long").withColumn("key", F.xxhash64("key"))
+    asked = signed.where("probe").select("key", "word", "n")
+    index = signed.where("not probe").select("key", F.col("word").alias("other"), F.col("n").alias("m"))
+    near = asked.join(index, "key").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     back = F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m"))
     return near.select(F.explode(F.array(F.struct("word", "n", "other", "m"), back)).alias("x")).select("x.*").distinct()
 

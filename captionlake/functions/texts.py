@@ -137,12 +137,32 @@ def damage(text: Column) -> Column:
     )
 
 
-def caption(text: Column) -> Column:
-    """One line: white space collapsed, none around an apostrophe between letters."""
-    plain = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+@F.pandas_udf(StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in text], dtype=object)
+
+
+def composed(text: Column) -> Column:
+    """The text in composed form. Characters below U+0300 are composed already, so only texts with others are looked at."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x{2FF}]"), text)), text)
+
+
+def simplified_pairs(spark) -> tuple[str, str]:
+    """Traditional Chinese characters and the simplified ones for them, as two strings, by the rules of ICU, which comes with
+    Spark. Characters are taken one by one; rules for words of several aren't applied."""
+    every = [chr(c) for lo, hi in ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)) for c in range(lo, hi + 1)]
+    rules = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
+    pairs = [(a, b) for a, b in zip(every, rules.transliterate("\n".join(every)).split("\n")) if a != b and len(b) == 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def caption(text: Column, lang: Column | None = None, simplified: tuple[str, str] | None = None) -> Column:
+    """One line in composed form: white space collapsed, none around an apostrophe between letters. simplified: characters
+    and what stands for them in Chinese (see simplified_pairs)."""
+    plain = strip(F.regexp_replace(composed(text), r"(?U)\s+", " "))
     for mark in ("'", "’"):
         plain = F.regexp_replace(plain, rf"(?<=\p{{L}}) ?{mark} ?(?=\p{{L}})", mark)
-    return plain
+    return plain if lang is None or simplified is None else F.when(lang == "zh", F.translate(plain, *simplified)).otherwise(plain)
 
 
 def redact_paths(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import texts as T
-from ..operators import layout, results, speech, status, timeline
+from ..operators import layout, render, results, speech, status, timeline
 from ..sources import fixtures as fx
 from .catalogue import JUDGED, QUERIES, query
 from .records import ISSUES, SPACED, _issues
@@ -182,6 +182,14 @@ def W12_number_cues(spark, d):
     return layout.number_cues(timed.select("media_id", "unit_id", "start_ms", "end_ms", even.alias("durations_ms")))
 
 
+@unstated
+def L8_render_cues(spark, d):
+    """Cues of two languages of each media, with the number of issues of each output."""
+    cues, issues = render.render_cues(*fx.outputs(spark, d))
+    n = issues.groupBy("media_id", "lang").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
+    return cues.join(n, ["media_id", "lang"], "left").select("media_id", "lang", "cue_index", "unit_id", "start_ms", "end_ms", "text", "n_errors", "n_warnings")
+
+
 #: The issues of cues, and planning warnings of some units, which a cue's own may tell of.
 REVIEWED = ISSUES + """, w AS (SELECT media_id, lang, ordinal AS unit, code, severity FROM i
   UNION ALL SELECT media_id, lang, CASE WHEN ordinal % 11 <> 0 THEN ordinal END, 'timingCapacityExceeded', 'warning' FROM cues WHERE e - s > 2500) """

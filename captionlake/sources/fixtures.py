@@ -66,6 +66,28 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again).unionByName(orphan)
 
 
+#: Letters of other scripts in place of a to z, by language.
+SCRIPTS = {"ja": "かきくけこさしすせそたちつてと日月火水木金土ラリルレ", "ko": "가나다라마바사아자차카타파하거너더러머버서어저처커터", "zh": "天地人你我他山水火木金土日月上中下大小多少書本學車馬"}
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(units, translations, targets, media) to render: each media in its own language and in one of another script, some
+    units out of order or without a time, every third media without an end."""
+    u = units(spark, sf_dir)
+    d, i = F.col("media_id"), F.col("unit_id")
+    other = F.get(F.array(*map(F.lit, SCRIPTS)), (d % 3).cast("int"))
+    start = F.col("start_ms") + F.when((d + i) % 37 == 0, -4000).when((d + i) % 41 == 0, F.lit(float("nan"))).otherwise(0)
+    timed = u.select("media_id", i.alias("place"), F.when((d + i) % 53 == 0, i - 1).otherwise(i).alias("unit_id"), start.alias("start_ms"), "end_ms")
+    own = translations(spark, sf_dir).join(u.select("media_id", "lang").distinct(), "media_id")
+    script = F.lit(None).cast("string")
+    for lang, letters in SCRIPTS.items():
+        script = F.when(other == lang, F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", letters)).otherwise(script)
+    told = own.unionByName(own.withColumns({"lang": other, "text": F.when((d + i) % 2 == 0, F.replace(script, F.lit(" "), F.lit("、"))).otherwise(script)}))
+    targets = u.select("media_id", "lang").distinct()
+    ends = u.groupBy("media_id").agg(F.when(F.first(d) % 3 != 0, F.max("end_ms") - 300).alias("media_end_ms"))
+    return timed, told, targets.unionByName(targets.withColumn("lang", other)), ends
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed words of conversations: (media_id, word_idx, text, start_ms, end_ms, speaker)."""
     turns = table(spark, sf_dir, "conversations").select(

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lean, without
+from .common import lean, stored, without
 from .textops import Rolling, chunks, points
 
 GRAMS = (3, 4, 5)
@@ -109,7 +109,9 @@ def fit(
     docs: DataFrame, labels: DataFrame, train_rows: Column, label_col: str, id_col: str = "doc_id", text_col: str = "text",
     max_rows: int = 4000, max_bytes: int = 20_000_000,
 ) -> Classifier:
-    """Fit on labelled rows where train_rows (over labels) holds."""
+    """Fit on labelled rows where train_rows (over labels) holds: of at most max_rows of them, in the order of a hash, those
+    whose whole texts fit into what is left of max_bytes; a longer one is passed over, and the next ones are tried. The
+    driver gets the lengths of max_rows texts, and the texts that fit."""
     rows = labels.where(train_rows & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")
     )
@@ -120,8 +122,13 @@ def fit(
     by_hash = Window.orderBy("__h", "__id", "__label", "__n", F.xxhash64("__t"))
     got = texts.join(some.withColumn("__h", key), "__id").withColumn("__n", F.octet_length("__t"))
     got = got.withColumn("__r", F.row_number().over(by_hash)).where(F.col("__r") <= max_rows)
-    got = got.withColumn("__sum", F.sum("__n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__sum") <= max_bytes)
-    got = got.orderBy("__r").collect()
+    got = stored(got.where(F.col("__n") <= max_bytes).select("__r", "__n", "__t", "__label"))
+    fit_in, left = [], max_bytes
+    for r in got.select("__r", "__n").orderBy("__r").collect():
+        if r["__n"] <= left:
+            fit_in.append(r["__r"])
+            left -= r["__n"]
+    got = got.where(F.col("__r").isin(fit_in)).orderBy("__r").collect()
     return train([r["__t"] for r in got], [r["__label"] for r in got])
 
 

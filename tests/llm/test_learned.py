@@ -87,6 +87,14 @@ def test_quality_held_out(spark, odd):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def test_a_text_over_the_budget_is_passed_over(spark):
+    rows = [(i, ("good fine words " if i % 2 else "bad poor junk ") * (4000 if i < 12 else 6)) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True), "quality", max_bytes=20_000)
+    got = {r.doc_id: r.score for r in quality.score(docs.where("doc_id >= 12"), model).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
+
+
 def test_base_spans_equal_plain_matching(spark, odd):
     either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
     keys = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))

@@ -112,12 +112,12 @@ def split_units(words: DataFrame, gap_ms: int = 800, longest_ms: int = 15_000) -
 
 
 def throttled(updates: DataFrame, least: float = 0.002) -> DataFrame:
-    """Updates of each run to show: the first, the last, and each that is `least` further than the last shown."""
+    """Updates of each run to show: the first, the last, whole ones, and each that is `least` further than the last shown."""
 
     def fold(part):
         part, shown, last = part.sort_values("event_id"), [], None
         for f in part.fraction:
-            shown.append(last is None or f - last >= least)
+            shown.append(last is None or f >= 1 or f - last >= least)
             last = f if shown[-1] else last
         shown[-1] = True
         return part[shown]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -9,7 +10,8 @@ from ..functions import texts as T
 from ..operators import cleaning, grouping, policy, quality, results, timeline
 from ..sources import fixtures as fx
 from ..sources import timelines
-from ..streaming.files import through_stream
+from ..streaming import state
+from ..streaming.files import staged, through_stream
 from .catalogue import CUES, JUDGED, SEQUENCE, query
 
 
@@ -182,15 +184,30 @@ def W15_bounded_log(spark, d):
     return policy.bounded_log(fx.lines(spark, d))
 
 
-@query(r"""WITH l AS (SELECT doc_id AS media_id, regexp_split_to_array(regexp_replace(replace(text, 'a ', 'a' || chr(13) || chr(10)), '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS ls FROM documents WHERE text <> ''),
+FRAMED = r"""WITH l AS (SELECT doc_id AS media_id, regexp_split_to_array(regexp_replace(replace(text, 'a ', 'a' || chr(13) || chr(10)), '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS ls FROM documents WHERE text <> ''),
 f AS (SELECT *, len(list_filter(ls, lambda x: octet_length(encode(x)) > 65536)) > 0 AS failed FROM l)
-SELECT media_id, failed, p, CASE WHEN NOT failed THEN ls[p + 1] END AS line FROM (SELECT *, unnest(CASE WHEN failed THEN [0] ELSE range(len(ls)) END)::INTEGER AS p FROM f)""")
+SELECT media_id, failed, p, CASE WHEN NOT failed THEN ls[p + 1] END AS line FROM (SELECT *, unnest(CASE WHEN failed THEN [0] ELSE range(len(ls)) END)::INTEGER AS p FROM f)"""
+
+
+def _chunks(spark, d):
+    """Chunks of 500 characters; a text without any has none."""
+    docs = _docs(spark, d).select(F.col("doc_id").alias("media_id"), F.replace("text", F.lit("a "), F.lit("a\r\n")).alias("text"))
+    n = F.ceil(F.length("text") / 500).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    return docs.select("media_id", "text", n.alias("n"), F.explode(starts).alias("p")).select("media_id", "p", F.substring("text", F.col("p") * 500 + 1, F.lit(500)).alias("chunk"), (F.col("p") == F.col("n") - 1).alias("last"))
+
+
+@query(FRAMED)
 def R6_frame_lines(spark, d):
-    text = F.replace("text", F.lit("a "), F.lit("a\r\n"))
-    docs = _docs(spark, d).where("text <> ''").select(F.col("doc_id").alias("media_id"), text.alias("text"))
-    starts = F.sequence(F.lit(0), F.ceil(F.length("text") / 500).cast("int") - 1)
-    chunks = docs.select("media_id", "text", F.explode(starts).alias("p")).select("media_id", "p", F.substring("text", F.col("p") * 500 + 1, F.lit(500)).alias("chunk"))
-    return policy.framed(chunks)
+    return policy.framed(_chunks(spark, d))
+
+
+@query(FRAMED)
+def R6_frame_lines_stream(spark, d):
+    """The same as a stream of files, each with a third of every source's chunks, in which lines go on from file to file."""
+    stream, folder = staged(spark, _chunks(spark, d).withColumnRenamed("p", "seq"), 3, "seq")
+    state.run_until_taken(state.frame_lines(stream), folder)
+    return spark.read.schema(state.LINES).parquet(f"{folder}/out")
 
 
 EVENTS = """WITH e AS (SELECT event_id, user_id AS job_id, ['check', 'audio', 'speech', 'translate', 'save'][event_id % 5 + 1] AS stage, (event_id % 8) / 8::DOUBLE AS f FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) """
@@ -265,15 +282,62 @@ def W5_split_units(spark, d):
     return grouping.split_units(fx.words(spark, d))
 
 
-@query("""WITH RECURSIVE u AS MATERIALIZED (SELECT user_id AS job_id, event_id // 2500 AS run_id, event_id, (event_id % 500) / 500::DOUBLE AS fraction, row_number() OVER w AS rn, lead(event_id) OVER w IS NULL AS final
+THROTTLED = """WITH RECURSIVE u AS MATERIALIZED (SELECT user_id AS job_id, event_id // 2500 AS run_id, event_id, least(1, (event_id % 500) / 450::DOUBLE) AS fraction, row_number() OVER w AS rn, lead(event_id) OVER w IS NULL AS final
   FROM events WINDOW w AS (PARTITION BY user_id, event_id // 2500 ORDER BY event_id)), f AS (SELECT job_id, run_id, rn, event_id, fraction, fraction AS last, true AS shown FROM u WHERE rn = 1
-  UNION ALL SELECT u.job_id, u.run_id, u.rn, u.event_id, u.fraction, CASE WHEN u.fraction - f.last >= 0.002::DOUBLE THEN u.fraction ELSE f.last END, u.final OR u.fraction - f.last >= 0.002::DOUBLE
+  UNION ALL SELECT u.job_id, u.run_id, u.rn, u.event_id, u.fraction, CASE WHEN u.final OR u.fraction >= 1 OR u.fraction - f.last >= 0.002::DOUBLE THEN u.fraction ELSE f.last END, u.final OR u.fraction >= 1 OR u.fraction - f.last >= 0.002::DOUBLE
   FROM f JOIN u ON u.job_id = f.job_id AND u.run_id = f.run_id AND u.rn = f.rn + 1)
-SELECT job_id, run_id, event_id, fraction FROM f WHERE shown""")
+SELECT job_id, run_id, event_id, fraction FROM f WHERE shown"""
+
+
+def _fractions(spark, d):
+    e = F.col("event_id")
+    return fx.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.floor(e / 2500).alias("run_id"), e, F.least(F.lit(1.0), (e % 500) / F.lit(450.0)).alias("fraction"))
+
+
+@query(THROTTLED)
 def R5_throttle_progress(spark, d):
+    return grouping.throttled(_fractions(spark, d))
+
+
+@query(THROTTLED)
+def R5_throttle_stream(spark, d):
+    """The same as a stream of files by run, which remembers what it showed last."""
+    u = _fractions(spark, d)
+    last = u.groupBy("job_id", "run_id").agg(F.max("event_id").alias("event_id"), F.lit(True).alias("final"))
+    told = u.join(last, ["job_id", "run_id", "event_id"], "left").withColumns({"final": F.coalesce("final", F.lit(False)), "piece": F.floor(F.col("event_id") % 2500 / 834)})
+    stream, folder = staged(spark, told, 3, "piece")
+    state.run_until_taken(state.throttle_progress(stream), folder)
+    return spark.read.schema(state.SHOWN).parquet(f"{folder}/out")
+
+
+@query("""WITH u AS (SELECT user_id AS job_id, event_id // 2500 AS run_id, event_id, ts, ['check', 'audio', 'speech'][event_id % 3 + 1] AS stage, (event_id % 500) / 500::DOUBLE AS fraction FROM events)
+SELECT job_id, run_id, stage, event_id, fraction FROM (SELECT * FROM u QUALIFY run_id = max(run_id) OVER (PARTITION BY job_id)) QUALIFY row_number() OVER (PARTITION BY job_id, stage ORDER BY ts DESC, event_id DESC) = 1""")
+def R2_R3_stage_timings_stream(spark, d):
+    """A stream of updates, some repeated and some late; only the stages of each job's newest run are kept."""
     e = F.col("event_id")
-    updates = fx.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.floor(e / 2500).alias("run_id"), e, ((e % 500) / F.lit(500.0)).alias("fraction"))
-    return grouping.throttled(updates)
+    stage = F.get(F.array(F.lit("check"), F.lit("audio"), F.lit("speech")), (e % 3).cast("int"))
+    u = fx.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.floor(e / 2500).alias("run_id"), stage.alias("stage"), F.col("ts").cast("timestamp").alias("ts"), e, ((e % 500) / F.lit(500.0)).alias("fraction"))
+    told = u.withColumn("piece", e % 3).unionByName(u.where(e % 5 == 0).withColumn("piece", (e + 1) % 3))
+    stream, folder = staged(spark, told, 3, "piece")
+    state.run_until_taken(state.stage_timings(stream), folder, ["job_id", "stage"])
+    newest = state.newest(spark, folder, state.TIMINGS, ["job_id", "stage"])
+    last = newest.groupBy("job_id").agg(F.max("run_id").alias("run_id"))
+    return newest.join(last, ["job_id", "run_id"]).select("job_id", "run_id", "stage", "event_id", "fraction")
+
+
+@query("""SELECT queue, job, state FROM (SELECT user_id AS queue, 'j' || event_id AS job, CASE event_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' WHEN 2 THEN 'completedWithWarnings' ELSE 'cancelled' END AS state FROM events)""")
+def R4_job_states(spark, d):
+    """Each queue adds, inspects and settles its jobs, begins, and starts and ends one after another."""
+    e = fx.table(spark, d, "events").select(F.col("user_id").alias("queue"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("n"), F.count("*").over(Window.partitionBy("user_id")).alias("all"))
+    name, k = F.concat(F.lit("j"), F.col("event_id").cast("string")), F.col("event_id") % 4
+    end = F.when(k == 0, "fail").when(k == 3, "cancel").otherwise("finish")
+    row = lambda seq, event, job=name, detail=None: F.struct(seq.cast("long").alias("seq"), (event if not isinstance(event, str) else F.lit(event)).alias("event"), job.alias("job"), (F.lit(detail).cast("string") if detail is None or isinstance(detail, str) else detail).alias("detail"))
+    first, then = 4 * (F.col("n") - 1), 4 * F.col("all") + 1 + 2 * (F.col("n") - 1)
+    rows = [row(first, "add"), row(first + 1, "inspect"), row(first + 2, "inspected", detail=F.when(k == 1, "undecided").otherwise("matched")), row(first + 3, "decide"), row(then, "start"), row(then + 1, end, detail=F.when(k == 1, "saved").when(k == 2, "partly"))]
+    begin = F.when(F.col("n") == 1, F.array(row(4 * F.col("all"), "begin", F.lit(None).cast("string")))).otherwise(F.array().cast("array<struct<seq:long,event:string,job:string,detail:string>>"))
+    events = e.select("queue", F.explode(F.concat(F.array(*rows), begin)).alias("x")).select("queue", "x.*")
+    changes = state.replay(events)
+    return changes.groupBy("queue", "job").agg(F.max_by("state", "seq").alias("state"))
 
 
 @query("""WITH i AS (SELECT 'n' || doc_id AS name, doc_id % 61 <> 0 AS a, doc_id % 67 <> 0 AS b, doc_id % 71 <> 0 AS c, doc_id % 73 = 0 AS twice, doc_id % 79 = 0 AS other FROM documents)

@@ -33,6 +33,9 @@ HALF_KO = r"^[\x00-\x7F\p{P}\p{S}]+$"
 SPACE = r"(?U)\s"  # white space of all of Unicode, as NBSP and U+3000
 
 
+PRIVATE = "<private-path>"
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -165,7 +168,22 @@ def caption(text: Column, lang: Column | None = None, simplified: tuple[str, str
     return plain if lang is None or simplified is None else F.when(lang == "zh", F.translate(plain, *simplified)).otherwise(plain)
 
 
-def redact_paths(text: Column) -> Column:
-    """Absolute paths, quoted or bare, replaced by a mark."""
-    quoted = F.regexp_replace(text, r"""(["'])/[^"'\n]*["']""", "<private-path>")
-    return F.regexp_replace(quoted, r"""(^|[\s(=:])/[^\s"')]+""", "$1<private-path>")
+def redact_paths(text: Column, private: Column | None = None) -> Column:
+    """Private values and absolute paths replaced by a mark, line ends made one kind. private: an array of values, of which
+    those of three characters or more go, longest first; of a path also its last part. Then quoted paths, whose quotes stay,
+    then bare ones, which begin where no letter, digit or colon is before them and end at white space, quotes or brackets."""
+    out = F.regexp_replace(text, "\r", "\n")
+    if private is not None:
+        whole = F.filter(private, lambda v: v.isNotNull())
+        names = F.transform(F.filter(whole, lambda v: v.startswith("/")), lambda v: F.substring_index(F.regexp_replace(v, "/+$", ""), "/", -1))
+        known = F.filter(F.array_distinct(F.concat(whole, names)), lambda v: F.length(v) >= 3)
+        longest = F.transform(F.array_sort(F.transform(known, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
+        out = F.coalesce(F.aggregate(longest, out, lambda t, v: F.replace(t, v, F.lit(PRIVATE))), out)
+    for quote in ('"', "'"):
+        out = F.regexp_replace(out, rf"{quote}/[^{quote}\r\n]+{quote}", f"{quote}{PRIVATE}{quote}")
+    return F.regexp_replace(out, r"""(?<![A-Za-z0-9:])/[^\s"'<>\[\](),;]+""", PRIVATE)
+
+
+def without_events(text: Column, prefix: str) -> Column:
+    """The lines of a text that are no events."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.startswith(prefix)), "\n")

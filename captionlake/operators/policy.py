@@ -17,13 +17,14 @@ SCANNED_BYTES = 8 << 20
 
 
 def scan_files(files: DataFrame) -> DataFrame:
-    """(path, problem) of files with a forbidden name or a secret; contents over 8 MiB are judged by name only."""
+    """(path, problem): a row for a forbidden name, and one for the first kind of secret in a file's content; contents over 8
+    MiB are judged by name only."""
     small = F.octet_length("text") <= SCANNED_BYTES
-    problem = F.when(F.lower(F.substring_index("path", "/", -1)).isin(*FORBIDDEN_NAMES), "forbiddenName")
-    problem = problem.when(small & (F.col("text").contains(KEY_MARKERS[0]) | F.col("text").contains(KEY_MARKERS[1])), "privateKey")
-    for name, pattern in SECRET_PATTERNS:
-        problem = problem.when(small & F.col("text").rlike(pattern), name)
-    return files.select("path", problem.alias("problem")).where("problem is not null")
+    name = F.when(F.lower(F.substring_index("path", "/", -1)).isin(*FORBIDDEN_NAMES), "forbiddenName")
+    secret = F.when(small & (F.col("text").contains(KEY_MARKERS[0]) | F.col("text").contains(KEY_MARKERS[1])), "privateKey")
+    for kind, pattern in SECRET_PATTERNS:
+        secret = secret.when(small & F.col("text").rlike(pattern), kind)
+    return files.select("path", F.explode(F.array_compact(F.array(name, secret))).alias("problem"))
 
 
 def scan_private_folders(files: DataFrame) -> DataFrame:

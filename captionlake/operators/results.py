@@ -12,10 +12,13 @@ EVIDENCE_ROWS, EVIDENCE_CHARS = 100, 2000
 
 
 def not_clean(segments: DataFrame) -> DataFrame:
-    """Segments that break what cleaning promises: times from 0 on, end after start, no overlap, some text."""
+    """Segments that break what cleaning promises: finite times from 0 on, end after start, no overlap, some text. A null
+    time or text breaks it too."""
     before = F.lag("end_ms").over(Window.partitionBy("media_id").orderBy("seg_idx"))
-    bad = (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")) | F.coalesce(F.col("start_ms") < F.col("before"), F.lit(False)) | is_blank(F.col("text"))
-    return segments.withColumn("before", before).where(bad).drop("before")
+    finite = lambda c: ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    good = finite("start_ms") & finite("end_ms") & (F.col("start_ms") >= 0) & (F.col("end_ms") > F.col("start_ms")) & ~is_blank(F.col("text"))
+    apart = F.coalesce(F.col("start_ms") >= F.col("before"), F.lit(True)) | F.isnan(F.col("before").cast("double"))
+    return segments.withColumn("before", before).where(~F.coalesce(good & apart, F.lit(False))).drop("before")
 
 
 def with_profile(rows: DataFrame) -> DataFrame:
@@ -26,10 +29,12 @@ def with_profile(rows: DataFrame) -> DataFrame:
 
 
 def words_in_units(units: DataFrame, words: DataFrame) -> DataFrame:
-    """Words with word_start <= word_idx < word_end, as an equi-join on each unit's own word numbers."""
-    filled = units.where(F.col("word_end") > F.col("word_start"))
-    numbers = filled.select("media_id", "unit_id", F.explode(F.sequence(F.col("word_start"), F.col("word_end") - 1)).alias("word_idx"))
-    return numbers.join(words, ["media_id", "word_idx"])
+    """Words with word_start <= word_idx < word_end, as an equi-join on each unit's own word numbers. A range is cut to the
+    words that its media has, so one that is corrupt is no longer than they are; null and empty ones hold no word."""
+    known = words.groupBy("media_id").agg(F.min("word_idx").alias("least"), F.max("word_idx").alias("most"))
+    start, last = F.greatest("word_start", "least"), F.least(F.col("word_end") - F.when(F.col("word_end") > F.col("least"), 1), F.col("most"))
+    cut = units.where(F.col("word_end") > F.col("word_start")).join(known, "media_id").select("media_id", "unit_id", start.alias("start"), last.alias("last")).where("start <= last")
+    return cut.select("media_id", "unit_id", F.explode(F.sequence("start", "last")).alias("word_idx")).join(words, ["media_id", "word_idx"])
 
 
 def past_media_end(cues: DataFrame, media: DataFrame) -> DataFrame:
@@ -40,14 +45,22 @@ def past_media_end(cues: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def match_by_position(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """The n-th text for the n-th unit of a media; media whose counts differ give one row with an issue."""
-    n = lambda rows, name: rows.groupBy("media_id").agg(F.count("*").alias(name))
-    counts = n(units, "n_units").join(n(texts, "n_texts"), "media_id", "full_outer").withColumn("same", F.col("n_units").eqNullSafe(F.col("n_texts")))
-    place = lambda rows, by: rows.withColumn("place", F.row_number().over(Window.partitionBy("media_id").orderBy(*by)))
-    pairs = place(units, ["unit_id"]).select("media_id", "place", "unit_id").join(place(texts, ["unit_id", "ord"]).select("media_id", "place", F.col("text").alias("translated")), ["media_id", "place"])
-    good = pairs.join(counts.where("same").select("media_id"), "media_id", "left_semi").select("media_id", "unit_id", "translated", F.lit(None).cast("string").alias("issue"))
-    bad = counts.where("not same").select("media_id", F.lit(None).cast("long").alias("unit_id"), F.lit(None).cast("string").alias("translated"), F.lit("translationCountMismatch").alias("issue"))
-    return good.unionByName(bad)
+    """(media_id, unit_id, translated, issue): the n-th text for the n-th unit of a media. Where a media's counts differ, its
+    units get what texts there are, one row without a unit says translationCountMismatch, and a unit without a text
+    missingTranslation. One grouping by place takes the part of the join."""
+    place = lambda rows, by: F.row_number().over(Window.partitionBy("media_id").orderBy(*by)).alias("place")
+    none = F.lit(None).cast("string")
+    u = units.select("media_id", place(units, ["unit_id"]), F.lit(True).alias("is_unit"), "unit_id", none.alias("text"))
+    t = texts.select("media_id", place(texts, ["unit_id", "ord"]), F.lit(False).alias("is_unit"), F.lit(None).cast("long").alias("unit_id"), F.col("text"))
+    both, media = u.unionByName(t), Window.partitionBy("media_id")
+    n = lambda f: F.count_if(f).over(media)
+    rows = both.withColumns({"n_units": n(F.col("is_unit")), "n_texts": n(~F.col("is_unit"))})
+    told = F.lead("text").over(media.orderBy("place", F.desc("is_unit"))), F.lead("is_unit").over(media.orderBy("place", F.desc("is_unit")))
+    rows = rows.withColumns({"next": told[0], "next_is_unit": told[1]})
+    has = F.col("next_is_unit").eqNullSafe(False) & (F.col("place") <= F.col("n_texts"))
+    pairs = rows.where("is_unit").select("media_id", "unit_id", F.when(has, F.col("next")).alias("translated"), F.when(~has, "missingTranslation").alias("issue"))
+    wrong = rows.where((F.col("place") == 1) & (F.col("n_units") != F.col("n_texts"))).select("media_id").distinct()
+    return pairs.unionByName(wrong.select("media_id", F.lit(None).cast("long").alias("unit_id"), none.alias("translated"), F.lit("translationCountMismatch").alias("issue")))
 
 
 def discard_evidence(removed: DataFrame) -> DataFrame:

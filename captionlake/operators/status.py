@@ -62,12 +62,12 @@ def validate_transcripts(transcripts: DataFrame, words: DataFrame, segments: Dat
     none = F.lit(None).cast("long")
     faults = heads.select("media_id", head["rank"].alias("rank"), none.alias("place"), head["fault"].alias("fault")).where("fault is not null")
 
-    def listed(rows, rank, fault, twice, ranged):
+    def listed(rows, rank, fault, twice, ranged, no_id=lambda c: c == ""):
         order = Window.partitionBy("media_id").orderBy("place")
         finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
         seen = F.row_number().over(Window.partitionBy("media_id", "id").orderBy("place")) > 1
         rows = rows.withColumns({"last": F.coalesce(F.lag("end").over(order), F.lit(0.0)), "seen": seen})
-        sound = finite("start") & finite("end") & (F.col("start") >= F.col("last")) & (F.col("start") >= 0) & (F.col("end") > F.col("start")) & ~is_blank(F.col("id")) & ~is_blank(F.col("text"))
+        sound = finite("start") & finite("end") & (F.col("start") >= F.col("last")) & (F.col("start") >= 0) & (F.col("end") > F.col("start")) & ~no_id(F.col("id")) & ~is_blank(F.col("text"))
         if "confidence" in rows.columns:
             sound = sound & (F.col("confidence").isNull() | (finite("confidence") & F.col("confidence").between(0, 1)))
         why = F.when(~F.coalesce(sound, F.lit(False)), fault).when(F.col("seen"), twice)
@@ -78,7 +78,7 @@ def validate_transcripts(transcripts: DataFrame, words: DataFrame, segments: Dat
         return rows.select("media_id", F.lit(rank).alias("rank"), "place", why.alias("fault")).where("fault is not null")
 
     faults = faults.unionByName(listed(words, 6, "invalidWord", "invalidWord", None)).unionByName(listed(segments, 7, "invalidSegment", "invalidSegment", "invalidSegment"))
-    faults = faults.unionByName(listed(units, 8, "invalidSemanticUnit", "duplicateSemanticUnitID", "invalidSemanticUnitWordRange"))
+    faults = faults.unionByName(listed(units, 8, "invalidSemanticUnit", "duplicateSemanticUnitID", "invalidSemanticUnitWordRange", is_blank))
     first = faults.groupBy("media_id").agg(F.min(F.struct("rank", "place", "fault")).alias("x"))
     return first.select("media_id", "x.fault", "x.place")
 

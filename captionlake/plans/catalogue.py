@@ -183,9 +183,11 @@ def R3_drop_stale_runs(spark, d):
 
 
 @query("WITH " + fx.SQL_SEGMENTS + """, p AS (SELECT media_id, seg_idx, text, start_ms, end_ms, lag(end_ms) OVER (PARTITION BY media_id ORDER BY seg_idx) AS b FROM segments)
-SELECT media_id, seg_idx FROM p WHERE start_ms < 0 OR end_ms <= start_ms OR coalesce(start_ms < b, false) OR trim(text, ' ') = ''""")
+SELECT media_id, seg_idx FROM p WHERE start_ms < 0 OR end_ms <= start_ms OR coalesce(start_ms < b, false) OR trim(text, ' ') = '' OR (media_id + seg_idx) % 43 = 0""")
 def F8_assert_clean(spark, d):
-    return results.not_clean(fx.segments(spark, d)).select("media_id", "seg_idx")
+    """Some segments have a text that is none."""
+    s = fx.segments(spark, d)
+    return results.not_clean(s.withColumn("text", F.when((F.col("media_id") + F.col("seg_idx")) % 43 != 0, F.col("text")))).select("media_id", "seg_idx")
 
 
 @query(JUDGED + "SELECT j.media_id, count(*) AS n_kept, count(*) FILTER (s.avg_logprob < -1) AS n_unsure FROM judged j JOIN segments s ON j.media_id = s.media_id AND j.seg_idx = s.seg_idx WHERE reason IS NULL GROUP BY j.media_id")
@@ -199,7 +201,7 @@ def J1_A2_timeline_report(spark, d):
 @query("WITH " + fx.SQL_TRANSLATIONS + """, x AS (SELECT media_id, text, row_number() OVER (PARTITION BY media_id ORDER BY unit_id, ord) AS place FROM tr),
 y AS (SELECT media_id, unit_id, row_number() OVER (PARTITION BY media_id ORDER BY unit_id) AS place FROM units),
 c AS (SELECT media_id, n IS NOT DISTINCT FROM m AS same FROM (SELECT media_id, count(*) AS n FROM y GROUP BY 1) FULL JOIN (SELECT media_id, count(*) AS m FROM x GROUP BY 1) USING (media_id))
-SELECT y.media_id, unit_id, text AS translated, NULL::VARCHAR AS issue FROM y JOIN x ON y.media_id = x.media_id AND y.place = x.place WHERE y.media_id IN (SELECT media_id FROM c WHERE same)
+SELECT y.media_id, unit_id, text AS translated, CASE WHEN x.media_id IS NULL THEN 'missingTranslation' END AS issue FROM y LEFT JOIN x ON y.media_id = x.media_id AND y.place = x.place
 UNION ALL SELECT media_id, NULL, NULL, 'translationCountMismatch' FROM c WHERE NOT same""")
 def J3_match_by_position(spark, d):
     return results.match_by_position(fx.units(spark, d), fx.translations(spark, d))

@@ -104,7 +104,7 @@ FILES = f"""WITH files AS (SELECT {NAMES} AS path, text || CASE WHEN doc_id % 97
   || CASE WHEN doc_id % 89 = 0 THEN ' /home/u' || doc_id || '/a.wav' ELSE '' END AS text FROM documents) """
 
 
-@query(FILES + """, x AS (SELECT path, CASE WHEN path LIKE '%/.npmrc' THEN 'forbiddenName' WHEN contains(text, '-----BEGIN ' || 'PRIVATE KEY-----') OR contains(text, '-----BEGIN OPENSSH ' || 'PRIVATE KEY-----') THEN 'privateKey'
+@query(FILES + """, x AS (SELECT path, 'forbiddenName' AS problem FROM files WHERE path LIKE '%/.npmrc' UNION ALL SELECT path, CASE WHEN contains(text, '-----BEGIN ' || 'PRIVATE KEY-----') OR contains(text, '-----BEGIN OPENSSH ' || 'PRIVATE KEY-----') THEN 'privateKey'
   WHEN regexp_matches(text, 'AK' || 'IA[0-9A-Z]{16}') THEN 'cloudKey' WHEN regexp_matches(text, 'gh' || '[ps]_[A-Za-z0-9]{30,}') THEN 'token' WHEN regexp_matches(text, 'github_pat' || '_[A-Za-z0-9_]{30,}') THEN 'fineToken' END AS problem FROM files)
 SELECT path, problem FROM x WHERE problem IS NOT NULL""")
 def P1_scan_secrets(spark, d):
@@ -265,13 +265,19 @@ def X8_normalize_caption(spark, d):
     return _docs(spark, d).select("doc_id", T.caption(F.replace("text", F.lit("e s"), F.lit("e ' s"))).alias("caption"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, text || CASE WHEN doc_id % 89 = 0 THEN ' /home/u' || doc_id || '/a.wav' ELSE '' END || CASE WHEN doc_id % 83 = 0 THEN ' "/m/a b' || doc_id || '.wav"' ELSE '' END AS t FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(t, '(["''])/[^"''\n]*["'']', '<private-path>', 'g'), '(^|[\s(=:])/[^\s"'')]+', '\1<private-path>', 'g') AS shown FROM p""")
+@query(r"""WITH p AS (SELECT doc_id, text || CASE WHEN doc_id % 8 = 0 THEN ' [/Users/u' || doc_id || '/x.wav], see,/home/u' || doc_id || ' <-/tmp/a>' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' "/m/a b' || doc_id || '.wav" ''/n/it"s'' file:/a a/b https://c/d' ELSE '' END
+  || CASE WHEN doc_id % 5 = 0 THEN chr(13) || 'clip' || doc_id || '.mov of /v/clip' || doc_id || '.mov by Ann ' || doc_id ELSE '' END AS t FROM documents),
+v AS (SELECT doc_id, replace(replace(replace(replace(t, chr(13), chr(10)), '/v/clip' || doc_id || '.mov', '<private-path>'), 'clip' || doc_id || '.mov', '<private-path>'), 'Ann ' || doc_id, '<private-path>') AS t FROM p),
+q AS (SELECT doc_id, regexp_replace(regexp_replace(t, '"/[^"\r\n]+"', '"<private-path>"', 'g'), '''/[^''\r\n]+''', '''<private-path>''', 'g') AS t FROM v)
+SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z0-9:])/[^\s"''<>\[\](),;]+', '\1<private-path>', 'g') AS shown FROM q""")
 def X15_redact_paths(spark, d):
-    k = F.col("doc_id")
-    home = F.when(k % 89 == 0, F.concat(F.lit(" /home/u"), k.cast("string"), F.lit("/a.wav"))).otherwise("")
-    quoted = F.when(k % 83 == 0, F.concat(F.lit(' "/m/a b'), k.cast("string"), F.lit('.wav"'))).otherwise("")
-    return _docs(spark, d).select("doc_id", T.redact_paths(F.concat("text", home, quoted)).alias("shown"))
+    """Paths behind brackets, commas and dashes, in quotes, behind a colon (which stay), and values named by the caller."""
+    k = F.col("doc_id").cast("string")
+    when = lambda n, *parts: F.when(F.col("doc_id") % n == 0, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")
+    bare, quoted = when(8, " [/Users/u", k, "/x.wav], see,/home/u", k, " <-/tmp/a>"), when(7, ' "/m/a b', k, ".wav\" '/n/it\"s' file:/a a/b https://c/d")
+    told = when(5, "\rclip", k, ".mov of /v/clip", k, ".mov by Ann ", k)
+    private = F.array(F.concat(F.lit("Ann "), k), F.concat(F.lit("/v/clip"), k, F.lit(".mov")), F.lit("/v"), F.lit(""), F.lit(None))
+    return _docs(spark, d).select("doc_id", T.redact_paths(F.concat("text", bare, quoted, told), private).alias("shown"))
 
 
 @query("WITH RECURSIVE " + fx.SQL_WORDS + r""", m AS MATERIALIZED (SELECT media_id, word_idx, start_ms, end_ms, coalesce(start_ms - lag(end_ms) OVER w >= 800 OR regexp_matches(lag(text) OVER w, '[.!?。！？।॥]["''”’»)\]}]*\s*$'), false) AS new

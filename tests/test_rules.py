@@ -350,3 +350,39 @@ def test_assessment(spark):
 
 def test_a_language_without_limits_keeps_its_rows(spark):
     assert [tuple(r) for r in results.with_profile(spark.createDataFrame([("tlh", 1), (None, 2), ("ja", 3)], "lang string, n int")).orderBy("n").collect()] == [("tlh", 1, None, None, None), (None, 2, None, None, None), ("ja", 3, 13, 4.0, 0.5)]
+
+
+def test_redaction(spark):
+    cases = {
+        "open [/Users/a/x.wav] and see,/home/u/x": "open [<private-path>] and see,<private-path>", "file:/a a/b https://c/d 1/2": "file:/a a/b https:/<private-path> 1/2", '"/a b" \'/c d\' "/e\nf"': '"<private-path>" \'<private-path>\' "<private-path>\nf"',
+        "-/x </y> (/z) =/w": "-<private-path> <<private-path>> (<private-path>) =<private-path>", "Secret Name in clip.mov, ab\r\nx": "<private-path> in <private-path>, ab\n\nx", "": "", None: None,
+    }
+    private = F.array(F.lit("Secret Name"), F.lit("/v/clip.mov"), F.lit("Secret"), F.lit("ab"), F.lit(""), F.lit(None))
+    got = values(spark, [(t,) for t in cases], "t string", T.redact_paths(F.col("t"), private))
+    assert [r[0] for r in got] == list(cases.values())
+    assert values(spark, [("EVT\tx\na\nEVT\ty",)], "t string", T.without_events(F.col("t"), "EVT\t")) == [("a",)]
+
+
+def test_ranges_and_times_that_are_corrupt(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, 0.0, 1.0, "a"), (1, 1, 1.0, nan, "a"), (1, 2, nan, 9.0, "a"), (1, 3, 9.0, inf, "a"), (2, 0, -1.0, 1.0, "a"), (2, 1, 0.5, 2.0, "a"), (2, 2, 2.0, 3.0, " \u00a0"), (2, 3, 3.0, 4.0, None), (3, 0, None, 1.0, "a"), (3, 1, 1.0, 2.0, "a")]
+    got = results.not_clean(spark.createDataFrame(rows, "media_id long, seg_idx long, start_ms double, end_ms double, text string")).collect()
+    assert {(r.media_id, r.seg_idx) for r in got} == {(1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3), (3, 0)}
+    units = [(1, 0, 1, 3), (1, 1, -9_223_372_036_854_775_807, 9_223_372_036_854_775_807), (1, 2, 3, 3), (1, 3, 5, 2), (1, 4, None, 2), (1, 5, 2, -9_223_372_036_854_775_808), (2, 0, 0, 9)]
+    words = spark.createDataFrame([(1, i, "w") for i in range(4)], "media_id long, word_idx long, text string")
+    found = results.words_in_units(spark.createDataFrame(units, "media_id long, unit_id long, word_start long, word_end long"), words).collect()
+    assert sorted((r.unit_id, r.word_idx) for r in found) == [(0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (1, 3)]
+
+
+def test_pairs_by_place(spark):
+    units = spark.createDataFrame([(m, i) for m, n in ((1, 2), (2, 3), (3, 1), (4, 1)) for i in range(n)], "media_id long, unit_id long")
+    texts = spark.createDataFrame([(m, i, 0, f"t{i}") for m, n in ((1, 2), (2, 1), (3, 3), (5, 1)) for i in range(n)], "media_id long, unit_id long, ord long, text string")
+    got = {(r.media_id, r.unit_id, r.translated, r.issue) for r in results.match_by_position(units, texts).collect()}
+    bad, miss = "translationCountMismatch", "missingTranslation"
+    assert got == {(1, 0, "t0", None), (1, 1, "t1", None), (2, 0, "t0", None), (2, 1, None, miss), (2, 2, None, miss), (2, None, None, bad), (3, 0, "t0", None), (3, None, None, bad), (4, 0, None, miss), (4, None, None, bad), (5, None, None, bad)}
+
+
+def test_a_file_can_have_two_problems(spark):
+    key = "AK" + "IA" + "A" * 16
+    got = policy.scan_files(spark.createDataFrame([("a/.npmrc", key), ("b", key), ("c", "x")], "path string, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [("a/.npmrc", "cloudKey"), ("a/.npmrc", "forbiddenName"), ("b", "cloudKey")]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..functions import texts as T
 from ..operators import cleaning, grouping, policy, quality, results, timeline
+from ..operators.tables import scratch_dir, stored
 from ..sources import fixtures as fx
-from ..sources import timelines
+from ..sources import outputs, timelines
 from ..streaming import state
 from ..streaming.files import staged, through_stream
 from .catalogue import CUES, JUDGED, SEQUENCE, query
@@ -234,11 +235,27 @@ def R1_progress_stream(spark, d):
 
 
 @query("WITH " + fx.SQL_SEGMENTS + ", " + fx.SQL_UNITS.removeprefix(fx.SQL_LINES + ", ") + """SELECT 'segments' AS kind, media_id, seg_idx AS place, seg_idx::VARCHAR AS id, start_ms, end_ms, text FROM segments
-UNION ALL SELECT 'semantic_units', media_id, unit_id, unit_id::VARCHAR, start_ms, end_ms, text FROM units""")
+UNION ALL SELECT 'semantic_units', media_id, unit_id, unit_id::VARCHAR, start_ms, end_ms, text FROM units UNION ALL SELECT 'words', media_id, unit_id, unit_id::VARCHAR, start_ms, start_ms + 100, left(text, 5) FROM units""")
 def S1_S8_timelines(spark, d):
-    documents = timelines.build_timelines(fx.segments(spark, d), fx.units(spark, d)).where("not too_large")
-    kinds = [timelines.read_timelines(documents, kind).withColumn("kind", F.lit(kind)) for kind in ("segments", "semantic_units")]
-    return kinds[0].unionByName(kinds[1])
+    u = fx.units(spark, d)
+    words = u.select("media_id", F.col("unit_id").alias("word_idx"), F.left("text", F.lit(5)).alias("text"), "start_ms", (F.col("start_ms") + 100).alias("end_ms"))
+    documents = timelines.build_timelines(fx.segments(spark, d), u, words).where("not too_large")
+    kinds = [timelines.read_timelines(documents, kind).select(F.lit(kind).alias("kind"), "media_id", "place", "id", "start_ms", "end_ms", "text") for kind in timelines.LISTS]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+@query("""SELECT doc_id AS media_id, CASE doc_id % 9 WHEN 0 THEN 'emptyFile' WHEN 1 THEN 'invalidUTF8' WHEN 2 THEN 'invalidJSON' WHEN 3 THEN 'missingWords' WHEN 4 THEN 'missingSegments' WHEN 5 THEN 'missingSemanticUnits' WHEN 6 THEN 'missingWords' END AS code
+FROM documents WHERE doc_id % 9 < 7""")
+def S1_timeline_rejects(spark, d):
+    """Documents without text, that are no UTF-8, no JSON, or lack a list; the last two kinds can be read."""
+    k, text = F.col("doc_id") % 9, F.to_json(F.struct("text"))
+    lists = lambda *names: F.concat(F.lit("{"), *[F.lit(f'"{n}": [],') for n in names], F.lit('"note": '), text, F.lit("}")).cast("binary")
+    document = (
+        F.when(k == 0, F.lit(b"")).when(k == 1, F.concat(lists("words"), F.lit(b"\xff"))).when(k == 2, text.substr(F.lit(1), F.length(text) - 1).cast("binary")).when(k == 3, lists("segments", "semantic_units"))
+        .when(k == 4, lists("words", "semantic_units")).when(k == 5, lists("words", "segments")).when(k == 6, F.concat(F.lit('{"words": 3, "segments": [], "semantic_units": [], "note": '), text, F.lit("}")).cast("binary")).when(k == 7, lists("words", "segments", "semanticUnits"))
+        .otherwise(lists("words", "segments", "semantic_units"))
+    )
+    return timelines.timeline_rejects(_docs(spark, d).select(F.col("doc_id").alias("media_id"), document.alias("document")))
 
 
 @query("WITH " + fx.SQL_TRANSLATIONS + " SELECT media_id, unit_id::VARCHAR AS unit_id, text FROM tr")
@@ -369,3 +386,16 @@ def F5_validate_srt(spark, d):
     raw = F.col("document").cast("binary")
     broken = F.when(k == 0, F.lit(b"")).when(k == 1, F.concat(raw, F.lit(b"\xff"))).when(k == 2, F.lit(b" \r\n\r\n\t")).when(k == 3, F.lit(None)).otherwise(raw)
     return timeline.first_fault(docs.withColumn("document", broken))
+
+
+@query(CUES + """, d AS (SELECT media_id, lang, string_agg(cue_index::VARCHAR || chr(10) || timing || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS document FROM cues GROUP BY media_id, lang)
+SELECT media_id, lang, CASE WHEN media_id % 3 = 1 THEN 'conflict' WHEN media_id % 3 = 2 THEN 'replace' ELSE 'create' END AS action, CASE WHEN media_id % 3 = 1 THEN 'old' || chr(10) ELSE document END AS document FROM d""")
+def S7_S9_publish_files(spark, d):
+    """Two thirds of the outputs have a file, and half of those aren't as they were approved; then what is published is read."""
+    documents = stored(timeline.srt_documents(fx.flawed(timeline.cues(fx.segments(spark, d)))))
+    folder = f"{scratch_dir(spark)}/published"
+    old = documents.where("media_id % 3 <> 0").withColumn("document", F.lit("old\n"))
+    outputs.publish(old, old.select("media_id", "lang", F.lit(None).cast("string").alias("sha")), folder)
+    approved = outputs.fingerprints(spark, folder).withColumn("sha", F.when(F.col("media_id") % 3 == 2, F.col("sha")).otherwise("another"))
+    plan = outputs.publish(documents, approved, folder)
+    return plan.join(outputs.read_documents(spark, folder), ["media_id", "lang"])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ends_sentence
 from ..functions.texts import duplicate_key, graphemes, strip
-from .cleaning import clamp_overlaps
+from .cleaning import clamp_overlaps, judge_segments
+from .speech import trim_decoder_loops
 
 MOST_UNITS, LONGEST_MS, GAP_MS, MOST_CHARS = 6, 20_000, 1000, 600
 WANTED_UNITS, WANTED_MS = 3, 12_000
@@ -50,6 +51,37 @@ def sanitize(judged: DataFrame) -> DataFrame:
     return plain.unionByName(folded.applyInPandas(fold, plain.schema)).unionByName(empty)
 
 
+def sanitize_segments(segments: DataFrame) -> DataFrame:
+    """A trace of the whole cleaning, a row for each segment: (media_id, seg_idx, text, start_ms, end_ms, trimmed, adjusted,
+    reason, output_index). Segments are judged by their times and metrics, repeated phrases are cut out of the texts of
+    those that stay, then come duplicates and overlaps. reason is null for what stays, which output_index numbers from 0;
+    trimmed and adjusted (a start was moved, or nothing was left of the time) tell of segments that go as well."""
+    key = ["media_id", "seg_idx"]
+    judged = judge_segments(segments)
+    kept = judged.where("reason is null")
+    texts = trim_decoder_loops(kept.select(*key, "text", "avg_logprob"))
+    told = kept.select(*key, F.col("start_ms").alias("s0"), "end_ms").join(texts, key)
+    done = sanitize(told.select(*key, F.col("s0").alias("start_ms"), "end_ms", "text", F.lit(None).cast("string").alias("reason")))
+    adjusted = F.col("reason").eqNullSafe("fully_overlapped") | (F.col("reason").isNull() & (F.col("start_ms") > F.col("s0")))
+    columns = [*key, "text", "start_ms", "end_ms", "trimmed", "adjusted", "reason"]
+    none = F.lit(False)
+    every = told.join(done, key).withColumn("adjusted", adjusted).select(columns).unionByName(judged.where("reason is not null").withColumns({"trimmed": none, "adjusted": none}).select(columns))
+    place = F.count_if(F.col("reason").isNull()).over(Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return every.withColumn("output_index", F.when(F.col("reason").isNull(), place))
+
+
+def trace_report(trace: DataFrame) -> DataFrame:
+    """(media_id, n_input, n_output, n_removed, by_reason, overlaps_adjusted, loops_trimmed, quality_warning) of traces:
+    by_reason maps each reason to the segments that went for it; a warning if as many as 5 and a twentieth went."""
+    n = trace.groupBy("media_id", "reason").agg(F.count("*").alias("n"), F.count_if("adjusted").alias("adjusted"), F.count_if("trimmed").alias("trimmed"))
+    gone = F.sum(F.when(F.col("reason").isNotNull(), F.col("n")).otherwise(0))
+    by_reason = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))))
+    return n.groupBy("media_id").agg(
+        F.sum("n").alias("n_input"), (F.sum("n") - gone).alias("n_output"), gone.alias("n_removed"), by_reason.alias("by_reason"), F.sum("adjusted").alias("overlaps_adjusted"), F.sum("trimmed").alias("loops_trimmed"),
+        (gone >= F.greatest(F.lit(5), F.ceil(F.sum("n") * 5 / 100))).alias("quality_warning"),
+    )
+
+
 def group_units(units: DataFrame) -> DataFrame:
     """(media_id, unit_id, group_id): units grouped for translation. A gap below 0 or over a second and a change
     of known speakers always part; inside such an island a group closes before the unit that would make it too

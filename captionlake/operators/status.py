@@ -83,14 +83,14 @@ def validate_transcripts(transcripts: DataFrame, words: DataFrame, segments: Dat
     return first.select("media_id", "x.fault", "x.place")
 
 
-def assign_output_names(jobs: DataFrame, rounds: int = 50) -> DataFrame:
+def assign_output_names(jobs: DataFrame) -> DataFrame:
     """jobs (job_id, path, lang; job_id is the queue's order) with output: <stem>.<lang>.srt, where an earlier job has that
     <stem>.<ext>.<lang>.srt, else the first name with -2, -3, ... before .srt that is free. Names are compared in lower
     case.
 
     Each round, the earliest claim to a name stands and the later ones move on; jobs that share their numbers then line up
-    in the queue's order, each at least one past the one before. So rounds are few, whatever the number of jobs of one name; more than `rounds`
-    raise an error, no name is made up."""
+    in the queue's order, each at least one past the one before. So rounds are few, whatever the number of jobs of one name; they
+    end, since a job that moves only ever moves on, and the earliest claim of those that are left always stands."""
     base = output_name(F.col("path"), F.col("lang"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     named = F.regexp_replace(base, r"\.srt$", "")
@@ -98,7 +98,7 @@ def assign_output_names(jobs: DataFrame, rounds: int = 50) -> DataFrame:
     plain = F.when(F.col("try") == 1, qualified).otherwise(F.concat(named, F.lit("-"), F.col("try").cast("string"), F.lit(".srt")))
     output = F.when(F.col("try") == 0, base).otherwise(plain)
     now = stored(jobs.select("job_id", "path", "lang", F.lit(0).alias("try")).withColumn("output", output))
-    for _ in range(rounds):
+    while True:
         first = now.groupBy(F.lower("output").alias("name")).agg(F.min("job_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("name", "owner")
         claims = now.join(first, F.lower("output") == F.col("name"))
         moves = stored(claims.where("job_id <> owner").select("job_id", F.lit(True).alias("moves")))
@@ -112,4 +112,3 @@ def assign_output_names(jobs: DataFrame, rounds: int = 50) -> DataFrame:
         moved = moved.withColumn("nth", F.row_number().over(numbered))
         reach = F.max(F.col("try") - F.col("nth")).over(numbered.rowsBetween(Window.unboundedPreceding, 0)) + F.col("nth")
         now = stored(moved.withColumn("try", F.when(F.col("try") >= 2, reach).otherwise(F.col("try")).cast("int")).drop("nth").withColumn("output", output))
-    raise ValueError(f"names are still claimed twice after {rounds} rounds")

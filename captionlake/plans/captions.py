@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import texts as T
-from ..operators import layout, render, results, speech, status, timeline
+from ..operators import grouping, layout, render, results, speech, status, timeline
 from ..sources import fixtures as fx
 from .catalogue import JUDGED, QUERIES, query
 from .records import ISSUES, SPACED, _issues
@@ -83,6 +83,14 @@ def L1_trim_decoder_loops(spark, d):
     return speech.trim_decoder_loops(fx.segments(spark, d))
 
 
+@unstated
+def W3_A1_cleaning_trace(spark, d):
+    """The whole cleaning with its report; every segment has a row."""
+    trace = grouping.sanitize_segments(fx.segments(spark, d))
+    report = grouping.trace_report(trace).select("media_id", "n_removed", "overlaps_adjusted", "loops_trimmed", "quality_warning")
+    return trace.join(report, "media_id")
+
+
 CAPTIONS = "WITH " + fx.SQL_UNITS + r""", p(lang, w) AS (VALUES ('en', 42), ('de', 42), ('es', 42), ('fr', 42), ('it', 42), ('ru', 42), ('ja', 13), ('zh', 16), ('ko', 16), ('hi', 42)), c0 AS (SELECT media_id, unit_id, lang, w, start_ms, end_ms, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM units JOIN p USING (lang)),
 caps AS (SELECT media_id, lang, unit_id, w, start_ms, end_ms, """ + SPACED.format(x=SPACED.format(x="t")) + r""" AS t FROM c0),
 ch AS (SELECT media_id, lang, unit_id, w, length(t) AS total, e, substring(t, e, 1) AS l, substring(t, e + 1, 1) AS r FROM (SELECT *, unnest(range(1, length(t))) AS e FROM caps)),

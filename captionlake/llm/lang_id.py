@@ -12,7 +12,8 @@ as long as the cache's bound allows, and a text gathers the figures of its words
 
 Fitting: at most `per_language` documents of each language, whole texts in the order of a hash, until they have
 `max_bytes` of a language's text; piece probabilities are re-estimated from expected counts (forward and backward)
-for a few rounds. This bounded sample is a documented parameter; scoring reads every row whole.
+for a few rounds, over words of any length. This bounded sample is a documented parameter; scoring reads every row
+whole. Each language is a column of the model: more than `most_languages` of them raise an error.
 
 Nulls: a null text, or one without a letter, gives `und` and score 0. Rows with a null language or text don't
 train. Without any training row every text is `und`. A word is a run of letters of any length. Repeated rows give
@@ -36,7 +37,8 @@ from .textops import chunks, mix, points, values
 MARK = "▁"
 UNSEEN = 1e-7  # probability of a character outside the vocabulary
 FLOOR = 2e-8  # and of a piece that a language was not seen with, besides its own
-LONG = 64  # words over this length are passed alone, one character after another
+LONG = 64  # words over this length are passed alone, a block of their characters at a time
+BLOCK = 100_000  # characters of such a word
 TINY = 1e-120
 CHUNK = 2_000_000  # bytes of text turned into arrays at once
 
@@ -120,26 +122,47 @@ class Trie:
                     if full.any():
                         yield i, j, rows[full], pieces[full]
 
+    def lattice(self, word: np.ndarray, lo: int, hi: int):
+        """(from, to, pieces) of every piece in one word that starts at lo or after it and before hi, all starts at
+        once, in the order of from."""
+        at, nodes = np.arange(lo, hi), np.zeros(hi - lo, np.int64)
+        found = []
+        for k in range(1, self.longest + 1):
+            inside = at + k <= len(word)
+            at = at[inside]
+            nodes = self.step(nodes[inside], word[at + k - 1])
+            live = nodes >= 0
+            pieces = np.where(live, self.piece[nodes], -1)
+            keep = np.ones(len(at), bool) if k == 1 else pieces >= 0
+            found.append((at[keep], at[keep] + k, pieces[keep]))
+            at, nodes = at[live], nodes[live]
+            if not len(at):
+                break
+        first, to, pieces = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(first, kind="stable")
+        return first[order], to[order], pieces[order]
+
 
 def forward(edges, n: int, n_words: int, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums (place, word, language) and the log of what each word's row was scaled by. probs has a row for each
-    piece, and a last one for characters that are none."""
+    """Forward sums (place, word, language) and how often each of them (place, word) was divided by TINY. probs has a row
+    for each piece, and a last one for characters that are none."""
     alpha = np.zeros((n + 1, n_words, probs.shape[1]))
     alpha[0] = 1
-    shift = np.zeros(n_words)
+    turns = np.zeros((n + 1, n_words), np.int16)
     at = 0
     for i, j, rows, pieces in edges:
         if i != at and i % 8 == 0:  # keep long words inside the range of doubles
-            small = np.flatnonzero(alpha[i].max(axis=1) < TINY)
+            top = alpha[i].max(axis=1)
+            small = np.flatnonzero((top < TINY) & (top > 0))
             if len(small):
                 alpha[i:, small] /= TINY
-                shift[small] += math.log(TINY)
+                turns[i:, small] += 1
         at = i
         if len(rows) == n_words:
             alpha[j] += alpha[i] * probs[pieces]
         else:
             alpha[j, rows] += alpha[i, rows] * probs[pieces]
-    return alpha, shift
+    return alpha, turns
 
 
 class Model:
@@ -167,30 +190,28 @@ class Model:
     def words(self, words: np.ndarray) -> np.ndarray:
         """Log probability, by language, of words of one length (characters as numbers, a row a word)."""
         s = np.concatenate([np.full((len(words), 1), ord(MARK), words.dtype), words], axis=1)
-        alpha, shift = forward(self.trie.edges(s), s.shape[1], len(s), self.probs)
-        return np.log(np.maximum(alpha[-1], 1e-300)) + shift[:, None]
+        alpha, turns = forward(self.trie.edges(s), s.shape[1], len(s), self.probs)
+        return np.log(np.maximum(alpha[-1], 1e-300)) + turns[-1][:, None] * math.log(TINY)
 
     def long_word(self, word: str) -> np.ndarray:
-        """The same of one word, keeping only the sums that later characters need."""
-        s, longest = MARK + word, self.trie.longest
-        number = {p: i for i, p in enumerate(self.pieces)}
-        starts = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
-        ahead = [np.zeros(len(self.langs)) for _ in range(longest + 1)]
-        ahead[0] += 1
-        shift = 0.0
-        for i in range(len(s)):
-            here = ahead[0]
-            for k in range(1, min(longest, len(s) - i) + 1):
-                part = s[i : i + k]
-                if k == 1 or part in number:
-                    ahead[k] = ahead[k] + here * self.probs[number.get(part, -1)]
-                if part not in starts:
-                    break
-            ahead = [*ahead[1:], np.zeros(len(self.langs))]
-            if ahead[0].max() < TINY:
-                ahead = [a / TINY for a in ahead]
-                shift += math.log(TINY)
-        return np.log(np.maximum(ahead[0], 1e-300)) + shift
+        """The same of one word, a block of its characters at a time, keeping only the sums that later ones need."""
+        s, longest = points(MARK + word), self.trie.longest
+        ahead = np.zeros((longest, len(self.langs)))
+        ahead[0] = 1
+        turns = 0
+        for lo in range(0, len(s), BLOCK):
+            hi = min(len(s), lo + BLOCK)
+            first, to, pieces = self.trie.lattice(s, lo, hi)
+            probs, cut = self.probs[pieces], np.searchsorted(first, np.arange(lo, hi + 1)).tolist()
+            to -= lo
+            alpha = np.concatenate([ahead, np.zeros((hi - lo, len(self.langs)))])
+            for i in range(hi - lo):
+                if i % 8 == 0 and 0 < alpha[i].max() < TINY:
+                    alpha[i : i + longest] /= TINY
+                    turns += 1
+                alpha[to[cut[i] : cut[i + 1]]] += alpha[i] * probs[cut[i] : cut[i + 1]]
+            ahead = alpha[hi - lo :]
+        return np.log(np.maximum(ahead[0], 1e-300)) + turns * math.log(TINY)
 
     def learn(self, new: list[bytes]) -> None:
         """Score words that the cache lacks, those of one length together."""
@@ -249,40 +270,76 @@ def split(text: str) -> list[str]:
 
 
 def _expected(words: Counter, trie: Trie, probs: np.ndarray) -> np.ndarray:
-    """Expected piece counts of a language's words under probs (forward and backward passes). Words over LONG letters
-    are left out of the estimate."""
+    """Expected piece counts of a language's words under probs (forward and backward passes). Backward sums are scaled as
+    the forward sums of the same place, so that a product of both lacks only the turns between an edge's two ends."""
     out = np.zeros(len(probs))
     by_size: dict[int, list[str]] = {}
     for w in words:
-        if 0 < len(w) <= LONG:
+        if w:
             by_size.setdefault(len(w), []).append(w)
     for size, group in sorted(by_size.items()):
+        if size > LONG:
+            for w in group:
+                out += words[w] * _expected_alone(points(MARK + w), trie, probs)
+            continue
         for at in range(0, len(group), 4000):
             part = group[at : at + 4000]
             s = np.concatenate([np.full((len(part), 1), ord(MARK), np.uint32), points("".join(part)).reshape(-1, size)], axis=1)
             count = np.array([words[w] for w in part], float)
             edges = list(trie.edges(s))
-            alpha, _ = forward(edges, size + 1, len(s), probs[:, None])
+            alpha, turns = forward(edges, size + 1, len(s), probs[:, None])
             alpha = alpha[:, :, 0]
+            up = TINY ** -np.arange(3.0)  # what an edge over that many turns lacks
             beta = np.zeros_like(alpha)
             beta[-1] = 1
             sure = alpha[-1] > 1e-280
             weight = np.where(sure, count / np.where(sure, alpha[-1], 1), 0)
+            through = []
             for i, j, rows, pieces in reversed(edges):
-                beta[i, rows] += probs[pieces] * beta[j, rows]
-            for i, j, rows, pieces in edges:
-                out += np.bincount(pieces % len(probs), weight[rows] * alpha[i, rows] * probs[pieces] * beta[j, rows], len(probs))
+                onward = probs[pieces] * beta[j, rows] * up[turns[j, rows] - turns[i, rows]]
+                beta[i, rows] += onward
+                through.append(onward)
+            for (i, j, rows, pieces), onward in zip(edges, reversed(through)):
+                out += np.bincount(pieces % len(probs), weight[rows] * alpha[i, rows] * onward, len(probs))
     return out
 
 
+def _expected_alone(s: np.ndarray, trie: Trie, probs: np.ndarray) -> np.ndarray:
+    """The same of one long word, told as plain numbers from place to place."""
+    first, to, pieces = trie.lattice(s, 0, len(s))
+    cut, ends, p = np.searchsorted(first, np.arange(len(s) + 1)).tolist(), to.tolist(), probs[pieces].tolist()
+    alpha, turns, turn = [1.0] + [0.0] * len(s), [0] * (len(s) + 1), 0
+    for i in range(len(s)):
+        if i % 8 == 0 and 0 < alpha[i] < TINY:
+            for j in range(i, min(len(s) + 1, i + trie.longest)):
+                alpha[j] /= TINY
+            turn += 1
+        turns[i] = turn
+        for e in range(cut[i], cut[i + 1]):
+            alpha[ends[e]] += alpha[i] * p[e]
+    turns[-1] = turn
+    if not alpha[-1] > 1e-280:
+        return np.zeros(len(probs))
+    beta, onward = [0.0] * len(s) + [1.0], [0.0] * len(p)
+    for i in range(len(s) - 1, -1, -1):
+        for e in range(cut[i], cut[i + 1]):
+            j = ends[e]
+            onward[e] = p[e] * beta[j] * TINY ** (turns[i] - turns[j])
+            beta[i] += onward[e]
+    return np.bincount(pieces % len(probs), np.array(alpha)[first] / alpha[-1] * np.array(onward), len(probs))
+
+
 def fit(
     docs: DataFrame, vocab: str, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 300, max_bytes: int = 3_000_000, rounds: int = 3,
+    per_language: int = 300, max_bytes: int = 3_000_000, rounds: int = 3, most_languages: int = 1000,
 ) -> Model:
-    """Fit on rows where train holds. The driver gets at most per_language texts and max_bytes of text a language."""
+    """Fit on rows where train holds. The driver gets at most per_language texts and max_bytes of text a language, and no
+    more than most_languages, beyond which it raises ValueError."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("g"), F.col(text_col).alias("t"), F.col(id_col).cast("string").alias("i"))
-    counts = {r[0]: r[1] for r in rows.groupBy("g").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("g").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages in {lang_col}; name most_languages if they are meant")
     langs = sorted(counts)
     if not langs:
         return Model([], [], np.zeros((0, 0)), [])

@@ -75,6 +75,36 @@ def test_expected_counts_equal_all_segmentations():
     assert np.allclose(lang_id._expected({"ab": 3}, lang_id.Trie(pieces), probs)[:-1], want)
 
 
+def test_expected_counts_of_long_words(monkeypatch):
+    """What stands before many unknown letters counts as it does before few, in words of any length, by both ways."""
+    pieces = ["▁", "a", "b", "ab", "c", "▁ab"]
+    probs = np.array([0.1, 0.05, 0.02, 0.01, 0.1, 0.001, lang_id.UNSEEN])
+    trie = lang_id.Trie(pieces)
+    few = lang_id._expected({"abqqqqc": 1}, trie, probs)[:-1]
+    for unknown in (24, 60, 61, 500):
+        assert np.allclose(lang_id._expected({"ab" + "q" * unknown + "c": 2}, trie, probs)[:-1], 2 * few)
+    rng = np.random.default_rng(4)
+    words = {"".join(rng.choice(list("abcq"), n)): int(rng.integers(1, 5)) for n in rng.integers(1, 60, 80)}
+    together = lang_id._expected(words, trie, probs)
+    monkeypatch.setattr(lang_id, "LONG", 0)
+    assert np.allclose(lang_id._expected(words, trie, probs), together)
+    assert np.isclose(together[:-1] @ [len(p) for p in pieces] + together[-1], sum(n * (len(w) + 1) for w, n in words.items()))
+    # a word in blocks of any size
+    model = lang_id.Model(["x", "y"], pieces, np.stack([probs[:-1], probs[:-1][::-1]], axis=1), [0.0, 0.0])
+    word = "".join(words)
+    want = model.words(lang_id.points(word).reshape(1, -1))[0]
+    for block in (1, 2, 7, 1000):
+        monkeypatch.setattr(lang_id, "BLOCK", block)
+        assert np.allclose(model.long_word(word), want)
+
+
+def test_languages_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(6)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.fit(docs, P.path("piece_bpe_32k.model"), F.lit(True), most_languages=5)
+    assert lang_id.fit(docs, P.path("piece_bpe_32k.model"), F.lit(True), most_languages=6).langs == [f"l{i}" for i in range(6)]
+
+
 def test_quality_held_out(spark, odd):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

@@ -110,3 +110,14 @@ def test_empty_tables(spark):
     assert packing.pack(none, P.path("word_bpe_49k.json")).count() == 0
     assert shards.interleave(none, 24).count() == 0
     assert token_counts.count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_token_cache_keeps_short_units_only():
+    c = token_counts.PieceCounter(P.path("piece_bpe_32k.model"))
+    texts = ["文字がつづく" * 40, "short words stay", "x" * 65, "x" * 64]
+    assert c.count(texts) == [len(ids) for ids in c.model.encode(texts)] == c.count(texts)
+    assert max(map(len, c.known)) <= c.LONGEST and "x" * 64 in c.known
+    c.MOST = len(c.whole) + 3
+    assert c.count(["a bb ccc qqqq zzzzz wwwwww"] * 2) == [len(c.model.encode("a bb ccc qqqq zzzzz wwwwww"))] * 2
+    c.forget()
+    assert c.known == c.whole

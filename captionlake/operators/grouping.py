@@ -54,12 +54,13 @@ def sanitize(judged: DataFrame) -> DataFrame:
 def sanitize_segments(segments: DataFrame) -> DataFrame:
     """A trace of the whole cleaning, a row for each segment: (media_id, seg_idx, text, start_ms, end_ms, trimmed, adjusted,
     reason, output_index). Segments are judged by their times and metrics, repeated phrases are cut out of the texts of
-    those that stay, then come duplicates and overlaps. reason is null for what stays, which output_index numbers from 0;
+    those that stay (by stamped words, where segments have words), then come duplicates and overlaps. reason is null for what stays, which output_index numbers from 0;
     trimmed and adjusted (a start was moved, or nothing was left of the time) tell of segments that go as well."""
     key = ["media_id", "seg_idx"]
     judged = judge_segments(segments)
     kept = judged.where("reason is null")
-    texts = trim_decoder_loops(kept.select(*key, "text", "avg_logprob"))
+    stamps = ["words"] if "words" in segments.columns else []
+    texts = trim_decoder_loops(kept.select(*key, "text", "avg_logprob", *stamps))
     told = kept.select(*key, F.col("start_ms").alias("s0"), "end_ms").join(texts, key)
     done = sanitize(told.select(*key, F.col("s0").alias("start_ms"), "end_ms", "text", F.lit(None).cast("string").alias("reason")))
     adjusted = F.col("reason").eqNullSafe("fully_overlapped") | (F.col("reason").isNull() & (F.col("start_ms") > F.col("s0")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import case_folded, has_cjk, safe_number, strip, token_key
 
-LOW_LOGPROB, LEAST_TIMES, LEAST_UNITS = -1.0, 4, 8
+LOW_LOGPROB, LEAST_TIMES, LEAST_UNITS, LEAST_STAMPS = -1.0, 4, 8, 4
+EDGE = "\u0000"  # stands before each unit of a marked text
 
 
 def read_segments(lines: DataFrame) -> DataFrame:
@@ -41,24 +42,39 @@ def usable_words(text: Column, start: Column, end: Column, words: Column) -> Col
     return F.when(use, words).otherwise(F.array(single))
 
 
+def marked_stamps(text: Column, words: Column) -> Column:
+    """The stripped text with EDGE between the words that were stamped, white space before a word being taken to the one
+    before it; null unless the words, put together and stripped, are the text and 4 or more have something to show. words:
+    array of structs with a text. A null word, or a text that holds EDGE, gives null too."""
+    told = F.transform(words, lambda w: w["text"])
+    good = (strip(F.array_join(told, "")) == text) & ~F.exists(told, lambda w: w.isNull()) & ~F.contains(text, F.lit(EDGE))
+    marked = F.regexp_replace(F.concat(F.lit(EDGE), F.array_join(told, EDGE)), r"(?U)\x00(?=[\s\x00]*\x00)", "")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"(?U)\x00(\s+)", "$1\u0000"), r"(?U)^\s*\x00|[\s\x00]+$", "")
+    return F.when(good & (F.size(F.split(marked, EDGE)) >= LEAST_STAMPS), marked)
+
+
 def trim_decoder_loops(segments: DataFrame) -> DataFrame:
     """(media_id, seg_idx, text, trimmed) of segments with text and avg_logprob: a phrase of at most 8 words (16 units in
     texts of under 4 words) that stands 4 times or more in a row, 8 units or more in all, is cut out of texts whose
-    avg_logprob is under -1. Units are words, or graphemes where a text of under 4 words has Chinese, Japanese or Korean
-    characters. The most repetitions win, then the most units, the earliest start, the shortest phrase. What is left
+    avg_logprob is under -1. Units are the stamped words of a column `words`, where there is one and it tells the whole text
+    (see marked_stamps); else words, or graphemes where a text of under 4 words has Chinese, Japanese or Korean characters.
+    The most repetitions win, then the most units, the earliest start, the shortest phrase. What is left
     without a letter or digit is empty. Texts with a higher, null or NaN avg_logprob are only stripped.
 
     Only texts that can have a loop are taken apart: a run of units that equal the ones `p` further on, found by the next
     unit that doesn't, is the repetition of a phrase of p."""
     key = ["media_id", "seg_idx"]
-    rows = segments.select(*key, strip(F.col("text")).alias("text"), (F.col("avg_logprob") < LOW_LOGPROB).alias("low"))
+    text = strip(F.col("text"))
+    marked = marked_stamps(text, F.col("words")) if "words" in segments.columns else F.lit(None).cast("string")
+    low = F.col("avg_logprob") < LOW_LOGPROB
+    rows = segments.select(*key, text.alias("text"), low.alias("low"), F.when(low, marked).alias("marked"))
     parts = lambda c: F.regexp_extract_all(c, F.lit(r"(?sU)\S+\s*"), F.lit(0))  # noqa: E731 words with the white space after them
     clusters = lambda c: F.regexp_extract_all(c, F.lit(r"(?s)\X"), F.lit(0))
     open_ = rows.where("low").withColumn("n_words", F.size(parts(F.col("text"))))
-    open_ = open_.withColumns({"graph": (F.col("n_words") < 4) & has_cjk(F.col("text")), "most": F.when(F.col("n_words") < 4, 16).otherwise(8)})
-    folded = case_folded(F.col("text"))
-    both = lambda c: F.when(F.col("graph"), clusters(c)).otherwise(parts(c))
-    open_ = open_.withColumn("folded", folded).withColumns({"us": both(F.col("text")), "keys": F.transform(both(F.col("folded")), token_key)})
+    open_ = open_.withColumns({"graph": F.col("marked").isNull() & (F.col("n_words") < 4) & has_cjk(F.col("text")), "most": F.when(F.col("n_words") < 4, 16).otherwise(8)})
+    shown = F.coalesce("marked", "text")
+    taken = lambda c: F.when(F.col("marked").isNotNull(), F.split(c, EDGE)).when(F.col("graph"), clusters(c)).otherwise(parts(c))
+    open_ = open_.withColumn("folded", case_folded(shown)).withColumns({"us": taken(shown), "keys": F.transform(taken(F.col("folded")), token_key)})
     keyed = open_.where(F.size("us") >= LEAST_UNITS)
     lengths = keyed.select(*key, "keys", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("p"))
     same = F.transform("keys", lambda k, i: k.eqNullSafe(F.get(F.col("keys"), i + F.col("p"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from captionlake.functions import scalars as X
 from captionlake.functions import texts as T
-from captionlake.operators import cleaning, layout, policy, quality, results, speech, status, timeline
+from captionlake.operators import cleaning, grouping, layout, policy, quality, results, speech, status, timeline
 from captionlake.sources import timelines
 
 
@@ -77,11 +77,25 @@ def key(w):
     return kept if any(unicodedata.category(c)[0] in "LN" for c in kept) else ""
 
 
-def trimmed(text, logprob):
+def told_by(stamps, text):
+    """Where each stamped word stands in the text, without white space around it; None unless they are its units."""
+    if not stamps or None in stamps or "".join(stamps).strip() != text:
+        return None
+    spans, at = [], -(len("".join(stamps)) - len("".join(stamps).lstrip()))
+    for w in stamps:
+        if w.strip():
+            lead = len(w) - len(w.lstrip())
+            spans.append((at + lead, at + lead + len(w.strip())))
+        at += len(w)
+    return spans if len(spans) >= 4 else None
+
+
+def trimmed(text, logprob, stamps=None):
     """Every start and phrase length is tried."""
     text = text.strip()
     tokens = [m.span() for m in re.finditer(r"\S+", text)]
     spans = [(i, i + 1) for i in range(len(text))] if len(tokens) < 4 and re.search("[\u3040-\u30ff\u4e00-\u9fff]", text) else tokens
+    spans = told_by(stamps, text) or spans
     keys, best = [key(text[a:b]) for a, b in spans], None
     for s in range(len(keys)):
         for p in range(1, (16 if len(tokens) < 4 else 8) + 1):
@@ -109,6 +123,33 @@ def test_decoder_loops_equal_every_phrase_tried(spark):
         assert found[m, i] == trimmed(t, p), t
 
 
+def test_decoder_loops_by_stamped_words(spark):
+    """Stamped words as units: those of texts without blanks, of several words each, with blanks of their own on either
+    side, blank and empty ones; and what doesn't tell the text, which is passed over."""
+    rng = random.Random(8)
+    cases = [
+        ("\u4f60\u597d" * 12, ["\u4f60\u597d"] * 12), ("\u4f60\u597d" * 12, ["\u4f60\u597d"] * 11), ("go on " * 9 + "end", ["go on "] * 9 + ["end"]), ("go on " * 9 + "end", None),
+        (" Context" + " glitch" * 20, [" Context"] + [" glitch"] * 20), ("la " * 12, ["la ", None] * 6), ("la la la " * 4, ["la la la "] * 4), ("la la " * 4, ["la la"] * 4), ("la la " * 3, []),
+        ("a\u00a0b" * 8, ["a\u00a0b"] * 8), ("ab" * 9, ["", "ab", "ab"] + ["ab"] * 7), ("x\u0000" * 9, ["x\u0000"] * 9), ("no  no  " * 6 + " so", ["no", " ", " no", "  "] * 6 + [" ", "so"]),
+        ("$1 \\1 " * 9, ["$1", " \\1", " "] * 9),
+    ]
+    for _ in range(200):
+        stamps = [rng.choice(["a", " a", "b ", " A b", "", " ", "\u3042", "--", "Stra\u00dfe"]) for _ in range(rng.randint(3, 8))] * rng.choice([1, 4, 5]) + rng.choice([[], ["end"], [" end", " "]])
+        cases.append(("".join(stamps) + rng.choice(["", "", "", "."]), stamps))
+    rows = [(1, i, t, -1.5, w and [(x, float(k)) for k, x in enumerate(w)]) for i, (t, w) in enumerate(cases)]
+    schema = "media_id long, seg_idx long, text string, avg_logprob double, words array<struct<text:string,start:double>>"
+    segments = spark.createDataFrame(rows, schema)
+    found = {r.seg_idx: (r.text, r.trimmed) for r in speech.trim_decoder_loops(segments).collect()}
+    assert len(found) == len(cases)
+    for i, (t, w) in enumerate(cases):
+        held = None if "\u0000" in t else w  # a text with that sign keeps the other units
+        assert found[i] == trimmed(t.strip(), -1.5, held), (t, w)
+    assert found[0] == ("", True) and found[4] == ("Context", True) and speech.trim_decoder_loops(segments.limit(0)).count() == 0
+    # the whole cleaning takes them as well
+    timed = segments.where("seg_idx in (0, 4)").selectExpr("*", "seg_idx * 1000 as start_ms", "seg_idx * 1000 + 900 as end_ms", "1.0 as compression_ratio", "0.1 as no_speech_prob")
+    assert {r.seg_idx: (r.text, r.trimmed) for r in grouping.sanitize_segments(timed).collect()}[4] == ("Context", True)
+
+
 def allocated(total, weights, least, most):
     n = len(weights)
     if not n * least - 1e-6 <= total <= n * most + 1e-6:

@@ -83,6 +83,14 @@ def L1_trim_decoder_loops(spark, d):
     return speech.trim_decoder_loops(fx.segments(spark, d))
 
 
+@unstated
+def L1_trim_stamped_loops(spark, d):
+    """Two words to a stamp, in every other segment."""
+    pairs = F.transform(F.regexp_extract_all("text", F.lit(r"(?U)\s*\S+(?:\s+\S+)?"), F.lit(0)), lambda w: F.struct(w.alias("text")))
+    stamps = F.when((F.col("media_id") + F.col("seg_idx")) % 2 == 0, pairs)
+    return speech.trim_decoder_loops(fx.segments(spark, d).withColumn("words", stamps))
+
+
 @unstated
 def W3_A1_cleaning_trace(spark, d):
     """The whole cleaning with its report; every segment has a row."""

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
 from ..functions.scalars import ends_sentence
 from ..functions.texts import duplicate_key, graphemes, strip
-from .cleaning import clamp_overlaps, judge_segments
+from .cleaning import judge_segments
 from .speech import trim_decoder_loops
 
 MOST_UNITS, LONGEST_MS, GAP_MS, MOST_CHARS = 6, 20_000, 1000, 600
@@ -17,38 +18,34 @@ WANTED_UNITS, WANTED_MS = 3, 12_000
 
 
 def sanitize(judged: DataFrame) -> DataFrame:
-    """(media_id, seg_idx, start_ms, reason) of segments that earlier rules keep: empty, duplicate of the last
+    """(media_id, seg_idx, start_ms, reason) of segments that earlier rules keep: empty (or without a text), duplicate of the last
     kept segment that it overlaps, fully_overlapped, or null with the moved start.
 
-    A duplicate needs an earlier equal text and a start before the furthest end so far. Media without such a
-    row are done by one window; the others by a fold over each media's segments, which its length bounds."""
-    rows = judged.where("reason is null").withColumn("key", duplicate_key(F.col("text")))
-    empty = rows.where("key = ''").select("media_id", "seg_idx", "start_ms", F.lit("empty_or_decoder_loop").alias("reason"))
-    rows = rows.where("key <> ''").select("media_id", "seg_idx", "text", "key", "start_ms", "end_ms")
-    before = Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
-    media = Window.partitionBy("media_id")
-    same = F.row_number().over(Window.partitionBy("media_id", "key").orderBy("seg_idx")) > 1
-    risky = same & (F.col("start_ms") < F.max("end_ms").over(before))
-    marked = rows.withColumn("risky", F.coalesce(risky, F.lit(False))).withColumn("folded", F.bool_or("risky").over(media))
-    plain = clamp_overlaps(marked.where("not folded")).select("media_id", "seg_idx", "start_ms", "reason")
-
-    def fold(part):
-        part = part.sort_values("seg_idx")
-        last, reach, starts, reasons = None, 0, [], []
-        for key, start, end in zip(part.key, part.start_ms, part.end_ms):
-            moved, reason = max(start, reach), None
-            if key == last and start < reach:
-                moved, reason = start, "duplicate"
-            elif end <= moved:
-                reason = "fully_overlapped"
-            else:
-                last, reach = key, end
-            starts.append(moved)
-            reasons.append(reason)
-        return part.assign(start_ms=starts, reason=reasons)[["media_id", "seg_idx", "start_ms", "reason"]]
-
-    folded = marked.where("folded").select("media_id", "seg_idx", "key", "start_ms", "end_ms").groupBy("media_id")
-    return plain.unionByName(folded.applyInPandas(fold, plain.schema)).unionByName(empty)
+    A segment that starts at or after every earlier end is kept whatever came before, so it begins an island; only what is
+    inside an island is folded. One shuffle, by media."""
+    rows = judged.where("reason is null").withColumn("key", F.coalesce(duplicate_key(F.col("text")), F.lit("")))
+    order = Window.partitionBy("media_id").orderBy("seg_idx")
+    told = F.col("key") != ""
+    earlier = F.max(F.when(told, F.col("end_ms"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = told & (earlier.isNull() | ((F.col("start_ms") >= earlier) & (F.col("end_ms") > F.col("start_ms"))))
+    cut = rows.withColumn("island", F.count_if(F.coalesce(fresh, F.lit(False))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kinds = {f.dataType.simpleString() for f in rows.select("start_ms", "end_ms").schema}
+    time = "bigint" if kinds <= {"int", "bigint"} else "double"
+    ms = lambda c: F.col(c).cast(time).alias(c)
+    islands = cut.groupBy("media_id", "island").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "key", ms("start_ms"), ms("end_ms")))).alias("us"))
+
+    def step(s, u):
+        moved = F.greatest(u["start_ms"], s["reach"])
+        same = u["key"].eqNullSafe(s["last"]) & (u["start_ms"] < s["reach"])
+        reason = F.when(u["key"] == "", "empty_or_decoder_loop").when(same, "duplicate").when(u["end_ms"] <= moved, "fully_overlapped")
+        start = F.when((u["key"] == "") | same, u["start_ms"]).otherwise(moved)
+        state = F.when(reason.isNotNull(), s).otherwise(F.struct(u["key"].alias("last"), u["end_ms"].alias("reach")))
+        return F.struct(state.alias("s"), F.struct(u["seg_idx"].alias("seg_idx"), start.alias("start_ms"), reason.alias("reason")).alias("o"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast(time).alias("reach"))
+    place = rows.schema["seg_idx"].dataType.simpleString()
+    out = scan(F.col("us"), nothing, step, f"struct<seg_idx:{place},start_ms:{time},reason:string>")
+    return islands.select("media_id", F.explode(out).alias("x")).select("media_id", "x.seg_idx", "x.start_ms", "x.reason")
 
 
 def sanitize_segments(segments: DataFrame) -> DataFrame:

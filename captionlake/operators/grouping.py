@@ -92,10 +92,18 @@ def group_units(units: DataFrame) -> DataFrame:
     islands = cut.withColumn("island", F.sum("parts").over(order)).groupBy("media_id", "island").agg(
         F.array_sort(F.collect_list(F.struct("unit_id", "start_ms", "end_ms", "n", "sep", "done"))).alias("us")
     )
-    state = F.expr("""aggregate(us, named_struct('k', 0, 's', 0L, 'e', 0L, 'n', 0L, 'done', false, 'first', cast(array() AS array<boolean>)),
-      (a, u) -> CASE WHEN a.k > 0 AND a.k < {0} AND u.end_ms - a.s <= {1} AND a.n + u.n + IF(a.n > 0 AND u.n > 0, u.sep, 0) <= {2} AND NOT ((a.k >= {3} OR a.e - a.s >= {4}) AND a.done)
-        THEN named_struct('k', a.k + 1, 's', a.s, 'e', u.end_ms, 'n', a.n + u.n + IF(a.n > 0 AND u.n > 0, u.sep, 0), 'done', u.done, 'first', concat(a.first, array(false)))
-        ELSE named_struct('k', 1, 's', u.start_ms, 'e', u.end_ms, 'n', u.n, 'done', u.done, 'first', concat(a.first, array(true))) END).first""".format(MOST_UNITS, LONGEST_MS, MOST_CHARS, WANTED_UNITS, WANTED_MS))
+    zero = F.lit(0).cast("bigint")
+
+    def step(g, u):
+        total = g["n"] + u["n"] + F.when((g["n"] > 0) & (u["n"] > 0), u["sep"]).otherwise(0)
+        enough = ((g["k"] >= WANTED_UNITS) | (g["e"] - g["s"] >= WANTED_MS)) & g["done"]
+        joins = (g["k"] > 0) & (g["k"] < MOST_UNITS) & (u["end_ms"] - g["s"] <= LONGEST_MS) & (total <= MOST_CHARS) & ~enough
+        own = lambda grown, new: F.when(joins, grown).otherwise(new)
+        state = F.struct(own(g["k"] + 1, F.lit(1)).alias("k"), own(g["s"], u["start_ms"]).alias("s"), u["end_ms"].alias("e"), own(total, u["n"]).alias("n"), u["done"].alias("done"))
+        return F.struct(state.alias("s"), (~F.coalesce(joins, F.lit(False))).alias("o"))
+
+    nothing = F.struct(F.lit(0).alias("k"), zero.alias("s"), zero.alias("e"), zero.alias("n"), F.lit(False).alias("done"))
+    state = scan(F.col("us"), nothing, step, "boolean")
     flat = islands.select("media_id", F.explode(F.arrays_zip("us.unit_id", state.alias("first"))).alias("x")).select("media_id", F.col("x.unit_id").alias("unit_id"), F.col("x.first").alias("first"))
     return flat.select("media_id", "unit_id", (F.sum(F.col("first").cast("long")).over(order) - 1).alias("group_id"))
 
@@ -135,8 +143,13 @@ def split_units(words: DataFrame, gap_ms: int = 800, longest_ms: int = 15_000) -
     islands = words.withColumn("parts", parts).withColumn("island", F.sum("parts").over(order)).groupBy("media_id", "island").agg(
         F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms"))).alias("ws")
     )
-    state = F.expr(f"""aggregate(ws, named_struct('s', 0L, 'e', {longest_ms}L, 'first', cast(array() AS array<boolean>)), (a, w) -> named_struct(
-      's', IF(a.e - a.s >= {longest_ms}, w.start_ms, a.s), 'e', w.end_ms, 'first', concat(a.first, array(a.e - a.s >= {longest_ms})))).first""")
+
+    def step(u, w):
+        full = u["e"] - u["s"] >= longest_ms
+        return F.struct(F.struct(F.when(full, w["start_ms"]).otherwise(u["s"]).alias("s"), w["end_ms"].alias("e")).alias("s"), full.alias("o"))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(longest_ms).cast("bigint").alias("e"))
+    state = scan(F.col("ws"), none, step, "boolean")
     flat = islands.select("media_id", F.explode(F.arrays_zip("ws.word_idx", state.alias("first"))).alias("x")).select("media_id", F.col("x.word_idx").alias("word_idx"), F.col("x.first").alias("first"))
     return flat.select("media_id", "word_idx", (F.sum(F.col("first").cast("long")).over(order) - 1).alias("unit_id"))
 

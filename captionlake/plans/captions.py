@@ -3,11 +3,13 @@ state it; the others are tested against plain loops in tests/test_rules.py."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import texts as T
+from ..functions.words import read_words
 from ..operators import grouping, layout, render, results, speech, status, timeline
 from ..sources import fixtures as fx
 from .catalogue import JUDGED, QUERIES, query
@@ -117,6 +119,16 @@ def L2_L3_break_table(spark, d):
     return b.groupBy("media_id", "lang", "unit_id", "rating", "safe").agg(F.count("*").alias("n"), F.sum("end").alias("places"))
 
 
+@unstated
+def L3_word_breaks(spark, d):
+    """Places in texts in Japanese script, which are made of the units' texts, where words are known. Tested against every
+    division of a stretch into words in tests/test_words.py."""
+    script = F.translate(F.regexp_replace(F.lower("text"), r"(\p{L}) (\p{L})", "$1$2"), "etaoinshrdlucmfwypvbgkjqxz", "をのに日時は作りるが業速度確認すデーモルお気割当本")
+    captions = fx.units(spark, d).withColumns({"text": T.caption(script), "lang": F.lit("ja")})
+    b = layout.break_table(captions, read_words(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return b.groupBy("media_id", "unit_id", "rating", "safe").agg(F.count("*").alias("n"), F.sum("end").alias("places"))
+
+
 @query(CAPTIONS + r""", n AS (SELECT media_id, unit_id, count(*) FILTER (safe AND rating > 0) AS k FROM b GROUP BY ALL), m AS (SELECT media_id, unit_id, greatest(1, ceil((length(t) - 0.000001::DOUBLE) / (2 * w)))::BIGINT AS bw, greatest(1, ceil((end_ms - start_ms - 0.001::DOUBLE) / 7000))::BIGINT AS bt, length(replace(t, ' ', '')) AS vis FROM caps),
 f AS (SELECT media_id, unit_id, greatest(bw, bt) > vis AS few, CASE WHEN greatest(bw, bt) > vis THEN greatest(bw, vis) ELSE greatest(bw, bt) END AS want, coalesce(k, 0) + 1 AS most FROM m LEFT JOIN n USING (media_id, unit_id))
 SELECT media_id, unit_id, least(want, most) AS n_cues, few::INTEGER + (want > most)::INTEGER AS capped FROM f""")

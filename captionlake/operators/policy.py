@@ -105,6 +105,32 @@ def framed(chunks: DataFrame, longest: int = 65_536) -> DataFrame:
     return lines.select("media_id", failed.alias("failed"), F.posexplode(F.when(failed, F.array(F.lit(None).cast("string"))).otherwise(F.col("ls"))).alias("p", "line"))
 
 
+def bill_issues(lock: DataFrame, listed: DataFrame, bill: DataFrame) -> DataFrame:
+    """(place, name, issue) of the components of a bill of materials, each judged by the lock and the listed licenses.
+
+    lock: name, version, hashes; listed: name, license; bill: place, name, version, purl, ref, hashes, licenses (arrays; null
+    is empty). Names are compared in lower case, with runs of `-`, `_` and `.` as `-`. A component without a name, or whose
+    name one at a lower place has, is a duplicate, and one that isn't locked is notLocked; neither is judged further. Of
+    repeated names in lock or listed, the largest version or license counts. A null version is empty."""
+    name = F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[-_.]+", "-")
+    whole = lambda c: F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))))
+    locked = lock.groupBy(name.alias("name")).agg(F.max("version").alias("locked"), F.max_by("hashes", "version").alias("allowed"))
+    known = listed.groupBy(name.alias("name")).agg(F.max("license").alias("license"))
+    rows = bill.select("place", name.alias("name"), F.coalesce("version", F.lit("")).alias("version"), "purl", "ref", whole("hashes").alias("hashes"), whole("licenses").alias("licenses"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("place")))
+    rows = rows.join(locked, "name", "left").join(known, "name", "left")
+    wanted = F.concat(F.lit("pkg:pypi/"), "name", F.lit("@"), "version")
+    same = F.col("version") == F.col("locked")
+    allowed = F.when(same, F.coalesce("allowed", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    judged = F.array(
+        F.when(~same, "versionMismatch"), F.when(~(F.col("purl").eqNullSafe(wanted) & F.col("ref").eqNullSafe(wanted)), "referenceMismatch"),
+        F.when((F.size("hashes") != 1) | (F.size(F.array_except("hashes", allowed)) > 0), "hashNotLocked"),
+        F.when((F.size("licenses") != 1) | (F.get("licenses", F.lit(0)) != F.coalesce("license", F.lit(""))), "licenseMismatch"),
+    )
+    found = F.when((F.col("name") == "") | (F.col("nth") > 1), F.array(F.lit("duplicateComponent"))).when(F.col("locked").isNull(), F.array(F.lit("notLocked"))).otherwise(F.array_compact(judged))
+    return rows.select("place", "name", F.explode(found).alias("issue"))
+
+
 def three_way(lock: DataFrame, listed: DataFrame, bill: DataFrame) -> DataFrame:
     """(name, issue) of names that not all three inventories have once and in the same version. One grouping of
     the union takes the place of two full joins."""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import PROFILES
 from ..functions.texts import is_blank
+from .cleaning import LOW_LOGPROB
+from .speech import words_tell
 
-EVIDENCE_ROWS, EVIDENCE_CHARS = 100, 2000
+EVIDENCE_ROWS, EVIDENCE_CHARS, EVIDENCE_WORDS = 100, 2000, 64
 
 
 def not_clean(segments: DataFrame) -> DataFrame:
@@ -64,12 +66,27 @@ def match_by_position(units: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def discard_evidence(removed: DataFrame) -> DataFrame:
-    """The first removed rows of each media, with shortened texts, and how many more there were. The limit is
-    the feature: it bounds what a report carries."""
+    """The first removed rows of each media, with shortened texts, and how many more there were; where rows have `words`, an
+    array, its first ones too (null for null). The limits are the feature: they bound what a report carries."""
     whole = Window.partitionBy("media_id")
     ranked = removed.withColumns({"place": F.row_number().over(whole.orderBy("seg_idx")), "n": F.count("*").over(whole)})
     more = F.greatest(F.col("n") - EVIDENCE_ROWS, F.lit(0))
-    return ranked.where(F.col("place") <= EVIDENCE_ROWS).select("media_id", "seg_idx", "reason", F.substring("text", 1, EVIDENCE_CHARS).alias("text"), more.alias("n_omitted"))
+    words = [F.slice("words", 1, EVIDENCE_WORDS).alias("words")] if "words" in removed.columns else []
+    return ranked.where(F.col("place") <= EVIDENCE_ROWS).select("media_id", "seg_idx", "reason", F.substring("text", 1, EVIDENCE_CHARS).alias("text"), *words, more.alias("n_omitted"))
+
+
+def timeline_report(kept: DataFrame) -> DataFrame:
+    """(media_id, n_kept, retained_low_confidence, synthetic_word_timing, quality_warning) of kept segments with text,
+    start_ms, end_ms, avg_logprob and words (text, start_ms, end_ms, probability): how many are unsure (a metric that is
+    null or not finite isn't), and how many have words that don't tell their text in order inside them (see
+    speech.usable_words; no words are none). Either asks for a look. A media without kept segments has no row."""
+    logprob = F.col("avg_logprob").cast("double")
+    unsure = F.coalesce(~F.isnan(logprob) & (F.abs(logprob) < float("inf")) & (logprob < LOW_LOGPROB), F.lit(False))
+    words = F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["start_ms"].cast("double").alias("start"), w["end_ms"].cast("double").alias("end"), w["probability"].cast("double").alias("probability")))
+    rows = kept.select("media_id", unsure.alias("unsure"), words_tell(F.col("text"), F.col("start_ms"), F.col("end_ms"), words).alias("told"))
+    n = lambda c: F.count_if(c)
+    both = rows.groupBy("media_id").agg(F.count("*").alias("n_kept"), n(F.col("unsure")).alias("retained_low_confidence"), n(~F.col("told")).alias("synthetic_word_timing"))
+    return both.withColumn("quality_warning", (F.col("retained_low_confidence") > 0) | (F.col("synthetic_word_timing") > 0))
 
 
 def duration_of(*parts: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ def read_segments(lines: DataFrame) -> DataFrame:
     return lines.select("media_id", "seg_idx", is_object.alias("is_object"), number("start"), number("end"), j["text"].alias("text"), number("avg_logprob"), number("compression_ratio"), number("no_speech_prob"), words.alias("words"))
 
 
-def usable_words(text: Column, start: Column, end: Column, words: Column) -> Column:
-    """The words of a cleaned segment, if together they are its text and lie in order inside it; else one word that spans
-    the segment, without a probability. words: array of (text, start, end, probability)."""
+def words_tell(text: Column, start: Column, end: Column, words: Column) -> Column:
+    """Whether words, an array of (text, start, end, probability), are together the text and lie in order from start to end.
+    Never null: what isn't known doesn't tell."""
     told = F.aggregate(words, F.lit(""), lambda a, w: F.concat(a, w["text"]))
     state = F.struct(F.lit(True).alias("good"), start.cast("double").alias("last"))
 
@@ -37,9 +37,14 @@ def usable_words(text: Column, start: Column, end: Column, words: Column) -> Col
         return F.struct(F.coalesce(good, F.lit(False)).alias("good"), w["end"].alias("last"))
 
     sound = F.aggregate(words, state, step, lambda acc: acc["good"])
-    use = F.coalesce((F.size(words) > 0) & (strip(told) == text) & sound, F.lit(False))
+    return F.coalesce((F.size(words) > 0) & (strip(told) == text) & sound, F.lit(False))
+
+
+def usable_words(text: Column, start: Column, end: Column, words: Column) -> Column:
+    """The words of a cleaned segment, if they tell it (see words_tell); else one word that spans the segment, without a
+    probability. words: array of (text, start, end, probability)."""
     single = F.struct(text.alias("text"), start.cast("double").alias("start"), end.cast("double").alias("end"), F.lit(None).cast("double").alias("probability"))
-    return F.when(use, words).otherwise(F.array(single))
+    return F.when(words_tell(text, start, end, words), words).otherwise(F.array(single))
 
 
 def marked_stamps(text: Column, words: Column) -> Column:

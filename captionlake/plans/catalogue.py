@@ -255,6 +255,28 @@ def A7_discard_evidence(spark, d):
     return results.discard_evidence(cleaning.judge_segments(fx.segments(spark, d)).where("reason is not null"))
 
 
+@query(JUDGED + r""", s AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) AS p FROM judged WHERE reason IS NOT NULL)
+SELECT media_id, seg_idx, least(len(ws), 64)::INTEGER AS n_words, array_to_string(ws[1:64], ' ') AS words FROM s WHERE p <= 100""")
+def A7_discard_words(spark, d):
+    """Removed segments with their words, the first 64 of each."""
+    s = cleaning.judge_segments(fx.segments(spark, d)).where("reason is not null")
+    got = results.discard_evidence(s.withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != "")))
+    return got.select("media_id", "seg_idx", F.size("words").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query(JUDGED + r""", k AS (SELECT j.media_id, s.avg_logprob < -1 AS unsure, regexp_matches(j.text, '^\S[\s\S]{2}[\s\S]*\S$') AND (j.media_id + j.seg_idx) % 7 <> 0 AND (j.media_id + j.seg_idx) % 5 <> 0 AS told FROM judged j JOIN segments s ON j.media_id = s.media_id AND j.seg_idx = s.seg_idx WHERE reason IS NULL)
+SELECT media_id, count(*) AS n_kept, count(*) FILTER (unsure) AS retained_low_confidence, count(*) FILTER (NOT told) AS synthetic_word_timing, count(*) FILTER (unsure OR NOT told) > 0 AS quality_warning FROM k GROUP BY media_id""")
+def A2_timeline_report(spark, d):
+    """Two words a segment, whose texts don't tell every seventh one; every fifth one ends too early."""
+    k = F.col("media_id") + F.col("seg_idx")
+    word = lambda text, start, end: F.struct(text.alias("text"), start.alias("start_ms"), end.alias("end_ms"), F.lit(0.5).alias("probability"))
+    start, end = F.col("start_ms").cast("double"), F.col("end_ms").cast("double")
+    tail = F.concat(F.substring("text", 4, 1 << 30), F.when(k % 7 == 0, "!").otherwise(""))
+    words = F.array(word(F.left("text", F.lit(3)), start, (start + end) / 2), word(tail, (start + end) / 2, end))
+    s = cleaning.judge_segments(fx.segments(spark, d)).where("reason is null").withColumn("words", words)
+    return results.timeline_report(s.withColumn("end_ms", F.when(k % 5 == 0, end - 0.5).otherwise(end)))
+
+
 @query("""SELECT user_id AS job_id, count(*) FILTER (event_id % 3 <> 0) AS n_saved, count(*) AS n_total,
   CASE WHEN count(*) FILTER (event_id % 3 <> 0) = 0 THEN 'failed' WHEN count(*) FILTER (event_id % 3 = 0) > 0 THEN 'completedWithWarnings' ELSE 'completed' END AS state FROM events GROUP BY user_id""")
 def A9_job_rollup(spark, d):

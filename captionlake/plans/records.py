@@ -404,6 +404,28 @@ def J9_reconcile_three_way(spark, d):
     return policy.three_way(item(docs.where(k % 61 != 0)), item(listed.unionByName(listed.where(k % 73 == 0))), bill)
 
 
+@query("""WITH c AS (SELECT doc_id AS place, 'n-' || (doc_id // 2 * 2) AS name, doc_id % 2 = 1 AND doc_id % 3 <> 0 AS again, doc_id // 2 * 2 AS k, doc_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY place) AS nth, k % 11 = 0 AS unlocked, doc_id % 13 = 0 AS v, doc_id % 17 = 0 AS r, doc_id % 19 = 0 AS h, doc_id % 23 = 0 AS l FROM c)
+SELECT place, name, 'duplicateComponent' AS issue FROM f WHERE nth > 1 UNION ALL SELECT place, name, 'notLocked' FROM f WHERE nth = 1 AND unlocked
+UNION ALL SELECT place, name, unnest(list_filter([CASE WHEN v THEN 'versionMismatch' END, CASE WHEN r THEN 'referenceMismatch' END, CASE WHEN v OR h THEN 'hashNotLocked' END, CASE WHEN l THEN 'licenseMismatch' END], lambda x: x IS NOT NULL)) FROM f WHERE nth = 1 AND NOT unlocked""")
+def J9_bill_issues(spark, d):
+    """Names in pairs of documents, written in two ways; some aren't locked, or have another version, reference, hash or
+    license."""
+    k = F.col("doc_id")
+    even = F.floor(k / 2) * 2
+    docs = _docs(spark, d).select("doc_id", even.alias("k"))
+    key, text = F.col("k").cast("string"), lambda x: F.lit(x)
+    lock = docs.where((k % 2 == 0) & (k % 11 != 0)).select(F.concat(text("n-"), key).alias("name"), text("1").alias("version"), F.array(F.concat(text("a"), key), F.concat(text("b"), key)).alias("hashes"))
+    listed = docs.where(k % 2 == 0).select(F.concat(text("n."), key).alias("name"), text("MIT").alias("license"))
+    version = F.when(k % 13 == 0, "2").otherwise("1")
+    purl = F.concat(text("pkg:pypi/n-"), key, text("@"), version)
+    bill = docs.where((k % 2 == 0) | (k % 3 != 0)).select(
+        k.alias("place"), F.concat(F.when(k % 4 == 0, "N__").otherwise("n-"), key).alias("name"), version.alias("version"), purl.alias("purl"), F.when(k % 17 != 0, purl).alias("ref"),
+        F.when(k % 19 == 0, F.array(F.concat(text("a"), key), F.concat(text("b"), key))).otherwise(F.array(F.concat(text("b"), key))).alias("hashes"), F.when(k % 23 != 0, F.array(text("MIT"))).alias("licenses"),
+    )
+    return policy.bill_issues(lock, listed, bill)
+
+
 @query(CUES + r""", g AS (SELECT *, row_number() OVER (PARTITION BY media_id, lang ORDER BY ordinal) AS n FROM cues),
 p AS (SELECT *, lag(CASE WHEN NOT bad THEN e END) OVER (PARTITION BY media_id, lang ORDER BY ordinal) AS le FROM g),
 q AS (SELECT media_id, lang, n AS ordinal, CASE WHEN coalesce(regexp_matches(text, '^\s*$'), true) THEN 'cueMissingText' WHEN cue_index <> n THEN 'invalidNumbering' WHEN bad OR e <= s OR s < coalesce(le, 0) THEN 'invalidTimestamps' END AS fault FROM p),

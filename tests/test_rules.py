@@ -427,3 +427,41 @@ def test_a_file_can_have_two_problems(spark):
     key = "AK" + "IA" + "A" * 16
     got = policy.scan_files(spark.createDataFrame([("a/.npmrc", key), ("b", key), ("c", "x")], "path string, text string")).collect()
     assert sorted(tuple(r) for r in got) == [("a/.npmrc", "cloudKey"), ("a/.npmrc", "forbiddenName"), ("b", "cloudKey")]
+
+
+def test_report_of_kept_segments(spark):
+    word = "array<struct<text:string,start_ms:double,end_ms:double,probability:double>>"
+    w = lambda *parts: [(t, float(a), float(b), 0.5) for t, a, b in parts]
+    rows = [
+        (1, "ab cd", 0, 10, -0.5, w((" ab", 0, 4), (" cd", 4, 10))), (1, "ab cd", 0, 10, -2.0, w(("ab", 0, 4), (" cd", 3, 10))), (1, "ab", 0, 10, float("nan"), None),
+        (1, "ab", 0, 10, None, []), (1, "ab", 0, 10, float("-inf"), w(("ab", 0, 11))), (1, "ab", 0, 10, -1.0, w(("ab", None or 5, 5))), (2, "x", 0, 9, -0.1, w(("x", 0, 9))),
+        (3, None, 0, 9, -0.1, w(("x", 0, 9))), (4, "x", 0, 9, -1.5, w(("x", 0, 9))),
+    ]
+    schema = f"media_id long, text string, start_ms double, end_ms double, avg_logprob double, words {word}"
+    made = [(m, t, float(s), float(e), p, ws) for m, t, s, e, p, ws in rows]
+    got = {r.media_id: tuple(r)[1:] for r in results.timeline_report(spark.createDataFrame(made, schema)).collect()}
+    assert got == {1: (6, 1, 5, True), 2: (1, 0, 0, False), 3: (1, 0, 1, True), 4: (1, 1, 0, True)}
+    assert results.timeline_report(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_evidence_keeps_first_words(spark):
+    rows = [(1, 0, "r", "x", ["w"] * 65), (1, 1, "r", None, None), (1, 2, "r", "x", [])]
+    got = results.discard_evidence(spark.createDataFrame(rows, "media_id long, seg_idx long, reason string, text string, words array<string>")).collect()
+    assert {r.seg_idx: r.words for r in got} == {0: ["w"] * 64, 1: None, 2: []}
+
+
+def test_bill_of_materials(spark):
+    lock = spark.createDataFrame([("A_b", "1", ["h", "i"]), ("c", "2", None), ("d", "1", ["h"])], "name string, version string, hashes array<string>")
+    listed = spark.createDataFrame([("a-B", "MIT"), ("d", None)], "name string, license string")
+    ref = lambda n, v: f"pkg:pypi/{n}@{v}"
+    rows = [
+        (1, "a.b", "1", ref("a-b", 1), ref("a-b", 1), ["i", "i", None], ["MIT"]), (2, "A-B", "1", None, None, None, None), (3, None, "1", None, None, None, None), (4, "", None, None, None, None, None),
+        (5, "C", "2", ref("c", 2), None, ["h"], []), (6, "d", None, ref("d", ""), ref("d", ""), ["h"], [""]), (7, "new", "1", None, None, None, None),
+    ]
+    schema = "place long, name string, version string, purl string, ref string, hashes array<string>, licenses array<string>"
+    got = sorted((r.place, r.issue) for r in policy.bill_issues(lock, listed, spark.createDataFrame(rows, schema)).collect())
+    assert got == [
+        (2, "duplicateComponent"), (3, "duplicateComponent"), (4, "duplicateComponent"), (5, "hashNotLocked"), (5, "licenseMismatch"), (5, "referenceMismatch"),
+        (6, "hashNotLocked"), (6, "versionMismatch"), (7, "notLocked"),
+    ]
+    assert policy.bill_issues(lock, listed, spark.createDataFrame([], schema)).count() == 0

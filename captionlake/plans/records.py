@@ -264,6 +264,17 @@ def R1_progress_stream(spark, d):
     return through_stream(spark, _event_lines(spark, d), progress)
 
 
+@query("""WITH e AS (SELECT event_id, user_id AS job_id, ['audio', 'speech', 'none'][event_id % 3 + 1] AS stage, CASE WHEN event_id % 5 <> 0 THEN greatest(0, least(1, (event_id % 13 - 2) / 8::DOUBLE)) END AS f FROM events)
+SELECT event_id, job_id, stage, CASE stage WHEN 'audio' THEN 0.05::DOUBLE + (0.15::DOUBLE - 0.05::DOUBLE) * f ELSE 0.15::DOUBLE + (0.78::DOUBLE - 0.15::DOUBLE) * f END AS progress,
+  CASE WHEN event_id % 4 <> 0 THEN (event_id % 100)::DOUBLE END AS elapsed, CASE WHEN event_id % 4 = 1 THEN (event_id % 7)::DOUBLE END AS eta FROM e WHERE f IS NOT NULL AND stage <> 'none'""")
+def R1_progress_times(spark, d):
+    """A stream of events with the times that they tell; fractions run beyond both ends, some are missing."""
+    e = F.col("event_id")
+    fraction = F.when(e % 5 != 0, (e % 13 - 2) / F.lit(8.0))
+    event = F.to_json(F.struct("event_id", F.col("user_id").alias("job_id"), F.get(F.array(*map(F.lit, ("audio", "speech", "none"))), (e % 3).cast("int")).alias("stage"), fraction.alias("fraction"), F.when(e % 4 != 0, (e % 100).cast("double")).alias("elapsed"), F.when(e % 4 == 1, (e % 7).cast("double")).alias("eta")))
+    return through_stream(spark, fx.table(spark, d, "events").select(F.concat(F.lit(timelines.EVENT), event).alias("value")), timelines.progress_updates)
+
+
 @query("WITH " + fx.SQL_SEGMENTS + ", " + fx.SQL_UNITS.removeprefix(fx.SQL_LINES + ", ") + """SELECT 'segments' AS kind, media_id, seg_idx AS place, seg_idx::VARCHAR AS id, start_ms, end_ms, text FROM segments
 UNION ALL SELECT 'semantic_units', media_id, unit_id, unit_id::VARCHAR, start_ms, end_ms, text FROM units UNION ALL SELECT 'words', media_id, unit_id, unit_id::VARCHAR, start_ms, start_ms + 100, left(text, 5) FROM units""")
 def S1_S8_timelines(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import overall_progress
+
 EVENT = "EVT\t"
 ITEM = "struct<" + ",".join(f"{n}:string" for n in ("id", "index", "start", "end", "text", "word", "confidence", "probability", "word_start", "wordStart", "word_end", "wordEnd")) + ">"
 MOST_BYTES = 64 << 20
@@ -89,3 +91,17 @@ def event_lines(lines: DataFrame) -> DataFrame:
     events = lines.where(F.col("value").startswith(EVENT))
     j = F.from_json(F.substring(F.col("value"), len(EVENT) + 1, 1 << 30), "event_id long, job_id long, stage string, fraction double")
     return events.select(j.alias("j")).where("j.event_id is not null").select("j.*")
+
+
+def progress_updates(lines: DataFrame) -> DataFrame:
+    """(event_id, job_id, stage, progress, elapsed, eta) of the event lines that tell a fraction of a known stage, which is
+    clamped to 0 and 1: the job's progress over all stages, and the stage's seconds so far and to come. elapsed is the
+    event's own; else that of a column `since` of the line, where there is one; else null. eta is the event's own or null.
+    Other lines, and events without a fraction or a stage, go. Works on streams as on tables."""
+    j = F.from_json(F.substring("value", len(EVENT) + 1, 1 << 30), "event_id long, job_id long, stage string, fraction double, elapsed double, eta double")
+    since = F.col("since").cast("double") if "since" in lines.columns else F.lit(None).cast("double")
+    rows = lines.where(F.col("value").startswith(EVENT)).select(j.alias("j"), since.alias("since"))
+    fraction = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(~F.isnan("j.fraction"), F.col("j.fraction"))))
+    rows = rows.where(F.col("j.fraction").isNotNull() & ~F.isnan("j.fraction"))
+    progress = overall_progress(F.col("j.stage"), fraction)
+    return rows.select("j.event_id", "j.job_id", "j.stage", progress.alias("progress"), F.coalesce("j.elapsed", "since").alias("elapsed"), F.col("j.eta").alias("eta")).where("progress is not null")

@@ -465,3 +465,15 @@ def test_bill_of_materials(spark):
         (6, "hashNotLocked"), (6, "versionMismatch"), (7, "notLocked"),
     ]
     assert policy.bill_issues(lock, listed, spark.createDataFrame([], schema)).count() == 0
+
+
+def test_progress_updates(spark):
+    e = lambda text: timelines.EVENT + text
+    rows = [
+        (e('{"event_id": 1, "job_id": 1, "stage": "speech", "fraction": 2, "eta": 4}'), 7.5), (e('{"event_id": 2, "stage": "speech", "fraction": -1, "elapsed": 3}'), 7.5),
+        (e('{"event_id": 3, "stage": "speech"}'), 1.0), (e('{"event_id": 4, "stage": "?", "fraction": 1}'), 1.0), (e("{"), 1.0), ("x", 1.0), (None, 1.0),
+    ]
+    lines = spark.createDataFrame(rows, "value string, since double")
+    got = {r.event_id: (r.progress, r.elapsed, r.eta) for r in timelines.progress_updates(lines).collect()}
+    assert got == {1: (pytest.approx(0.78), 7.5, 4.0), 2: (pytest.approx(0.15), 3.0, None)}
+    assert timelines.progress_updates(lines.drop("since")).where("event_id = 1").first().elapsed is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,15 +156,24 @@ def split_units(words: DataFrame, gap_ms: int = 800, longest_ms: int = 15_000) -
 
 
 def throttled(updates: DataFrame, least: float = 0.002) -> DataFrame:
-    """Updates of each run to show: the first, the last, whole ones, and each that is `least` further than the last shown."""
-
-    def fold(part):
-        part, shown, last = part.sort_values("event_id"), [], None
-        for f in part.fraction:
-            shown.append(last is None or f >= 1 or f - last >= least)
-            last = f if shown[-1] else last
-        shown[-1] = True
-        return part[shown]
-
-    rows = updates.select("job_id", "run_id", "event_id", "fraction")
-    return rows.groupBy("job_id", "run_id").applyInPandas(fold, rows.schema)
+    """Updates of each run to show: the first, the last, whole ones, and each that is `least` further than the last shown.
+    Runs stand sorted, one behind another, and a task reads them as they come; what it holds is the last shown one."""
+    run, nan = ["job_id", "run_id"], float("nan")
+    order = Window.partitionBy(*run).orderBy(F.asc_nulls_last("event_id"))
+    rows = updates.select(*run, "event_id", "fraction")
+    kinds = rows.schema
+
+    def fold(batches):
+        now = shown = None
+        for b in batches:
+            keep = []
+            for job, one, f, final in zip(*(b.column(c).to_pylist() for c in (*run, "fraction", "final"))):
+                f = nan if f is None else f
+                new = (job, one) != now
+                keep.append(new or final or f >= 1 or f - shown >= least)
+                if keep[-1]:
+                    now, shown = (job, one), f
+            yield b.filter(pa.array(keep, pa.bool_())).select(kinds.names)
+
+    told = rows.withColumn("final", F.lead(F.lit(True)).over(order).isNull())
+    return told.sortWithinPartitions(*run, F.asc_nulls_last("event_id")).mapInArrow(fold, kinds)

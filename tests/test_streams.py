@@ -69,3 +69,44 @@ def test_queues(spark):
         assert {r.job: r.state for r in mine} == want and mine[-1].active == active, list(LOGS)[q]
     told = in_two_runs(spark, rows[::2] + rows[1::2], schema, state.job_states, state.CHANGES)
     assert sorted(map(tuple, told)) == sorted(map(tuple, whole))
+
+
+def test_many_keys_are_few_calls(spark):
+    """A call for each key takes some milliseconds, so that many small keys would take hours."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(state.Throttle):
+        def handleInputRows(self, *a):
+            calls.add(1)
+            yield from super().handleInputRows(*a)
+
+    keep, state.Throttle = state.Throttle, Counted
+    try:
+        runs = spark.range(3000).select(F.col("id").alias("job_id"), F.lit(1).cast("long").alias("run_id"), F.explode(F.expr("sequence(0L, 3L)")).alias("event_id"))
+        rows = runs.repartition(7).withColumns({"fraction": F.col("event_id") * 0.0015, "final": F.col("event_id") == 3, "piece": F.col("event_id")})
+        folder = state.run_in_pieces(rows, 2, "piece", lambda s: state.throttle_progress(s, buckets=8))
+    finally:
+        state.Throttle = keep
+    assert 0 < calls.value <= 2 * 8
+    # pieces are 0, 2 and 1, 3: an update that comes late counts from what was shown
+    got = spark.read.schema(state.SHOWN).parquet(f"{folder}/out").groupBy("event_id").count().collect()
+    assert {r.event_id: r["count"] for r in got} == {0: 3000, 2: 3000, 3: 3000}
+
+
+def test_runs_are_read_as_they_come(spark):
+    """Millions of runs of a few updates: no call for each of them."""
+    from captionlake.operators.grouping import throttled
+
+    rows = [(j, r, i, ((7 * i + j) % 11) / 1000) for j in range(40) for r in (0, None) for i in range(j % 5 + 1)] + [(None, 1, 0, None), (None, 1, 1, 0.5), (None, 1, 2, 1.0), (None, 1, 3, 0.1)]
+    frame = spark.createDataFrame(rows, state.SHOWN).repartition(5)
+    want = []
+    for key in {x[:2] for x in rows}:
+        mine, last = sorted((x for x in rows if x[:2] == key), key=lambda x: x[2]), None
+        for x in mine:
+            f = float("nan") if x[3] is None else x[3]
+            if last is None or x is mine[-1] or f >= 1 or f - last >= 0.002:
+                want.append(x)
+                last = f
+    out = throttled(frame)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()

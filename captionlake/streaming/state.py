@@ -1,24 +1,54 @@
 """Streams that remember: unfinished lines, the last progress shown, the run that is active, a queue's jobs.
 
-Each rule is a processor of one key (a source, a run, a job, a queue); Spark deals the keys and keeps their state in its
-store, so a stream goes on after a restart from its checkpoint. State is small by construction: an unfinished line of at
-most 64 KiB, one fraction, one row for each stage of the active run, one row for each job of a queue. Rows of a key are
-taken in their own order within a micro-batch; `seq` keeps what comes too early until its turn.
+Each rule is told of one key (a source, a run, a job, a queue). Spark deals the keys and keeps their state in its store, so
+a stream goes on after a restart from its checkpoint. Sources, runs and jobs are many and small, so that a processor takes
+a bucket of them at once, whose state is read and written once a micro-batch; a queue has its own. State of a key is small
+by construction: an unfinished line of at most 64 KiB, one fraction, one row for each stage of the active run, one row for
+each job of a queue. Rows of a key are taken in their own order within a micro-batch; `seq` keeps what comes too early
+until its turn.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.tables import scratch_dir
+
 LONGEST_LINE, LEAST_STEP = 65_536, 0.002
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+COLUMNS = ["job_id", "run_id", "stage", "ts", "event_id", "fraction"]
+#: Keys are dealt into so many buckets, which a checkpoint keeps for good. A call per key would cost milliseconds each.
+BUCKETS = 2048
+
+
+def _lists(**kinds: str) -> str:
+    """The schema of a bucket's state: rows of many keys, column by column."""
+    return ", ".join(f"{name} array<{kind}>" for name, kind in kinds.items())
+
+
+def _held(state) -> list[tuple]:
+    return list(zip(*state.get())) if state.exists() else []
+
+
+def _hold(state, rows: list[tuple]) -> None:
+    if rows:
+        state.update(tuple(map(list, zip(*rows))))
+    elif state.exists():
+        state.clear()
+
+
+def _plain(ids: pd.Series) -> list:
+    """Whole numbers, None for a null."""
+    return ids.astype("Int64").astype(object).where(ids.notna(), None).tolist()
+
+
 class Lines(StatefulProcessor):
     """Lines of chunks (seq from 0, chunk, last), ended by CR, LF or both, also across chunks. A line of more bytes than
     allowed fails its source: the lines before it stand, one row says so, and what follows is passed over."""
@@ -27,18 +57,29 @@ class Lines(StatefulProcessor):
         self.longest = longest
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "seq int, n int, tail string, cr boolean, failed boolean")
-        self.early = handle.getMapState("early", "seq int", "chunk string, last boolean")
+        self.state = handle.getValueState("state", _lists(media_id="long", seq="int", n="int", tail="string", cr="boolean", failed="boolean"))
+        self.early = handle.getValueState("early", _lists(media_id="long", seq="int", chunk="string", last="boolean"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        sources = {m: x for m, *x in _held(self.state)}
+        early: dict = {}
+        for m, seq, *x in _held(self.early):
+            early.setdefault(m, {})[seq] = x
         for frame in rows:
-            for r in frame.itertuples():
-                self.early.updateValue((int(r.seq),), (r.chunk or "", bool(r.last)))
-        seq, n, tail, cr, failed = self.state.get() if self.state.exists() else (0, 0, "", False, False)
+            for m, seq, chunk, last in zip(_plain(frame.media_id), frame.seq.tolist(), frame.chunk.tolist(), frame["last"].tolist()):
+                early.setdefault(m, {})[int(seq)] = (chunk or "", bool(last))
         out = []
-        while self.early.containsKey((seq,)):
-            chunk, last = self.early.getValue((seq,))
-            self.early.removeKey((seq,))
+        for m, chunks in early.items():
+            sources[m] = self.taken(m, chunks, *sources.get(m, (0, 0, "", False, False)), out)
+        _hold(self.state, [(m, *x) for m, x in sources.items()])
+        _hold(self.early, [(m, seq, *x) for m, chunks in early.items() for seq, x in chunks.items()])
+        if out:
+            yield pd.DataFrame(out, columns=["media_id", "p", "failed", "line"]).astype({"media_id": "Int64"})
+
+    def taken(self, m: int, chunks: dict, seq: int, n: int, tail: str, cr: bool, failed: bool, out: list) -> tuple:
+        """The state of a source after those of its chunks whose turn it is, which are taken out; its lines go to out."""
+        while seq in chunks:
+            chunk, last = chunks.pop(seq)
             seq += 1
             if failed:
                 continue
@@ -50,15 +91,13 @@ class Lines(StatefulProcessor):
                 if len(line.encode()) > self.longest:
                     failed = True
                     break
-                out.append((n, False, line))
+                out.append((m, n, False, line))
                 n += 1
             failed = failed or len(tail.encode()) > self.longest
             if failed:
-                out.append((n, True, None))
+                out.append((m, n, True, None))
                 tail = ""
-        self.state.update((seq, n, tail, cr, failed))
-        if out:
-            yield pd.DataFrame([(*key, *o) for o in out], columns=["media_id", "p", "failed", "line"])
+        return seq, n, tail, cr, failed
 
     def close(self) -> None:
         pass
@@ -72,15 +111,17 @@ class Throttle(StatefulProcessor):
         self.least = least
 
     def init(self, handle) -> None:
-        self.shown = handle.getValueState("shown", "fraction double")
+        self.shown = handle.getValueState("shown", _lists(job_id="long", run_id="long", fraction="double"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.shown.get()[0] if self.shown.exists() else None
+        shown = {(j, r): f for j, r, f in _held(self.shown)}
         every, keep = pd.concat(list(rows)).sort_values("event_id"), []
-        for f, final in zip(every.fraction, every.final):
-            keep.append(last is None or final or f >= 1 or f - last >= self.least)
-            last = f if keep[-1] else last
-        self.shown.update((float(last),))
+        for j, r, f, final in zip(_plain(every.job_id), _plain(every.run_id), every.fraction.tolist(), every.final.tolist()):
+            last = shown.get((j, r))
+            keep.append(bool(last is None or final or f >= 1 or f - last >= self.least))
+            if keep[-1]:
+                shown[j, r] = f
+        _hold(self.shown, [(j, r, f) for (j, r), f in shown.items()])
         yield every[keep][["job_id", "run_id", "event_id", "fraction"]]
 
     def close(self) -> None:
@@ -92,25 +133,22 @@ class StageTimings(StatefulProcessor):
     older runs, repeated and late ones change nothing; a new run forgets the stages of the one before."""
 
     def init(self, handle) -> None:
-        self.run = handle.getValueState("run", "run_id long")
-        self.stages = handle.getMapState("stages", "stage string", "ts timestamp, event_id long, fraction double")
+        self.stages = handle.getValueState("stages", _lists(job_id="long", run_id="long", stage="string", ts="timestamp", event_id="long", fraction="double"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        run = self.run.get()[0] if self.run.exists() else None
-        new = pd.concat(list(rows))
-        top = int(new.run_id.max())
-        if run is None or top > run:
-            run = top
-            self.run.update((run,))
-            self.stages.clear()
-        changed = {}
-        for r in new[new.run_id == run].sort_values(["ts", "event_id"]).itertuples():
-            have = self.stages.getValue((r.stage,)) if self.stages.containsKey((r.stage,)) else None
-            if have is None or (pd.Timestamp(have[0]), have[1]) < (r.ts, r.event_id):
-                self.stages.updateValue((r.stage,), (r.ts.to_pydatetime(), int(r.event_id), float(r.fraction)))
-                changed[r.stage] = (*key, run, r.stage, r.ts, int(r.event_id), float(r.fraction))
-        if changed:
-            yield pd.DataFrame(list(changed.values()), columns=["job_id", "run_id", "stage", "ts", "event_id", "fraction"])
+        new = pd.concat(list(rows))[COLUMNS]
+        new["job_id"] = _plain(new.job_id)
+        new["new"] = True
+        have = pd.DataFrame(_held(self.stages), columns=COLUMNS).assign(new=False)
+        have["ts"] = pd.to_datetime(have.ts).astype(new.ts.dtype)
+        both = pd.concat([have, new]) if len(have) else new
+        both = both[both.run_id == both.groupby("job_id", dropna=False).run_id.transform("max")]
+        # of updates with one time and id the one that is held stays
+        last = both.sort_values(["ts", "event_id", "new"], ascending=[True, True, False], kind="stable").drop_duplicates(["job_id", "stage"], keep="last")
+        _hold(self.stages, [(None if pd.isna(j) else int(j), int(r), stage, ts.to_pydatetime(), int(e), float(f)) for j, r, stage, ts, e, f in last[COLUMNS].itertuples(index=False)])
+        changed = last[last.new.astype(bool)]
+        if len(changed):
+            yield changed[COLUMNS]
 
     def close(self) -> None:
         pass
@@ -226,19 +264,19 @@ SHOWN = "job_id long, run_id long, event_id long, fraction double"
 TIMINGS = "job_id long, run_id long, stage string, ts timestamp, event_id long, fraction double"
 
 
-def frame_lines(chunks: DataFrame, longest: int = LONGEST_LINE) -> DataFrame:
+def frame_lines(chunks: DataFrame, longest: int = LONGEST_LINE, buckets: int = BUCKETS) -> DataFrame:
     """A stream of lines of a stream of chunks: media_id, seq, chunk, last (see Lines)."""
-    return _with_state(chunks, ["media_id"], Lines(longest), LINES)
+    return _with_state(_dealt(chunks, ["media_id"], buckets), ["bucket"], Lines(longest), LINES)
 
 
-def throttle_progress(updates: DataFrame, least: float = LEAST_STEP) -> DataFrame:
+def throttle_progress(updates: DataFrame, least: float = LEAST_STEP, buckets: int = BUCKETS) -> DataFrame:
     """A stream of the updates to show of a stream: job_id, run_id, event_id, fraction, final (see Throttle)."""
-    return _with_state(updates, ["job_id", "run_id"], Throttle(least), SHOWN)
+    return _with_state(_dealt(updates, ["job_id", "run_id"], buckets), ["bucket"], Throttle(least), SHOWN)
 
 
-def stage_timings(updates: DataFrame) -> DataFrame:
+def stage_timings(updates: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A stream of changes of a stream: job_id, run_id, stage, ts, event_id, fraction (see StageTimings)."""
-    return _with_state(updates, ["job_id"], StageTimings(), TIMINGS, "Update")
+    return _with_state(_dealt(updates, ["job_id"], buckets), ["bucket"], StageTimings(), TIMINGS, "Update")
 
 
 def job_states(events: DataFrame) -> DataFrame:
@@ -246,6 +284,10 @@ def job_states(events: DataFrame) -> DataFrame:
     return _with_state(events, ["queue"], Queue(), CHANGES)
 
 
+def _dealt(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
 def _with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str = "Append") -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
@@ -262,6 +304,16 @@ def run_until_taken(out: DataFrame, folder: str, keys: list[str] | None = None)
     query.awaitTermination()
 
 
+def run_in_pieces(rows: DataFrame, pieces: int, order: str, make: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> str:
+    """The folder of the stream make(rows), of which a piece after the other comes, by order modulo pieces; each is a
+    micro-batch of its own, whatever number of files it has, and the stream goes on from its checkpoint."""
+    spark, folder = rows.sparkSession, scratch_dir(rows.sparkSession)
+    for k in range(pieces):
+        rows.where(F.pmod(F.col(order), F.lit(pieces)) == k).write.mode("append").parquet(f"{folder}/in")
+        run_until_taken(make(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")), folder, keys)
+    return folder
+
+
 def newest(spark: SparkSession, folder: str, schema: str, keys: list[str]) -> DataFrame:
     """Of rows that batches updated, the last of each key."""
     rows = spark.read.schema(f"{schema}, batch long").parquet(f"{folder}/out")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from captionlake.functions import texts as T
 from captionlake.functions.scalars import cue_times
+from captionlake.operators import layout
 
 
 def plan(df):
@@ -33,3 +34,15 @@ def test_strip_takes_the_edges_alone(spark):
     rows = [("  a b \n",), ("　\n ",), ("",), (None,), ("a\n\nb",), (" \x85a ",)]
     df = spark.createDataFrame(rows, "t string").select(T.strip(F.col("t")), T.is_blank(F.col("t")))
     assert [tuple(r) for r in df.collect()] == [("a b", False), ("", True), ("", True), (None, None), ("a\n\nb", False), ("a", False)]
+
+
+def test_even_pieces_are_taken_by_batch_and_only_from_reachable_places(spark):
+    rows = [(1, "en", "one two three four five six, seven eight nine ten. " * 5, 4), (2, "en", "", 1), (3, "en", None, 2), (4, "xx", "a b", 2), (5, "en", "a b c d", None), (6, "en", "a b c d", 4), (7, "en", "x" * 300, 3)]
+    captions = spark.createDataFrame(rows, "media_id long, lang string, text string, n_cues long").selectExpr("*", "media_id AS unit_id", "if(lang = 'en', 42, null) AS chars_per_line")
+    found = layout.partition_captions(layout.measure(captions.withColumn("text", F.rtrim("text"))))
+    got = {r.media_id: r.cues for r in found.collect()}
+    assert len(got[1]) == 4 and " ".join(got[1]) == ("one two three four five six, seven eight nine ten. " * 5).strip()
+    assert (got[2], got[3], got[4], got[5], got[6], got[7]) == ([""], [None], ["a b"], ["a b c d"], ["a", "b", "c", "d"], ["x" * 300])
+    assert "aggregate(" not in plan(found)  # one fold step a piece, over all places of the text, before
+    m = layout.measure(captions.where("media_id = 1")).selectExpr("m.most AS first", "m.places.most AS most", "m.places.till AS till").first()
+    assert m.till[m.first - 1] <= 84 < m.till[m.first] and max(m.most) <= len(m.most)

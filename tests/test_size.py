@@ -46,3 +46,16 @@ def test_even_pieces_are_taken_by_batch_and_only_from_reachable_places(spark):
     assert "aggregate(" not in plan(found)  # one fold step a piece, over all places of the text, before
     m = layout.measure(captions.where("media_id = 1")).selectExpr("m.most AS first", "m.places.most AS most", "m.places.till AS till").first()
     assert m.till[m.first - 1] <= 84 < m.till[m.first] and max(m.most) <= len(m.most)
+
+
+def test_only_texts_with_odd_characters_are_searched_for_damage(spark):
+    r = random.Random(5)
+    kinds = ["a", " ", "é", "\n", "漢", "\u2019", "ｱ", "\x0b", "\x85", "\x00", "\xad", "\u200b", "\ufeff", "\ufffd", "\ufdd0", "\uffff", "\U0001ffff", "\U000e0001", "\t", "\u200d", "\u0600"]
+    texts = [None, "", " ", "\u3000\n", "\x0b a", "a \x0b", *kinds, *("".join(r.choice(kinds[: r.choice((7, 21))]) for _ in range(r.randrange(5))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = T.strip(F.col("t"))
+    bad = F.regexp_extract(t, rf"[\x{{FFFD}}{T.NONCHARACTERS}[\p{{Cc}}\p{{Cf}}&&[^{T.SHAPING}]]]", 0)
+    want = F.when(t.isNull() | (t == ""), "empty").when(bad == "", F.lit(None)).when(bad == "\ufffd", "replacementCharacter").when(bad.rlike(rf"[{T.NONCHARACTERS}]"), "invalidUnicodeScalar").otherwise("disallowedControlCharacter")
+    assert df.where(~T.damage(F.col("t")).eqNullSafe(want)).count() == 0
+    # every text was matched against a class of some forty ranges
+    assert plan(df.select(T.damage(F.col("t")))).count(r"\x{600}-\x{10FFFF}") > 0

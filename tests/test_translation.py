@@ -2,6 +2,7 @@
 
 import pytest
 
+from captionlake.operators import translation
 from captionlake.operators.translation import translate_targets
 
 UNITS = [(m, "en", u, f"text {m} {u}") for m in (1, 2) for u in range(1, 8)]
@@ -80,3 +81,13 @@ def test_copies_and_odd_tables(spark):
     u = spark.createDataFrame([], "media_id long, lang string, unit_id long, text string")
     done, status = translate_targets(u, spark.createDataFrame([(1, "fr")], "media_id long, lang string"), {"fr": Script(sound)})
     assert done.count() == status.count() == 0
+
+
+def test_calls_make_no_frame_each(spark):
+    """A pandas frame for each call took some 2 ms, and each target has calls."""
+    units = [(m, "en", u, f"t {m} {u}") for m in range(300) for u in range(m % 5 + 1)]
+    rule = lambda one, i, t: [] if i % 2 and not one else sound(one, i, t)
+    got, told = run(spark, {"de": Script(rule), "fr": Script(sound)}, units, [(m, x) for m in range(300) for x in ("de", "fr")], batch=2)
+    # a call of one unit is alone whichever round it is of
+    assert set(told.values()) == {("translated", None)} and got == {(m, x): {u: f"<t {m} {u}>" for u in range(m % 5 + 1)} for m in range(300) for x in ("de", "fr")}
+    assert not hasattr(translation, "pd")

@@ -68,13 +68,24 @@ def read_timelines(documents: DataFrame, kind: str, key: str = "media_id") -> Da
     """(key, place, id, start_ms, end_ms, text, confidence, word_start, word_end) of words, segments or semantic_units.
     Numbers may be strings, a missing start is 0, a missing end the start, a missing id or text empty; names may be in either
     form (id or index, text or word, confidence or probability, word_start or wordStart). Rejected documents have no rows."""
-    rows = _read(documents).where("code is null").select(key, F.posexplode(kind).alias("p", "x"))
+    return _items(_read(documents).where("code is null").select(key, F.posexplode(kind).alias("p", "x")), key)
+
+
+def read_all_timelines(documents: DataFrame, key: str = "media_id") -> DataFrame:
+    """The same rows of all three lists, with kind, the list's name. A document is parsed once: a filter by its code would be
+    worked out below the lists, with a parse of its own."""
+    lists = F.array(*[F.struct(F.lit(kind).alias("kind"), F.when(F.col("code").isNull(), F.col(kind)).alias("xs")) for kind in LISTS])
+    rows = _read(documents).select(key, F.explode(lists).alias("l")).select(key, "l.kind", F.posexplode("l.xs").alias("p", "x"))
+    return _items(rows, "kind", key)
+
+
+def _items(rows: DataFrame, *keys: str) -> DataFrame:
     number = lambda *names: F.coalesce(*[F.trim(F.col(f"x.{n}")).try_cast("double") for n in names])
     whole = lambda *names: F.coalesce(*[F.trim(F.col(f"x.{n}")).try_cast("double").cast("long") for n in names])
     start = F.coalesce(number("start"), F.lit(0.0))
     ms = lambda c: F.round(c * 1000).cast("long")
     return rows.select(
-        key, F.col("p").cast("long").alias("place"), F.coalesce("x.id", "x.index", F.lit("")).alias("id"), ms(start).alias("start_ms"), ms(F.coalesce(number("end"), start)).alias("end_ms"),
+        *keys, F.col("p").cast("long").alias("place"), F.coalesce("x.id", "x.index", F.lit("")).alias("id"), ms(start).alias("start_ms"), ms(F.coalesce(number("end"), start)).alias("end_ms"),
         F.coalesce("x.text", "x.word", F.lit("")).alias("text"), number("confidence", "probability").alias("confidence"), whole("word_start", "wordStart").alias("word_start"), whole("word_end", "wordEnd").alias("word_end"),
     )
 

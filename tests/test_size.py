@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from captionlake.functions import texts as T
 from captionlake.functions.scalars import cue_times
 from captionlake.operators import layout
+from captionlake.sources import timelines
 
 
 def plan(df):
@@ -59,3 +60,14 @@ def test_only_texts_with_odd_characters_are_searched_for_damage(spark):
     assert df.where(~T.damage(F.col("t")).eqNullSafe(want)).count() == 0
     # every text was matched against a class of some forty ranges
     assert plan(df.select(T.damage(F.col("t")))).count(r"\x{600}-\x{10FFFF}") > 0
+
+
+def test_a_document_is_parsed_once_for_all_its_lists(spark):
+    item = '{"id": "7", "start": "1.5", "end": 2, "text": "a"}'
+    docs = [f'{{"words": [{item}, {item}], "segments": [], "semantic_units": [{item}]}}', '{"words": 3, "segments": [], "semantic_units": []}', "{", "", None, f'{{"words": [], "segments": [{item}], "semanticUnits": []}}']
+    df = spark.createDataFrame(list(enumerate(docs)), "media_id long, document string").repartition(2)
+    every = timelines.read_all_timelines(df)
+    singles = [timelines.read_timelines(df, kind).withColumn("kind", F.lit(kind)) for kind in timelines.LISTS]
+    want = singles[0].unionByName(singles[1]).unionByName(singles[2]).select(every.columns)
+    assert sorted(map(str, every.collect())) == sorted(map(str, want.collect())) and every.count() == 4
+    assert plan(every).count("from_json(") == 1  # a parse for each list and one for the code, before

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.loops import longest_loop
 from ..functions.texts import case_folded, has_cjk, safe_number, strip, token_key
 
 LOW_LOGPROB, LEAST_TIMES, LEAST_UNITS, LEAST_STAMPS = -1.0, 4, 8, 4
@@ -66,8 +67,7 @@ def trim_decoder_loops(segments: DataFrame) -> DataFrame:
     The most repetitions win, then the most units, the earliest start, the shortest phrase. What is left
     without a letter or digit is empty. Texts with a higher, null or NaN avg_logprob are only stripped.
 
-    Only texts that can have a loop are taken apart: a run of units that equal the ones `p` further on, found by the next
-    unit that doesn't, is the repetition of a phrase of p."""
+    A text is done where it stands, without a shuffle; its loop is found by functions/loops.py."""
     key = ["media_id", "seg_idx"]
     text = strip(F.col("text"))
     marked = marked_stamps(text, F.col("words")) if "words" in segments.columns else F.lit(None).cast("string")
@@ -75,25 +75,16 @@ def trim_decoder_loops(segments: DataFrame) -> DataFrame:
     rows = segments.select(*key, text.alias("text"), low.alias("low"), F.when(low, marked).alias("marked"))
     parts = lambda c: F.regexp_extract_all(c, F.lit(r"(?sU)\S+\s*"), F.lit(0))  # noqa: E731 words with the white space after them
     clusters = lambda c: F.regexp_extract_all(c, F.lit(r"(?s)\X"), F.lit(0))
-    open_ = rows.where("low").withColumn("n_words", F.size(parts(F.col("text"))))
-    open_ = open_.withColumns({"graph": F.col("marked").isNull() & (F.col("n_words") < 4) & has_cjk(F.col("text")), "most": F.when(F.col("n_words") < 4, 16).otherwise(8)})
-    shown = F.coalesce("marked", "text")
-    taken = lambda c: F.when(F.col("marked").isNotNull(), F.split(c, EDGE)).when(F.col("graph"), clusters(c)).otherwise(parts(c))
-    open_ = open_.withColumn("folded", case_folded(shown)).withColumns({"us": taken(shown), "keys": F.transform(taken(F.col("folded")), token_key)})
-    keyed = open_.where(F.size("us") >= LEAST_UNITS)
-    lengths = keyed.select(*key, "keys", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("p"))
-    same = F.transform("keys", lambda k, i: k.eqNullSafe(F.get(F.col("keys"), i + F.col("p"))))
-    at = lengths.select(*key, "p", F.posexplode(F.arrays_zip(same.alias("same"), F.col("keys").alias("k"))).alias("i", "x")).select(*key, "p", "i", F.col("x.same").alias("same"), F.col("x.k").alias("k"))
-    onward = Window.partitionBy(*key, "p").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    run = at.withColumns({"till": F.min(F.when(~F.col("same"), F.col("i"))).over(onward), "spoken": F.min(F.when(F.col("k") != "", F.col("i"))).over(onward)})
-    run = run.withColumn("times", F.floor((F.col("till") - F.col("i")) / F.col("p")) + 1)
-    loops = run.where((F.col("times") >= LEAST_TIMES) & (F.col("times") * F.col("p") >= LEAST_UNITS) & (F.col("spoken") < F.col("i") + F.col("p")))
-    best = loops.groupBy(*key).agg(F.max(F.struct("times", (F.col("times") * F.col("p")).alias("n"), (-F.col("i")).alias("from"), (-F.col("p")).alias("p"))).alias("b"))
-    cut = keyed.join(best, key).select(*key, "text", "us", "graph", (-F.col("b.from")).cast("int").alias("a"), (F.col("b.n") - F.col("b.from")).cast("int").alias("z"))
-    upto = lambda n: F.array_join(F.slice("us", F.lit(1), F.col(n)), "")
-    cut = cut.withColumns({"head": upto("a"), "body": F.when(F.col("graph"), upto("z")).otherwise(F.regexp_replace(upto("z"), r"(?U)\s+$", ""))})
+    open_ = rows.withColumn("ws", F.when(F.col("low"), parts(F.col("text")))).withColumn("few", F.size("ws") < 4)
+    open_ = open_.withColumns({"graph": F.col("marked").isNull() & F.col("few") & has_cjk(F.col("text")), "shown": F.when(F.col("low"), F.coalesce("marked", "text"))})
+    taken = lambda c, ws: F.when(F.col("marked").isNotNull(), F.split(c, EDGE)).when(F.col("graph"), clusters(c)).otherwise(ws)
+    open_ = open_.withColumn("us", taken(F.col("shown"), F.col("ws")))
+    open_ = open_.withColumn("folded", case_folded(F.when(F.size("us") >= LEAST_UNITS, F.col("shown"))))
+    open_ = open_.withColumn("keys", F.transform(taken(F.col("folded"), parts(F.col("folded"))), token_key))
+    open_ = open_.withColumn("loop", longest_loop(F.col("keys"), F.when(F.col("few"), 16).otherwise(8), LEAST_TIMES, LEAST_UNITS))
+    cut = open_.select(*key, "text", "graph", F.col("loop").isNotNull().alias("trimmed"), *[F.when(F.col("loop").isNotNull(), F.array_join(F.slice("us", F.lit(1), F.col(n)), "")).alias(c) for c, n in (("head", "loop.first"), ("upto", "loop.till"))])
+    cut = cut.withColumn("body", F.when(F.col("graph"), F.col("upto")).otherwise(F.regexp_replace("upto", r"(?U)\s+$", "")))
     tail = F.expr("substring(text, length(body) + 1)")
     touch = F.col("head").rlike(r"(?U)\s$") & tail.rlike(r"(?U)^\s")
-    left = strip(F.concat("head", F.when(touch, F.regexp_replace(tail, r"(?U)^\s+", "")).otherwise(tail)))
-    cut = cut.select(*key, F.when(left.rlike(r"[\p{L}\p{N}]"), left).otherwise("").alias("left"))
-    return rows.join(cut, key, "left").select(*key, F.coalesce("left", "text").alias("text"), F.col("left").isNotNull().alias("trimmed"))
+    cut = cut.withColumn("left", strip(F.concat("head", F.when(touch, F.regexp_replace(tail, r"(?U)^\s+", "")).otherwise(tail))))
+    return cut.select(*key, F.when(~F.col("trimmed"), F.col("text")).when(F.col("left").rlike(r"[\p{L}\p{N}]"), F.col("left")).otherwise("").alias("text"), "trimmed")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from captionlake.functions import texts as T
 from captionlake.functions.scalars import cue_times
-from captionlake.operators import layout
+from captionlake.operators import layout, speech
 from captionlake.sources import timelines
 
 
@@ -71,3 +71,11 @@ def test_a_document_is_parsed_once_for_all_its_lists(spark):
     want = singles[0].unionByName(singles[1]).unionByName(singles[2]).select(every.columns)
     assert sorted(map(str, every.collect())) == sorted(map(str, want.collect())) and every.count() == 4
     assert plan(every).count("from_json(") == 1  # a parse for each list and one for the code, before
+
+
+def test_loops_are_found_where_the_text_stands(spark):
+    rows = [(1, 0, "so " * 9 + "it ends", -2.0), (1, 1, "so " * 9, -0.5), (1, 2, None, -2.0), (1, 3, "a b c d e f g h i", -2.0), (1, 4, "one two " * 5 + "three", -2.0), (1, 5, "さあ" * 6, -2.0), (1, 6, "- " * 9, -2.0), (1, 7, "", None)]
+    found = speech.trim_decoder_loops(spark.createDataFrame(rows, "media_id long, seg_idx long, text string, avg_logprob double").coalesce(1))
+    got = {r.seg_idx: (r.text, r.trimmed) for r in found.collect()}
+    assert got == {0: ("it ends", True), 1: (("so " * 9).strip(), False), 2: (None, False), 3: ("a b c d e f g h i", False), 4: ("three", True), 5: ("", True), 6: (("- " * 9).strip(), False), 7: ("", False)}
+    assert not [w for w in ("Window", "Join", "Sort", "Generate") if w in plan(found)]  # a row a unit and length, sorted, before

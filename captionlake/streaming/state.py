@@ -245,8 +245,9 @@ class Queue(StatefulProcessor):
         pass
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """The same changes for a whole log at once: a queue's events in one fold, as long as the queue's log."""
+def replay(events: DataFrame, parts: int = 256) -> DataFrame:
+    """The same changes for a whole log at once: a queue's events in one fold, as long as the queue's log. Queues are dealt into
+    so many parts, each sorted by a task of its own: left to Spark, tasks are as few as the cores, and grow with the table."""
 
     def fold(key: tuple, log: pd.DataFrame) -> pd.DataFrame:
         jobs, active, out = {}, False, []
@@ -256,7 +257,7 @@ def replay(events: DataFrame) -> DataFrame:
             out += [(int(key[0]), int(r.seq), name, state, active) for name, state in changes]
         return pd.DataFrame(out, columns=["queue", "seq", "job", "state", "active"])
 
-    return events.select("queue", "seq", "event", "job", "detail").groupBy("queue").applyInPandas(fold, CHANGES)
+    return events.select("queue", "seq", "event", "job", "detail").repartition(parts, "queue").groupBy("queue").applyInPandas(fold, CHANGES)
 
 
 LINES = "media_id long, p int, failed boolean, line string"

@@ -1,6 +1,8 @@
 """What a query costs must not grow with how often an expression stands in it: each step of a text is taken once."""
 
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -79,3 +81,36 @@ def test_loops_are_found_where_the_text_stands(spark):
     got = {r.seg_idx: (r.text, r.trimmed) for r in found.collect()}
     assert got == {0: ("it ends", True), 1: (("so " * 9).strip(), False), 2: (None, False), 3: ("a b c d e f g h i", False), 4: ("three", True), 5: ("", True), 6: (("- " * 9).strip(), False), 7: ("", False)}
     assert not [w for w in ("Window", "Join", "Sort", "Generate") if w in plan(found)]  # a row a unit and length, sorted, before
+
+
+def test_keys_go_through_a_text_whole(spark):
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    steady = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", T.STEADY) + "]")
+    every = [c for c in map(chr, range(0x110000)) if steady.match(c)]
+    pairs = {nfc(c): chr(int(p[1], 16)) for c in map(chr, range(0x110000)) if len(p := unicodedata.decomposition(c).split()) == 2 and p[0][0] != "<"}
+    assert not [c for c in every if unicodedata.combining(c) or nfc(c) != c] and not set(every) & {b for c, b in pairs.items() if len(c) == 1}
+
+    def key(t, fold):
+        words = re.split(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", re.sub(f"[{T.APOSTROPHES}]", "'", cased(t, fold)))
+        kept = ["".join(c for c in w if c == "'" or unicodedata.category(c)[0] in "LMN") for w in words]
+        return " ".join(w for w in kept if any(unicodedata.category(c)[0] in "LN" for c in w))
+
+    cased = lambda t, fold: nfc(nfc(t).casefold() if fold else nfc(t).lower())
+    r = random.Random(7)
+    odd = [" ", "  ", "\n", "\x85", "\u3000", "a", "I", "'", "\u2019", "\u02bc", "-", ".", "4", "\xdf", "\xb5", "\u0149", "\u017f", "\u0130", "\xcd", "\x1f", "\x7f", "\u201a", "\u0416", "\u65e5", "\U0001f600", "\u0301", "\u3099", "\u304b", "\u03a3", "\u01f0", "\ufb01", "\u0928", "\u093f"]
+    texts = ["", " ' \n '", *("".join(r.choice(odd[: r.choice((6, 25, 33))]) for _ in range(r.randrange(12))) for _ in range(600))]
+    known = [c for c in every if unicodedata.category(c) != "Cn" and not "\u9ffd" <= c <= "\u9fff"]  # Java 17 doesn't know these three
+    texts += ["".join(known[i : i + 500]) for i in range(0, len(known), 500)]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.compare_key(t).alias("compared"), T.duplicate_key(t).alias("lowered"), T.case_folded(t).alias("folded"))
+    locales = spark._jvm.java.util.Locale
+    own = locales.getDefault()
+    for tag in (own.toLanguageTag(), "tr-TR", "lt-LT"):  # where a plain lower() has rules of its own
+        locales.setDefault(locales.forLanguageTag(tag))
+        try:
+            got = df.collect()
+        finally:
+            locales.setDefault(own)
+        assert not [x for x in got if (x.compared, x.lowered, x.folded) != (key(x.t, True), key(x.t, False), cased(x.t, True))]
+    assert "split(" not in plan(df) and "lambda" not in plan(df)  # each word was matched by itself, before
+    assert not df.where(T._loose(F.translate(t, "".join(odd[25:]), ""))).count()  # only odd texts come to Python

@@ -73,20 +73,22 @@ def srt_documents(cues: DataFrame) -> DataFrame:
     return cues.groupBy(*keys_of(cues)).agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("document"))
 
 
-def _blocks(document: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(document, "\r\n", "\n"), "\r", "\n")
-    return F.filter(F.transform(F.split(plain, "\n\n"), strip), lambda b: b != "")
+def _blocks(document: Column, own: bool = False) -> Column:
+    """The blocks with something in them; blanks at the end of their last line stay. own: see parse_srt."""
+    plain = document if own else F.regexp_replace(F.regexp_replace(document, "\r\n", "\n"), "\r", "\n")
+    return F.filter(F.transform(F.split(plain, "\n\n"), lambda b: F.regexp_replace(b, r"(?U)^\s+|\n+\z", "")), lambda b: b != "")
 
 
-def parse_srt(documents: DataFrame) -> DataFrame:
+def parse_srt(documents: DataFrame, own: bool = False) -> DataFrame:
     """(keys, ordinal, cue_index, timing, text, n_lines) of subtitle documents: line 1 is the index (null where it is no
-    number), line 2 the timing, the rest text."""
-    out = documents.select(*keys_of(documents), F.posexplode(_blocks(F.col("document").cast("string"))).alias("p", "b"))
-    parts = F.split("b", "\n")
-    number = F.when(F.get(parts, F.lit(0)).rlike(r"^[\p{Zs}\t]*[+-]?[0-9]+[\p{Zs}\t]*$"), F.trim(F.get(parts, F.lit(0))).try_cast("long"))
+    number), line 2 the timing, the rest text, with its blanks; n_lines is without blanks at the block's end. own: documents of
+    srt_documents, whose line ends are \\n alone, so that \\r is text, and every cue comes back as it was written."""
+    out = documents.select(*keys_of(documents), F.posexplode(_blocks(F.col("document").cast("string"), own)).alias("p", "b"))
+    parts, bare = F.split("b", "\n"), F.split(strip(F.col("b")), "\n")
+    number = F.when(F.get(bare, F.lit(0)).rlike(r"^[\p{Zs}\t]*[+-]?[0-9]+[\p{Zs}\t]*$"), F.trim(F.get(bare, F.lit(0))).try_cast("long"))
     return out.select(
         *keys_of(documents), (F.col("p") + 1).cast("long").alias("ordinal"), number.alias("cue_index"), F.get(parts, F.lit(1)).alias("timing"),
-        F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "\n").alias("text"), F.size(parts).alias("n_lines"),
+        F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "\n").alias("text"), F.size(bare).alias("n_lines"),
     )
 
 

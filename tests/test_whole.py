@@ -1,5 +1,8 @@
 """Branches that the given tables lack, in small tables."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from captionlake.operators import grouping, jobs, policy, timeline
@@ -46,6 +49,28 @@ def test_bad_blocks_are_reported(spark):
     assert sorted(tuple(r) for r in got) == [(2, 2, "cueMissingText"), (3, 2, "cueMissingText"), (4, 2, "cueMissingText"), (5, 2, "invalidNumbering"), (6, 2, "invalidNumbering")]
 
 
+def test_cues_come_back_as_they_were_written(spark, tmp_path):
+    """Lines without text, with blanks at their edges or in a whole piece of 40, and with other line ends; against the SQL."""
+    odd = ["", " ", "a ", " a", "\t", "a\u00a0", "x" * 40 + " ", "x" * 40 + " " * 45, " " * 80, "a\r", "\r", "a\r\rb", "x" * 40 + "\r", "b\x0b", "\x85", "\u2028", "7", "c\u3000", "e\u0301", "\U0001f600" * 41]
+    r = random.Random(2)
+    texts = ["", " ", "\n", None, "\n\n \n", *odd, *("\n".join(r.choice(odd) for _ in range(r.randrange(1, 30))) for _ in range(200))]
+    langs = ("en", "de", "es", "fr", None, "xx")
+    docs = [(i, t, langs[i % 6]) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES["S3_read_srt"](spark, str(tmp_path)).select("media_id", "lang", "cue_index", "timing", "n_chars").collect()
+    want = duck.sql(f"SELECT media_id, lang, cue_index, timing, n_chars FROM ({catalogue.ORACLE_SQL['S3_read_srt']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) > 4000
+
+
+def test_blanks_of_a_text_are_read_and_counted_as_no_line(spark):
+    t = "00:00:00,000 --> 00:00:01,000"
+    document = f"\r\n \r\n 1 \r\n{t}\t\r\n a \r\n\r\n\r\n2\r{t} \r \r\r3\n{t}\nb\n \n\n\n"
+    got = timeline.parse_srt(spark.createDataFrame([(1, document)], "media_id long, document string")).orderBy("ordinal").collect()
+    assert [(r.cue_index, r.timing, r.text, r.n_lines) for r in got] == [(1, f"{t}\t", " a ", 3), (2, f"{t} ", " ", 2), (3, t, "b\n ", 3)]
+
+
 def test_every_page_is_checked_for_its_destination(spark, tmp_path):
     spark.range(120).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
     assert catalogue.QUERIES["U2_duplicate_destinations"](spark, str(tmp_path)).count() == 120

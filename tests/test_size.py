@@ -114,3 +114,20 @@ def test_keys_go_through_a_text_whole(spark):
         assert not [x for x in got if (x.compared, x.lowered, x.folded) != (key(x.t, True), key(x.t, False), cased(x.t, True))]
     assert "split(" not in plan(df) and "lambda" not in plan(df)  # each word was matched by itself, before
     assert not df.where(T._loose(F.translate(t, "".join(odd[25:]), ""))).count()  # only odd texts come to Python
+
+
+def test_captions_are_composed_and_close_whatever_is_searched(spark):
+    r = random.Random(9)
+    odd = ["a", " ", "b", "'", "’", "e", "  ", "\n", "\t", "\xa0", "　", "\x85", " ", ".", "́", "か", "゙", "カ", "日", "가", "ᄀ", "ᅡ", "न", "़", "4", " ", "​"]
+    texts = [None, "", " ", "\n 　", *("".join(r.choice(odd[: r.choice((6, 14, 27))]) for _ in range(r.randrange(14))) for _ in range(800))]
+
+    def rule(t):
+        plain = re.sub(r"[\t-\r \x85\xa0  -     　]+", " ", unicodedata.normalize("NFC", t)).strip(" ")
+        for mark in "'\u2019":
+            plain = re.sub(rf"(?<=[^\W\d_]) ?{mark} ?(?=[^\W\d_])", mark, plain)
+        return plain
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.caption(F.col("t")).alias("c"))
+    assert not [x for x in df.collect() if x.c != (None if x.t is None else rule(x.t))]
+    steady = F.col("t").isNotNull() & ~T._loose(F.col("t"))
+    assert df.where(steady & F.col("t").rlike(r"[\x{300}-\x{10FFFF}]")).count() > 9  # all of these came to Python, before
